@@ -164,8 +164,9 @@ def correlation_with(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
 def churn_correlations(df: DataFrame, cols: list[str], target: str = "churned", k: int = 10) -> DataFrame:
     """The k most positive and k most negative correlations with the label."""
     corr = correlation_with(df, target, cols).filter(F.col("correlation").isNotNull())
-    top = corr.orderBy(F.col("correlation").desc(), "feature").limit(k).withColumn("direction", F.lit("top"))
-    bottom = corr.orderBy(F.col("correlation").asc(), "feature").limit(k).withColumn("direction", F.lit("bottom"))
+    key = round_to("correlation", 9)  # ulp-level noise must not reorder exactly tied correlations
+    top = corr.orderBy(key.desc(), "feature").limit(k).withColumn("direction", F.lit("top"))
+    bottom = corr.orderBy(key.asc(), "feature").limit(k).withColumn("direction", F.lit("bottom"))
     return top.unionByName(bottom)
 
 
