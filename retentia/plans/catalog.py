@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from retentia.plans import catalog_features  # noqa: F401
 from retentia.plans import catalog_segments  # noqa: F401
+from retentia.plans import catalog_experiment  # noqa: F401
+from retentia.plans import catalog_evaluate  # noqa: F401
 from retentia.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

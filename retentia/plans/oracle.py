@@ -254,3 +254,16 @@ def with_latest(select: str) -> str:
 
 def with_scored(select: str) -> str:
     return f"WITH {SCORED_CTE}\n{select}"
+
+
+# ---------------------------------------------------------------- statistics twins
+_AS_P = 0.3275911
+_AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def erfc_nonneg(x: str) -> str:
+    """Twin of ``retentia.functions.stats.erfc_nonneg`` (Abramowitz & Stegun 7.1.26)."""
+    t = f"(1.0 / (1.0 + {_AS_P!r} * ({x})))"
+    a1, a2, a3, a4, a5 = (f"CAST({a!r} AS DOUBLE)" for a in _AS_A)
+    poly = f"({t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * ({a4} + {t} * {a5})))))"
+    return f"({poly} * exp(-(({x}) * ({x}))))"
