@@ -17,13 +17,16 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int = 100_000) -> DataFrame:
-    """Join a dimension, broadcasting it only after its row count is checked.
-
-    Above the bound the join is left to the planner (sort-merge, or a runtime
-    broadcast chosen by AQE from measured sizes).
+def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int | None = None) -> DataFrame:
+    """Join a dimension; broadcast it only when its size is known to be small.
+
+    Without ``max_rows`` the planner decides from measured sizes: the static
+    estimate and AQE's runtime statistics are compared with
+    ``spark.sql.autoBroadcastJoinThreshold``, otherwise it is a sort-merge
+    join.  With ``max_rows`` the row count is checked first (one small job)
+    and only a dimension under the bound gets the broadcast hint.
     """
-    if fits(dim, max_rows):
+    if max_rows is not None and fits(dim, max_rows):
         dim = F.broadcast(dim)
     return df.join(dim, on, how)
 

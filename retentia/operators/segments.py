@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import round_to, safe_div
@@ -165,9 +165,13 @@ def churn_correlations(df: DataFrame, cols: list[str], target: str = "churned",
     """The k most positive and k most negative correlations with the label."""
     corr = correlation_with(df, target, cols).filter(F.col("correlation").isNotNull())
     key = round_to("correlation", 9)  # ulp-level noise must not reorder exactly tied correlations
-    top = corr.orderBy(key.desc(), "feature").limit(k).withColumn("direction", F.lit("top"))
-    bottom = corr.orderBy(key.asc(), "feature").limit(k).withColumn("direction", F.lit("bottom"))
-    return top.unionByName(bottom)
+    # One row per input column: ranking this tiny frame needs no partition key.
+    hi = F.row_number().over(Window.orderBy(key.desc(), F.col("feature")))
+    lo = F.row_number().over(Window.orderBy(key.asc(), F.col("feature")))
+    ranked = corr.select("feature", "correlation", hi.alias("_hi"), lo.alias("_lo"))
+    return ranked.select("feature", "correlation", F.explode(F.array(
+        F.when(F.col("_hi") <= k, F.lit("top")), F.when(F.col("_lo") <= k, F.lit("bottom")))).alias("direction")) \
+        .filter(F.col("direction").isNotNull())
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -242,22 +246,35 @@ HISTOGRAM_FEATURES = ("sessions_per_week", "avg_session_length_mins", "days_sinc
 
 
 def feature_histograms(latest: DataFrame, features=HISTOGRAM_FEATURES, label: str = "churned",
-                       bins: int = 30) -> DataFrame:
+                       bins: int = 30, label_values=(0, 1)) -> DataFrame:
     """Per feature and label value, equal-width counts over that subset's range.
 
-    Long form via ``unpivot``; the per-(feature, label) bounds are a small
-    aggregate (features x label values rows), joined back after a size check.
+    The (feature x label value) bounds come from one global aggregate read as a
+    single struct-valued scalar subquery, so the row-level data is neither
+    joined nor partitioned by the few (feature, label) keys, which would put
+    a large share of all rows into one task.
     """
-    long = latest.select(label, *[F.col(f).cast("double").alias(f) for f in features]) \
+    aggs = []
+    for i, f in enumerate(features):
+        for j, v in enumerate(label_values):
+            x = F.when(F.col(label) == v, F.col(f).cast("double"))
+            aggs += [F.min(x).alias(f"lo_{i}_{j}"), F.max(x).alias(f"hi_{i}_{j}")]
+    b = latest.agg(F.struct(*aggs).alias("b")).select("b").scalar()
+    lo_e = hi_e = F.lit(None).cast("double")
+    for i, f in enumerate(features):
+        for j, v in enumerate(label_values):
+            hit = (F.col("feature") == f) & (F.col(label) == v)
+            lo_e = F.when(hit, b.getField(f"lo_{i}_{j}")).otherwise(lo_e)
+            hi_e = F.when(hit, b.getField(f"hi_{i}_{j}")).otherwise(hi_e)
+    long = latest.filter(F.col(label).isin(*label_values)) \
+        .select(label, *[F.col(f).cast("double").alias(f) for f in features]) \
         .unpivot([label], list(features), "feature", "x").filter(F.col("x").isNotNull())
-    bounds = long.groupBy("feature", label).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = lookup_join(long, bounds, ["feature", label], how="inner", max_rows=100_000)
-    b = bin_number(F.col("x"), F.col("lo"), F.col("hi"), bins)
+    j = long.select("feature", label, "x", lo_e.alias("lo"), hi_e.alias("hi"))
+    bn = bin_number(F.col("x"), F.col("lo"), F.col("hi"), bins)
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return j.groupBy("feature", label, b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("players"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-    ).select("feature", label, "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
-             (F.col("lo") + F.col("bin") * width).alias("bin_hi"), "players")
+    return j.groupBy("feature", label, bn.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("players")).select(
+        "feature", label, "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
+        (F.col("lo") + F.col("bin") * width).alias("bin_hi"), "players")
 
 
 # ---------------------------------------------------------------- A16 / A17

@@ -127,7 +127,7 @@ def events_panel(events: DataFrame, nation: DataFrame) -> DataFrame:
         (F.last("n").over(whole) <= 3).cast("int").alias("churned"),
     )
     countries = nation.select(F.col("n_nationkey").cast("long").alias("_nationkey"), F.col("n_name").alias("country"))
-    panel = lookup_join(panel, countries, "_nationkey", max_rows=10_000)
+    panel = lookup_join(panel, countries, "_nationkey")
     return panel.select(*[F.col(f.name).cast(f.dataType) for f in PANEL.fields])
 
 
