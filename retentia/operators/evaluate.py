@@ -41,35 +41,57 @@ def metric_columns() -> dict[str, Column]:
     }
 
 
-def score_buckets(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Positives / negatives per 4-decimal score bucket (and per segment)."""
+def score_buckets(df: DataFrame, score: str, label: str, by: list[str] | None = None,
+                  threshold: float = 0.5) -> DataFrame:
+    """Per 4-decimal score bucket (and segment): rows, positives, negatives and confusion counts.
+
+    At most 10,001 buckets per segment, whatever the row count: everything
+    downstream works on this small table, after one pass over the rows.
+    """
     by = by or []
+    y, p = F.col(label) == 1, _pred(score, threshold)
     return df.groupBy(*by, round_to(score, 4).alias("bucket")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+        F.count(F.lit(1)).alias("n"), F.count_if(y).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
+        F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"),
+        F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
+
+
+def _with_neg_below(buckets: DataFrame, by: list[str]) -> DataFrame:
+    # Running sums over the bucket table (per segment): bounded by 10,001 rows per segment.
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("bucket") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+
+
+def _auc(num: Column, p: Column, n: Column) -> Column:
+    return F.try_divide(num, p * n)
 
 
 def auc_from_buckets(buckets: DataFrame, by: list[str] | None = None) -> DataFrame:
     """ROC-AUC = P(score+ > score-) + 0.5 P(tie), from bucket counts (running sums over buckets)."""
     by = by or []
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    b = buckets.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    b = _with_neg_below(buckets, by)
     agg = b.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))).alias("_num"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return agg.select(*by, F.try_divide(F.col("_num"), F.col("_p") * F.col("_n")).alias("roc_auc"))
+    return agg.select(*by, _auc(F.col("_num"), F.col("_p"), F.col("_n")).alias("roc_auc"))
 
 
 def evaluate(pred: DataFrame, score: str = "churn_risk_score", label: str = "churned",
              threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
-    """L8 (and L13 with ``by``): accuracy, precision, recall, F1 (0 on zero division), ROC-AUC, confusion."""
+    """L8 (and L13 with ``by``): accuracy, precision, recall, F1 (0 on zero division), ROC-AUC, confusion.
+
+    One pass over the rows into the bucket table, one window over the buckets,
+    one final aggregate.
+    """
     by = by or []
-    conf = pred.groupBy(*by).agg(*confusion_aggs(score, label, threshold), F.count(F.lit(1)).alias("rows"))
-    conf = conf.select(*by, "rows", "tp", "fp", "tn", "fn", *[c.alias(n) for n, c in metric_columns().items()])
-    auc = auc_from_buckets(score_buckets(pred, score, label, by), by)
-    if by:
-        return conf.join(auc, by, "left")
-    return conf.withColumn("roc_auc", auc.select("roc_auc").scalar())
+    b = _with_neg_below(score_buckets(pred, score, label, by, threshold), by)
+    conf = b.groupBy(*by).agg(
+        F.sum("n").alias("rows"), *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")],
+        _auc(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))), F.sum("pos"), F.sum("neg"))
+        .alias("roc_auc"))
+    return conf.select(*by, "rows", "tp", "fp", "tn", "fn", *[c.alias(n) for n, c in metric_columns().items()],
+                       "roc_auc")
 
 
 def segment_metrics(pred: DataFrame, dim: str, **kw) -> DataFrame:
@@ -117,7 +139,8 @@ def cost_curve(pred: DataFrame, score: str = "churn_risk_score", label: str = "c
     """Expected cost at thresholds 0, 1/steps, ..., 1 (positive when score >= t) and the best one.
 
     Works on the bucketed counts; the threshold grid is exploded on that small
-    aggregate, never on the rows.
+    aggregate, never on the rows, and the cheapest threshold (lowest on ties)
+    is ranked within the (steps + 1)-row curve.
     """
     buckets = score_buckets(pred, score, label)
     grid = F.explode(F.array(*[F.lit(k / steps) for k in range(steps + 1)])).alias("threshold")
@@ -127,6 +150,5 @@ def cost_curve(pred: DataFrame, score: str = "churn_risk_score", label: str = "c
         F.sum(F.when(~above, F.col("pos")).otherwise(0)).alias("false_negatives"),
         F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("false_positives"),
     ).withColumn("expected_cost", F.col("false_negatives") * F.lit(fn_cost) + F.col("false_positives") * F.lit(fp_cost))
-    best_cost = curve.agg(F.min("expected_cost")).scalar()
-    best_t = curve.filter(F.col("expected_cost") == best_cost).agg(F.min("threshold")).scalar()
-    return curve.withColumn("is_best", F.col("threshold") == best_t)
+    rank = F.row_number().over(Window.orderBy("expected_cost", "threshold"))
+    return curve.withColumn("is_best", rank == 1)

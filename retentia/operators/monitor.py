@@ -58,11 +58,13 @@ def feature_drift(df: DataFrame, cols: list[str], current: Column) -> DataFrame:
 
     ``current`` marks the rows of the current period (e.g. the last week).
     """
+    df = df.select(*cols, current.alias("_cur"))  # a scalar inside `current` is planned once
+    cur = F.col("_cur")
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.avg(F.when(current, x)).alias(f"m{i}"), F.avg(F.when(~current, x)).alias(f"h{i}"),
-                 F.stddev_samp(F.when(~current, x)).alias(f"s{i}")]
+        aggs += [F.avg(F.when(cur, x)).alias(f"m{i}"), F.avg(F.when(~cur, x)).alias(f"h{i}"),
+                 F.stddev_samp(F.when(~cur, x)).alias(f"s{i}")]
     wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean_current"), F.col(f"h{i}").alias("mean_history"),

@@ -91,16 +91,21 @@ def bin_number(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def score_histogram(df: DataFrame, bins: int = 50, score: str = SCORE) -> DataFrame:
-    """A4: equal-width counts of the score; min and max are scalar subqueries."""
+    """A4: equal-width counts of the score.
+
+    Min and max come from one struct-valued scalar subquery attached once as a
+    column (every reference to a scalar Column would otherwise plan its own
+    subquery, each re-running the input).
+    """
     vals = df.filter(F.col(score).isNotNull())
-    bounds = vals.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = vals.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi")).alias("b")).select("b").scalar()
+    v = vals.select(F.col(score).alias("_x"), bounds.alias("_b"))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
     width = (hi - lo) / F.lit(float(bins))
-    b = bin_number(F.col(score), lo, hi, bins)
-    return vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("players")).select(
-        "bin", (lo + (F.col("bin") - 1) * width).alias("bin_lo"), (lo + F.col("bin") * width).alias("bin_hi"),
-        "players",
-    )
+    b = bin_number(F.col("_x"), lo, hi, bins)
+    g = v.groupBy(b.alias("bin"), lo.alias("lo"), width.alias("w")).agg(F.count(F.lit(1)).alias("players"))
+    return g.select("bin", (F.col("lo") + (F.col("bin") - 1) * F.col("w")).alias("bin_lo"),
+                    (F.col("lo") + F.col("bin") * F.col("w")).alias("bin_hi"), "players")
 
 
 # ---------------------------------------------------------------- A5
@@ -264,11 +269,11 @@ def feature_histograms(latest: DataFrame, features=HISTOGRAM_FEATURES, label: st
     for i, f in enumerate(features):
         for j, v in enumerate(label_values):
             hit = (F.col("feature") == f) & (F.col(label) == v)
-            lo_e = F.when(hit, b.getField(f"lo_{i}_{j}")).otherwise(lo_e)
-            hi_e = F.when(hit, b.getField(f"hi_{i}_{j}")).otherwise(hi_e)
+            lo_e = F.when(hit, F.col(f"_b.lo_{i}_{j}")).otherwise(lo_e)
+            hi_e = F.when(hit, F.col(f"_b.hi_{i}_{j}")).otherwise(hi_e)
     long = latest.filter(F.col(label).isin(*label_values)) \
-        .select(label, *[F.col(f).cast("double").alias(f) for f in features]) \
-        .unpivot([label], list(features), "feature", "x").filter(F.col("x").isNotNull())
+        .select(label, b.alias("_b"), *[F.col(f).cast("double").alias(f) for f in features]) \
+        .unpivot([label, "_b"], list(features), "feature", "x").filter(F.col("x").isNotNull())
     j = long.select("feature", label, "x", lo_e.alias("lo"), hi_e.alias("hi"))
     bn = bin_number(F.col("x"), F.col("lo"), F.col("hi"), bins)
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))

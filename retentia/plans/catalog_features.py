@@ -211,10 +211,10 @@ def q_assemble(spark, sf):
     "min(platform) AS platform, min(registration_date) AS registration_date FROM panel GROUP BY player_id) pr "
     "ON p.player_id = pr.player_id"))
 def q_join_profile(spark, sf):
-    """Panel measures joined to the one-row-per-player profile dimension."""
-    p = frames.panel(spark, sf)
-    measures = p.select("player_id", "date", "sessions_per_week")
-    return joins.join_profile(measures, src.player_profiles(p)).select(
+    """Panel measures joined to the one-row-per-player profile dimension (built from the event log)."""
+    measures = frames.panel(spark, sf).select("player_id", "date", "sessions_per_week")
+    profiles = src.profiles_from_events(src.table(spark, sf, "events"), src.table(spark, sf, "nation"))
+    return joins.join_profile(measures, profiles).select(
         "player_id", "date", "sessions_per_week", "archetype", "country", "platform", "registration_date")
 
 

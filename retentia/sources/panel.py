@@ -132,7 +132,7 @@ def events_panel(events: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def player_profiles(panel: DataFrame) -> DataFrame:
-    """Profile dimension: one row per player (identity attributes only)."""
+    """Profile dimension from a stored panel: one row per player (identity attributes only)."""
     return panel.groupBy("player_id").agg(
         F.min("registration_date").alias("registration_date"),
         F.min("archetype").alias("archetype"),
@@ -141,6 +141,19 @@ def player_profiles(panel: DataFrame) -> DataFrame:
     )
 
 
+def profiles_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
+    """Profile dimension straight from the event log: one partial/final aggregate on the user id."""
+    first = events.groupBy(F.col("user_id").alias("player_id")).agg(F.min("ts").alias("registration_date"))
+    prof = first.select(
+        "player_id", "registration_date",
+        _pick(ARCHETYPES, F.col("player_id") % 5).alias("archetype"),
+        _pick(PLATFORMS, F.col("player_id") % 3).alias("platform"),
+        (F.col("player_id") % 25).alias("_nationkey"),
+    )
+    countries = nation.select(F.col("n_nationkey").cast("long").alias("_nationkey"), F.col("n_name").alias("country"))
+    return lookup_join(prof, countries, "_nationkey").drop("_nationkey")
+
+
 # ---------------------------------------------------------------- S3
 def flatten_profiles(payloads: DataFrame, app_id: int) -> DataFrame:
     """Landed store-API payloads → one row per player (no network I/O here).
