@@ -1,8 +1,8 @@
 """DuckDB twins of the shared frames, for the correctness gate.
 
 Plain SQL over the pre-registered views (``events``, ``nation``); each query's
-twin is ``WITH <these CTEs> SELECT ...``.  Doubles are rounded half-up to 6
-decimals with IEEE arithmetic, ``floor(x * 1e6 + 0.5) / 1e6``, on both sides.
+twin is ``WITH <these CTEs> SELECT ...``.  Doubles are rounded to 6 decimals with
+IEEE arithmetic, ``floor(x * 1e6 + 0.500244140625) / 1e6``, on both sides.
 """
 
 from __future__ import annotations
@@ -12,13 +12,16 @@ from retentia.sources.panel import ARCHETYPES, PLATFORMS
 DOUBLE, BIGINT, INT, TEXT, TS = "double", "bigint", "int", "text", "ts"
 
 
+_OFFSET = repr(0.5 + 2.0 ** -12)  # twin of retentia.functions.columns.ROUND_OFFSET
+
+
 def r6(expr: str) -> str:
-    return f"floor(({expr}) * 1e6 + 0.5) / 1e6"
+    return rnd(expr, 6)
 
 
 def rnd(expr: str, digits: int) -> str:
     m = f"1e{digits}"
-    return f"floor(({expr}) * {m} + 0.5) / {m}"
+    return f"floor(({expr}) * {m} + {_OFFSET}) / {m}"
 
 
 def clip01(expr: str) -> str:
