@@ -59,29 +59,29 @@ def decay_rate(c: str, key: str = KEY, order: str = ORDER) -> Column:
 # ---------------------------------------------------------------- stages
 def time_features(df: DataFrame) -> DataFrame:
     """F1-F4.  Account age is a floor of whole 24-hour periods (not calendar days)."""
+    dow = F.weekday("date")
     cols = {}
     if "registration_date" in df.columns:
         micros = F.timestamp_diff("MICROSECOND", _c("registration_date"), _c("date"))
         cols["account_age_days"] = F.floor(micros / F.lit(86_400_000_000.0)).cast("long")
-    cols["day_of_week"] = F.weekday("date")
-    cols["month"] = F.month("date")
-    df = df.withColumns(cols)
-    return df.withColumn("is_weekend", flag(_c("day_of_week").isin(5, 6)))
+    cols.update({"day_of_week": dow, "month": F.month("date"), "is_weekend": flag(dow.isin(5, 6))})
+    return df.withColumns(cols)
 
 
 def behaviour_features(df: DataFrame) -> DataFrame:
     """F5-F8 with W1."""
     s, length, idle = _c("sessions_per_week"), _c("avg_session_length_mins"), _c("days_since_last_login")
-    df = df.withColumns({
+    s3 = rolling_mean_3("sessions_per_week")
+    return df.withColumns({
         "total_playtime_hours": s * length * F.lit(4) / F.lit(60),
         "activity_consistency": F.lit(1) - clip01("session_decay_rate"),
         "engagement_score": clip01(
             s / F.lit(20) * F.lit(0.3) + length / F.lit(120) * F.lit(0.3) + (F.lit(1) - idle / F.lit(30)) * F.lit(0.4)
         ),
-        "sessions_per_week_rolling_3m": rolling_mean_3("sessions_per_week"),
+        "sessions_per_week_rolling_3m": s3,
         "avg_session_length_mins_rolling_3m": rolling_mean_3("avg_session_length_mins"),
+        "sessions_trend": s / (s3 + F.lit(0.1)),
     })
-    return df.withColumn("sessions_trend", s / (_c("sessions_per_week_rolling_3m") + F.lit(0.1)))
 
 
 def performance_features(df: DataFrame) -> DataFrame:
@@ -109,47 +109,50 @@ def social_features(df: DataFrame) -> DataFrame:
 def money_features(df: DataFrame) -> DataFrame:
     """F16-F21 with W2 and W4."""
     spend, freq = _c("monthly_spent"), _c("purchase_frequency")
-    df = df.withColumns({
-        "total_spent": running_sum("monthly_spent"),
-        "spending_rolling_3m": rolling_mean_3("monthly_spent"),
-    })
+    total, r3 = running_sum("monthly_spent"), rolling_mean_3("monthly_spent")
     return df.withColumns({
-        "is_spender": flag(_c("total_spent") > 0),
-        "is_whale": flag(_c("total_spent") > 500),
+        "total_spent": total,
+        "spending_rolling_3m": r3,
+        "is_spender": flag(total > 0),
+        "is_whale": flag(total > 500),
         "recent_spender": flag(_c("days_since_last_purchase") < 30),
         "spending_velocity": spend * freq,
         "avg_transaction_value": spend / (freq + F.lit(1)),
-        "spending_trend": spend / (_c("spending_rolling_3m") + F.lit(0.1)),
+        "spending_trend": spend / (r3 + F.lit(0.1)),
     })
 
 
 def content_features(df: DataFrame) -> DataFrame:
     """F22-F23 with W5."""
-    df = df.withColumns({
+    velocity = row_diff("achievements_unlocked")
+    return df.withColumns({
         "content_engagement": _c("content_completion_pct") * F.lit(0.4) + _c("feature_adoption_pct") * F.lit(0.3)
         + clip01(_c("achievements_unlocked") / F.lit(100)) * F.lit(0.3),
-        "achievement_velocity": row_diff("achievements_unlocked"),
+        "achievement_velocity": velocity,
+        "content_exhausted": flag((_c("content_completion_pct") > 0.9) & (velocity < 1)),
     })
-    return df.withColumn(
-        "content_exhausted", flag((_c("content_completion_pct") > 0.9) & (_c("achievement_velocity") < 1))
-    )
 
 
 def risk_features(df: DataFrame) -> DataFrame:
     """F24-F27 (batch weights)."""
-    df = df.withColumns({
-        "activity_risk": (flag(_c("sessions_per_week") < 2) * 3 + flag(_c("days_since_last_login") > 14) * 3
-                          + flag(_c("session_decay_rate") > 0.3) * 2) / F.lit(8),
-        "engagement_risk": (flag(_c("engagement_score") < 0.3) * 2 + _c("low_social_engagement") * 2
-                            + _c("content_exhausted")) / F.lit(5),
-        "monetization_risk": (flag(_c("days_since_last_purchase") > 90) * 2 + flag(_c("spending_trend") < 0.5)
-                              + (F.lit(1) - _c("is_spender"))) / F.lit(4),
+    activity = (flag(_c("sessions_per_week") < 2) * 3 + flag(_c("days_since_last_login") > 14) * 3
+                + flag(_c("session_decay_rate") > 0.3) * 2) / F.lit(8)
+    engagement = (flag(_c("engagement_score") < 0.3) * 2 + _c("low_social_engagement") * 2
+                  + _c("content_exhausted")) / F.lit(5)
+    money = (flag(_c("days_since_last_purchase") > 90) * 2 + flag(_c("spending_trend") < 0.5)
+             + (F.lit(1) - _c("is_spender"))) / F.lit(4)
+    return df.withColumns({
+        "activity_risk": activity, "engagement_risk": engagement, "monetization_risk": money,
+        "overall_risk_score": overall_risk(activity, engagement, money),
     })
-    return df.withColumn("overall_risk_score", overall_risk())
 
 
-def overall_risk() -> Column:
-    return _c("activity_risk") * F.lit(0.4) + _c("engagement_risk") * F.lit(0.3) + _c("monetization_risk") * F.lit(0.3)
+def overall_risk(activity: Column | None = None, engagement: Column | None = None,
+                 money: Column | None = None) -> Column:
+    activity = _c("activity_risk") if activity is None else activity
+    engagement = _c("engagement_risk") if engagement is None else engagement
+    money = _c("monetization_risk") if money is None else money
+    return activity * F.lit(0.4) + engagement * F.lit(0.3) + money * F.lit(0.3)
 
 
 def interaction_features(df: DataFrame) -> DataFrame:

@@ -61,17 +61,16 @@ def _pick(values: tuple[str, ...], idx: Column) -> Column:
 
 
 def player_week_measures(events: DataFrame) -> DataFrame:
-    """Per ``(player_id, week)`` aggregates of the event log (one hash aggregate)."""
+    """Per ``(player_id, week)`` aggregates of the event log (one partial/final hash aggregate)."""
     k = F.get_json_object("props", "$.k").cast("int")
     ev = events.select(
         F.col("user_id").alias("player_id"), "ts", "event_type", "value", k.alias("k"),
+        F.date_sub(F.to_date("ts"), F.weekday("ts")).alias("week"),
     )
-    day = F.to_date("ts")
-    week = F.date_sub(day, F.weekday("ts"))
     et = F.col("event_type")
-    counts = {t: F.count_if(et == t).alias(f"n_{t}") for t in EVENT_TYPES}
-    return ev.groupBy("player_id", week.alias("week")).agg(
-        F.max("ts").alias("last_ts"),
+    counts = [F.count_if(et == t).alias(f"n_{t}") for t in EVENT_TYPES]
+    return ev.groupBy("player_id", "week").agg(
+        F.to_date(F.max("ts")).cast("timestamp_ntz").alias("date"),
         F.min("ts").alias("first_ts"),
         F.count(F.lit(1)).alias("n"),
         F.avg("value").alias("avg_value"),
@@ -82,53 +81,53 @@ def player_week_measures(events: DataFrame) -> DataFrame:
         F.sum(F.when(et == "purchase", F.col("value"))).alias("purchase_value"),
         F.min(F.when(et == "purchase", F.col("k"))).alias("min_purchase_k"),
         F.size(F.collect_set(et)).alias("n_types"),
-        *counts.values(),
+        *counts,
     )
 
 
 def events_panel(events: DataFrame, nation: DataFrame) -> DataFrame:
-    """The player panel derived from the event log (mapping documented in FIXTURES.md §6)."""
-    g = player_week_measures(events)
+    """The player panel derived from the event log (mapping documented in FIXTURES.md §6).
+
+    Plan: partial/final aggregate on (player, week) → broadcast nation lookup
+    (25 rows, under the planner's size threshold) → one Window/Sort pass on
+    ``player_id`` for every sequence column.
+    """
+    g = player_week_measures(events).withColumn("_nationkey", F.col("player_id") % 25)
+    countries = nation.select(F.col("n_nationkey").cast("long").alias("_nationkey"), F.col("n_name").alias("country"))
+    g = lookup_join(g, countries, "_nationkey")
     w = Window.partitionBy("player_id").orderBy("date")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, prev_n = F.col("n"), F.lag("n").over(w)
     rank_mod = F.col("sum_k") % 100
-    panel = g.select(
-        "player_id",
-        F.to_date("last_ts").cast("timestamp_ntz").alias("date"),
-        "first_ts", "n", "avg_value", "last_k", "sum_k", "max_k", "n_k95", "purchase_value",
-        "min_purchase_k", "n_types", *[f"n_{t}" for t in EVENT_TYPES],
-    ).select(
-        "player_id",
-        "date",
-        F.min("first_ts").over(whole).alias("registration_date"),
-        _pick(ARCHETYPES, F.col("player_id") % 5).alias("archetype"),
-        _pick(PLATFORMS, F.col("player_id") % 3).alias("platform"),
-        (F.col("player_id") % 25).alias("_nationkey"),
-        n.alias("sessions_per_week"),
-        F.col("avg_value").alias("avg_session_length_mins"),
-        (F.col("last_k") % 31).cast("long").alias("days_since_last_login"),
-        F.coalesce(safe_div(prev_n - n, F.greatest(prev_n, F.lit(1))), F.lit(0.0)).alias("session_decay_rate"),
-        safe_div("n_click", F.col("n_click") + F.col("n_error")).alias("win_rate"),
-        safe_div("n_view", F.greatest(F.col("n_error"), F.lit(1))).alias("kd_ratio"),
-        (rank_mod + 1).alias("current_rank"),
-        F.coalesce(rank_mod - F.lag(rank_mod).over(w), F.lit(0)).alias("rank_change"),
-        F.col("n_signup").alias("friends_online"),
-        safe_div("n_view", n).alias("party_play_percentage"),
-        F.col("n_k95").alias("toxicity_reports_received"),
-        F.coalesce("purchase_value", F.lit(0.0)).alias("monthly_spent"),
-        F.coalesce(F.col("min_purchase_k").cast("long") * 2, F.lit(NO_PURCHASE_DAYS).cast("long"))
-        .alias("days_since_last_purchase"),
-        F.col("n_purchase").alias("purchase_frequency"),
-        F.sum("n").over(running).alias("achievements_unlocked"),
-        (F.col("max_k") / F.lit(99.0)).alias("content_completion_pct"),
-        (F.col("n_types") / F.lit(5.0)).alias("feature_adoption_pct"),
-        (F.last("n").over(whole) <= 3).cast("int").alias("churned"),
-    )
-    countries = nation.select(F.col("n_nationkey").cast("long").alias("_nationkey"), F.col("n_name").alias("country"))
-    panel = lookup_join(panel, countries, "_nationkey")
-    return panel.select(*[F.col(f.name).cast(f.dataType) for f in PANEL.fields])
+    cols = {
+        "player_id": F.col("player_id"),
+        "date": F.col("date"),
+        "registration_date": F.min("first_ts").over(whole),
+        "archetype": _pick(ARCHETYPES, F.col("player_id") % 5),
+        "platform": _pick(PLATFORMS, F.col("player_id") % 3),
+        "country": F.col("country"),
+        "sessions_per_week": n,
+        "avg_session_length_mins": F.col("avg_value"),
+        "days_since_last_login": F.col("last_k") % 31,
+        "session_decay_rate": F.coalesce(safe_div(prev_n - n, F.greatest(prev_n, F.lit(1))), F.lit(0.0)),
+        "win_rate": safe_div("n_click", F.col("n_click") + F.col("n_error")),
+        "kd_ratio": safe_div("n_view", F.greatest(F.col("n_error"), F.lit(1))),
+        "current_rank": rank_mod + 1,
+        "rank_change": F.coalesce(rank_mod - F.lag(rank_mod).over(w), F.lit(0)),
+        "friends_online": F.col("n_signup"),
+        "party_play_percentage": safe_div("n_view", n),
+        "toxicity_reports_received": F.col("n_k95"),
+        "monthly_spent": F.coalesce("purchase_value", F.lit(0.0)),
+        "days_since_last_purchase": F.coalesce(F.col("min_purchase_k").cast("long") * 2,
+                                               F.lit(NO_PURCHASE_DAYS).cast("long")),
+        "purchase_frequency": F.col("n_purchase"),
+        "achievements_unlocked": F.sum("n").over(running),
+        "content_completion_pct": F.col("max_k") / F.lit(99.0),
+        "feature_adoption_pct": F.col("n_types") / F.lit(5.0),
+        "churned": F.last("n").over(whole) <= 3,
+    }
+    return g.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in PANEL.fields])
 
 
 def player_profiles(panel: DataFrame) -> DataFrame:
