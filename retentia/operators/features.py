@@ -71,17 +71,18 @@ def time_features(df: DataFrame) -> DataFrame:
 def behaviour_features(df: DataFrame) -> DataFrame:
     """F5-F8 with W1."""
     s, length, idle = _c("sessions_per_week"), _c("avg_session_length_mins"), _c("days_since_last_login")
-    s3 = rolling_mean_3("sessions_per_week")
-    return df.withColumns({
+    # Window values first, read by name afterwards: Spark evaluates every occurrence of a window
+    # expression separately, so a reused window Column would be computed twice.
+    df = df.withColumns({
         "total_playtime_hours": s * length * F.lit(4) / F.lit(60),
         "activity_consistency": F.lit(1) - clip01("session_decay_rate"),
         "engagement_score": clip01(
             s / F.lit(20) * F.lit(0.3) + length / F.lit(120) * F.lit(0.3) + (F.lit(1) - idle / F.lit(30)) * F.lit(0.4)
         ),
-        "sessions_per_week_rolling_3m": s3,
+        "sessions_per_week_rolling_3m": rolling_mean_3("sessions_per_week"),
         "avg_session_length_mins_rolling_3m": rolling_mean_3("avg_session_length_mins"),
-        "sessions_trend": s / (s3 + F.lit(0.1)),
     })
+    return df.withColumn("sessions_trend", s / (_c("sessions_per_week_rolling_3m") + F.lit(0.1)))
 
 
 def performance_features(df: DataFrame) -> DataFrame:
@@ -109,28 +110,30 @@ def social_features(df: DataFrame) -> DataFrame:
 def money_features(df: DataFrame) -> DataFrame:
     """F16-F21 with W2 and W4."""
     spend, freq = _c("monthly_spent"), _c("purchase_frequency")
-    total, r3 = running_sum("monthly_spent"), rolling_mean_3("monthly_spent")
+    df = df.withColumns({
+        "total_spent": running_sum("monthly_spent"),
+        "spending_rolling_3m": rolling_mean_3("monthly_spent"),
+    })
+    total = _c("total_spent")
     return df.withColumns({
-        "total_spent": total,
-        "spending_rolling_3m": r3,
         "is_spender": flag(total > 0),
         "is_whale": flag(total > 500),
         "recent_spender": flag(_c("days_since_last_purchase") < 30),
         "spending_velocity": spend * freq,
         "avg_transaction_value": spend / (freq + F.lit(1)),
-        "spending_trend": spend / (r3 + F.lit(0.1)),
+        "spending_trend": spend / (_c("spending_rolling_3m") + F.lit(0.1)),
     })
 
 
 def content_features(df: DataFrame) -> DataFrame:
     """F22-F23 with W5."""
-    velocity = row_diff("achievements_unlocked")
-    return df.withColumns({
+    df = df.withColumns({
         "content_engagement": _c("content_completion_pct") * F.lit(0.4) + _c("feature_adoption_pct") * F.lit(0.3)
         + clip01(_c("achievements_unlocked") / F.lit(100)) * F.lit(0.3),
-        "achievement_velocity": velocity,
-        "content_exhausted": flag((_c("content_completion_pct") > 0.9) & (velocity < 1)),
+        "achievement_velocity": row_diff("achievements_unlocked"),
     })
+    return df.withColumn(
+        "content_exhausted", flag((_c("content_completion_pct") > 0.9) & (_c("achievement_velocity") < 1)))
 
 
 def risk_features(df: DataFrame) -> DataFrame:

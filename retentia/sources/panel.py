@@ -98,12 +98,19 @@ def events_panel(events: DataFrame, nation: DataFrame) -> DataFrame:
     w = Window.partitionBy("player_id").orderBy("date")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n, prev_n = F.col("n"), F.lag("n").over(w)
     rank_mod = F.col("sum_k") % 100
+    # Window values once (each occurrence of a window expression is evaluated separately) ...
+    g = g.select(
+        "*", F.min("first_ts").over(whole).alias("_first"), F.lag("n").over(w).alias("_prev_n"),
+        F.lag(rank_mod).over(w).alias("_prev_rank"), F.sum("n").over(running).alias("_running_n"),
+        F.last("n").over(whole).alias("_last_n"),
+    )
+    # ... then every panel column in one typed projection.
+    n, prev_n = F.col("n"), F.col("_prev_n")
     cols = {
         "player_id": F.col("player_id"),
         "date": F.col("date"),
-        "registration_date": F.min("first_ts").over(whole),
+        "registration_date": F.col("_first"),
         "archetype": _pick(ARCHETYPES, F.col("player_id") % 5),
         "platform": _pick(PLATFORMS, F.col("player_id") % 3),
         "country": F.col("country"),
@@ -114,7 +121,7 @@ def events_panel(events: DataFrame, nation: DataFrame) -> DataFrame:
         "win_rate": safe_div("n_click", F.col("n_click") + F.col("n_error")),
         "kd_ratio": safe_div("n_view", F.greatest(F.col("n_error"), F.lit(1))),
         "current_rank": rank_mod + 1,
-        "rank_change": F.coalesce(rank_mod - F.lag(rank_mod).over(w), F.lit(0)),
+        "rank_change": F.coalesce(rank_mod - F.col("_prev_rank"), F.lit(0)),
         "friends_online": F.col("n_signup"),
         "party_play_percentage": safe_div("n_view", n),
         "toxicity_reports_received": F.col("n_k95"),
@@ -122,10 +129,10 @@ def events_panel(events: DataFrame, nation: DataFrame) -> DataFrame:
         "days_since_last_purchase": F.coalesce(F.col("min_purchase_k").cast("long") * 2,
                                                F.lit(NO_PURCHASE_DAYS).cast("long")),
         "purchase_frequency": F.col("n_purchase"),
-        "achievements_unlocked": F.sum("n").over(running),
+        "achievements_unlocked": F.col("_running_n"),
         "content_completion_pct": F.col("max_k") / F.lit(99.0),
         "feature_adoption_pct": F.col("n_types") / F.lit(5.0),
-        "churned": F.last("n").over(whole) <= 3,
+        "churned": F.col("_last_n") <= 3,
     }
     return g.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in PANEL.fields])
 

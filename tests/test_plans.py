@@ -40,3 +40,14 @@ def test_top_n_is_take_ordered(spark):
 def test_no_python_udfs(spark, name):
     plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_window_functions_evaluated_once(spark):
+    """Every window function of the panel and feature chain appears once, over one sort."""
+    import re
+
+    plan = _plan(frames.features(spark, SMALL))
+    assert plan.count("Sort [") == 1
+    for m in re.finditer(r"Window \[(.*?)\], \[player_id", plan):
+        exprs = re.findall(r"(\w+\([^()]*\)) windowspecdefinition\(([^)]*\)[^)]*)\)", m.group(1))
+        assert len(exprs) == len(set(exprs)), exprs
