@@ -99,10 +99,12 @@ def segment_metrics(pred: DataFrame, dim: str, **kw) -> DataFrame:
     return evaluate(pred, by=[dim], **kw)
 
 
-def spender_tier(spend: str = "monthly_spent", q: float = 0.8, df: DataFrame | None = None) -> Column:
-    """Top-20 % spenders by an approximate percentile (a scalar subquery)."""
-    cut = df.agg(F.percentile_approx(spend, q, 10000)).scalar()
-    return F.when(F.col(spend) >= cut, "top_20pct").otherwise("other")
+def with_spender_tier(df: DataFrame, spend: str = "monthly_spent", q: float = 0.8, out: str = "spender_tier",
+                      accuracy: int = 10_000) -> DataFrame:
+    """Top-20 % spenders: at or above the approximate 80th percentile (one sketch aggregate, a scalar subquery)."""
+    cut = df.agg(F.percentile_approx(spend, q, accuracy)).scalar()
+    return df.withColumn("_cut", cut).withColumn(
+        out, F.when(F.col(spend) >= F.col("_cut"), "top_20pct").otherwise("other")).drop("_cut")
 
 
 def calibration(pred: DataFrame, score: str = "churn_risk_score", label: str = "churned", bins: int = 10) -> DataFrame:

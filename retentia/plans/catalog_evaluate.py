@@ -54,6 +54,12 @@ def q_segment_metrics(spark, sf):
     return ev.segment_metrics(frames.scored(spark, sf), "platform", score=S, label=Y)
 
 
+@query("segment_metrics_spenders", "L13")
+def q_segment_spenders(spark, sf):
+    """The evaluation for the top-20 % spenders (approximate percentile) against the rest."""
+    return ev.segment_metrics(ev.with_spender_tier(frames.scored(spark, sf)), "spender_tier", score=S, label=Y)
+
+
 @query("calibration", "L14", O.with_scored(f"""
 , b AS (SELECT CAST(least(floor({S} * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg({S}) AS avg_p,
           avg(CAST({Y} AS DOUBLE)) AS avg_y, sum(({S} - {Y}) * ({S} - {Y})) AS sq FROM scored

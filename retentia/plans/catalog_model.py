@@ -12,13 +12,16 @@ from retentia.plans import frames
 from retentia.plans import oracle as O
 from retentia.plans.catalog_features import D, _k9_expr
 from retentia.plans.registry import query
+from retentia.sources.sinks import materialize
 
 SEED, TEST_SIZE = 42, 0.2
 
 
-def _model_data(spark, sf):
+def _model_data(spark, sf, materialized: bool = False):
+    """The split model snapshot; written once to the shared checkpoint folder when models iterate over it."""
     data, cols = prepare_model_data(frames.features(spark, sf))
-    return ml.stratified_split(data, features=cols, test_size=TEST_SIZE, seed=SEED), cols
+    split = ml.stratified_split(data, features=cols, test_size=TEST_SIZE, seed=SEED)
+    return (materialize(split, "model-data") if materialized else split), cols
 
 
 @query("split_churn_rates", "L2 A19 P3", O.with_latest(f"""
@@ -46,7 +49,7 @@ def q_ensemble(spark, sf):
 
 
 def _train_all(spark, sf):
-    data, cols = _model_data(spark, sf)
+    data, cols = _model_data(spark, sf, materialized=True)
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
     models = {"boosted": ml.fit(train, cols, ml.boosted()), "random_forest": ml.fit(train, cols, ml.random_forest()),
               "boosted_small": ml.fit(train, cols, ml.boosted_small())}
@@ -68,7 +71,7 @@ def q_models(spark, sf):
 @query("feature_importance", "L10 L5")
 def q_importance(spark, sf):
     """Top-20 feature importances of the random forest."""
-    data, cols = _model_data(spark, sf)
+    data, cols = _model_data(spark, sf, materialized=True)
     m = ml.fit(data.filter(F.col("split") == "train"), cols, ml.random_forest())
     return ml.feature_importance(m, cols, 20)
 
@@ -76,7 +79,7 @@ def q_importance(spark, sf):
 @query("score_latest", "L11 S9 S12")
 def q_score(spark, sf):
     """Batch scoring: latest snapshot → aligned features → random-forest probability → band."""
-    data, cols = _model_data(spark, sf)
+    data, cols = _model_data(spark, sf, materialized=True)
     m = ml.fit(data.filter(F.col("split") == "train"), cols, ml.random_forest())
     return ml.score_latest(frames.features(spark, sf), m, cols)
 
@@ -84,7 +87,7 @@ def q_score(spark, sf):
 @query("explain_shapley", "L12")
 def q_explain(spark, sf):
     """Sampled Shapley attributions (100 rows x 20 permutations) of the random forest's probability."""
-    data, cols = _model_data(spark, sf)
+    data, cols = _model_data(spark, sf, materialized=True)
     train = data.filter(F.col("split") == "train")
     m = ml.fit(train, cols, ml.random_forest())
     return ml.shapley_values(m, data.filter(F.col("split") == "test"), cols, train, n_rows=100, n_perms=20)
@@ -93,6 +96,6 @@ def q_explain(spark, sf):
 @query("permutation_importance", "L12")
 def q_perm(spark, sf):
     """Accuracy drop per feature when it is replaced by its test mean (random forest)."""
-    data, cols = _model_data(spark, sf)
+    data, cols = _model_data(spark, sf, materialized=True)
     m = ml.fit(data.filter(F.col("split") == "train"), cols, ml.random_forest())
     return ml.permutation_importance(m, data.filter(F.col("split") == "test"), cols)
