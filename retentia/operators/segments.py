@@ -157,13 +157,24 @@ def pearson(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _pearson_long(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Correlation per key group of (x, y) pairs: three aggregates however many columns there are.
+
+    A wide aggregate of three moments per column generates methods too large
+    for the JIT at a few dozen columns; the long form keeps one small
+    aggregate whose partial step collapses to one row per key and task.
+    """
+    pairs = long.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    return pairs.groupBy(*keys).agg(
+        F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("correlation"))
+
+
 def correlation_with(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
-    """Correlation of each column with the target, in one aggregate, long form."""
+    """Correlation of each column with the target (long form: one row per column)."""
     cols = [c for c in cols if c != target]
-    wide = df.agg(*[pearson(c, target).alias(f"c{i}") for i, c in enumerate(cols)])
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, c in enumerate(cols)
-    ])).alias("s")).select("s.feature", "s.correlation")
+    long = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols]) \
+        .unpivot(["_y"], cols, "feature", "_x")
+    return _pearson_long(long, ["feature"]).select("feature", "correlation")
 
 
 def churn_correlations(df: DataFrame, cols: list[str], target: str = "churned", k: int = 10) -> DataFrame:
@@ -180,17 +191,20 @@ def churn_correlations(df: DataFrame, cols: list[str], target: str = "churned",
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A10: every pair of the given columns (both orders, diagonal included), one aggregate."""
+    """A10: every pair of the given columns (both orders, diagonal included).
+
+    Each row is exploded into its k(k+1)/2 column pairs (bounded by the column
+    list, not by the data), then one small grouped aggregate per pair.
+    """
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    wide = df.agg(*[pearson(cols[i], cols[j]).alias(f"p{i}_{j}") for i, j in pairs])
-    items = []
-    for i, j in pairs:
-        items.append(F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                              F.col(f"p{i}_{j}").alias("correlation")))
-        if i != j:
-            items.append(F.struct(F.lit(cols[j]).alias("feature_a"), F.lit(cols[i]).alias("feature_b"),
-                                  F.col(f"p{i}_{j}").alias("correlation")))
-    return wide.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    items = F.array(*[F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
+                               F.col(cols[i]).cast("double").alias("_x"), F.col(cols[j]).cast("double").alias("_y"))
+                      for i, j in pairs])
+    long = df.select(F.explode(items).alias("p")).select("p.*")
+    half = _pearson_long(long, ["feature_a", "feature_b"])
+    mirror = half.filter(F.col("feature_a") != F.col("feature_b")).select(
+        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation")
+    return half.unionByName(mirror)
 
 
 # ---------------------------------------------------------------- A11 / A12

@@ -145,8 +145,7 @@ SELECT feature, {O.r6('mc')} AS mean_current, {O.r6('mh')} AS mean_history, {O.r
 @query("feature_drift", "M3", _drift_sql())
 def q_drift(spark, sf):
     """Mean shift of six features in the last week against the weeks before, in history standard deviations."""
-    f = frames.features(spark, sf)
-    return mon.feature_drift(f, DRIFT_COLS, mon.last_period(f, 7))
+    return mon.feature_drift(frames.features(spark, sf), DRIFT_COLS, days=7)
 
 
 QUALITY_RANGES = {"engagement_score": (0.0, 1.0), "overall_risk_score": (0.0, 1.0), "activity_risk": (0.0, 1.0),

@@ -4,10 +4,17 @@ Each is a lazy DataFrame over the given tables; nothing is collected.  The
 scored snapshot uses ``overall_risk_score`` as the churn risk score and the
 left-closed band, which is what the dashboard computations consume when no
 model has been trained yet (and keeps every downstream query exact).
+
+The latest snapshot feeds most views, so it is persisted once per session and
+source (``MEMORY_AND_DISK``: partitions lost with an executor are recomputed
+from the lineage), the way the dashboard loads its frame once.  Set the
+session conf ``retentia.cache.latest=false`` to recompute it for every query;
+``build_latest`` always plans from the raw tables.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +33,31 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engineer_all(panel(spark, sf_dir))
 
 
-def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_snapshot(features(spark, sf_dir))
 
 
+_PERSISTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if spark.conf.get("retentia.cache.latest", "true").lower() != "true":
+        return build_latest(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    df = _PERSISTED.get(key)
+    if df is None:
+        df = build_latest(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        _PERSISTED[key] = df
+    return df
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Unpersist the shared snapshots (of one session, or all)."""
+    for key in list(_PERSISTED):
+        if spark is None or key[0] == spark.sparkContext.applicationId:
+            _PERSISTED.pop(key).unpersist()
+
+
 def with_score(latest_df: DataFrame, score: str = "overall_risk_score") -> DataFrame:
     s = score9(score)
     return latest_df.withColumn("churn_risk_score", s).withColumn("risk_category", risk_band(s))

@@ -143,3 +143,10 @@ def test_stream_score(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "sink"))
     assert out.count() == frames.panel(spark, SMALL).count()
     assert out.filter(~F.col("risk_category").isin("Low", "Medium", "High")).count() == 0
+
+
+def test_data_quality_counts_duplicates(spark):
+    from retentia.operators.monitor import data_quality
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 1, 2.0), (1, 2, None), (2, 1, 0.1)], "player_id long, date long, x double")
+    got = {r.check: r.failures for r in data_quality(df, ["player_id", "date"], {"x": (0.0, 1.0)}).collect()}
+    assert got["duplicate_keys"] == 1 and got["nulls:x"] == 1 and got["out_of_range:x"] == 1
