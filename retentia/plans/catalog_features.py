@@ -178,7 +178,7 @@ ALIGN_NAMES = ["sessions_per_week", "engagement_score", "overall_risk_score", "t
 @query("align_features", "P7", O.with_latest(
     "SELECT player_id, sessions_per_week, " + O.r6("engagement_score") + " AS engagement_score, "
     + O.r6("overall_risk_score") + " AS overall_risk_score, " + O.r6("total_spent") + " AS total_spent, "
-    "0.0 AS unknown_feature FROM latest"))
+    "CAST(0.0 AS DOUBLE) AS unknown_feature FROM latest"))
 def q_align(spark, sf):
     """Columns in model order; a missing one becomes 0.0."""
     return snapshot.align_features(frames.latest(spark, sf), ALIGN_NAMES)

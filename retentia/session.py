@@ -20,7 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("RETENTIA_SESSION_TZ", "UTC"))
         .config("spark.driver.memory", os.environ.get("RETENTIA_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
