@@ -24,6 +24,7 @@ def test_features_one_exchange_on_player(spark, tmp_path):
 
 def test_panel_two_shuffles_at_most(spark):
     """events → (player, week) aggregate → per-player windows → snapshot: two shuffles, nation broadcast."""
+    frames.release(spark)  # otherwise the cache manager substitutes the persisted snapshot
     plan = _plan(frames.build_latest(spark, SMALL))
     shuffles = plan.count("Exchange") - plan.count("BroadcastExchange")
     assert shuffles == 2
