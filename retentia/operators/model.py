@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import round_to
 from retentia.functions.hashing import unit_hash
 from retentia.operators.evaluate import evaluate
-from retentia.operators.risk import risk_band
+from retentia.operators.risk import RISK_FACTOR_RULES, risk_band, risk_factors
 from retentia.operators.segments import drop_unlabelled, sample_players
 from retentia.operators.snapshot import align_features, feature_columns, latest_snapshot, sanitize
 
@@ -124,13 +124,15 @@ def feature_importance(model: PipelineModel, features: list[str], n: int = 20) -
 
 # ---------------------------------------------------------------- L11
 def score_latest(features_panel: DataFrame, model: PipelineModel, names: list[str]) -> DataFrame:
-    """Latest → align to the model's features → sanitize → probability → bands (both conventions)."""
+    """Latest → align to the model's features → sanitize → probability → band and risk factors."""
     lat = latest_snapshot(features_panel)
-    x = sanitize(align_features(lat, names), names)
-    p = probability(model, x, "churn_probability")
+    factors = [c for name, _, c, _ in RISK_FACTOR_RULES]
+    x = sanitize(align_features(lat, names, keep=("player_id", *[f for f in dict.fromkeys(factors) if f not in names])),
+                 names)
+    p = risk_factors(probability(model, x, "churn_probability"))
     s = round_to("churn_probability", 4)
     return p.select("player_id", s.alias("churn_probability"), risk_band(round_to("churn_probability", 9)).alias(
-        "risk_category"))
+        "risk_category"), "top_risk_factors")
 
 
 # ---------------------------------------------------------------- L12

@@ -12,7 +12,7 @@ from retentia.plans import frames
 from retentia.plans import oracle as O
 from retentia.plans.catalog_features import D, _k9_expr
 from retentia.plans.registry import query
-from retentia.sources.sinks import materialize
+from retentia.sources.sinks import materialize, to_daily_predictions
 
 SEED, TEST_SIZE = 42, 0.2
 
@@ -68,7 +68,7 @@ def q_models(spark, sf):
     return ml.model_comparison(scored, cols)
 
 
-@query("feature_importance", "L10 L5")
+@query("feature_importance", "L10 L5 K0c")
 def q_importance(spark, sf):
     """Top-20 feature importances of the random forest."""
     data, cols = _model_data(spark, sf, materialized=True)
@@ -76,12 +76,13 @@ def q_importance(spark, sf):
     return ml.feature_importance(m, cols, 20)
 
 
-@query("score_latest", "L11 S9 S12")
+@query("score_latest", "L11 K2 S13")
 def q_score(spark, sf):
-    """Batch scoring: latest snapshot → aligned features → random-forest probability → band."""
+    """Batch scoring as daily_predictions rows: forest probability, band and top risk factors per player."""
     data, cols = _model_data(spark, sf, materialized=True)
     m = ml.fit(data.filter(F.col("split") == "train"), cols, ml.random_forest())
-    return ml.score_latest(frames.features(spark, sf), m, cols)
+    scored = ml.score_latest(frames.features(spark, sf), m, cols)
+    return to_daily_predictions(scored, "random_forest-r1", "2024-02-01")
 
 
 @query("explain_shapley", "L12")

@@ -71,7 +71,7 @@ def q_pred_kv(spark, sf):
     return sinks.lookup(kv, wanted, now="2024-02-01 00:30:00")
 
 
-@query("etl_run", "M5 S2 S4 S7")
+@query("etl_run", "M5 S2 S4 S7 K0d")
 def q_etl(spark, sf):
     """Extract → transform → load; returns the written feature table read back."""
     out = jobs.etl_run(spark, sf, now=NOW)
@@ -146,3 +146,18 @@ def q_ingest(spark, sf):
     """Reader chosen by source name: the panel from events, written as CSV, read back with its schema."""
     path = sinks.write_table(ingest(spark, "events", sf_dir=sf), sinks.stage_path(spark, "panel-csv"), fmt="csv")
     return ingest(spark, "csv", path=path)
+
+
+@query("intervention_log", "K5 S13")
+def q_intervention_log(spark, sf):
+    """Planned campaign rows in the interventions table shape (cost 5 per player)."""
+    from retentia.operators.risk import intervention_targets
+    return sinks.to_intervention_log(intervention_targets(frames.scored(spark, sf)), "2024-02-01", 5.0)
+
+
+@query("ab_test_record", "B8 S13")
+def q_ab_record(spark, sf):
+    """The experiment result as an ab_tests row (summary columns plus the whole result as JSON)."""
+    from retentia.operators import experiment as ab
+    res = ab.run_ab_test(ab.prepare_ab_input(frames.scored(spark, sf)), "retention_test", "discount_offer")
+    return sinks.to_ab_test_record(res, "2024-01-01", "2024-01-31")

@@ -116,3 +116,56 @@ def lookup(kv: DataFrame, keys: DataFrame | list[str], now: str) -> DataFrame:
     if isinstance(keys, list):
         return alive.filter(F.col("key").isin(keys))
     return alive.join(keys.select("key"), "key", "left_semi")
+
+
+# ---------------------------------------------------------------- S13 table shapes
+def _stable_id(*cols) -> "F.Column":
+    """A deterministic non-negative id from the row's identity (recomputation gives the same id)."""
+    return F.abs(F.xxhash64(*cols))
+
+
+def to_daily_predictions(scored: DataFrame, model_version: str, prediction_date: str,
+                         factors_col: str = "top_risk_factors") -> DataFrame:
+    """Rows of the ``daily_predictions`` table (id, player, date, probability, band, version, factors)."""
+    from retentia.sources.schemas import DAILY_PREDICTIONS
+
+    d = F.lit(prediction_date).cast("timestamp_ntz")
+    out = scored.select(
+        _stable_id(F.col("player_id"), d, F.lit(model_version)).alias("prediction_id"),
+        F.col("player_id").cast("string").alias("player_id"), d.alias("prediction_date"),
+        F.col("churn_probability").cast("double").alias("churn_probability"), "risk_category",
+        F.lit(model_version).alias("model_version"), F.col(factors_col).alias("top_risk_factors"),
+    )
+    return conform(out, DAILY_PREDICTIONS)
+
+
+def to_intervention_log(targets: DataFrame, intervention_date: str, cost_per_player: float,
+                        status: str = "planned") -> DataFrame:
+    """Rows of the ``interventions`` table from tagged targets (K5); results are unknown at planning time."""
+    from retentia.sources.schemas import INTERVENTIONS
+
+    d = F.lit(intervention_date).cast("timestamp_ntz")
+    out = targets.select(
+        _stable_id(F.col("player_id"), F.col("intervention"), d).alias("intervention_id"),
+        F.col("player_id").cast("string").alias("player_id"), d.alias("intervention_date"),
+        F.col("intervention").alias("intervention_type"), F.lit(float(cost_per_player)).alias("intervention_cost"),
+        F.lit(status).alias("status"), F.lit(None).cast("string").alias("result"),
+        F.col("expected_impact").alias("notes"),
+    )
+    return conform(out, INTERVENTIONS)
+
+
+def to_ab_test_record(result: DataFrame, start_date: str, end_date: str) -> DataFrame:
+    """One ``ab_tests`` row from ``run_ab_test``: summary columns plus the full result as JSON."""
+    from retentia.sources.schemas import AB_TESTS
+
+    out = result.select(
+        _stable_id(F.col("test_name"), F.lit(start_date)).alias("test_id"), "test_name",
+        F.lit(start_date).cast("timestamp_ntz").alias("start_date"),
+        F.lit(end_date).cast("timestamp_ntz").alias("end_date"), "intervention_type",
+        F.col("control_size").cast("double").alias("control_size"),
+        F.col("treatment_size").cast("double").alias("treatment_size"),
+        "control_churn_rate", "treatment_churn_rate", "lift_percentage", "p_value", "is_significant", "status",
+        F.to_json(F.struct(*[F.col(c) for c in result.columns])).alias("results"),
+    )
+    return conform(out, AB_TESTS)
