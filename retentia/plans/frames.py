@@ -5,11 +5,12 @@ scored snapshot uses ``overall_risk_score`` as the churn risk score and the
 left-closed band, which is what the dashboard computations consume when no
 model has been trained yet (and keeps every downstream query exact).
 
-The latest snapshot feeds most views, so it is persisted once per session and
-source (``MEMORY_AND_DISK``: partitions lost with an executor are recomputed
-from the lineage), the way the dashboard loads its frame once.  Set the
-session conf ``retentia.cache.latest=false`` to recompute it for every query;
-``build_latest`` always plans from the raw tables.
+The engineered feature table and the latest snapshot feed most views, so both
+are persisted once per session and source (``MEMORY_AND_DISK``: partitions
+lost with an executor are recomputed from the lineage), the way every view of
+the source reads one processed feature table.  Set the session conf
+``retentia.cache.frames=false`` to recompute them for every query;
+``build_features`` / ``build_latest`` always plan from the raw tables.
 """
 
 from __future__ import annotations
@@ -29,32 +30,44 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_panel(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engineer_all(panel(spark, sf_dir))
 
 
 def build_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_snapshot(features(spark, sf_dir))
+    return latest_snapshot(build_features(spark, sf_dir))
 
 
-_PERSISTED: dict[tuple[str, str], DataFrame] = {}
+_PERSISTED: dict[tuple[str, int, str, str], DataFrame] = {}
 
 
-def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.conf.get("retentia.cache.latest", "true").lower() != "true":
-        return build_latest(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+def _shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    if spark.conf.get("retentia.cache.frames", "true").lower() != "true":
+        return build()
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name)
     df = _PERSISTED.get(key)
     if df is None:
-        df = build_latest(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        df = build().persist(StorageLevel.MEMORY_AND_DISK)
         _PERSISTED[key] = df
     return df
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engineered panel (F32), persisted per session."""
+    return _shared(spark, sf_dir, "features", lambda: build_features(spark, sf_dir))
+
+
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest snapshot, aggregated from the persisted features and persisted itself."""
+    if spark.conf.get("retentia.cache.frames", "true").lower() != "true":
+        return build_latest(spark, sf_dir)
+    return _shared(spark, sf_dir, "latest", lambda: latest_snapshot(features(spark, sf_dir)))
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Unpersist the shared snapshots (of one session, or all)."""
     for key in list(_PERSISTED):
-        if spark is None or key[0] == spark.sparkContext.applicationId:
+        if spark is None or key[:2] == (spark.sparkContext.applicationId, id(spark)):
             _PERSISTED.pop(key).unpersist()
 
 
