@@ -131,8 +131,8 @@ SELECT player_id, {O.select_rounded(SERVE_COLUMNS)} FROM s3""")
 @query("serve_features", "F31", _SERVE_SQL)
 def q_serve_features(spark, sf):
     """Request-time feature set on each player's latest raw row (defaults for absent values)."""
-    latest_raw = snapshot.latest_snapshot(frames.panel(spark, sf))
-    return feat.serve_features(latest_raw).select("player_id", *SERVE_COLUMNS)
+    raw = frames.latest(spark, sf).select(*O.PANEL_COLUMNS)  # the latest row's raw measures
+    return feat.serve_features(raw).select("player_id", *SERVE_COLUMNS)
 
 
 # ---------------------------------------------------------------- W7 / W8 / L1 / P7
@@ -148,7 +148,7 @@ def q_latest(spark, sf):
     "AS last_sessions_per_week FROM panel GROUP BY player_id"))
 def q_first_last(spark, sf):
     """First archetype / sessions and last label / sessions per player."""
-    return snapshot.first_last(frames.panel(spark, sf), first=["archetype", "sessions_per_week"],
+    return snapshot.first_last(frames.features(spark, sf), first=["archetype", "sessions_per_week"],
                                last=["churned", "sessions_per_week"])
 
 
@@ -212,7 +212,7 @@ def q_assemble(spark, sf):
     "ON p.player_id = pr.player_id"))
 def q_join_profile(spark, sf):
     """Panel measures joined to the one-row-per-player profile dimension (built from the event log)."""
-    measures = frames.panel(spark, sf).select("player_id", "date", "sessions_per_week")
+    measures = frames.features(spark, sf).select("player_id", "date", "sessions_per_week")
     profiles = src.profiles_from_events(src.table(spark, sf, "events"), src.table(spark, sf, "nation"))
     return joins.join_profile(measures, profiles).select(
         "player_id", "date", "sessions_per_week", "archetype", "country", "platform", "registration_date")
@@ -401,7 +401,5 @@ def _labels_sql() -> str:
 @query("join_labels", "J3 K9", _labels_sql())
 def q_join_labels(spark, sf):
     """Panel rows left-joined to the per-player label table (label + rule probability)."""
-    p = frames.panel(spark, sf)
-    labels = risk.rule_churn_probability(snapshot.latest_snapshot(p)).select("player_id", "churned",
-                                                                             "churn_probability")
-    return joins.join_labels(p.select("player_id", "date", "sessions_per_week"), labels)
+    labels = risk.rule_churn_probability(frames.latest(spark, sf)).select("player_id", "churned", "churn_probability")
+    return joins.join_labels(frames.features(spark, sf).select("player_id", "date", "sessions_per_week"), labels)

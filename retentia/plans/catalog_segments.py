@@ -249,7 +249,7 @@ def q_feature_hist(spark, sf):
     f"count(*) AS players FROM panel GROUP BY date"))
 def q_engagement_time(spark, sf):
     """Per date: mean sessions, session length and spend over the whole panel."""
-    return seg.engagement_over_time(frames.panel(spark, sf))
+    return seg.engagement_over_time(frames.features(spark, sf))
 
 
 def _profile_cmp_sql() -> str:
@@ -276,4 +276,4 @@ SELECT count(*) AS total_players, CAST(sum(rows_) AS BIGINT) AS total_records, m
     + " FROM pp"))
 def q_dataset_summary(spark, sf):
     """Distinct players, rows, date range, per-player churn rate, first-archetype counts."""
-    return seg.dataset_summary(frames.panel(spark, sf))
+    return seg.dataset_summary(frames.features(spark, sf))

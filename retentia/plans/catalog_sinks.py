@@ -28,7 +28,7 @@ SELECT t.player_id, t.date, t.sessions_per_week, {O.r6('t.monthly_spent')}, t.so
 WHERE NOT EXISTS (SELECT 1 FROM upd u WHERE u.player_id = t.player_id AND u.date = t.date)"""))
 def q_upsert(spark, sf):
     """Earlier weeks upserted with a later extract that overlaps one week: overlapping keys take the update."""
-    p = frames.panel(spark, sf).select("player_id", "date", "sessions_per_week", "monthly_spent")
+    p = frames.features(spark, sf).select("player_id", "date", "sessions_per_week", "monthly_spent")
     target = p.filter(F.col("date") < F.lit(SPLIT_OLD).cast("timestamp_ntz")).withColumn("source", F.lit("base"))
     updates = p.filter(F.col("date") >= F.lit(SPLIT_NEW).cast("timestamp_ntz")).withColumn("source", F.lit("update"))
     return sinks.upsert(target, updates, ["player_id", "date"])

@@ -52,3 +52,16 @@ def test_window_functions_evaluated_once(spark):
     for m in re.finditer(r"Window \[(.*?)\], \[player_id", plan):
         exprs = re.findall(r"(\w+\([^()]*\)) windowspecdefinition\(([^)]*\)[^)]*)\)", m.group(1))
         assert len(exprs) == len(set(exprs)), exprs
+
+
+def test_shared_frames_match_fresh_plans(spark):
+    """The persisted feature table / snapshot give the same rows as plans built from the raw tables."""
+    cached = sorted(map(tuple, frames.latest(spark, SMALL).collect()))
+    fresh = sorted(map(tuple, frames.build_latest(spark, SMALL).collect()))
+    assert cached == fresh
+    spark.conf.set("retentia.cache.frames", "false")
+    try:
+        q = E.queries()["risk_distribution"](spark, SMALL)
+        assert "InMemory" not in q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("retentia.cache.frames", "true")
