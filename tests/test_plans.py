@@ -59,9 +59,10 @@ def test_shared_frames_match_fresh_plans(spark):
     cached = sorted(map(tuple, frames.latest(spark, SMALL).collect()))
     fresh = sorted(map(tuple, frames.build_latest(spark, SMALL).collect()))
     assert cached == fresh
+    shared = frames.latest(spark, SMALL)
+    assert frames.latest(spark, SMALL) is shared
     spark.conf.set("retentia.cache.frames", "false")
     try:
-        q = E.queries()["risk_distribution"](spark, SMALL)
-        assert "InMemory" not in q._jdf.queryExecution().executedPlan().toString()
+        assert frames.latest(spark, SMALL) is not shared
     finally:
         spark.conf.set("retentia.cache.frames", "true")
