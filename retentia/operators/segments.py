@@ -170,11 +170,12 @@ def _pearson_long(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def correlation_with(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
-    """Correlation of each column with the target (long form: one row per column)."""
+    """Correlation of each column with the target, highest first (long form: one row per column)."""
     cols = [c for c in cols if c != target]
     long = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols]) \
         .unpivot(["_y"], cols, "feature", "_x")
-    return _pearson_long(long, ["feature"]).select("feature", "correlation")
+    return _pearson_long(long, ["feature"]).select("feature", "correlation") \
+        .orderBy(F.col("correlation").desc_nulls_last(), "feature")
 
 
 def churn_correlations(df: DataFrame, cols: list[str], target: str = "churned", k: int = 10) -> DataFrame:
