@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import round_to, safe_div
 from retentia.functions.hashing import unit_hash
-from retentia.operators.joins import lookup_join
 from retentia.operators.risk import spending_segment
 from retentia.sources.panel import ARCHETYPES
 

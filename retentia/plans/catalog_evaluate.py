@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from retentia.operators import evaluate as ev
 from retentia.operators import monitor as mon
 from retentia.plans import frames

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from retentia.functions.stats import z_quantile
 from retentia.operators import experiment as ab
 from retentia.plans import frames

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retentia.operators import model as ml
 from retentia.operators import risk
 from retentia.operators.segments import split_churn_rates
-from retentia.operators.snapshot import feature_columns, prepare_model_data
+from retentia.operators.snapshot import prepare_model_data
 from retentia.plans import frames
 from retentia.plans import oracle as O
 from retentia.plans.catalog_features import D, _k9_expr

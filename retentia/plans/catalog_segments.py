@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from retentia.operators import segments as seg
 from retentia.operators.snapshot import numeric_columns
 from retentia.plans import frames
 from retentia.plans import oracle as O
-from retentia.plans.catalog_features import D
 from retentia.plans.registry import query
 from retentia.sources.panel import ARCHETYPES
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from retentia.functions.columns import score9
 from retentia.operators.features import engineer_all
