@@ -123,7 +123,7 @@ def q_stream_latest(spark, sf):
     base = sinks.stage_path(spark, "stream-latest")
     _weekly_files(spark, sf, f"{base}/source")
     return streams.run_latest_stream(spark, f"{base}/source", PANEL, f"{base}/state", f"{base}/checkpoint",
-                                     ttl_days=TTL_DAYS, now=NOW, max_files_per_trigger=2)
+                                     ttl_days=TTL_DAYS, now=NOW, max_files_per_trigger=2, compact_every=2)
 
 
 @query("stream_score", "ST1 F31")

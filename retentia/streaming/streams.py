@@ -1,10 +1,22 @@
 """Structured Streaming re-aims (ST1, ST2).
 
 ST1 scores arriving player rows that carry no history (request-time features,
-F31) with a model trained on the same columns.  ST2 keeps the newest record
-per player with a time to live: each micro-batch is folded into a versioned
-state table with ``max_by`` on the event date, so a late row never replaces a
-newer one, and replays of a batch id rewrite the same version (idempotent).
+F31) with a model trained on the same columns.
+
+ST2 keeps the newest record per player with a time to live, as a
+log-structured table of plain Parquet:
+
+* each micro-batch writes only its own newest-row-per-key as the delta
+  partition ``deltas/b=<batch id>`` (cost proportional to the batch, not to the
+  state; a replayed batch id overwrites the same partition, so it is idempotent);
+* every ``compact_every`` batches the deltas are folded into a new base
+  snapshot ``base/c=<batch id>``;
+* the current state is ``max_by`` on the event date over the newest base and
+  the deltas after it, so a late row never replaces a newer one, and expired
+  keys are dropped on read and on compaction.
+
+"Newest wins" is idempotent and order-independent, which is what makes
+replays and out-of-order files safe.
 """
 
 from __future__ import annotations
@@ -52,42 +64,65 @@ def newest_per_key(df: DataFrame, key: str = "player_id", order: str = "date") -
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select(key, "_r.*")
 
 
-def _read_version(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame | None:
-    for b in range(batch_id - 1, -1, -1):
-        try:
-            return spark.read.parquet(f"{state_dir}/v{b}")
-        except AnalysisException:
-            continue
-    return None
+def _latest_base(spark: SparkSession, state_dir: str) -> tuple[DataFrame | None, int]:
+    """The newest compacted base and its batch id (-1 when there is none)."""
+    try:
+        bases = spark.read.parquet(f"{state_dir}/base")
+    except AnalysisException:
+        return None, -1
+    c = bases.agg(F.max("c")).first()[0]  # partition values only (metadata query)
+    if c is None:
+        return None, -1
+    return bases.filter(F.col("c") == c).drop("c"), int(c)
 
 
-def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir: str, ttl_days: int,
-               now: str | None, key: str = "player_id", order: str = "date") -> None:
-    """Merge one micro-batch into state version ``v{batch_id}`` (newest row wins, expired rows dropped)."""
-    fresh = newest_per_key(batch, key, order)
-    prev = _read_version(spark, state_dir, batch_id)
-    merged = fresh if prev is None else newest_per_key(prev.select(*fresh.columns).unionByName(fresh), key, order)
+def _deltas_after(spark: SparkSession, state_dir: str, after: int) -> DataFrame | None:
+    try:
+        d = spark.read.parquet(f"{state_dir}/deltas")
+    except AnalysisException:
+        return None
+    return d.filter(F.col("b") > after).drop("b")
+
+
+def _expiry_filter(df: DataFrame, ttl_days: int, now: str | None, order: str) -> DataFrame:
     ts_now = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
-    expires = F.col(order) + F.expr(f"INTERVAL {int(ttl_days)} DAYS")
-    merged.filter(expires > ts_now).write.mode("overwrite").parquet(f"{state_dir}/v{batch_id}")
+    return df.filter(F.col(order) + F.expr(f"INTERVAL {int(ttl_days)} DAYS") > ts_now)
+
+
+def current_state(spark: SparkSession, state_dir: str, ttl_days: int, now: str | None,
+                  key: str = "player_id", order: str = "date") -> DataFrame:
+    """Newest unexpired row per key: the newest base plus every delta written after it."""
+    base, base_id = _latest_base(spark, state_dir)
+    deltas = _deltas_after(spark, state_dir, base_id)
+    parts = [p for p in (base, deltas) if p is not None]
+    if not parts:
+        raise ValueError(f"no state under {state_dir}")
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].select(*parts[0].columns))
+    return _expiry_filter(newest_per_key(u, key, order), ttl_days, now, order)
+
+
+def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir: str, ttl_days: int,
+               now: str | None, key: str = "player_id", order: str = "date", compact_every: int = 10) -> None:
+    """Write one micro-batch's newest rows as a delta; compact into a new base every ``compact_every`` batches."""
+    newest_per_key(batch, key, order).write.mode("overwrite").parquet(f"{state_dir}/deltas/b={batch_id}")
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        state = current_state(spark, state_dir, ttl_days, now, key, order)
+        state.write.mode("overwrite").parquet(f"{state_dir}/base/c={batch_id}")
 
 
 def run_latest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, state_dir: str, checkpoint: str,
                       ttl_days: int = 7, now: str | None = None, max_files_per_trigger: int | None = 1,
-                      key: str = "player_id", order: str = "date") -> DataFrame:
-    """ST2: keep the newest record per key from a file stream; returns the final state table."""
+                      key: str = "player_id", order: str = "date", compact_every: int = 10) -> DataFrame:
+    """ST2: keep the newest record per key from a file stream; returns the current state."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    seen: list[int] = []
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        fold_batch(spark, batch, batch_id, state_dir, ttl_days, now, key, order)
-        seen.append(batch_id)
+        fold_batch(spark, batch, batch_id, state_dir, ttl_days, now, key, order, compact_every)
 
     q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    last = max(seen) if seen else 0
-    return spark.read.parquet(f"{state_dir}/v{last}")
+    return current_state(spark, state_dir, ttl_days, now, key, order)
