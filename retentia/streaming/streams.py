@@ -10,7 +10,8 @@ log-structured table of plain Parquet:
   partition ``deltas/b=<batch id>`` (cost proportional to the batch, not to the
   state; a replayed batch id overwrites the same partition, so it is idempotent);
 * every ``compact_every`` batches the deltas are folded into a new base
-  snapshot ``base/c=<batch id>``;
+  snapshot ``base/c=<batch id>``, which counts once ``commits/c=<batch id>``
+  is written after it;
 * the current state is ``max_by`` on the event date over the newest base and
   the deltas after it, so a late row never replaces a newer one, and expired
   keys are dropped on read and on compaction.
@@ -65,15 +66,20 @@ def newest_per_key(df: DataFrame, key: str = "player_id", order: str = "date") -
 
 
 def _latest_base(spark: SparkSession, state_dir: str) -> tuple[DataFrame | None, int]:
-    """The newest compacted base and its batch id (-1 when there is none)."""
+    """The newest committed base and its batch id (-1 when there is none).
+
+    A base counts only once its commit marker exists (written after the base),
+    so a compaction interrupted half-way is ignored: readers fall back to the
+    previous base plus every later delta (deltas are never removed).
+    """
     try:
-        bases = spark.read.parquet(f"{state_dir}/base")
+        commits = spark.read.parquet(f"{state_dir}/commits")
     except AnalysisException:
         return None, -1
-    c = bases.agg(F.max("c")).first()[0]  # partition values only (metadata query)
+    c = commits.agg(F.max("c")).first()[0]  # partition values only (metadata query)
     if c is None:
         return None, -1
-    return bases.filter(F.col("c") == c).drop("c"), int(c)
+    return spark.read.parquet(f"{state_dir}/base/c={int(c)}"), int(c)
 
 
 def _deltas_after(spark: SparkSession, state_dir: str, after: int) -> DataFrame | None:
@@ -108,6 +114,8 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir:
     if compact_every and (batch_id + 1) % compact_every == 0:
         state = current_state(spark, state_dir, ttl_days, now, key, order)
         state.write.mode("overwrite").parquet(f"{state_dir}/base/c={batch_id}")
+        spark.range(1).select(F.lit(batch_id).alias("batch_id")) \
+            .write.mode("overwrite").parquet(f"{state_dir}/commits/c={batch_id}")
 
 
 def run_latest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, state_dir: str, checkpoint: str,
