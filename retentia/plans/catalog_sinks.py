@@ -148,7 +148,20 @@ def q_ingest(spark, sf):
     return ingest(spark, "csv", path=path)
 
 
-@query("intervention_log", "K5 S13")
+def _intervention_log_sql() -> str:
+    from retentia.operators.risk import INTERVENTIONS as CAMPAIGNS
+    conds = ["sessions_per_week < 2", "friends_online < 2", "monthly_spent = 0", "content_completion_pct > 0.8"]
+    parts = " UNION ALL ".join(
+        f"SELECT player_id, '{n}' AS intervention, '{i}' AS expected_impact FROM scored "
+        f"WHERE risk_category = 'High' AND {c}" for (n, i, _), c in zip(CAMPAIGNS, conds))
+    ident = "CAST(player_id AS VARCHAR) || ':' || intervention || ':' || '2024-02-01'"
+    return O.with_scored(f""", tg AS ({parts})
+SELECT CAST(('0x' || substr(md5({ident}), 1, 15)) AS BIGINT) AS intervention_id, CAST(player_id AS VARCHAR) AS player_id,
+  TIMESTAMP '2024-02-01' AS intervention_date, intervention AS intervention_type, CAST(5.0 AS DOUBLE) AS intervention_cost,
+  'planned' AS status, CAST(NULL AS VARCHAR) AS result, expected_impact AS notes FROM tg""")
+
+
+@query("intervention_log", "K5 S13", _intervention_log_sql())
 def q_intervention_log(spark, sf):
     """Planned campaign rows in the interventions table shape (cost 5 per player)."""
     from retentia.operators.risk import intervention_targets

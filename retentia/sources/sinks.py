@@ -120,8 +120,13 @@ def lookup(kv: DataFrame, keys: DataFrame | list[str], now: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S13 table shapes
 def _stable_id(*cols) -> "F.Column":
-    """A deterministic non-negative id from the row's identity (recomputation gives the same id)."""
-    return F.abs(F.xxhash64(*cols))
+    """A deterministic non-negative id from the row's identity (recomputation gives the same id).
+
+    The first 15 hex digits of ``md5(c1 ':' c2 ...)`` as a BIGINT (60 bits, so
+    always positive), reproducible outside Spark.
+    """
+    digest = F.md5(F.concat_ws(":", *[F.col(c) if isinstance(c, str) else c for c in cols]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def to_daily_predictions(scored: DataFrame, model_version: str, prediction_date: str,
@@ -131,7 +136,8 @@ def to_daily_predictions(scored: DataFrame, model_version: str, prediction_date:
 
     d = F.lit(prediction_date).cast("timestamp_ntz")
     out = scored.select(
-        _stable_id(F.col("player_id"), d, F.lit(model_version)).alias("prediction_id"),
+        _stable_id(F.col("player_id").cast("string"), F.lit(prediction_date), F.lit(model_version))
+        .alias("prediction_id"),
         F.col("player_id").cast("string").alias("player_id"), d.alias("prediction_date"),
         F.col("churn_probability").cast("double").alias("churn_probability"), "risk_category",
         F.lit(model_version).alias("model_version"), F.col(factors_col).alias("top_risk_factors"),
@@ -146,7 +152,8 @@ def to_intervention_log(targets: DataFrame, intervention_date: str, cost_per_pla
 
     d = F.lit(intervention_date).cast("timestamp_ntz")
     out = targets.select(
-        _stable_id(F.col("player_id"), F.col("intervention"), d).alias("intervention_id"),
+        _stable_id(F.col("player_id").cast("string"), F.col("intervention"), F.lit(intervention_date))
+        .alias("intervention_id"),
         F.col("player_id").cast("string").alias("player_id"), d.alias("intervention_date"),
         F.col("intervention").alias("intervention_type"), F.lit(float(cost_per_player)).alias("intervention_cost"),
         F.lit(status).alias("status"), F.lit(None).cast("string").alias("result"),

@@ -13,7 +13,7 @@ QUERIES = E.queries()
 ROWS_ONLY = {"model_comparison", "feature_importance", "score_latest", "explain_shapley", "permutation_importance",
              "feature_kv_snapshot", "prediction_kv_lookup", "etl_run", "daily_run", "batch_score_file",
              "stream_score", "ingest_sources", "segment_metrics_spenders",
-             "intervention_log", "ab_test_record"}
+             "ab_test_record"}
 
 
 def test_every_query_registered_with_docs():

@@ -67,3 +67,39 @@ def test_roi_zero_saved(spark):
     row = spark.createDataFrame([("x", 100, 0.0)], "test_name string, treatment_size long, absolute_lift double")
     r = ab.ab_roi(row, 5.0, 300.0).collect()[0]
     assert r.players_saved == 0.0 and r.cost_per_retained_player == 0.0 and r.roi_percentage == -100.0
+
+
+def _reference_stats(a, b, c, d):
+    """Direct Python: Yates-corrected chi-square p (dof 1) and the pooled two-proportion z-test p."""
+    n = a + b + c + d
+    r1, r2, k1, k2 = a + b, c + d, a + c, b + d
+    stat = 0.0
+    for o, e in ((a, r1 * k1 / n), (b, r1 * k2 / n), (c, r2 * k1 / n), (d, r2 * k2 / n)):
+        stat += max(abs(o - e) - 0.5, 0.0) ** 2 / e
+    p_chi = math.erfc(math.sqrt(stat / 2))
+    pc, pt = a / r1, c / r2  # retained shares (a, c = retained counts)
+    pool = (a + c) / n
+    se = math.sqrt(pool * (1 - pool) * (1 / r1 + 1 / r2))
+    z = (pt - pc) / se
+    return stat, p_chi, z, math.erfc(abs(z) / math.sqrt(2))
+
+
+@pytest.mark.parametrize("counts", [(400, 100, 430, 70), (50, 50, 60, 40), (900, 10, 880, 30)])
+def test_two_by_two_statistics(spark, counts):
+    a, b, c, d = counts  # control retained / churned, treatment retained / churned
+    row = spark.createDataFrame([(a + b, b, c + d, d)],
+                                "control_n long, control_churned long, treatment_n long, treatment_churned long")
+    cols = {**ab.chi_square_columns(), **ab.z_test_columns()}
+    r = row.select(*[v.alias(k) for k, v in cols.items()]).collect()[0]
+    stat, p_chi, z, p_z = _reference_stats(a, b, c, d)
+    assert r.chi2_statistic == pytest.approx(stat, rel=1e-12)
+    assert r.chi2_p_value == pytest.approx(p_chi, abs=2e-5) and r.chi2_dof == 1
+    assert r.z_score == pytest.approx(z, rel=1e-12)
+    assert r.z_p_value == pytest.approx(p_z, abs=2e-5)
+
+
+def test_one_outcome_has_no_degree_of_freedom(spark):
+    row = spark.createDataFrame([(10, 0, 12, 0)],
+                                "control_n long, control_churned long, treatment_n long, treatment_churned long")
+    r = row.select(*[v.alias(k) for k, v in ab.chi_square_columns().items()]).collect()[0]
+    assert (r.chi2_statistic, r.chi2_p_value, r.chi2_dof) == (0.0, 1.0, 0)
