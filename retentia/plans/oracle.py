@@ -110,7 +110,7 @@ ev AS (
   SELECT user_id AS player_id, ts, event_type, value,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CAST(ts AS DATE) - CAST(isodow(ts) - 1 AS INTEGER) AS week
-  FROM events
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
 ),
 pw AS (
   SELECT player_id, week,

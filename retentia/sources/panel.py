@@ -63,7 +63,8 @@ def _pick(values: tuple[str, ...], idx: Column) -> Column:
 def player_week_measures(events: DataFrame) -> DataFrame:
     """Per ``(player_id, week)`` aggregates of the event log (one partial/final hash aggregate)."""
     k = F.get_json_object("props", "$.k").cast("int")
-    ev = events.select(
+    # Events without a user or a time cannot be placed in the panel (the filter reaches the scan).
+    ev = events.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select(
         F.col("user_id").alias("player_id"), "ts", "event_type", "value", k.alias("k"),
         F.date_sub(F.to_date("ts"), F.weekday("ts")).alias("week"),
     )
@@ -149,7 +150,8 @@ def player_profiles(panel: DataFrame) -> DataFrame:
 
 def profiles_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     """Profile dimension straight from the event log: one partial/final aggregate on the user id."""
-    first = events.groupBy(F.col("user_id").alias("player_id")).agg(F.min("ts").alias("registration_date"))
+    first = events.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()) \
+        .groupBy(F.col("user_id").alias("player_id")).agg(F.min("ts").alias("registration_date"))
     prof = first.select(
         "player_id", "registration_date",
         _pick(ARCHETYPES, F.col("player_id") % 5).alias("archetype"),
