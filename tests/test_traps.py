@@ -147,3 +147,36 @@ def test_k9_rule_probability(panel):
     r = {x.player_id: x.churn_probability for x in risk.rule_churn_probability(latest_snapshot(panel)).collect()}
     assert r[1] == 1.0  # 0.3+0.3+0.2+0.1+0.1 clipped
     assert r[2] == 0.0  # hardcore -0.3 clipped at 0
+
+
+def test_t10_bucketed_auc_equals_exact(spark):
+    from retentia.operators.evaluate import evaluate
+    rows = [(i, s, y) for i, (s, y) in enumerate(
+        [(0.91, 1), (0.85, 1), (0.85, 0), (0.6, 0), (0.55, 1), (0.4, 0), (0.31, 1), (0.2, 0), (0.1, 0), (0.1, 1)])]
+    df = spark.createDataFrame(rows, "player_id long, churn_risk_score double, churned int")
+    pos = [s for _, s, y in rows if y == 1]
+    neg = [s for _, s, y in rows if y == 0]
+    exact = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    r = evaluate(df).collect()[0]
+    assert r.roc_auc == pytest.approx(exact, abs=1e-12)
+    assert (r.tp, r.fp, r.tn, r.fn) == (3, 2, 3, 2)
+
+
+def test_t11_division_by_zero_is_null(spark):
+    from retentia.functions.columns import safe_div
+    df = spark.createDataFrame([(1.0, 0.0), (1.0, 2.0)], "a double, b double")
+    assert [r[0] for r in df.select(safe_div("a", "b")).collect()] == [None, 0.5]
+
+
+def test_t12_relative_lift_zero_without_retention(spark):
+    from retentia.operators import experiment as ab
+    row = spark.createDataFrame([(10, 10, 10, 5)],
+                                "control_n long, control_churned long, treatment_n long, treatment_churned long")
+    r = row.select(*[c.alias(n) for n, c in ab.retention_columns().items()]).collect()[0]
+    assert r.control_retention == 0.0 and r.relative_lift == 0.0 and r.absolute_lift == 0.5
+
+
+def test_t13_ties_break_by_player_id(spark):
+    from retentia.operators.segments import top_n_risk
+    df = spark.createDataFrame([(5, 0.9), (3, 0.9), (4, 0.9), (1, 0.2)], "player_id long, churn_risk_score double")
+    assert [r.player_id for r in top_n_risk(df, 2).collect()] == [3, 4]
