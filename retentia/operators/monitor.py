@@ -75,7 +75,7 @@ def feature_drift(df: DataFrame, cols: list[str], days: int = 7, order: str = "d
         n_h = F.sum(F.when(hist, F.col(f"n{i}")))
         s_c, s_h = F.sum(F.when(cur, F.col(f"s{i}"))), F.sum(F.when(hist, F.col(f"s{i}")))
         q_h = F.sum(F.when(hist, F.col(f"q{i}")))
-        var_h = F.try_divide(q_h - s_h * s_h / n_h, n_h - F.lit(1))
+        var_h = F.try_divide(q_h - F.try_divide(s_h * s_h, n_h), n_h - F.lit(1))
         out += [F.try_divide(s_c, n_c).alias(f"m{i}"), F.try_divide(s_h, n_h).alias(f"h{i}"),
                 F.sqrt(F.greatest(var_h, F.lit(0.0))).alias(f"d{i}")]
     wide = flagged.agg(*out)

@@ -165,3 +165,12 @@ def test_uncommitted_compaction_is_ignored(spark, tmp_path):
     b0.write.parquet(f"{state}/base/c=1")
     got = streams.current_state(spark, state, 30, "2024-01-10 00:00:00").collect()
     assert [(r.player_id, r.v) for r in got] == [(1, 2.0)]
+
+
+def test_drift_without_history_is_null_not_an_error(spark):
+    import datetime as dt
+    from retentia.operators.monitor import feature_drift
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 8), 1.0), (2, dt.datetime(2024, 1, 9), None)],
+                               "player_id long, date timestamp_ntz, x double")
+    r = feature_drift(df, ["x"], days=7).collect()[0]
+    assert r.mean_current == 1.0 and r.mean_history is None and r.drift is False
