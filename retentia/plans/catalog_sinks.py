@@ -102,13 +102,13 @@ def q_batch_score(spark, sf):
 
 # ---------------------------------------------------------------- streams
 def _weekly_files(spark, sf, src: str) -> None:
-    """Write the panel into ``src`` one week after another, the next-to-last week arriving last (late)."""
-    p = frames.panel(spark, sf)
-    weeks = sorted(r[0] for r in p.select(F.date_trunc("week", "date").cast("date").alias("w")).distinct().collect())
-    order = weeks[:-2] + weeks[-1:] + weeks[-2:-1] if len(weeks) > 2 else weeks
-    for w in order:
-        part = p.filter(F.date_trunc("week", "date").cast("date") == F.lit(w))
-        part.repartition(2, "player_id").write.mode("append").parquet(src)
+    """Write the panel into ``src`` with each file holding whole weeks (hash-partitioned by week).
+
+    The file source then reads the weeks in file order, not calendar order, so
+    micro-batches see weeks out of order (late data) without a driver loop.
+    """
+    p = frames.features(spark, sf).select(*PANEL.fieldNames())
+    p.repartition(F.date_trunc("week", "date")).write.mode("append").parquet(src)
 
 
 TTL_DAYS = 14
@@ -119,11 +119,11 @@ TTL_DAYS = 14
 SELECT {O.select_rounded(O.PANEL_COLUMNS)} FROM newest
 WHERE date + INTERVAL {TTL_DAYS} DAY > TIMESTAMP '{NOW}'"""))
 def q_stream_latest(spark, sf):
-    """Newest record per player from a file stream with a late week; expired entries (14 days) dropped."""
+    """Newest record per player from a file stream whose weeks arrive out of order; expired (14 days) dropped."""
     base = sinks.stage_path(spark, "stream-latest")
     _weekly_files(spark, sf, f"{base}/source")
     return streams.run_latest_stream(spark, f"{base}/source", PANEL, f"{base}/state", f"{base}/checkpoint",
-                                     ttl_days=TTL_DAYS, now=NOW, max_files_per_trigger=2, compact_every=2)
+                                     ttl_days=TTL_DAYS, now=NOW, max_files_per_trigger=1, compact_every=2)
 
 
 @query("stream_score", "ST1 F31")
@@ -137,7 +137,7 @@ def q_stream_score(spark, sf):
     base = sinks.stage_path(spark, "stream-score")
     _weekly_files(spark, sf, f"{base}/source")
     streams.run_score_stream(spark, f"{base}/source", PANEL, model, names, f"{base}/sink", f"{base}/checkpoint",
-                             max_files_per_trigger=2)
+                             max_files_per_trigger=1)
     return spark.read.parquet(f"{base}/sink")
 
 
