@@ -12,8 +12,13 @@ _LOCAL_CHECKPOINT_FALLBACK = "/tmp/retentia-checkpoints"
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench assume."""
+    builder = SparkSession.builder
+    log_dir = os.environ.get("RETENTIA_EVENT_LOG_DIR")  # stage / task times without the UI
+    if log_dir:
+        os.makedirs(log_dir, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("retentia")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
