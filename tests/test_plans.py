@@ -47,6 +47,7 @@ def test_window_functions_evaluated_once(spark):
     """Every window function of the panel and feature chain appears once, over one sort."""
     import re
 
+    frames.release(spark)  # otherwise the cache manager substitutes the persisted feature table
     plan = _plan(frames.build_features(spark, SMALL))
     assert plan.count("Sort [") == 1
     for m in re.finditer(r"Window \[(.*?)\], \[player_id", plan):
