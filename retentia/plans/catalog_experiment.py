@@ -155,7 +155,7 @@ def q_ab_roi(spark, sf):
 
 @query("ab_prepare_sample", "B10 K0e", O.with_scored(f"""
 SELECT player_id, {O.r6('churn_risk_score')} AS churn_probability FROM scored
-ORDER BY {O.unit_hash("'42'", 'player_id')}, player_id LIMIT 1000"""))
+ORDER BY {O.unit_hash("'42'", 'player_id')}, player_id LIMIT 10000"""))
 def q_prepare(spark, sf):
-    """Experiment input: an exact-size repeatable sample of 1000 players with a churn probability."""
-    return ab.prepare_ab_input(frames.scored(spark, sf), n=1000).select("player_id", "churn_probability")
+    """Experiment input: an exact-size repeatable sample of 10,000 players (the page's default) with a probability."""
+    return ab.prepare_ab_input(frames.scored(spark, sf), n=10_000).select("player_id", "churn_probability")

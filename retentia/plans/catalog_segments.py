@@ -196,10 +196,10 @@ SELECT '{risk}' AS risk_category, '{spend}' AS spending_segment, count(*) AS seg
 FROM segm""")
 
 
-@query("segment_profile", "A12 P2", _profile_sql("Medium", "Non-Spender"))
+@query("segment_profile", "A12 P2", _profile_sql("High", "Non-Spender"))
 def q_segment_profile(spark, sf):
-    """Size, share and mean activity of the Medium-risk non-spenders."""
-    return seg.segment_profile(frames.scored(spark, sf), "Medium", "Non-Spender")
+    """Size, share and mean activity of the High-risk non-spenders (the page's default selection)."""
+    return seg.segment_profile(frames.scored(spark, sf), "High", "Non-Spender")
 
 
 # ---------------------------------------------------------------- A13-A18
