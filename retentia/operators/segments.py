@@ -202,9 +202,13 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
                       for i, j in pairs])
     long = df.select(F.explode(items).alias("p")).select("p.*")
     half = _pearson_long(long, ["feature_a", "feature_b"])
-    mirror = half.filter(F.col("feature_a") != F.col("feature_b")).select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation")
-    return half.unionByName(mirror)
+    # Both orientations from each aggregated pair (the diagonal once): one aggregate, no union.
+    both = F.array(
+        F.struct(F.col("feature_a").alias("a"), F.col("feature_b").alias("b"), "correlation"),
+        F.when(F.col("feature_a") != F.col("feature_b"),
+               F.struct(F.col("feature_b").alias("a"), F.col("feature_a").alias("b"), "correlation")))
+    return half.select(F.explode(both).alias("o")).filter(F.col("o").isNotNull()).select(
+        F.col("o.a").alias("feature_a"), F.col("o.b").alias("feature_b"), F.col("o.correlation").alias("correlation"))
 
 
 # ---------------------------------------------------------------- A11 / A12

@@ -57,7 +57,9 @@ def _train_all(spark, sf):
     for name, m in models.items():
         scored = ml.probability(m, scored, f"p_{name}")
     scored = ml.ensemble(scored, [f"p_{n}" for n in models], out="p_ensemble")
-    return models, cols, scored
+    # Score the test split once; the four evaluations below then read the written scores.
+    return models, cols, materialize(scored.select("player_id", "churned", *[f"p_{n}" for n in models], "p_ensemble"),
+                                     "model-test-scores")
 
 
 @query("model_comparison", "L3 L4 L5 L6 L7 L8 L9")
