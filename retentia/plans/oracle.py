@@ -124,10 +124,12 @@ pw AS (
          count(*) FILTER (WHERE k >= 95) AS n_k95,
          sum(value) FILTER (WHERE event_type = 'purchase') AS purchase_value,
          min(k) FILTER (WHERE event_type = 'purchase') AS min_purchase_k,
-         count(DISTINCT event_type) AS n_types,
          {", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS n_{t}" for t in _EVENT_TYPES)}
   FROM ev GROUP BY player_id, week
 ),
+pwt AS (
+  SELECT *, {" + ".join(f"CAST(n_{t} > 0 AS INTEGER)" for t in _EVENT_TYPES)} AS n_types FROM pw
+),
 panel AS (
   SELECT pw.player_id AS player_id,
          date,
@@ -155,7 +157,7 @@ panel AS (
          CAST(n_types AS DOUBLE) / 5.0 AS feature_adoption_pct,
          CAST(last_value(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) <= 3 AS INTEGER)
            AS churned
-  FROM pw LEFT JOIN nation nat ON CAST(nat.n_nationkey AS BIGINT) = pw.player_id % 25
+  FROM pwt pw LEFT JOIN nation nat ON CAST(nat.n_nationkey AS BIGINT) = pw.player_id % 25
   WINDOW w AS (PARTITION BY pw.player_id ORDER BY date)
 )"""
 

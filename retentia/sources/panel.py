@@ -81,8 +81,12 @@ def player_week_measures(events: DataFrame) -> DataFrame:
         F.count_if(F.col("k") >= 95).alias("n_k95"),
         F.sum(F.when(et == "purchase", F.col("value"))).alias("purchase_value"),
         F.min(F.when(et == "purchase", F.col("k"))).alias("min_purchase_k"),
-        F.size(F.collect_set(et)).alias("n_types"),
         *counts,
+    ).withColumn(
+        # Distinct types among the known five, from the per-type counts: keeps the aggregate a plain
+        # hash aggregate (collect_set would make it an object aggregate that falls back to sorting
+        # once a task holds more than a handful of keys).
+        "n_types", sum((F.col(f"n_{t}") > 0).cast("int") for t in EVENT_TYPES),
     )
 
 
