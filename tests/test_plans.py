@@ -67,3 +67,12 @@ def test_shared_frames_match_fresh_plans(spark):
         assert frames.latest(spark, SMALL) is not shared
     finally:
         spark.conf.set("retentia.cache.frames", "true")
+
+
+def test_event_aggregate_is_a_hash_aggregate(spark):
+    """The (player, week) aggregate over the event log stays a code-generated hash aggregate."""
+    import re
+
+    plan = _plan(frames.panel(spark, SMALL))
+    aggs = re.findall(r"(\w*Aggregate)\(keys=\[player_id#\d+L, week#\d+\]", plan)
+    assert aggs and set(aggs) == {"HashAggregate"}, aggs
