@@ -73,9 +73,10 @@ def q_pred_kv(spark, sf):
 
 @query("etl_run", "M5 S2 S4 S7 K0d")
 def q_etl(spark, sf):
-    """Extract → transform → load; returns the written feature table read back."""
-    out = jobs.etl_run(spark, sf, now=NOW)
-    return spark.read.parquet(out["features_path"])
+    """Extract → transform → load into a table bucketed by player; returns the written table read back."""
+    import uuid
+    out = jobs.etl_run(spark, sf, now=NOW, buckets=8, table_name=f"player_features_{uuid.uuid4().hex[:8]}")
+    return spark.table(out["features_table"])
 
 
 def _train_rf(spark, sf):

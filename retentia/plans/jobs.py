@@ -20,21 +20,34 @@ from retentia.operators.features import engineer_all
 from retentia.operators.risk import risk_band, risk_band_cut
 from retentia.operators.snapshot import latest_snapshot
 from retentia.sources.panel import events_panel, scan_panel, table
-from retentia.sources.sinks import (append_metrics, feature_kv_snapshot, materialize, stage_path, write_predictions,
-                                    write_table)
+from retentia.sources.sinks import (append_metrics, feature_kv_snapshot, materialize, stage_path, write_bucketed,
+                                    write_predictions, write_table)
 
 
 def etl_run(spark: SparkSession, sf_dir: str, out_dir: str | None = None, ttl_days: int = 7,
-            now: str | None = None) -> dict:
-    """M5: extract (events → panel) → transform (F32) → load (feature table + key-value snapshot)."""
+            now: str | None = None, buckets: int | None = None, table_name: str | None = None) -> dict:
+    """M5: extract (events → panel) → transform (F32) → load (feature table + key-value snapshot).
+
+    With ``buckets`` the feature table is saved as a catalog table bucketed by
+    ``player_id`` and sorted by (player_id, date), so per-player reads
+    (snapshots, windows, joins) need no shuffle; otherwise plain Parquet sorted
+    within files.
+    """
     t0 = time.time()
     out_dir = out_dir or stage_path(spark, "etl")
     panel = materialize(events_panel(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")), "panel")
-    features_path = write_table(engineer_all(panel), f"{out_dir}/player_features", sort_within=["player_id", "date"])
-    features = spark.read.parquet(features_path)
+    features_path = f"{out_dir}/player_features"
+    if buckets:
+        table_name = table_name or "player_features"
+        write_bucketed(engineer_all(panel), table_name, features_path, buckets)
+        features = spark.table(table_name)
+    else:
+        write_table(engineer_all(panel), features_path, sort_within=["player_id", "date"])
+        features = spark.read.parquet(features_path)
     kv_path = write_table(feature_kv_snapshot(latest_snapshot(features), ttl_days=ttl_days, now=now),
                           f"{out_dir}/feature_cache")
-    return {"features_path": features_path, "kv_path": kv_path, "duration_sec": round(time.time() - t0, 3)}
+    return {"features_path": features_path, "features_table": table_name if buckets else None, "kv_path": kv_path,
+            "duration_sec": round(time.time() - t0, 3)}
 
 
 def score_frame(latest: DataFrame, model: PipelineModel | None, names: list[str] | None) -> DataFrame:

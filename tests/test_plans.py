@@ -1,5 +1,7 @@
 """Plan-shape checks: shuffles, take-ordered limits, no Python evaluation in any registered query."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
@@ -76,3 +78,16 @@ def test_event_aggregate_is_a_hash_aggregate(spark):
     plan = _plan(frames.panel(spark, SMALL))
     aggs = re.findall(r"(\w*Aggregate)\(keys=\[player_id#\d+L, week#\d+\]", plan)
     assert aggs and set(aggs) == {"HashAggregate"}, aggs
+
+
+def test_bucketed_feature_table_needs_no_shuffle(spark, tmp_path):
+    """A feature table bucketed by player_id and sorted by (player_id, date) is aggregated per player in place."""
+    from retentia.operators.snapshot import latest_snapshot
+    from retentia.sources.sinks import write_bucketed
+
+    write_bucketed(frames.build_features(spark, SMALL), "pf_bucketed_test", str(tmp_path / "pf"), buckets=4)
+    plan = _plan(latest_snapshot(spark.table("pf_bucketed_test")))
+    assert "Exchange" not in plan, plan
+    assert "Bucketed: true" in plan
+    files = [f for f in os.listdir(tmp_path / "pf") if f.endswith(".parquet")]
+    assert len(files) <= 4  # one file per bucket
