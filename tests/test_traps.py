@@ -180,3 +180,12 @@ def test_t13_ties_break_by_player_id(spark):
     from retentia.operators.segments import top_n_risk
     df = spark.createDataFrame([(5, 0.9), (3, 0.9), (4, 0.9), (1, 0.2)], "player_id long, churn_risk_score double")
     assert [r.player_id for r in top_n_risk(df, 2).collect()] == [3, 4]
+
+
+@pytest.mark.parametrize("props,want", [
+    ('{"k": 69}', 69), ('{"k":7,"x":1}', 7), ('{"x": 1, "k": 5}', 5), ('{"a": {"k": 1}, "k": 2}', 2),
+    ('{"a": {"k": 1}}', None), ('{"k": -3}', -3), ('{"k": "12"}', 12), ('{}', None), (None, None)])
+def test_props_k_matches_the_json_path(spark, props, want):
+    from retentia.sources.panel import props_k
+    df = spark.createDataFrame([(props,)], "props string")
+    assert df.select(props_k()).collect()[0][0] == want
