@@ -2,8 +2,9 @@
 
 The panel is one row per ``(player_id, date)``.  Built from the event log it
 takes one partial/final hash aggregate on ``(user_id, week)`` and one
-exchange on ``player_id`` for the per-player sequence columns; the profile
-lookup is a broadcast of a checked-small dimension.
+exchange on ``player_id`` for the per-player sequence columns; the country
+lookup joins the nation dimension, which the planner broadcasts only under its
+size threshold.
 """
 
 from __future__ import annotations
