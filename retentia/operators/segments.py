@@ -163,9 +163,12 @@ def _pearson_long(long: DataFrame, keys: list[str]) -> DataFrame:
     for the JIT at a few dozen columns; the long form keeps one small
     aggregate whose partial step collapses to one row per key and task.
     """
-    pairs = long.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    return pairs.groupBy(*keys).agg(
-        F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("correlation"))
+    # Incomplete pairs are nulled inside the aggregate (not filtered), so a column without any complete
+    # pair still gets its row, with a null correlation.
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
+    return long.groupBy(*keys).agg(
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("correlation"))
 
 
 def correlation_with(df: DataFrame, target: str, cols: list[str]) -> DataFrame:

@@ -66,3 +66,56 @@ def test_windows_match_pandas(spark, rows):
         r = got[(row["player_id"], row["date"])]
         assert _close(row["m"], r.m) and _close(row["c"], r.c) and _close(row["d"], r.d)
         assert abs(row["s"] - r.s) <= 1e-6 * max(1, abs(row["s"]))
+
+
+SCORES = st.lists(st.one_of(st.none(), st.floats(min_value=-0.5, max_value=1.5, allow_nan=False)), min_size=1,
+                  max_size=30)
+
+
+@CFG
+@given(xs=SCORES)
+def test_right_closed_bins_match_pd_cut(spark, xs):
+    from retentia.operators.risk import risk_band_cut, spending_segment
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select(risk_band_cut(F.col("x")).alias("b"), spending_segment(F.col("x") * 100).alias("s")).collect()
+    s = pd.Series(xs, dtype=float)
+    bands = pd.cut(s, bins=[0, 0.3, 0.7, 1.0], labels=["Low", "Medium", "High"])
+    segs = pd.cut(s * 100, bins=[-0.1, 0, 10, 50, float("inf")],
+                  labels=["Non-Spender", "Low Spender", "Medium Spender", "High Spender"])
+    for r, b, g in zip(got, bands, segs):
+        assert r.b == (None if pd.isna(b) else b)
+        assert r.s == (None if pd.isna(g) else g)
+
+
+@CFG
+@given(xs=SCORES)
+def test_histogram_covers_every_value(spark, xs):
+    from retentia.operators.segments import score_histogram
+    df = spark.createDataFrame([(x,) for x in xs], "churn_risk_score double")
+    bins = score_histogram(df, bins=7).collect()
+    vals = [x for x in xs if x is not None]
+    assert sum(b.players for b in bins) == len(vals)
+    assert all(1 <= b.bin <= 7 for b in bins)
+    if vals and max(vals) > min(vals):
+        for x in vals:  # every value lies in the closed range of some bin
+            assert any(b.bin_lo - 1e-9 <= x <= b.bin_hi + 1e-9 for b in bins)
+
+
+PAIRS = st.lists(st.tuples(VALUE, VALUE, VALUE), min_size=3, max_size=25)
+
+
+@CFG
+@given(rows=PAIRS)
+def test_correlations_match_pandas_pairwise(spark, rows):
+    from retentia.operators.segments import correlation_with
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    got = {r.feature: r.correlation for r in correlation_with(df, "y", ["a", "b"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["a", "b", "y"]).astype(float)
+    want = pdf.corr()["y"]
+    assert set(got) == {"a", "b"}  # every requested column gets a row
+    for c in ("a", "b"):
+        w, g = want[c], got[c]
+        if pd.isna(w):  # no complete pair, or a constant column
+            assert g is None or abs(g) <= 1 + 1e-9
+        else:
+            assert g is not None and abs(w - g) <= 1e-6
