@@ -119,3 +119,54 @@ def test_correlations_match_pandas_pairwise(spark, rows):
             assert g is None or abs(g) <= 1 + 1e-9
         else:
             assert g is not None and abs(w - g) <= 1e-6
+
+
+DRIFT_ROWS = st.lists(st.tuples(st.integers(0, 20), VALUE), min_size=1, max_size=30)
+
+
+@CFG
+@given(rows=DRIFT_ROWS)
+def test_feature_drift_matches_pandas(spark, rows):
+    import datetime as dt
+    from retentia.operators.monitor import feature_drift
+    base = dt.datetime(2024, 1, 1)
+    data = [(i, base + dt.timedelta(days=d), x) for i, (d, x) in enumerate(rows)]
+    df = spark.createDataFrame(data, "player_id long, date timestamp_ntz, x double")
+    r = feature_drift(df, ["x"], days=7).collect()[0]
+    pdf = pd.DataFrame(data, columns=["player_id", "date", "x"]).astype({"x": float})
+    cur = pdf["date"] > pdf["date"].max() - pd.Timedelta(days=7)
+    mc, mh, sh = pdf.loc[cur, "x"].mean(), pdf.loc[~cur, "x"].mean(), pdf.loc[~cur, "x"].std()
+    assert _close(mc, r.mean_current) and _close(mh, r.mean_history)
+    if pd.isna(sh):
+        assert r.std_history is None or r.std_history == 0.0
+    else:
+        assert r.std_history is not None and abs(sh - r.std_history) <= 1e-6 * max(1.0, abs(sh))
+
+
+EVAL_ROWS = st.lists(st.tuples(st.floats(min_value=0, max_value=1, allow_nan=False).map(lambda x: round(x, 4)),
+                               st.integers(0, 1)), min_size=2, max_size=40)
+
+
+@CFG
+@given(rows=EVAL_ROWS)
+def test_evaluation_matches_direct_computation(spark, rows):
+    from retentia.operators.evaluate import evaluate
+    df = spark.createDataFrame([(i, s, y) for i, (s, y) in enumerate(rows)],
+                               "player_id long, churn_risk_score double, churned int")
+    r = evaluate(df).collect()[0]
+    tp = sum(1 for s, y in rows if s > 0.5 and y == 1)
+    fp = sum(1 for s, y in rows if s > 0.5 and y == 0)
+    tn = sum(1 for s, y in rows if s <= 0.5 and y == 0)
+    fn = sum(1 for s, y in rows if s <= 0.5 and y == 1)
+    assert (r.tp, r.fp, r.tn, r.fn) == (tp, fp, tn, fn)
+    prec = tp / (tp + fp) if tp + fp else 0.0
+    rec = tp / (tp + fn) if tp + fn else 0.0
+    assert r.precision == pytest.approx(prec) and r.recall == pytest.approx(rec)
+    assert r.f1 == pytest.approx(2 * prec * rec / (prec + rec) if prec + rec else 0.0)
+    pos = [s for s, y in rows if y == 1]
+    neg = [s for s, y in rows if y == 0]
+    if pos and neg:
+        auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+        assert r.roc_auc == pytest.approx(auc, abs=1e-12)
+    else:
+        assert r.roc_auc is None
