@@ -170,3 +170,80 @@ def test_evaluation_matches_direct_computation(spark, rows):
         assert r.roc_auc == pytest.approx(auc, abs=1e-12)
     else:
         assert r.roc_auc is None
+
+
+KV = st.lists(st.tuples(st.integers(0, 8), st.integers(0, 3), VALUE), max_size=15)
+
+
+@CFG
+@given(target=KV, updates=KV)
+def test_upsert_is_dict_update(spark, target, updates):
+    from retentia.sources.sinks import upsert
+    t = {(a, b): v for a, b, v in target}
+    u = {(a, b): v for a, b, v in updates}
+    schema = "a long, b long, v double"
+    out = upsert(spark.createDataFrame([(a, b, v) for (a, b), v in t.items()], schema),
+                 spark.createDataFrame([(a, b, v) for (a, b), v in u.items()], schema), ["a", "b"]).collect()
+    want = {**t, **u}
+    assert len(out) == len(want)
+    assert {(r.a, r.b): r.v for r in out} == want
+
+
+QROWS = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), VALUE), min_size=1, max_size=25)
+
+
+@CFG
+@given(rows=QROWS)
+def test_data_quality_matches_pandas(spark, rows):
+    from retentia.operators.monitor import data_quality
+    df = spark.createDataFrame(rows, "player_id long, date long, x double")
+    got = {r.check: r.failures for r in data_quality(df, ["player_id", "date"], {"x": (-10.0, 10.0)}).collect()}
+    pdf = pd.DataFrame(rows, columns=["player_id", "date", "x"]).astype({"x": float})
+    assert got["duplicate_keys"] == int(pdf.duplicated(["player_id", "date"]).sum())
+    assert got["nulls:x"] == int(pdf["x"].isna().sum())
+    assert got["out_of_range:x"] == int(((pdf["x"] < -10) | (pdf["x"] > 10)).sum())
+
+
+SEG_ROWS = st.lists(st.tuples(st.sampled_from(["Low", "Medium", "High"]),
+                              st.floats(min_value=0, max_value=80, allow_nan=False).map(lambda x: round(x, 1))),
+                    min_size=1, max_size=30)
+
+
+@CFG
+@given(rows=SEG_ROWS)
+def test_segment_matrix_matches_crosstab(spark, rows):
+    from retentia.operators.segments import SPEND_SEGMENTS, _snake, segment_matrix
+    df = spark.createDataFrame(rows, "risk_category string, monthly_spent double")
+    got = {r.risk_category: r for r in segment_matrix(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["risk_category", "monthly_spent"])
+    pdf["seg"] = pd.cut(pdf["monthly_spent"], bins=[-0.1, 0, 10, 50, float("inf")], labels=list(SPEND_SEGMENTS))
+    ct = pd.crosstab(pdf["risk_category"], pdf["seg"])
+    for band in ct.index:
+        for seg in SPEND_SEGMENTS:
+            want = int(ct.loc[band, seg]) if seg in ct.columns else 0
+            assert getattr(got[band], _snake(seg)) == want
+
+
+FACTOR_ROWS = st.lists(st.tuples(st.integers(0, 5), st.integers(0, 30), st.floats(0, 1).map(lambda x: round(x, 2)),
+                                 st.integers(0, 5), st.integers(0, 200)), min_size=1, max_size=20)
+
+
+@CFG
+@given(rows=FACTOR_ROWS)
+def test_risk_factors_follow_the_rules(spark, rows):
+    from retentia.operators.risk import RISK_FACTOR_RULES, risk_factors
+    cols = "sessions_per_week long, days_since_last_login long, session_decay_rate double, friends_online long, " \
+           "days_since_last_purchase long"
+    data = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "player_id long, " + cols)
+    got = {r.player_id: [f.factor for f in r.top_risk_factors] for r in risk_factors(df).collect()}
+    names = ["sessions_per_week", "days_since_last_login", "session_decay_rate", "friends_online",
+             "days_since_last_purchase"]
+    for row in data:
+        vals = dict(zip(names, row[1:]))
+        fired = [(impact, name) for name, impact, c, _ in RISK_FACTOR_RULES
+                 if {"sessions_per_week": vals[c] < 2, "days_since_last_login": vals[c] > 14,
+                     "session_decay_rate": vals[c] > 0.3, "friends_online": vals[c] < 2,
+                     "days_since_last_purchase": vals[c] > 90}[c]]
+        want = [n for _, n in sorted(fired, key=lambda t: -t[0])][:5]
+        assert got[row[0]] == want
