@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import round_to, safe_div
 from retentia.functions.hashing import unit_hash
 from retentia.operators.risk import spending_segment
+from retentia.operators.snapshot import first_non_null, last_non_null
 from retentia.sources.panel import ARCHETYPES
 
 SCORE, BAND = "churn_risk_score", "risk_category"
@@ -339,7 +340,7 @@ def dataset_summary(panel: DataFrame) -> DataFrame:
     """Distinct players, rows, date range, per-player churn rate, first-archetype counts."""
     per_player = panel.groupBy("player_id").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("date").alias("_start"), F.max("date").alias("_end"),
-        F.max_by("churned", "date").alias("_churned"), F.min_by("archetype", "date").alias("_arche"),
+        last_non_null("churned").alias("_churned"), first_non_null("archetype").alias("_arche"),
     )
     return per_player.agg(
         F.count(F.lit(1)).alias("total_players"),

@@ -33,12 +33,22 @@ def latest_snapshot(df: DataFrame, key: str = "player_id", order: str = "date")
     return df.groupBy(key).agg(*aggs).select(*df.columns)
 
 
+def first_non_null(c: str, order: str = "date"):
+    """Value at the smallest ``order`` among rows where it is present (pandas ``first()``)."""
+    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
+
+
+def last_non_null(c: str, order: str = "date"):
+    """Value at the largest ``order`` among rows where it is present (pandas ``last()``)."""
+    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
+
+
 def first_last(df: DataFrame, first: list[str], last: list[str], key: str = "player_id",
                order: str = "date") -> DataFrame:
-    """First value of some columns and last value of others, per player."""
+    """First value of some columns and last value of others, per player (missing values skipped)."""
     return df.groupBy(key).agg(
-        *[F.min_by(c, order).alias(f"first_{c}") for c in first],
-        *[F.max_by(c, order).alias(f"last_{c}") for c in last],
+        *[first_non_null(c, order).alias(f"first_{c}") for c in first],
+        *[last_non_null(c, order).alias(f"last_{c}") for c in last],
     )
 
 

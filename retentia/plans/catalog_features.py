@@ -143,9 +143,11 @@ def q_latest(spark, sf):
 
 
 @query("first_last_per_player", "W8", O.with_panel(
-    "SELECT player_id, arg_min(archetype, date) AS first_archetype, arg_min(sessions_per_week, date) "
-    "AS first_sessions_per_week, arg_max(churned, date) AS last_churned, arg_max(sessions_per_week, date) "
-    "AS last_sessions_per_week FROM panel GROUP BY player_id"))
+    "SELECT player_id, arg_min(archetype, date) FILTER (WHERE archetype IS NOT NULL) AS first_archetype, "
+    "arg_min(sessions_per_week, date) FILTER (WHERE sessions_per_week IS NOT NULL) AS first_sessions_per_week, "
+    "arg_max(churned, date) FILTER (WHERE churned IS NOT NULL) AS last_churned, "
+    "arg_max(sessions_per_week, date) FILTER (WHERE sessions_per_week IS NOT NULL) AS last_sessions_per_week "
+    "FROM panel GROUP BY player_id"))
 def q_first_last(spark, sf):
     """First archetype / sessions and last label / sessions per player."""
     return snapshot.first_last(frames.features(spark, sf), first=["archetype", "sessions_per_week"],

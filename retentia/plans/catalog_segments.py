@@ -266,8 +266,9 @@ def q_profile_cmp(spark, sf):
 
 
 @query("dataset_summary", "A18 W8", O.with_panel(f"""
-, pp AS (SELECT player_id, count(*) AS rows_, min(date) AS s, max(date) AS e, arg_max(churned, date) AS ch,
-                arg_min(archetype, date) AS ar FROM panel GROUP BY player_id)
+, pp AS (SELECT player_id, count(*) AS rows_, min(date) AS s, max(date) AS e,
+                arg_max(churned, date) FILTER (WHERE churned IS NOT NULL) AS ch,
+                arg_min(archetype, date) FILTER (WHERE archetype IS NOT NULL) AS ar FROM panel GROUP BY player_id)
 SELECT count(*) AS total_players, CAST(sum(rows_) AS BIGINT) AS total_records, min(s) AS start_date, max(e) AS end_date,
   {O.r6('avg(ch)')} AS churn_rate, """ + ", ".join(f"count(*) FILTER (WHERE ar = '{a}') AS n_{a}" for a in ARCHETYPES)
     + " FROM pp"))

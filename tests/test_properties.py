@@ -247,3 +247,28 @@ def test_risk_factors_follow_the_rules(spark, rows):
                      "days_since_last_purchase": vals[c] > 90}[c]]
         want = [n for _, n in sorted(fired, key=lambda t: -t[0])][:5]
         assert got[row[0]] == want
+
+
+STR_ROWS = st.lists(st.tuples(st.integers(1, 4), st.integers(0, 30), st.one_of(st.none(), st.sampled_from("xyz")), VALUE),
+                    min_size=1, max_size=25)
+
+
+@CFG
+@given(rows=STR_ROWS)
+def test_first_last_skip_missing_like_pandas(spark, rows):
+    from retentia.operators.snapshot import first_last
+    data = _frame(rows)
+    sdf = spark.createDataFrame(data, "player_id long, date long, s string, v double")
+    got = {r.player_id: r for r in first_last(sdf, first=["s", "v"], last=["s", "v"]).collect()}
+    pdf = pd.DataFrame(data, columns=["player_id", "date", "s", "v"]).astype({"v": float}).sort_values("date")
+    g = pdf.groupby("player_id")
+    first, last = g.first(), g.last()
+    def same(want, have):
+        if isinstance(want, str) or isinstance(have, str):
+            return have == (None if pd.isna(want) else want)
+        return _close(want, have)
+
+    for pid in first.index:
+        r = got[pid]
+        assert same(first.loc[pid, "s"], r.first_s) and same(first.loc[pid, "v"], r.first_v)
+        assert same(last.loc[pid, "s"], r.last_s) and same(last.loc[pid, "v"], r.last_v)
