@@ -97,11 +97,18 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S7 / S8
+def iso_timestamp(c) -> "F.Column":
+    """ISO 8601 text like Python's ``isoformat()``: microseconds only when they are not zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")) \
+        .otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def feature_kv_snapshot(latest: DataFrame, prefix: str = "player_features", ttl_days: int = 7,
                         now: str | None = None, key: str = "player_id") -> DataFrame:
     """``prefix:player_id`` → JSON of the latest row (nulls kept, timestamps ISO), with an expiry."""
     ts_now = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
-    vals = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)
+    vals = [iso_timestamp(c).alias(c)
             if isinstance(latest.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(c)
             for c in latest.columns]
     return latest.select(
@@ -116,7 +123,7 @@ def prediction_kv(pred: DataFrame, ttl_hours: int = 1, now: str | None = None, k
     ts_now = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
     rec = F.struct(F.col("churn_probability").cast("double").alias("churn_probability"),
                    F.col("risk_category").alias("risk_category"),
-                   F.date_format(ts_now, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+                   iso_timestamp(ts_now).alias("timestamp"))
     return pred.select(
         F.concat(F.lit("player:"), F.col(key).cast("string"), F.lit(":prediction")).alias("key"),
         F.to_json(rec).alias("value"),

@@ -174,3 +174,11 @@ def test_drift_without_history_is_null_not_an_error(spark):
                                "player_id long, date timestamp_ntz, x double")
     r = feature_drift(df, ["x"], days=7).collect()[0]
     assert r.mean_current == 1.0 and r.mean_history is None and r.drift is False
+
+
+def test_iso_timestamps_like_python(spark):
+    import datetime as dt
+    from retentia.sources.sinks import iso_timestamp
+    vals = [dt.datetime(2024, 1, 1, 0, 43, 12, 370659), dt.datetime(2024, 1, 30), dt.datetime(2024, 1, 2, 3, 4, 5, 6)]
+    df = spark.createDataFrame([(v,) for v in vals], "t timestamp_ntz")
+    assert [r[0] for r in df.select(iso_timestamp("t")).collect()] == [v.isoformat() for v in vals]
