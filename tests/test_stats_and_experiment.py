@@ -103,3 +103,14 @@ def test_one_outcome_has_no_degree_of_freedom(spark):
                                 "control_n long, control_churned long, treatment_n long, treatment_churned long")
     r = row.select(*[v.alias(k) for k, v in ab.chi_square_columns().items()]).collect()[0]
     assert (r.chi2_statistic, r.chi2_p_value, r.chi2_dof) == (0.0, 1.0, 0)
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 149, 150, 500])
+def test_sample_equals_global_ordered_take(spark, n):
+    from retentia.functions.hashing import unit_hash
+    from retentia.operators.segments import sample_players
+    scored = frames.scored(spark, MEDIUM).select("player_id")
+    got = [r.player_id for r in sample_players(scored, n, seed=7).collect()]
+    want = [r.player_id for r in scored.withColumn("_d", unit_hash("7", F.col("player_id")))
+            .orderBy("_d", "player_id").limit(n).collect()]
+    assert sorted(got) == sorted(want) and len(got) == min(n, scored.count())
