@@ -43,8 +43,10 @@ def ingest(spark: SparkSession, source: str, **kw) -> DataFrame:
     if source in ("csv", "parquet", "json", "orc"):
         if "path" not in kw:
             raise ValueError(f"source {source!r} needs path=")
-        return scan_panel(spark, kw["path"], source) if source in ("csv", "parquet") else \
-            spark.read.format(source).load(kw["path"])
+        if source in ("csv", "parquet"):
+            return scan_panel(spark, kw["path"], source)
+        # Declared schema rather than inference (a full extra pass over the input).
+        return spark.read.schema(kw.get("schema", PANEL)).format(source).load(kw["path"])
     if source == "events":
         if "sf_dir" not in kw:
             raise ValueError("source 'events' needs sf_dir=")

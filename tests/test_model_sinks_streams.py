@@ -182,3 +182,11 @@ def test_iso_timestamps_like_python(spark):
     vals = [dt.datetime(2024, 1, 1, 0, 43, 12, 370659), dt.datetime(2024, 1, 30), dt.datetime(2024, 1, 2, 3, 4, 5, 6)]
     df = spark.createDataFrame([(v,) for v in vals], "t timestamp_ntz")
     assert [r[0] for r in df.select(iso_timestamp("t")).collect()] == [v.isoformat() for v in vals]
+
+
+def test_ingest_json_uses_the_declared_schema(spark, tmp_path):
+    from retentia.sources.schemas import PANEL
+    frames.panel(spark, SMALL).write.json(str(tmp_path / "p"))
+    df = ingest(spark, "json", path=str(tmp_path / "p"))
+    assert df.schema == PANEL or [f.name for f in df.schema] == PANEL.fieldNames()
+    assert df.count() == frames.panel(spark, SMALL).count()
