@@ -73,12 +73,17 @@ def boosted_small(max_iter: int = 200, seed: int = 42) -> GBTClassifier:
     return boosted(max_iter=max_iter, depth=5, seed=seed)
 
 
-def fit(train: DataFrame, features: list[str], classifier) -> PipelineModel:
-    """L3 + classifier: assembler → scaler fitted on train → classifier."""
+def fit(train: DataFrame, features: list[str], classifier, key: str = "player_id",
+        validation_share: float = 0.1) -> PipelineModel:
+    """L3 + classifier: assembler → scaler fitted on train → classifier.
+
+    A boosted model with a validation column and none in the data gets a
+    hash-chosen validation slice of the training rows (never the test split).
+    """
     if isinstance(classifier, GBTClassifier) and classifier.isSet("validationIndicatorCol"):
         vcol = classifier.getValidationIndicatorCol()
         if vcol not in train.columns:
-            train = train.withColumn(vcol, unit_hash("validation", F.col("player_id")) < F.lit(0.1))
+            train = train.withColumn(vcol, unit_hash("validation", F.col(key)) < F.lit(float(validation_share)))
     return Pipeline(stages=[_assembler(features), _scaler(), classifier]).fit(train)
 
 
