@@ -31,18 +31,18 @@ from pyspark.errors import AnalysisException
 from retentia.functions.columns import round_to
 from retentia.operators import model as ml
 from retentia.operators.features import serve_features
-from retentia.operators.risk import risk_band
+from retentia.operators.risk import risk_band, risk_factors
 from retentia.operators.snapshot import align_features, sanitize
 
 
 # ---------------------------------------------------------------- ST1
 def score_stream(stream: DataFrame, model: PipelineModel, names: list[str], key: str = "player_id") -> DataFrame:
-    """Request-time features → model columns → probability → band, as a streaming plan."""
-    feats = serve_features(stream)
-    x = sanitize(align_features(feats, names, keep=(key, "date")), names)
+    """Request-time features → model columns → probability → band and top risk factors, as a streaming plan."""
+    feats = risk_factors(serve_features(stream))
+    x = sanitize(align_features(feats, names, keep=(key, "date", "top_risk_factors")), names)
     p = ml.probability(model, x, "churn_probability")
     return p.select(key, "date", round_to("churn_probability", 4).alias("churn_probability"),
-                    risk_band(round_to("churn_probability", 9)).alias("risk_category"))
+                    risk_band(round_to("churn_probability", 9)).alias("risk_category"), "top_risk_factors")
 
 
 def run_score_stream(spark: SparkSession, source_dir: str, schema: T.StructType, model: PipelineModel,
