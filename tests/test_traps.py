@@ -189,3 +189,16 @@ def test_props_k_matches_the_json_path(spark, props, want):
     from retentia.sources.panel import props_k
     df = spark.createDataFrame([(props,)], "props string")
     assert df.select(props_k()).collect()[0][0] == want
+
+
+def test_model_input_is_clean_and_excludes_ids(spark):
+    """L1 on the real tables: one row per player, no null / NaN / inf features, id and label columns excluded."""
+    from conftest import MEDIUM
+    from retentia.operators.snapshot import NON_FEATURE_COLUMNS, prepare_model_data
+    from retentia.plans import frames
+    data, cols = prepare_model_data(frames.features(spark, MEDIUM))
+    assert not set(cols) & set(NON_FEATURE_COLUMNS)
+    assert data.count() == data.select("player_id").distinct().count()
+    bad = data.select(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+                                   | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c) for c in cols]).first()
+    assert all(v == 0 for v in bad), {c: v for c, v in bad.asDict().items() if v}
