@@ -52,16 +52,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
-                 target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+                 target_partition_bytes: int = 256 * 1024 ** 2, aggregate_reduction: int = 8) -> dict[str, str]:
     """Settings for a cluster run, sized from the event log's size.
 
-    The first shuffle (the (user, week) partial aggregate) starts with about
-    one partition per ``target_partition_bytes`` of input (at least 2x the
-    cores); AQE then coalesces small partitions and splits skewed ones at run
-    time.  Pass the result to ``SparkSession.builder.config(map=...)``.
+    * Scan splits: a few tasks per core, 128 MB to 1 GB each.
+    * First shuffle: it carries the partially aggregated (user, week) rows, not
+      the events, so it starts with about one partition per
+      ``target_partition_bytes`` of *post-aggregation* data (input divided by
+      ``aggregate_reduction``), at least 2x the cores and at most 100,000
+      (map tasks x reduce partitions is the shuffle block count).  AQE then
+      coalesces small partitions and splits skewed ones at run time.
+
+    Pass the result to ``SparkSession.builder.config(map=...)``.
     """
     cores = executors * cores_per_executor
-    initial = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    split = min(1024 ** 3, max(128 * 1024 ** 2, input_bytes // max(1, 4 * cores)))
+    shuffle_bytes = input_bytes // max(1, aggregate_reduction)
+    initial = min(100_000, max(2 * cores, -(-shuffle_bytes // target_partition_bytes)))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -69,6 +76,6 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(initial),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
     }
