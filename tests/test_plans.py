@@ -91,3 +91,14 @@ def test_bucketed_feature_table_needs_no_shuffle(spark, tmp_path):
     assert "Bucketed: true" in plan
     files = [f for f in os.listdir(tmp_path / "pf") if f.endswith(".parquet")]
     assert len(files) <= 4  # one file per bucket
+
+
+def test_cluster_conf_sizing():
+    from retentia.session import cluster_conf
+    big = cluster_conf(100 * 1024 ** 4, executors=1000)
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 1024 ** 3
+    assert 8000 <= int(big["spark.sql.shuffle.partitions"]) <= 100_000
+    small = cluster_conf(1024 ** 3, executors=2)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least twice the cores
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == 128 * 1024 ** 2
+    assert big["spark.sql.adaptive.enabled"] == "true"
