@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe
-from retentia.llm.common import read_table
+from retentia.llm import bpe, langid, licences, mixing
+from retentia.llm.common import cut_lineage, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,62 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_compression_langid")
+def op5_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by compression; three quarters of the documents teach, the rest is held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.Model.fit(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+_OP8_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS draw
+  FROM documents
+), sources AS (
+  SELECT source, sum(size) AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM docs GROUP BY source
+), weighed AS (
+  SELECT source, total, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM sources
+), filled AS (
+  SELECT *, CAST(total AS DOUBLE) * 2.0::DOUBLE AS cap, CAST(total AS DOUBLE) * 2.0::DOUBLE / w AS fill FROM weighed
+), ranked AS (
+  SELECT *, row_number() OVER o AS r, coalesce(sum(cap) OVER p, 0) AS cap_before, coalesce(sum(w) OVER p, 0) AS w_before
+  FROM filled
+  WINDOW o AS (ORDER BY fill, source NULLS LAST),
+         p AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+  SELECT *, ((SELECT sum(total) FROM ranked) * 1.5::DOUBLE - cap_before) / ((SELECT sum(w) FROM ranked) - w_before) AS level FROM ranked
+), plan AS (
+  SELECT source, total, least(cap, w * (SELECT arg_min(level, r) FROM levels WHERE fill >= level)) AS target FROM levels
+), placed AS (
+  SELECT d.doc_id, d.size, p.total, p.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         CASE WHEN p.total > 0 THEN CAST(floor(p.target / p.total) AS BIGINT) ELSE 0 END AS epochs
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, CAST(total AS BIGINT) AS source_size, target,
+       CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * total - before)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+@query("op8_mix_sources", _OP8_SQL)
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed to weights 5, 2, 1 of 150 % of their words, no source more than twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    sized = cut_lineage(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
+    draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")
+    return mixing.mix(sized, key=["doc_id"], draw=draw).drop("source")
+
+
+@query("op7_licences")
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence templates of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.find_licences(docs).drop("text", "spans")
