@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, langid, licences, mixing
+from retentia.llm import bpe, langid, licences, mixing, ngram_join, substring
 from retentia.llm.common import cut_lineage, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def _tokenizer() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of equal shingle sets, its links at Jaccard 0.8 and its component."""
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_bpe_roundtrip")
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's BPE ids and the bytes they decode to, as digests."""
@@ -102,3 +108,10 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and covered licence templates of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.find_licences(docs).drop("text", "spans")
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier place has, and which passages those are."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup(docs)
