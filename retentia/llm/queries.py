@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, langid, licences, mixing, ngram_join, substring
+from retentia.llm import bpe, embed_dedup, langid, licences, mixing, ngram_join, substring, topk
 from retentia.llm.common import cut_lineage, read_table
+from retentia.llm.vectors import usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +116,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier place has, and which passages those are."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup(docs)
+
+
+@query("op10_embedding_near_dedup")
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links at cosine 0.9 and its component."""
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_exact_top_k")
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors with the highest integer inner products for every hundredth vector."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double"))
+    whole = vectors.select("vec_id", F.when(usable("embedding"), scaled).alias("embedding"))
+    return topk.top_k(whole, F.col("vec_id") % 100 == 0)
