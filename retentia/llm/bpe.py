@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,13 +28,15 @@ from retentia.llm.common import fresh, list_array, no_cycle_search, text_steps,
 #: Bits of a word of the bitmap's lower level.
 WORD = 8
 #: Bytes of text that are encoded at a time; the more, the more pre-tokens share a step of the queue.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 #: Two ids as one key.
 PAIR = 1 << 32
 #: Pre-tokens of more bytes are merged one by one, the others many at a time.
 LONG_PIECE = 256
-#: Segments that are remembered: about so many, of at most so many characters.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 40
+#: What stands behind a space and is remembered: about so many, of at most so many characters.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 40
+#: Marks that are neither letters, digits, white space nor an apostrophe.
+MARKS = ".,;:!?"
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -165,7 +168,7 @@ class Bpe:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
         self.plain = regex.compile(r"\s\s|^\s|\s$").search  # whitespace that a split at spaces would part
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
         byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.queue = PieceQueue(_pairs(ranks), byte_ids)
 
@@ -202,11 +205,11 @@ class Bpe:
             i = end[i]
         return ids
 
-    def pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+    def pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each pre-token."""
         out: dict[str, tuple[int, ...]] = {}
         short: list[str] = []
-        for p in dict.fromkeys(pieces):
+        for p in pieces:
             data = p.encode()
             if (whole := self.ranks.get(data)) is not None:
                 out[p] = (whole,)
@@ -218,33 +221,52 @@ class Bpe:
             out.update(zip(short, map(tuple, self.queue.merge([p.encode() for p in short]))))
         return out
 
-    def segments(self, text: str) -> list[str]:
-        """Parts of a text that can be split by themselves.
-
-        No match of the pattern reaches over a single space between two non-spaces except as its first
-        character, so such a text may be cut before its spaces; the parts repeat often and are remembered.
+    def cut(self, segment: str) -> list[str]:
+        """Pre-tokens of a segment; the usual ones, letters and perhaps one mark behind them, without the pattern."""
+        bare = segment[1:] if segment[:1] == " " else segment
+        if bare.isalpha():
+            return [segment]
+        if bare[-1:] in MARKS and bare[:-1].isalpha():
+            return [segment[:-1], segment[-1]]
+        return self.split(segment)
+
+    def learn(self, unknown: set[str], before: str, memo: dict[str, bytes]) -> None:
+        """Adds the ids of the segments ``before + s`` to ``memo``, as bytes of 32-bit numbers."""
+        parts = {s: self.cut(before + s) for s in unknown}
+        needed = set(chain.from_iterable(parts.values()))
+        known = {}
+        if before:  # a pre-token that begins with the space may have been a segment of its own before
+            had = [p for p in needed if p[0] == " " and p[1:] in memo and p[1:].isalpha()]
+            known = {p: array("i", memo[p[1:]]) for p in had}
+        known.update(self.pieces(needed.difference(known)))
+        for s, p in parts.items():
+            ids = known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p)))
+            memo[s] = array("i", ids).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of 32-bit numbers; each match of the pattern is merged by itself.
+
+        No match reaches over a single space between two non-spaces except as its first character, so a text
+        whose white space is such is cut at its spaces.  What stands behind a space repeats often and is
+        remembered; after a batch only what that batch had stays, if there is too much of it.
         """
-        if self.plain(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[f" {s}" for s in rest]]
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; each match of the pattern is merged by itself."""
-        cut = [self.segments(t) if t else [] for t in texts]
-        memo = self.memo
+        heads, tails = [], []  # the part before the first space, and those behind spaces
+        for t in texts:
+            head, *tail = [t] if self.plain(t) else t.split(" ")
+            heads.append(head)
+            tails.append(tail)
+        memo, first = self.memo, {}
+        seen = set(chain.from_iterable(tails))
+        self.learn(seen.difference(memo), " ", memo)
+        self.learn(set(heads), "", first)
+        behind = memo.__getitem__
+        out = [b"".join([first[h], *map(behind, t)]) for h, t in zip(heads, tails)]
         if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        unknown = set(chain.from_iterable(cut)).difference(memo)
-        parts = {s: self.split(s) for s in unknown}
-        known = self.pieces(list(chain.from_iterable(parts.values())))
-        found = {s: tuple(chain.from_iterable(map(known.__getitem__, p))) for s, p in parts.items()}
-        memo.update((s, ids) for s, ids in found.items() if len(s) <= MEMO_CHARS)
-        get = {s: ids for s, ids in found.items() if len(s) > MEMO_CHARS}
-        return [list(chain.from_iterable([memo[s] if s in memo else get[s] for s in c])) for c in cut]
+            self.memo = {s: memo[s] for s in seen if len(s) <= MEMO_CHARS}
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -289,8 +311,8 @@ def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", id
             for part in text_steps(batch, text, ENCODE_BYTES):
                 with no_cycle_search():
                     got = bpe.encode_all(texts_of(part, text))
-                flat = np.fromiter(chain.from_iterable(got), np.int32, sum(map(len, got)))
-                yield pa.RecordBatch.from_arrays([*part.columns, list_array(flat, list(map(len, got)), pa.int32())],
+                flat = np.frombuffer(b"".join(got), np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, list_array(flat, [len(x) // 4 for x in got], pa.int32())],
                                                  names=[*part.schema.names, ids])
 
     return df.mapInArrow(run, schema)
@@ -303,12 +325,12 @@ def decode(df: DataFrame, rank_file: bytes, ids: str = "ids", out: str = "decode
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(data.value, "")
+        token = {r: t for t, r in load_ranks(data.value).items()}.__getitem__
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 lists = part.column(part.schema.get_field_index(ids)).to_pylist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([bpe.decode(x or []) for x in lists], pa.binary())],
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b"".join(map(token, x or [])) for x in lists], pa.binary())],
                                                  names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: The weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Rows that a bucket of the key range is meant to hold, and the largest number of buckets of a source.
-BUCKET_ROWS, MAX_BUCKETS = 20_000, 1 << 20
+BUCKET_ROWS, MAX_BUCKETS = 2_000, 1 << 24
 
 
 def word_count(text: str | Column) -> Column:

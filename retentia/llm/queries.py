@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, embed_dedup, langid, licences, mixing, ngram_join, substring, topk
+from retentia.llm import bpe, embed_dedup, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk
 from retentia.llm.common import cut_lineage, read_table
 from retentia.llm.vectors import usable
 
@@ -131,3 +131,21 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double"))
     whole = vectors.select("vec_id", F.when(usable("embedding"), scaled).alias("embedding"))
     return topk.top_k(whole, F.col("vec_id") % 100 == 0)
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cross-entropy difference between the good documents' model and that of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels")
+    good = labels.filter("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
+    models = lm_score.Models.fit(docs.join(good, "doc_id", "left"))
+    return lm_score.score(docs, models).drop("text")
+
+
+@query("op6_html_main_text")
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    got = html_text.extract(pages, html_text.fit(pages))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
