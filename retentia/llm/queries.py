@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def _tokenizer() -> tuple[bytes, str]:
+def tokenizer() -> tuple[bytes, str]:
     """The rank file and the splitting pattern of the public tokenizer that the BPE query uses."""
     import public_tokenizers
 
@@ -41,7 +41,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bpe_roundtrip")
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's BPE ids and the bytes they decode to, as digests."""
-    ranks, pattern = _tokenizer()
+    ranks, pattern = tokenizer()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, ranks, pattern).select("doc_id", "ids")
     return bpe.decode(ids, ranks).select(
