@@ -1,15 +1,81 @@
-"""The corpus pipeline: a chain of training-data operators over ``documents``."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, source mix, tokens.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
+``documents``.  ``run`` chains them over the whole table.  A row without a doc_id cannot be told from another such
+row: the stages that decide by id leave it in place.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from retentia.llm import bpe, langid, mixing, ngram_join, substring
+from retentia.llm.queries import tokenizer
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: SQL cannot express compression, MinHash bands, gear hashes or BPE; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; a missing ``lang`` becomes the language found."""
+    teach = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    found = langid.predict(docs.select(COLUMNS), langid.Model.fit(teach)).filter(~F.col("rejected"))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more."""
+    docs = docs.select(COLUMNS)
+    kept = ngram_join.jaccard_join(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    copies = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    one_each = (docs.join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(copies))
+                .filter("_copy = 1").select(COLUMNS))
+    return one_each.union(docs.filter("doc_id IS NULL"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every passage in the first document that has it only; documents of which nothing is left go."""
+    done = substring.dedup(docs.select(COLUMNS)).filter("removed_words = 0 OR trim(text) <> ''")
+    changed = F.col("removed_words") > 0
+    return done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, each as often as the mix takes it; the one at a source's cut goes in if half of it does."""
+    sized = docs.select(*COLUMNS, mixing.word_count("text").alias("_size"))
+    mixed = mixing.mix(sized, key=["doc_id", "n_chars"], size="_size")
+    copies = F.floor(F.col("taken") / F.col("_size") + 0.5).cast("int")
+    return (mixed.filter("taken > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' BPE ids, and whether decoding gives back the text."""
+    ranks, pattern = tokenizer()
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
+    back = bpe.decode(ids, ranks)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("tokens", tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage is written to the shared checkpoint folder before the next reads it."""
+    from retentia.llm.common import cut_lineage
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
     return docs
