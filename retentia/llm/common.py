@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from retentia.session import ensure_checkpoint_dir
 
@@ -27,6 +28,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few short columns that a task may hold in memory.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, counted; to be broadcast if it has at most ``rows`` rows, else joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores in front until it clashes with none of ``taken`` (case-insensitive)."""
     low = {t.lower() for t in taken}

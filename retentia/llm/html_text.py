@@ -9,8 +9,10 @@ contradiction: a node is kept only together with all that it stands in.
 No labelled pages are given, so the trees learn from what pages say about themselves: text inside an article or main
 element, or one with such an attribute token, and outside navigation, footers, asides, forms, adverts, notices and
 comments, is main text; on a page without such an element, long running text outside those is.  Each sampled node
-is learned twice, once without the features of element names and attribute tokens, so that the trees also know main
-text by its form.  Fitting reads a bounded sample of pages, drawn by hash over all of them.
+is learned in four ways: as it is; without the features of element names and attribute tokens, so that the trees also
+know main text by its form; with some links in main text; and, whatever its form, as something that stands in an
+aside or an element with such a token, which is never main text.  Fitting reads a bounded sample of pages, drawn by
+hash over all of them.
 
 Text: character references decoded, white space inside a leaf as one space, trimmed; leaves in page order, joined
 by one space.  Defined cases: a null or empty page has empty text; broken markup is read as far as it goes, unclosed
@@ -278,9 +280,16 @@ def fit(pages: DataFrame, page: str = "html", fit_pages: int = FIT_PAGES) -> Boo
     sample = rows.withColumn("draw", draw).filter(F.col("draw") * n <= fit_pages).mapInArrow(run, "draw double, y double, x array<double>")
     got = sample.orderBy("draw", "y", "x").collect()  # about fit_pages x FIT_NODES rows
     x, y = np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got])
-    plain = x.copy()
+    at = FEATURES.index
+    rng = np.random.Generator(np.random.PCG64(17))
+    plain, linked, off = x.copy(), x.copy(), x.copy()
     plain[:, NAMED:] = 0
-    return Boosted.fit(np.concatenate([x, plain]), np.concatenate([y, y]))
+    main = y > 0
+    linked[main, at("link share")] = rng.uniform(0, 0.4, int(main.sum()))
+    which = rng.integers(0, 4, len(x))
+    for k, name in enumerate(("aside", "bad tokens", "in aside", "in bad")):
+        off[which == k, at(name)] = 1
+    return Boosted.fit(np.concatenate([x, plain, linked, off]), np.concatenate([y, y, y, np.zeros(len(y))]), trees=60)
 
 
 def extract(df: DataFrame, model: Boosted, page: str = "html", out: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentia.llm.common import fresh, text_steps, texts_of
+from retentia.llm.common import cut_lineage, fresh, small_side, text_steps, texts_of
 
 UNDETERMINED = "und"
 BLOCK_CHARS = 4096
@@ -52,7 +52,7 @@ class Model:
             docs_per_language: int = 160, chars_per_doc: int = 600) -> Model:
         rows = (labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
                 .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
-        counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+        counts = small_side(cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n"))))  # one row a language
         # a hash below the language's rate: as many documents on average, whatever the table's size
         span = float(1 << 31)
         draw = F.pmod(F.xxhash64("text"), F.lit(1 << 31)) / F.lit(span)

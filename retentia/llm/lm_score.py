@@ -1,15 +1,20 @@
 """Language-model scoring by cross-entropy difference (operator 2).
 
-Two bigram models, one of the target documents and one of all documents, share one vocabulary: words and word pairs
-hashed into ``WORD_SLOTS`` and ``PAIR_SLOTS`` slots.  The models are matched: same order, same slots, same smoothing,
-and the background's counts are scaled to the target's number of tokens.  A pair's probability is its count, backed
-by ``BACKOFF`` counts of the word's own probability.  A document's score is the mean over its tokens of the loss under
-the target model less the loss under the background model; the lower, the more the document is like the target.
+Two bigram models, one of the target documents and one of all documents, share one vocabulary: the words that make
+up ``WORD_SHARE`` of all tokens or more, at least two of them, and a class for each shape of the others.  The models
+are matched: same order, same vocabulary, same pairs, same smoothing, and the background's counts are scaled to the
+target's number of tokens.  Pairs of that vocabulary that make up ``PAIR_SHARE`` of all tokens or more have counts of
+their own; the rest of a context's mass goes to its pairs by the words' own probabilities.  A document's score is the
+mean over its tokens of the loss under the target model less the loss under the background model; the lower, the
+more the document is like the target.  A document's own tokens are taken out of the counts before it is scored, so
+that neither model knows it by heart.
 
-Counts cover every token of every document.  A task adds up its own slots, one row for each slot that it met goes
-into the sum over all tasks, and what is sent to the scoring tasks has a fixed size: one pair of numbers a slot.
+Counts cover every token of every document: a task adds up its own words (then pairs), and one row for each goes into
+the sums over all tasks.  A share bounds the number of words and pairs that are sent to the scoring tasks, whatever
+the input: at most 1 / share of them can have it.
 
-Words: lower case, split at white space.  Defined cases: a text that is null or has no word has 0 tokens and null
+Words: runs of letters, digits and underscores as they stand, and every other mark by itself, so that the models also
+see how a text is punctuated and spelt.  Defined cases: a text that is null or has no word has 0 tokens and null
 losses and score; without target documents, or without words in them, all scores are null; rows that share an id
 are counted and scored each by itself; a null flag is no target; an empty table gives an empty result; other
 columns pass unchanged.
@@ -17,106 +22,244 @@ columns pass unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentia.llm.common import fresh, text_steps, texts_of
-from retentia.llm.ngram_join import _mix, _WordHash
+from retentia.llm.common import cut_lineage, fresh, text_steps, texts_of
 
-WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 20
-SLOTS = WORD_SLOTS + PAIR_SLOTS
-BACKOFF, ADD = 2.0, 0.1
-#: Stands before a document's first word.
-_START = np.uint64(0x5851F42D4C957F2D)
+#: Least shares of all tokens of a word of the vocabulary and of a pair with its own count.
+WORD_SHARE, PAIR_SHARE = 2e-5, 2e-6
+#: Share of a word's probability that is equal for all words; counts that every context adds for words it has not seen.
+UNIFORM, UNSEEN = 0.01, 5.0
+#: Different keys that a task adds up before it passes them on.
+HELD_KEYS = 500_000
 
+#: A word, or one mark.
+_TOKENS = re.compile(r"\w+|[^\w\s]").findall
+#: Ids of the classes of words outside the vocabulary come first, then a document's start, then the vocabulary.
+_SHAPES = 2 * 6
+_START, _FIRST_WORD = _SHAPES, _SHAPES + 1
 
-def slots_of(texts: list[str], hashes: _WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens, text after text: the word's slot, the slot of the word before, the pair's slot; and the words of each text."""
-    words = [t.lower().split() for t in texts]
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode()) >> 1  # fits a signed number
+
+
+def shape_of(word: str) -> int:
+    """The class of a word outside the vocabulary."""
+    kind = 0 if word.isdigit() else 1 if word.isupper() else 2 if word.istitle() else 3 if word.islower() else 4 if word.isalnum() else 5
+    return kind + 6 * (not word.isascii())
+
+
+class _Memo(dict):
+    """Remembers ``fn`` of up to 300,000 words."""
+
+    def __init__(self, fn: Callable[[str], int]) -> None:
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = out = self.fn(word)
+        return out
+
+
+def tokens_of(texts: list[str], memo: _Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each token, text after text, and how many each text has."""
+    words = [_TOKENS(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(sizes.sum()))
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[first] = _START
-    with np.errstate(over="ignore"):
-        pair = _mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
-    slot = lambda x, n: (x & np.uint64(n - 1)).astype(np.int64)
-    return slot(h, WORD_SLOTS), slot(before, WORD_SLOTS), WORD_SLOTS + slot(pair, PAIR_SLOTS), sizes
-
-
-def count_slots(df: DataFrame, text: str, target: str) -> DataFrame:
-    """(slot, target, background): how often each slot stands in the target documents and in all."""
+    get = memo.__getitem__
+    return np.fromiter((get(w) for ws in words for w in ws), np.int64, int(sizes.sum())), sizes
+
+
+def befores(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The id before each token, the start's for a text's first one."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
+    return out
+
+
+#: Stands for all tokens among the keys that a count gives back.
+_ALL = -1
+
+
+def _sums(df: DataFrame, text: str, target: str, make: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(key, target, background): how often each key stands in the target documents and in all; and ``_ALL`` of them.
+
+    ``make()`` gives what turns texts into keys and the text that each belongs to.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHash()
-        counts = np.zeros((2, SLOTS), np.int64)
+        keys_of, held = make(), [np.zeros(0, np.int64)] * 3
+
+        def out() -> pa.RecordBatch:
+            total = [np.array([x]) for x in (_ALL, held[1].sum(), held[2].sum())]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(held, total)], names=["key", "target", "background"])
+
         for batch in batches:
             for part in text_steps(batch, "text"):
-                word, _, pair, sizes = slots_of(texts_of(part, "text"), hashes)
-                own = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
-                for at in (word, pair):
-                    counts[1] += np.bincount(at, minlength=SLOTS)
-                    counts[0] += np.bincount(at[own], minlength=SLOTS)
-        met = np.flatnonzero(counts[1])
-        for lo in range(0, len(met), 100_000):
-            s = met[lo:lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[0, s]), pa.array(counts[1, s])], names=["slot", "target", "background"])
+                keys, owner = keys_of(texts_of(part, "text"))
+                own = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+                known, index = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
+                add = lambda old, new: np.bincount(index, np.concatenate([old, new]), len(known)).astype(np.int64)  # noqa: E731, B023
+                held = [known, add(held[1], own), add(held[2], np.ones(len(keys), np.int64))]
+                if len(known) > HELD_KEYS:
+                    yield out()
+                    held = [np.zeros(0, np.int64)] * 3
+        yield out()
 
     flagged = df.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    partial = flagged.mapInArrow(run, "slot int, target long, background long")
-    return partial.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    partial = flagged.mapInArrow(run, "key long, target long, background long")
+    return partial.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _frequent(sums: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys that stand at least twice and make up ``share`` of all or more, and their two counts."""
+    twice = cut_lineage(sums.filter("background >= 2"))
+    total = twice.filter(F.col("key") == _ALL).first()
+    got = twice.filter((F.col("key") != _ALL) & (F.col("background") >= share * (total.background if total else 0))).toArrow()  # 1 / share rows at most
+    keys = got.column("key").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], np.stack([got.column(c).to_numpy()[order] for c in ("target", "background")]).astype(np.float64)
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """The words that both models know, as sorted hashes."""
+
+    words: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return _FIRST_WORD + len(self.words)
+
+    def id_of(self, word: str) -> int:
+        h = word_hash(word)
+        k = int(np.searchsorted(self.words, h))
+        return _FIRST_WORD + k if k < len(self.words) and self.words[k] == h else shape_of(word)
 
 
 @dataclass(frozen=True)
 class Models:
-    """Counts of the slots in the target and, scaled to the same size, in the background: 2 x ``SLOTS`` numbers."""
+    """Both models: counts of ids (a start is counted as a context only) and of pairs, rows target and background."""
 
-    counts: np.ndarray
+    vocabulary: Vocabulary
+    counts: np.ndarray  # 2 x ids
+    pairs: np.ndarray  # sorted keys: id before * ids + id
+    pair_counts: np.ndarray  # 2 x pairs
 
     @classmethod
     def fit(cls, df: DataFrame, text: str = "text", target: str = "target") -> Models:
-        got = count_slots(df, text, target).toArrow()  # at most SLOTS rows
-        counts = np.zeros((2, SLOTS))
-        slot = got.column("slot").to_numpy()
-        counts[0, slot], counts[1, slot] = got.column("target").to_numpy(), got.column("background").to_numpy()
-        sizes = counts[:, :WORD_SLOTS].sum(axis=1)
-        if sizes[1]:
-            counts[1] *= sizes[0] / sizes[1]
-        return cls(counts.astype(np.float32))
-
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Negative log probability of each token under the target and the background model."""
+        def owners(sizes: np.ndarray) -> np.ndarray:
+            return np.repeat(np.arange(len(sizes)), sizes)
+
+        def hashes():
+            memo = _Memo(word_hash)
+
+            def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                found, sizes = tokens_of(texts, memo)
+                return found, owners(sizes)
+            return keys
+
+        vocabulary = Vocabulary(_frequent(_sums(df, text, target, hashes), WORD_SHARE)[0])
+        held = df.sparkSession.sparkContext.broadcast(vocabulary)  # 1 / WORD_SHARE numbers at most
+
+        def ids():
+            memo = _Memo(held.value.id_of)
+
+            def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                found, sizes = tokens_of(texts, memo)
+                begun = np.flatnonzero(sizes)
+                return np.concatenate([found, np.full(len(begun), _START)]), np.concatenate([owners(sizes), begun])
+            return keys
+
+        def pair_keys():
+            memo, n = _Memo(held.value.id_of), held.value.size
+
+            def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                found, sizes = tokens_of(texts, memo)
+                return befores(found, sizes) * n + found, owners(sizes)
+            return keys
+
+        by_id = _sums(df, text, target, ids).filter(F.col("key") != _ALL).toArrow()  # one row an id
+        counts = np.zeros((2, vocabulary.size))
+        for row, name in enumerate(("target", "background")):
+            counts[row, by_id.column("key").to_numpy()] = by_id.column(name).to_numpy()
+        pairs, pair_counts = _frequent(_sums(df, text, target, pair_keys), PAIR_SHARE)
+        return cls(vocabulary, counts, pairs, pair_counts)
+
+    @cached_property
+    def totals(self) -> np.ndarray:
+        """Tokens of each model."""
+        return self.counts.sum(axis=1) - self.counts[:, _START]
+
+    @cached_property
+    def in_pairs(self) -> np.ndarray:
+        """How often each id stands before a pair's second word, in pairs with counts of their own."""
+        n = self.vocabulary.size
+        return np.stack([np.bincount(self.pairs // n, c, n) for c in self.pair_counts])
+
+    def losses(self, ids: np.ndarray, sizes: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Negative log probability of each token under the target and the background model, without its own text.
+
+        Texts one after another, of ``sizes`` tokens; ``target`` tells which of them the target model has counted.
+        """
+        n, text = self.vocabulary.size, np.repeat(np.arange(len(sizes)), sizes)
+        before = befores(ids, sizes)
+        key = before * n + ids
+        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
+        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
+        own = lambda k: np.unique(k, return_inverse=True, return_counts=True)[1:]
+        (w, w_own), (b, b_own), (p, p_own) = own(text * n + ids), own(text * n + before), own((text * n + before) * n + ids)
+        own_in_pairs = np.bincount(b, known, len(b_own))[b]
+        share = (np.repeat(target, sizes).astype(np.float64), np.ones(len(ids)))
+        scale = (1.0, self.totals[0] / max(1.0, self.totals[1]))
         out = []
-        for c in self.counts:
-            alone = (c[word] + ADD) / (c[:WORD_SLOTS].sum(dtype=np.float64) + ADD * WORD_SLOTS)
-            pairs = c[pair]
-            out.append(-np.log((pairs + BACKOFF * alone) / (np.maximum(c[before], pairs) + BACKOFF)))
-        return np.stack(out).astype(np.float64)
+        for row in range(2):
+            def less(counted: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+                return np.maximum(counted - share[row] * of_text, 0) * scale[row]  # noqa: B023
+
+            total = np.maximum(less(self.totals[row], sizes[text]), 1.0)
+            alone = (1 - UNIFORM) * less(self.counts[row, ids], w_own[w]) / total + UNIFORM / n
+            pair = np.where(known, less(self.pair_counts[row, at], p_own[p]), 0.0) if len(self.pairs) else 0.0
+            whole, in_pairs = less(self.counts[row, before], b_own[b]), less(self.in_pairs[row, before], own_in_pairs)
+            out.append(-np.log((pair + (np.maximum(whole - in_pairs, 0) + UNSEEN) * alone) / (np.maximum(whole, in_pairs) + UNSEEN)))
+        return np.stack(out)
+
 
+def score(df: DataFrame, models: Models, text: str = "text", target: str = "target") -> DataFrame:
+    """``df`` with ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` (their mean difference a token).
 
-def score(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` (their mean difference a token)."""
+    ``df`` is what the models were fitted on: every row's own tokens are in the background's counts, and those of a
+    row flagged by ``target`` in the target's.
+    """
     names = [fresh(n, df.columns) for n in ("n_tokens", "target_loss", "background_loss", "score")]
     kinds = (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
-    held = df.sparkSession.sparkContext.broadcast(models)  # 2 x SLOTS numbers, whatever the input
-    known = bool(models.counts[0].any())
+    held = df.sparkSession.sparkContext.broadcast(models)  # bounded by the shares
+    known = bool(models.totals[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, m = _WordHash(), held.value
+        m = held.value
+        memo = _Memo(m.vocabulary.id_of)
         for batch in batches:
             for part in text_steps(batch, text):
-                word, before, pair, sizes = slots_of(texts_of(part, text), hashes)
+                ids, sizes = tokens_of(texts_of(part, text), memo)
+                own = np.array([bool(x) for x in part.column(part.schema.get_field_index(target)).to_pylist()], bool)
                 empty = (sizes == 0) | (not known)
                 sums = np.zeros((2, len(sizes)))
-                if len(word):
-                    total = np.concatenate([np.zeros((2, 1)), np.cumsum(m.losses(word, before, pair), axis=1)], axis=1)
+                if len(ids):
+                    total = np.concatenate([np.zeros((2, 1)), np.cumsum(m.losses(ids, sizes, own), axis=1)], axis=1)
                     ends = np.cumsum(sizes)
                     sums = (total[:, ends] - total[:, ends - sizes]) / np.maximum(sizes, 1)
                 cols = [pa.array(sizes), *[pa.array(x, mask=empty) for x in (sums[0], sums[1], sums[0] - sums[1])]]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import bpe, embed_dedup, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk
-from retentia.llm.common import cut_lineage, read_table
+from retentia.llm.common import cut_lineage, read_table, small_side
 from retentia.llm.vectors import usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,8 +139,8 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels")
     good = labels.filter("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    models = lm_score.Models.fit(docs.join(good, "doc_id", "left"))
-    return lm_score.score(docs, models).drop("text")
+    flagged = docs.join(small_side(good), "doc_id", "left")
+    return lm_score.score(flagged, lm_score.Models.fit(flagged)).drop("text", "target")
 
 
 @query("op6_html_main_text")
