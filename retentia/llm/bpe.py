@@ -89,20 +89,20 @@ class PieceQueue:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two neighbours make, -1 if there is none."""
-        key = left * PAIR + right
+        key = left.astype(np.int64) * PAIR + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], -1)
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(sizes.sum())
-        token = np.full(n + 1, -1, np.int64)  # the last place stands for "none"
+        token = np.full(n + 1, -1, np.int32)  # the last place stands for "none"
         token[:n] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         ends = np.cumsum(sizes) - 1
         after[ends], before[ends - sizes + 1] = n, n
-        due = np.full(n + 1, -1, np.int64)
+        due = np.full(n + 1, -1, np.int32)
         due[:n] = self.rank_of(token[:n], token[after[:n]])
         top, words, buckets = 0, {}, {}
 
@@ -169,7 +169,7 @@ class Bpe:
         self.tokens = {r: t for t, r in ranks.items()}
         self.plain = regex.compile(r"\s\s|^\s|\s$").search  # whitespace that a split at spaces would part
         self.memo: dict[str, bytes] = {}
-        byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.queue = PieceQueue(_pairs(ranks), byte_ids)
 
     def long_piece(self, data: bytes) -> list[int]:
@@ -250,17 +250,19 @@ class Bpe:
         whose white space is such is cut at its spaces.  What stands behind a space repeats often and is
         remembered; after a batch only what that batch had stays, if there is too much of it.
         """
-        heads, tails = [], []  # the part before the first space, and those behind spaces
-        for t in texts:
-            head, *tail = [t] if self.plain(t) else t.split(" ")
-            heads.append(head)
-            tails.append(tail)
+        whole = [bool(self.plain(t)) for t in texts]
+        heads, seen = set(), set()  # what stands before a text's first space, and what stands behind spaces
+        for t, w in zip(texts, whole):
+            head, *tail = [t] if w else t.split(" ")
+            heads.add(head)
+            seen.update(tail)
         memo, first = self.memo, {}
-        seen = set(chain.from_iterable(tails))
         self.learn(seen.difference(memo), " ", memo)
-        self.learn(set(heads), "", first)
-        behind = memo.__getitem__
-        out = [b"".join([first[h], *map(behind, t)]) for h, t in zip(heads, tails)]
+        self.learn(heads, "", first)
+        behind, out = memo.__getitem__, []
+        for t, w in zip(texts, whole):  # split again rather than hold all parts of all texts
+            head, *tail = [t] if w else t.split(" ")
+            out.append(b"".join([first[head], *map(behind, tail)]))
         if len(memo) > MEMO_ENTRIES:
             self.memo = {s: memo[s] for s in seen if len(s) <= MEMO_CHARS}
         return out
@@ -283,8 +285,8 @@ def _pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
                 made.append(rank)
     order = np.argsort(np.array(keys, np.int64)) if keys else np.zeros(0, np.int64)
     if not keys:
-        return np.array([-1]), np.array([-1])
-    return np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+        return np.array([-1]), np.array([-1], np.int32)
+    return np.array(keys, np.int64)[order], np.array(made, np.int32)[order]
 
 
 _LOADED: dict[tuple[int, str], Bpe] = {}
@@ -299,11 +301,25 @@ def _bpe(data: bytes, pattern: str) -> Bpe:
     return _LOADED[key]
 
 
-def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the column ``ids`` (array of int; underscores in front if the name is taken)."""
-    ids = fresh(ids, df.columns)
+def _decoded(ids: np.ndarray, lengths: list[int], tokens: dict[int, bytes]) -> list[bytes]:
+    """The bytes of each list of ids; the lists stand one after another."""
+    token, at, out = tokens.__getitem__, 0, []
+    for n in lengths:
+        out.append(b"".join(map(token, ids[at:at + n].tolist())))
+        at += n
+    return out
+
+
+def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with the column ``ids`` (array of int) and, if ``decoded`` names it, what the ids decode to (binary).
+
+    A new column whose name is taken gets underscores in front.
+    """
+    new = [T.StructField(fresh(ids, df.columns), T.ArrayType(T.IntegerType(), False), False)]
+    if decoded:
+        new.append(T.StructField(fresh(decoded, [*df.columns, new[0].name]), T.BinaryType(), False))
     data = df.sparkSession.sparkContext.broadcast(rank_file)  # a vocabulary: below 1 MB
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    schema = T.StructType([*df.schema.fields, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(data.value, pattern)
@@ -311,9 +327,11 @@ def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", id
             for part in text_steps(batch, text, ENCODE_BYTES):
                 with no_cycle_search():
                     got = bpe.encode_all(texts_of(part, text))
-                flat = np.frombuffer(b"".join(got), np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, list_array(flat, [len(x) // 4 for x in got], pa.int32())],
-                                                 names=[*part.schema.names, ids])
+                flat, lengths = np.frombuffer(b"".join(got), np.int32), [len(x) // 4 for x in got]
+                cols = [list_array(flat, lengths, pa.int32())]
+                if decoded:
+                    cols.append(pa.array(_decoded(flat, lengths, bpe.tokens), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
@@ -325,12 +343,13 @@ def decode(df: DataFrame, rank_file: bytes, ids: str = "ids", out: str = "decode
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {r: t for t, r in load_ranks(data.value).items()}.__getitem__
+        tokens = {r: t for t, r in load_ranks(data.value).items()}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                lists = part.column(part.schema.get_field_index(ids)).to_pylist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b"".join(map(token, x or [])) for x in lists], pa.binary())],
-                                                 names=[*part.schema.names, out])
+                lists = part.column(part.schema.get_field_index(ids))
+                lengths = lists.value_lengths().fill_null(0).to_pylist()
+                got = _decoded(lists.flatten().to_numpy(zero_copy_only=False), lengths, tokens)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, schema)

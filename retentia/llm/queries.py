@@ -43,8 +43,7 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's BPE ids and the bytes they decode to, as digests."""
     ranks, pattern = tokenizer()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, pattern).select("doc_id", "ids")
-    return bpe.decode(ids, ranks).select(
+    return bpe.encode(docs, ranks, pattern, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
