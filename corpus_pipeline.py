@@ -54,8 +54,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' BPE ids, and whether decoding gives back the text."""
     ranks, pattern = tokenizer()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
-    back = bpe.decode(ids, ranks)
+    back = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
