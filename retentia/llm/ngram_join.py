@@ -252,9 +252,10 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     signed = cut_lineage(signatures(df, key, text, bands, rows, words))
     classes = cut_lineage(signed.filter("n > 0").groupBy("d0", "d1")
                           .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    spread = classes.select("rep", "copies", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
+    spread = classes.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
-    met = tiles(spread.join(shared, "bucket"), tile_classes, "rep", "weight", TILE_SHINGLES)
+    members = spread.join(shared, "bucket").join(classes.select("rep", "copies", "bands"), "rep")
+    met = tiles(members, tile_classes, "rep", "weight", TILE_SHINGLES)
     needed = cut_lineage(map_groups(met.select("bucket", "ta", "tb", "tile", "band", "rep", "copies", "bands"), ["bucket", "ta", "tb"], [], _needed,
                                     f"bucket long, ta int, tb int, tile int, band int, rep {kind}, copies long, bands array<long>"))
     texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(needed.select("rep").distinct(), "rep", "left_semi")
