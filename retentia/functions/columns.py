@@ -72,9 +72,11 @@ def round6(c: str | Column) -> Column:
 
 
 def round_to(c: str | Column, digits: int) -> Column:
-    c = col(c)
+    """Rounded, or as it is where that cannot be: null, NaN, infinite, or too large to have such decimals (2**53)."""
+    c = col(c).cast("double")
     m = float(10 ** digits)
-    return F.floor(c * F.lit(m) + F.lit(ROUND_OFFSET)) / F.lit(m)
+    fits = F.abs(c) * F.lit(m) < F.lit(2.0 ** 53)  # false for NaN, which Spark orders above every number
+    return F.when(fits, F.floor(c * F.lit(m) + F.lit(ROUND_OFFSET)) / F.lit(m)).otherwise(c)
 
 
 def score9(c: str | Column) -> Column:

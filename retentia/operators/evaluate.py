@@ -1,9 +1,10 @@
 """Evaluation of churn scores against labels.
 
-Everything is one pass over the scored rows into small aggregates: counts of
-the confusion matrix, and per score bucket (scores rounded to 4 decimals, at
-most 10,001 buckets) the positives and negatives.  ROC-AUC and the cost curve
-are computed from those buckets, so no step sorts the row-level data.
+Rows are first counted per exact score (partial aggregate, one row a score and
+task).  Running counts over the scores come in two steps that no single task
+has to do alone: a running sum inside each of 10,000 score ranges, and the
+ranges' own totals before it.  ROC-AUC is exact, ties counting one half; the
+cost curve counts scores on either side of each threshold as they are.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.functions.columns import round_to
-
 
 def _pred(score: str, threshold: float) -> Column:
     return F.col(score) > F.lit(threshold)
@@ -41,54 +40,52 @@ def metric_columns() -> dict[str, Column]:
     }
 
 
-def score_buckets(df: DataFrame, score: str, label: str, by: list[str] | None = None,
-                  threshold: float = 0.5) -> DataFrame:
-    """Per 4-decimal score bucket (and segment): rows, positives, negatives and confusion counts.
+#: Score ranges over which running counts are spread; a number of tasks, not of digits.
+RANGES = 10_000
 
-    At most 10,001 buckets per segment, whatever the row count: everything
-    downstream works on this small table, after one pass over the rows.
-    """
+
+def score_counts(df: DataFrame, score: str, label: str, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """Per exact score (and segment): rows, positives, negatives and confusion counts, and the score's range."""
     by = by or []
     y, p = F.col(label) == 1, _pred(score, threshold)
-    return df.groupBy(*by, round_to(score, 4).alias("bucket")).agg(
+    place = F.least(F.greatest(F.floor(F.col("score") * RANGES), F.lit(0)), F.lit(RANGES - 1))
+    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(y).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
         F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"),
-        F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
+        F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn")).withColumn("range", F.coalesce(place, F.lit(0)))
 
 
-def _with_neg_below(buckets: DataFrame, by: list[str]) -> DataFrame:
-    # Running sums over the bucket table (per segment): bounded by 10,001 rows per segment.
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    return buckets.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+def _with_neg_below(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Negatives with a lower score: those of the ranges before, and a running sum inside the score's own range."""
+    inside = Window.partitionBy(*by, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("range") \
+        .rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a segment
+    totals = counts.groupBy(*by, "range").agg(F.sum("neg").alias("_neg"))
+    offsets = totals.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("range").alias("_range"),
+                            F.coalesce(F.sum("_neg").over(ranges), F.lit(0)).alias("_before"))
+    same = F.col("range") == F.col("_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return (counts.withColumn("_inside", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(offsets, same)
+            .withColumn("neg_below", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_range", *[f"_{c}" for c in by]))
 
 
 def _auc(num: Column, p: Column, n: Column) -> Column:
-    return F.try_divide(num, p * n)
-
-
-def auc_from_buckets(buckets: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """ROC-AUC = P(score+ > score-) + 0.5 P(tie), from bucket counts (running sums over buckets)."""
-    by = by or []
-    b = _with_neg_below(buckets, by)
-    agg = b.groupBy(*by).agg(
-        F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))).alias("_num"),
-        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return agg.select(*by, _auc(F.col("_num"), F.col("_p"), F.col("_n")).alias("roc_auc"))
+    return F.try_divide(num, p.cast("double") * n.cast("double"))
 
 
 def evaluate(pred: DataFrame, score: str = "churn_risk_score", label: str = "churned",
              threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """L8 (and L13 with ``by``): accuracy, precision, recall, F1 (0 on zero division), ROC-AUC, confusion.
 
-    One pass over the rows into the bucket table, one window over the buckets,
-    one final aggregate.
+    One pass over the rows into counts per score, running counts over the
+    scores, one final aggregate.
     """
     by = by or []
-    b = _with_neg_below(score_buckets(pred, score, label, by, threshold), by)
+    b = _with_neg_below(score_counts(pred, score, label, by, threshold), by)
     conf = b.groupBy(*by).agg(
         F.sum("n").alias("rows"), *[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")],
-        _auc(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))), F.sum("pos"), F.sum("neg"))
+        _auc(F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))), F.sum("pos"), F.sum("neg"))
         .alias("roc_auc"))
     return conf.select(*by, "rows", "tp", "fp", "tn", "fn", *[c.alias(n) for n, c in metric_columns().items()],
                        "roc_auc")
@@ -140,17 +137,24 @@ def cost_curve(pred: DataFrame, score: str = "churn_risk_score", label: str = "c
                fp_cost: float = 5.0, steps: int = 100) -> DataFrame:
     """Expected cost at thresholds 0, 1/steps, ..., 1 (positive when score >= t) and the best one.
 
-    Works on the bucketed counts; the threshold grid is exploded on that small
-    aggregate, never on the rows, and the cheapest threshold (lowest on ties)
-    is ranked within the (steps + 1)-row curve.
+    A row's place among the thresholds is the number of them that its score
+    reaches (compared as they are, not rounded); rows are counted by place, and
+    the thresholds are joined to these steps + 2 rows at most.  The cheapest
+    threshold is the lowest on ties.
     """
-    buckets = score_buckets(pred, score, label)
-    grid = F.explode(F.array(*[F.lit(k / steps) for k in range(steps + 1)])).alias("threshold")
-    x = buckets.select("bucket", "pos", "neg", grid)
-    above = F.col("bucket") >= F.col("threshold")
-    curve = x.groupBy("threshold").agg(
+    value = F.col(score).cast("double")
+    guess = F.least(F.greatest(F.floor(value * steps), F.lit(0)), F.lit(steps))
+    at = lambda k: k / F.lit(float(steps))
+    place = (F.when(value < 0, 0).when(at(guess) > value, guess)  # rounding may put the guess one off, either way
+             .when((guess < steps) & (at(guess + 1) <= value), guess + 2).otherwise(guess + 1))
+    counts = pred.filter(value.isNotNull()).groupBy(place.alias("reached")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    x = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
+    above = F.col("reached") > F.col("k")
+    curve = x.groupBy("k").agg(
         F.sum(F.when(~above, F.col("pos")).otherwise(0)).alias("false_negatives"),
         F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("false_positives"),
-    ).withColumn("expected_cost", F.col("false_negatives") * F.lit(fn_cost) + F.col("false_positives") * F.lit(fp_cost))
-    rank = F.row_number().over(Window.orderBy("expected_cost", "threshold"))
+    ).select(at(F.col("k")).alias("threshold"), "false_negatives", "false_positives",
+             (F.col("false_negatives") * F.lit(fn_cost) + F.col("false_positives") * F.lit(fp_cost)).alias("expected_cost"))
+    rank = F.row_number().over(Window.orderBy("expected_cost", "threshold"))  # steps + 1 rows
     return curve.withColumn("is_best", rank == 1)

@@ -1,8 +1,8 @@
 """A/B experiment operators.
 
-Group assignment and outcome draws are hashes of ``(test, player_id)``, not
-``rand()``: the split is reproducible, independent of partitioning, and a
-recomputed task after an executor loss draws the same values.  All test
+Group assignment is a hash of ``(test, player_id)``, not ``rand()``: the split
+is reproducible, independent of partitioning, and a recomputed task after an
+executor loss draws the same values.  Outcomes are observed columns.  All test
 statistics come from one global aggregate (four counts), then column
 arithmetic on that single row: no data reaches the driver.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.functions.columns import round_to
 from retentia.functions.hashing import unit_hash
 from retentia.functions.stats import chi2_sf_dof1, two_sided_p, z_quantile
 from retentia.operators.segments import sample_players
@@ -48,22 +47,18 @@ def base_churn(df: DataFrame) -> Column:
     return F.lit(DEFAULT_BASE_CHURN)
 
 
-def expected_effect(df: DataFrame, test: str, intervention: str, effect_size: float = 0.15,
-                    key: str = "player_id") -> DataFrame:
-    """Treatment churn probability x the intervention's multiplier (else 1 - effect), and the outcome.
+def expected_effect(df: DataFrame, test: str, intervention: str, effect_size: float = 0.15) -> DataFrame:
+    """``expected_churn_prob``: in the treatment group the base probability times the intervention's multiplier.
 
-    ``simulated_churned`` is a Bernoulli draw made deterministic: a hash of
-    ``(test, 'outcome', player)`` below the probability.  (The source adds
-    Gaussian noise before the draw; that simulator step is not reproduced.)
+    An intervention without a multiplier of its own has 1 - ``effect_size``.  What came of the test is observed,
+    not drawn: the statistics below take a column of outcomes.
     """
     g = group_col(test)
     if g not in df.columns:
-        raise ValueError(f"No group assignment found for test: {test}")
+        raise ValueError(f"assign_groups has not been run for test {test!r}: column {g!r} is missing")
     m = INTERVENTION_MULTIPLIERS.get(intervention, 1.0 - effect_size)
-    p = F.when(F.col(g) == "treatment", base_churn(df) * F.lit(m)).otherwise(base_churn(df))
-    df = df.withColumn("simulated_churn_prob", p)
-    draw = unit_hash(test, "outcome", F.col(key))
-    return df.withColumn("simulated_churned", (draw < F.col("simulated_churn_prob")).cast("int"))
+    return df.withColumn("expected_churn_prob",
+                         F.when(F.col(g) == "treatment", base_churn(df) * F.lit(m)).otherwise(base_churn(df)))
 
 
 def prepare_ab_input(df: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
@@ -78,7 +73,7 @@ def prepare_ab_input(df: DataFrame, n: int | None = None, seed: int = 42) -> Dat
 
 
 # ---------------------------------------------------------------- B3-B6 on one aggregate row
-def outcome_counts(df: DataFrame, test: str, outcome: str = "simulated_churned") -> DataFrame:
+def outcome_counts(df: DataFrame, test: str, outcome: str = "churned") -> DataFrame:
     """One row: sizes and churned counts of both groups."""
     g, y = F.col(group_col(test)), F.col(outcome)
     return df.agg(
@@ -128,7 +123,7 @@ def chi_square_columns() -> dict[str, Column]:
     stat = F.when(full, term(a, r1, k1) + term(b, r1, k2) + term(c, r2, k1) + term(d, r2, k2)).otherwise(F.lit(0.0))
     return {
         "chi2_statistic": stat,
-        "chi2_p_value": F.when(full, round_to(chi2_sf_dof1(stat), 5)).otherwise(F.lit(1.0)),
+        "chi2_p_value": F.when(full, chi2_sf_dof1(stat)).otherwise(F.lit(1.0)),
         "chi2_dof": F.when(full, F.lit(1)).otherwise(F.lit(0)),
     }
 
@@ -141,7 +136,7 @@ def z_test_columns(alpha: float = 0.05) -> dict[str, Column]:
     se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.try_divide(F.lit(1.0), cn) + F.try_divide(F.lit(1.0), tn)))
     pc, pt = F.try_divide(cs, cn), F.try_divide(ts, tn)
     z = F.when(se > 0, (pt - pc) / se).otherwise(F.lit(0.0))
-    p = round_to(two_sided_p(z), 5)
+    p = two_sided_p(z)
     half = F.lit(1.96) * se
     return {
         "z_score": z, "z_p_value": p, "significant": p < F.lit(alpha),
@@ -150,7 +145,7 @@ def z_test_columns(alpha: float = 0.05) -> dict[str, Column]:
     }
 
 
-def retention_metrics(df: DataFrame, test: str, outcome: str = "simulated_churned",
+def retention_metrics(df: DataFrame, test: str, outcome: str = "churned",
                       retention_period_days: int = 30) -> DataFrame:
     """B3 as a one-row frame."""
     counts = outcome_counts(df, test, outcome)
@@ -159,7 +154,7 @@ def retention_metrics(df: DataFrame, test: str, outcome: str = "simulated_churne
                          *[c.alias(n) for n, c in retention_columns().items()])
 
 
-def statistical_test(df: DataFrame, test: str, outcome: str = "simulated_churned", alpha: float = 0.05) -> DataFrame:
+def statistical_test(df: DataFrame, test: str, outcome: str = "churned", alpha: float = 0.05) -> DataFrame:
     """B4-B6 as a one-row frame."""
     counts = outcome_counts(df, test, outcome)
     return counts.select(*[c.alias(n) for n, c in {**chi_square_columns(), **z_test_columns(alpha)}.items()],
@@ -168,12 +163,12 @@ def statistical_test(df: DataFrame, test: str, outcome: str = "simulated_churned
 
 # ---------------------------------------------------------------- B7
 def sample_size(baseline: Column, mde: float | Column, alpha: float = 0.05, power: float = 0.8) -> Column:
-    """Required players per group: ceil((z_a + z_b)^2 (p1 q1 + p2 q2) / mde^2), z from the driver."""
+    """Required players per group: ceil((z_a + z_b)^2 (p1 q1 + p2 q2) / mde^2), z from the driver; null for no effect."""
     za, zb = z_quantile(1 - alpha / 2), z_quantile(power)
     m = F.lit(float(mde)) if isinstance(mde, (int, float)) else mde
     p1, p2 = baseline, baseline + m
-    n = F.lit((za + zb) ** 2) * (p1 * (F.lit(1.0) - p1) + p2 * (F.lit(1.0) - p2)) / (m * m)
-    return F.ceil(n)
+    n = F.lit((za + zb) ** 2) * (p1 * (F.lit(1.0) - p1) + p2 * (F.lit(1.0) - p2))
+    return F.ceil(F.try_divide(n, m * m))
 
 
 def sample_size_by(df: DataFrame, segment: str, mdes=(0.02, 0.05, 0.10), label: str = "churned",
@@ -187,10 +182,13 @@ def sample_size_by(df: DataFrame, segment: str, mdes=(0.02, 0.05, 0.10), label:
 
 # ---------------------------------------------------------------- B8 / B9
 def run_ab_test(df: DataFrame, test: str, intervention: str, effect_size: float = 0.15, control_size: float = 0.5,
-                retention_period: int = 30, alpha: float = 0.05, key: str = "player_id") -> DataFrame:
-    """Assign → expected effect and outcome → one result row (``ab_tests``-shaped plus statistics)."""
-    out = expected_effect(assign_groups(df, test, control_size, key), test, intervention, effect_size, key)
-    counts = outcome_counts(out, test)
+                retention_period: int = 30, alpha: float = 0.05, key: str = "player_id", outcome: str = "churned") -> DataFrame:
+    """Assign → count the observed ``outcome`` → one result row (``ab_tests``-shaped plus statistics).
+
+    Groups that are there already (``{test}_group``) are kept, as in a test that has run.
+    """
+    out = df if group_col(test) in df.columns else assign_groups(df, test, control_size, key)
+    counts = outcome_counts(out, test, outcome)
     r, chi, z = retention_columns(), chi_square_columns(), z_test_columns(alpha)
     return counts.select(
         F.lit(test).alias("test_name"), F.lit(intervention).alias("intervention_type"),

@@ -12,23 +12,23 @@ from retentia.plans.registry import query
 S, Y = "churn_risk_score", "churned"
 
 
-def _metrics_sql(by: str | None) -> str:
+def _metrics_sql(by: str | None, before: str = "", table: str = "scored") -> str:
     g = f"{by}, " if by else ""
     grp = f"GROUP BY {by}" if by else ""
     part = f"PARTITION BY {by} " if by else ""
     join = f"JOIN auc USING ({by})" if by else ", auc"
-    return O.with_scored(f"""
+    return O.with_scored(f"""{before}
 , conf AS (SELECT {g}count(*) AS rows,
      count(*) FILTER (WHERE {S} > 0.5 AND {Y} = 1) AS tp, count(*) FILTER (WHERE {S} > 0.5 AND NOT {Y} = 1) AS fp,
      count(*) FILTER (WHERE NOT {S} > 0.5 AND NOT {Y} = 1) AS tn, count(*) FILTER (WHERE NOT {S} > 0.5 AND {Y} = 1) AS fn
-   FROM scored {grp}),
+   FROM {table} {grp}),
 m0 AS (SELECT *, CAST(tp AS DOUBLE) AS dtp, CAST(fp AS DOUBLE) AS dfp, CAST(tn AS DOUBLE) AS dtn,
          CAST(fn AS DOUBLE) AS dfn FROM conf),
 m1 AS (SELECT *, coalesce((dtp + dtn) / nullif(dtp + dfp + dtn + dfn, 0), 0.0) AS accuracy,
          coalesce(dtp / nullif(dtp + dfp, 0), 0.0) AS precision, coalesce(dtp / nullif(dtp + dfn, 0), 0.0) AS recall
        FROM m0),
-bk AS (SELECT {g}{O.rnd(S, 4)} AS bucket, count(*) FILTER (WHERE {Y} = 1) AS pos, count(*) FILTER (WHERE {Y} = 0) AS neg
-       FROM scored GROUP BY {g}{O.rnd(S, 4)}),
+bk AS (SELECT {g}{S} AS bucket, count(*) FILTER (WHERE {Y} = 1) AS pos, count(*) FILTER (WHERE {Y} = 0) AS neg
+       FROM {table} GROUP BY {g}{S}),
 bk2 AS (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
           AS neg_below FROM bk),
 auc AS (SELECT {g}sum(CAST(pos AS DOUBLE) * (CAST(neg_below AS DOUBLE) + CAST(neg AS DOUBLE) * 0.5))
@@ -52,7 +52,8 @@ def q_segment_metrics(spark, sf):
     return ev.segment_metrics(frames.scored(spark, sf), "platform", score=S, label=Y)
 
 
-@query("segment_metrics_spenders", "L13")
+@query("segment_metrics_spenders", "L13", _metrics_sql("spender_tier", """, cut AS (SELECT quantile_disc(monthly_spent, 0.8) AS q FROM scored),
+tiers AS (SELECT scored.*, CASE WHEN monthly_spent >= q THEN 'top_20pct' ELSE 'other' END AS spender_tier FROM scored, cut)""", "tiers"))
 def q_segment_spenders(spark, sf):
     """The evaluation for the top-20 % spenders (approximate percentile) against the rest."""
     return ev.segment_metrics(ev.with_spender_tier(frames.scored(spark, sf)), "spender_tier", score=S, label=Y)
@@ -81,8 +82,8 @@ def q_fairness(spark, sf):
 
 
 @query("cost_threshold", "L16", O.with_scored(f"""
-, bk AS (SELECT {O.rnd(S, 4)} AS bucket, count(*) FILTER (WHERE {Y} = 1) AS pos, count(*) FILTER (WHERE {Y} = 0) AS neg
-         FROM scored GROUP BY {O.rnd(S, 4)}),
+, bk AS (SELECT {S} AS bucket, count(*) FILTER (WHERE {Y} = 1) AS pos, count(*) FILTER (WHERE {Y} = 0) AS neg
+         FROM scored GROUP BY {S}),
 grid AS (SELECT CAST(k AS DOUBLE) / 100.0 AS threshold FROM range(0, 101) t(k)),
 curve AS (SELECT threshold, CAST(coalesce(sum(CASE WHEN bucket < threshold THEN pos ELSE 0 END), 0) AS BIGINT)
             AS false_negatives, CAST(coalesce(sum(CASE WHEN bucket >= threshold THEN neg ELSE 0 END), 0) AS BIGINT)

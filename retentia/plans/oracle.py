@@ -21,7 +21,8 @@ def r6(expr: str) -> str:
 
 def rnd(expr: str, digits: int) -> str:
     m = f"1e{digits}"
-    return f"floor(({expr}) * {m} + {_OFFSET}) / {m}"
+    e = f"CAST({expr} AS DOUBLE)"
+    return f"(CASE WHEN abs({e}) * {m} < 9007199254740992.0 THEN floor({e} * {m} + {_OFFSET}) / {m} ELSE {e} END)"
 
 
 def clip01(expr: str) -> str:
@@ -61,7 +62,7 @@ def spend_segment(expr: str) -> str:
 def unit_hash(*parts: str) -> str:
     """Twin of ``retentia.functions.hashing.unit_hash``; parts are SQL expressions."""
     joined = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(CAST(('0x' || substr(md5({joined}), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"(CAST(('0x' || substr(md5({joined}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
 def _list(values) -> str:
@@ -108,7 +109,7 @@ _EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
 PANEL_CTE = f"""
 ev AS (
   SELECT user_id AS player_id, ts, event_type, value,
-         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id,
          CAST(ts AS DATE) - CAST(isodow(ts) - 1 AS INTEGER) AS week
   FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
 ),
@@ -118,7 +119,7 @@ pw AS (
          min(ts) AS first_ts,
          count(*) AS n,
          avg(value) AS avg_value,
-         arg_max(k, ts) AS last_k,
+         max({{'t': ts, 'e': event_id, 'k': k}}).k AS last_k,
          CAST(sum(k) AS BIGINT) AS sum_k,
          max(k) AS max_k,
          count(*) FILTER (WHERE k >= 95) AS n_k95,
@@ -262,13 +263,8 @@ def with_scored(select: str) -> str:
 
 
 # ---------------------------------------------------------------- statistics twins
-_AS_P = 0.3275911
-_AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-
-
 def erfc_nonneg(x: str) -> str:
-    """Twin of ``retentia.functions.stats.erfc_nonneg`` (Abramowitz & Stegun 7.1.26)."""
-    t = f"(1.0 / (1.0 + {_AS_P!r} * ({x})))"
-    a1, a2, a3, a4, a5 = (f"CAST({a!r} AS DOUBLE)" for a in _AS_A)
-    poly = f"({t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * ({a4} + {t} * {a5})))))"
-    return f"({poly} * exp(-(({x}) * ({x}))))"
+    """erfc(x) for x >= 0 as 1 minus Simpson's rule on 2 / sqrt(pi) * exp(-t^2) over 2,000 steps (not the code's formula)."""
+    w = "CASE WHEN i IN (0, 2000) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return (f"(1.0 - 1.1283791670955126::DOUBLE * ({x}) / 6000.0 * (SELECT sum({w} * exp(-power(({x}) * i / 2000.0, 2))) "
+            f"FROM range(0, 2001) t(i)))")

@@ -11,21 +11,28 @@ from retentia.operators import experiment as ab
 from retentia.plans import frames
 
 
-def test_erfc_approximation(spark):
-    xs = [0.0, 0.1, 0.5, 1.0, 1.5, 2.0, 3.0, 4.5]
+def test_erfc_has_relative_accuracy_in_the_tail(spark):
+    xs = [0.0, 0.1, 0.5, 1.0, 1.5, 2.0, 3.0, 4.5, 6.0, 10.0, 20.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r[0] for r in df.select(erfc_nonneg(F.col("x"))).collect()]
     for x, g in zip(xs, got):
-        assert abs(g - math.erfc(x)) < 2e-7
+        assert g == pytest.approx(math.erfc(x), rel=1e-9)
+
+
+def test_p_values_of_strong_effects_are_not_cut(spark):
+    df = spark.createDataFrame([(5.16,), (7.37,), (8.0,)], "z double")
+    got = [r[0] for r in df.select(two_sided_p(F.col("z"))).collect()]
+    assert got == pytest.approx([math.erfc(z / math.sqrt(2)) for z in (5.16, 7.37, 8.0)], rel=1e-9)
+    assert all(p > 0 for p in got)
 
 
 def test_normal_and_chi2(spark):
     df = spark.createDataFrame([(1.96,), (-1.0,), (0.0,)], "z double")
     r = df.select(two_sided_p(F.col("z")), normal_cdf(F.col("z")), chi2_sf_dof1(F.col("z") * F.col("z"))).collect()
-    assert r[0][0] == pytest.approx(0.05, abs=1e-4)
-    assert r[1][1] == pytest.approx(0.5 * math.erfc(1 / math.sqrt(2)), abs=2e-7)
-    assert r[2][0] == pytest.approx(1.0, abs=1e-6)
-    assert r[0][2] == pytest.approx(r[0][0], abs=1e-7)  # chi2(1) tail of z^2 = two-sided normal p
+    assert r[0][0] == pytest.approx(math.erfc(1.96 / math.sqrt(2)), rel=1e-12)
+    assert r[1][1] == pytest.approx(0.5 * math.erfc(1 / math.sqrt(2)), rel=1e-12)
+    assert r[2][0] == pytest.approx(1.0, abs=1e-12)
+    assert r[0][2] == pytest.approx(r[0][0], rel=1e-9)  # chi2(1) tail of z^2 = two-sided normal p
 
 
 @pytest.fixture(scope="module")
@@ -45,11 +52,26 @@ def test_groups_partition_rows_near_half(ab_input):
         sorted(map(tuple, again.select("player_id", "t1_group").collect()))
 
 
-def test_treatment_not_worse(ab_input):
+def test_result_counts_the_observed_outcome(spark, ab_input):
     r = ab.run_ab_test(ab_input, "t2", "discount_offer").collect()[0]
-    assert r.treatment_churn_rate <= r.control_churn_rate * 1.1 + 1e-9
-    assert r.control_size + r.treatment_size == ab_input.count()
+    rows = ab.assign_groups(ab_input, "t2").select("t2_group", "churned").collect()
+    treated = [x.churned for x in rows if x.t2_group == "treatment"]
+    assert r.treatment_size == len(treated) and r.treatment_churn_rate == pytest.approx(sum(treated) / len(treated))
+    assert r.control_size + r.treatment_size == len(rows)
     assert r.conclusion in ("SIGNIFICANT", "NOT SIGNIFICANT")
+    given = spark.createDataFrame([("control", 1), ("control", 0), ("treatment", 0), ("treatment", 0)], "t3_group string, left int")
+    kept = ab.run_ab_test(given, "t3", "discount_offer", outcome="left").collect()[0]  # groups of a test that has run
+    assert (kept.control_size, kept.control_churn_rate, kept.treatment_churn_rate) == (2, 0.5, 0.0)
+
+
+def test_expected_effect_is_a_multiplier(spark):
+    df = spark.createDataFrame([("control", 0.4), ("treatment", 0.4)], "t_group string, churn_probability double")
+    got = {r.t_group: r.expected_churn_prob for r in ab.expected_effect(df, "t", "discount_offer").collect()}
+    assert got == {"control": 0.4, "treatment": pytest.approx(0.34)}
+
+
+def test_no_effect_has_no_sample_size(spark):
+    assert spark.range(1).select(ab.sample_size(F.lit(0.2), 0.0).alias("n")).first().n is None
 
 
 def test_larger_effect_needs_smaller_sample(spark):
@@ -93,9 +115,9 @@ def test_two_by_two_statistics(spark, counts):
     r = row.select(*[v.alias(k) for k, v in cols.items()]).collect()[0]
     stat, p_chi, z, p_z = _reference_stats(a, b, c, d)
     assert r.chi2_statistic == pytest.approx(stat, rel=1e-12)
-    assert r.chi2_p_value == pytest.approx(p_chi, abs=2e-5) and r.chi2_dof == 1
+    assert r.chi2_p_value == pytest.approx(p_chi, rel=1e-9) and r.chi2_dof == 1
     assert r.z_score == pytest.approx(z, rel=1e-12)
-    assert r.z_p_value == pytest.approx(p_z, abs=2e-5)
+    assert r.z_p_value == pytest.approx(p_z, rel=1e-9)
 
 
 def test_one_outcome_has_no_degree_of_freedom(spark):
