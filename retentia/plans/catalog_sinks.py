@@ -54,29 +54,56 @@ def q_conform(spark, sf):
     return out.select(*PLAYER_FEATURES.fieldNames())
 
 
-@query("feature_kv_snapshot", "S7")
+_KV_FIELDS = [(c, t) for c, t in O.ALL_FEATURE_TABLE.items()]
+_SPARK_TYPES = {O.DOUBLE: "double", O.BIGINT: "bigint", O.INT: "int", O.TEXT: "string", O.TS: "timestamp_ntz"}
+
+
+@query("feature_kv_snapshot", "S7", O.with_latest(
+    "SELECT 'player:' || CAST(player_id AS VARCHAR) AS key, " + O.select_rounded({c: t for c, t in _KV_FIELDS})
+    + f", TIMESTAMP '{NOW}' + INTERVAL 7 DAY AS expires_at FROM latest"))
 def q_kv(spark, sf):
-    """Latest features per player as cache entries: key, JSON value (nulls kept), 7-day expiry."""
-    return sinks.feature_kv_snapshot(frames.latest(spark, sf), now=NOW)
+    """Latest features per player as cache entries (JSON, nulls kept, 7-day expiry), read back from their JSON."""
+    kv = sinks.feature_kv_snapshot(frames.latest(spark, sf), now=NOW)
+    schema = ", ".join(f"{c} {_SPARK_TYPES[t]}" for c, t in _KV_FIELDS)
+    back = kv.select("key", F.from_json("value", schema, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}).alias("v"), "expires_at")
+    return back.select("key", "v.*", "expires_at")
 
 
-@query("prediction_kv_lookup", "S8")
+@query("prediction_kv_lookup", "S8", O.with_scored(f"""
+SELECT 'player:' || CAST(player_id AS VARCHAR) || ':prediction' AS key, {O.r6('churn_risk_score')} AS churn_probability,
+  risk_category, '2024-02-01T00:00:00' AS timestamp, TIMESTAMP '{NOW}' + INTERVAL 1 HOUR AS expires_at
+FROM scored WHERE risk_category = 'High'"""))
 def q_pred_kv(spark, sf):
-    """Prediction cache entries (1-hour expiry) read back for the High band only while unexpired."""
+    """Prediction cache entries (1-hour expiry) of the High band, found while unexpired and read back from their JSON."""
     pred = frames.scored(spark, sf).select("player_id", F.col("churn_risk_score").alias("churn_probability"),
                                            "risk_category")
     kv = sinks.prediction_kv(pred, now=NOW)
     wanted = pred.filter(F.col("risk_category") == "High").select(
         F.concat(F.lit("player:"), F.col("player_id").cast("string"), F.lit(":prediction")).alias("key"))
-    return sinks.lookup(kv, wanted, now="2024-02-01 00:30:00")
+    found = sinks.lookup(kv, wanted, now="2024-02-01 00:30:00")
+    record = F.from_json("value", "churn_probability double, risk_category string, timestamp string")
+    return found.select("key", record.alias("v"), "expires_at").select("key", "v.*", "expires_at")
 
 
-@query("etl_run", "M5 S2 S4 S7 K0d")
+@query("etl_run", "M5 S2 S4 S7 K0d", O.with_features(f"SELECT {O.select_rounded(O.ALL_FEATURE_TABLE)} FROM feat"))
 def q_etl(spark, sf):
     """Extract → transform → load into a table bucketed by player; returns the written table read back."""
-    import uuid
-    out = jobs.etl_run(spark, sf, now=NOW, buckets=8, table_name=f"player_features_{uuid.uuid4().hex[:8]}")
-    return spark.table(out["features_table"])
+    import hashlib
+    name = "player_features_" + hashlib.md5(sf.encode()).hexdigest()[:8]  # one table a source, replaced by each run
+    out = jobs.etl_run(spark, sf, now=NOW, bucketed=True, table_name=name)
+    return spark.table(out["features_table"]).select(*O.ALL_FEATURE_TABLE)
+
+
+@query("daily_run_rules", "M6 S9 S10 M1 K1b", O.with_scored(f"""
+, b AS (SELECT churn_risk_score, {O.band_cut('churn_risk_score')} AS band FROM scored)
+SELECT count(*) AS total_predictions, count(*) FILTER (WHERE band = 'High') AS high_risk,
+  count(*) FILTER (WHERE band = 'Medium') AS medium_risk, count(*) FILTER (WHERE band = 'Low') AS low_risk,
+  {O.r6('avg(churn_risk_score)')} AS avg_churn_probability,
+  {O.r6("CAST(count(*) FILTER (WHERE band = 'High') AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0) * 100.0")} AS high_risk_pct,
+  '2024-02-01' AS run_date FROM b"""))
+def q_daily_rules(spark, sf):
+    """The staged daily job without a model: the rule-based risk score in right-closed bands; its metrics log."""
+    return jobs.daily_run(spark, sf, run_date="2024-02-01")
 
 
 def _train_rf(spark, sf):
@@ -146,10 +173,12 @@ def q_stream_score(spark, sf):
     return spark.read.parquet(f"{base}/sink")
 
 
-@query("ingest_sources", "S2 S1")
+@query("ingest_sources", "S2 S1", O.with_panel(
+    f"SELECT CAST(player_id AS VARCHAR) AS player_id, {O.select_rounded({c: t for c, t in O.PANEL_COLUMNS.items() if c != 'player_id'})} FROM panel"))
 def q_ingest(spark, sf):
-    """Reader chosen by source name: the panel from events, written as CSV, read back with its schema."""
-    path = sinks.write_table(ingest(spark, "events", sf_dir=sf), sinks.stage_path(spark, "panel-csv"), fmt="csv")
+    """Reader chosen by source name: the panel from events, written as CSV with its columns turned round, read back by name."""
+    panel = ingest(spark, "events", sf_dir=sf)
+    path = sinks.write_table(panel.select(*reversed(panel.columns)), sinks.stage_path(spark, "panel-csv"), fmt="csv")
     return ingest(spark, "csv", path=path)
 
 
@@ -161,7 +190,7 @@ def _intervention_log_sql() -> str:
         f"WHERE risk_category = 'High' AND {c}" for (n, i, _), c in zip(CAMPAIGNS, conds))
     ident = "CAST(player_id AS VARCHAR) || ':' || intervention || ':' || '2024-02-01'"
     return O.with_scored(f""", tg AS ({parts})
-SELECT CAST(('0x' || substr(md5({ident}), 1, 15)) AS BIGINT) AS intervention_id, CAST(player_id AS VARCHAR) AS player_id,
+SELECT md5({ident}) AS intervention_id, CAST(player_id AS VARCHAR) AS player_id,
   TIMESTAMP '2024-02-01' AS intervention_date, intervention AS intervention_type, CAST(5.0 AS DOUBLE) AS intervention_cost,
   'planned' AS status, CAST(NULL AS VARCHAR) AS result, expected_impact AS notes FROM tg""")
 
@@ -173,9 +202,69 @@ def q_intervention_log(spark, sf):
     return sinks.to_intervention_log(intervention_targets(frames.scored(spark, sf)), "2024-02-01", 5.0)
 
 
-@query("ab_test_record", "B8 S13")
+def _ab_record_sql() -> str:
+    from retentia.plans.catalog_experiment import ab_sql
+    r = O.r6
+    return ab_sql(f"""
+SELECT md5('retention_test:2024-01-01') AS test_id, 'retention_test' AS test_name, TIMESTAMP '2024-01-01' AS start_date,
+  TIMESTAMP '2024-01-31' AS end_date, 'discount_offer' AS intervention_type, CAST(control_n AS DOUBLE) AS control_size,
+  CAST(treatment_n AS DOUBLE) AS treatment_size, {r('control_churn_rate')} AS control_churn_rate,
+  {r('treatment_churn_rate')} AS treatment_churn_rate, {r('relative_lift * 100.0')} AS lift_percentage,
+  {r('z_p_value')} AS p_value, significant AS is_significant, 'completed' AS status,
+  {r('z_score')} AS results_z_score, {r('chi2_statistic')} AS results_chi2_statistic FROM res""")
+
+
+@query("ab_test_record", "B8 S13", _ab_record_sql())
 def q_ab_record(spark, sf):
-    """The experiment result as an ab_tests row (summary columns plus the whole result as JSON)."""
+    """The experiment result as an ab_tests row; two figures are read back from its JSON of the whole result."""
     from retentia.operators import experiment as ab
     res = ab.run_ab_test(ab.prepare_ab_input(frames.scored(spark, sf)), "retention_test", "discount_offer")
-    return sinks.to_ab_test_record(res, "2024-01-01", "2024-01-31")
+    row = sinks.to_ab_test_record(res, "2024-01-01", "2024-01-31")
+    inside = [F.get_json_object("results", f"$.{c}").cast("double").alias(f"results_{c}") for c in ("z_score", "chi2_statistic")]
+    return row.select(*[c for c in row.columns if c != "results"], *inside)
+
+
+@query("model_monitoring", "S13 M2", O.with_scored(f"""
+, w AS (SELECT CAST(count(*) FILTER (WHERE risk_category = 'High') AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0) * 100.0
+          AS high_pct, avg(CAST(churned AS DOUBLE)) AS actual, avg(churn_risk_score) AS predicted FROM scored),
+m AS (SELECT 'high_risk_pct' AS metric_name, high_pct AS v, CAST(40.0 AS DOUBLE) AS t, coalesce(high_pct > 40.0, false) AS a FROM w
+      UNION ALL SELECT 'actual_churn_rate', actual, predicted * 1.5, coalesce(actual > predicted * 1.5, false) FROM w)
+SELECT md5('2024-02-01:' || metric_name) AS monitor_id, TIMESTAMP '2024-02-01' AS monitor_date, metric_name,
+  {O.r6('v')} AS metric_value, {O.r6('t')} AS threshold_value, a AS alert_triggered, 'daily run' AS notes FROM m"""))
+def q_monitoring(spark, sf):
+    """The daily alerts as rows of the model_monitoring table."""
+    from retentia.operators import monitor
+    return sinks.to_model_monitoring(monitor.alerts(frames.scored(spark, sf)), "2024-02-01", "daily run")
+
+
+@query("flatten_profiles", "S3", """
+WITH u AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS bought
+           FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS player_id, date_trunc('second', t0) AS account_created,
+  CASE WHEN user_id % 3 <> 0 THEN date_trunc('second', t1) END AS last_logoff, 3 AS profile_visibility,
+  CAST(CASE WHEN user_id % 4 = 0 THEN 0 ELSE n % 5 END AS INTEGER) AS friend_count,
+  CAST(CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS owned_games,
+  CASE WHEN user_id % 2 = 0 THEN n * 10 END AS target_playtime_total, CASE WHEN user_id % 2 = 0 THEN n END AS target_playtime_2weeks,
+  CAST(bought AS INTEGER) AS achievements, '[{"name":"events","value":' || CAST(n AS VARCHAR) || '.0}]' AS stats,
+  TIMESTAMP '2024-02-01' AS extraction_date FROM u""")
+def q_flatten(spark, sf):
+    """Profile payloads derived from the event log, landed as JSON and flattened for one game (missing parts included)."""
+    from retentia.sources.panel import flatten_profiles, table
+    from retentia.sources.schemas import PROFILE_PAYLOAD
+
+    e = table(spark, sf, "events").filter("user_id IS NOT NULL AND ts IS NOT NULL").groupBy("user_id").agg(
+        F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"),
+        F.count_if(F.col("event_type") == "purchase").alias("bought"))
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    game = lambda app, total, weeks: F.struct(F.lit(app).alias("appid"), total.alias("playtime_forever"), weeks.alias("playtime_2weeks"))
+    other, mine = game(1, F.col("n"), F.lit(None).cast("long")), game(730, F.col("n") * 10, F.col("n"))
+    payload = e.select(
+        F.col("user_id").cast("string").alias("steamid"),
+        F.struct(seconds("t0").alias("timecreated"), F.when(F.col("user_id") % 3 != 0, seconds("t1")).alias("lastlogoff"),
+                 F.lit(3).alias("communityvisibilitystate")).alias("summary"),
+        F.when(F.col("user_id") % 4 != 0, F.array_repeat(F.struct(F.lit("x").alias("steamid")), (F.col("n") % 5).cast("int"))).alias("friends"),
+        F.when(F.col("user_id") % 2 == 0, F.array(other, mine)).otherwise(F.array(other)).alias("games"),
+        F.struct(F.array_repeat(F.struct(F.lit("a").alias("apiname"), F.lit(0).alias("achieved")), F.col("bought").cast("int")).alias("achievements"),
+                 F.array(F.struct(F.lit("events").alias("name"), F.col("n").cast("double").alias("value"))).alias("stats")).alias("playerstats"))
+    path = sinks.write_table(payload, sinks.stage_path(spark, "profiles"), fmt="json")
+    return flatten_profiles(spark.read.schema(PROFILE_PAYLOAD).json(path), 730, extracted="2024-02-01 00:00:00")

@@ -5,12 +5,13 @@ scored snapshot uses ``overall_risk_score`` as the churn risk score and the
 left-closed band, which is what the dashboard computations consume when no
 model has been trained yet (and keeps every downstream query exact).
 
-The engineered feature table and the latest snapshot feed most views, so both
-are persisted once per session and source (``MEMORY_AND_DISK``: partitions
-lost with an executor are recomputed from the lineage), the way every view of
-the source reads one processed feature table.  Set the session conf
-``retentia.cache.frames=false`` to recompute them for every query;
-``build_features`` / ``build_latest`` always plan from the raw tables.
+Every query plans from the raw tables.  With the session conf
+``retentia.cache.frames=true`` the engineered feature table and the latest
+snapshot are persisted once per application and source (``MEMORY_AND_DISK``:
+partitions lost with an executor are recomputed from the lineage) until
+``release``; that is for a session of many queries over files that do not
+change meanwhile.  A large deployment reads the bucketed table that
+``plans.jobs.etl_run`` writes instead.
 """
 
 from __future__ import annotations
@@ -37,13 +38,17 @@ def build_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_snapshot(build_features(spark, sf_dir))
 
 
-_PERSISTED: dict[tuple[str, int, str, str], DataFrame] = {}
+_PERSISTED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _cached(spark: SparkSession) -> bool:
+    return spark.conf.get("retentia.cache.frames", "false").lower() == "true"
 
 
 def _shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    if spark.conf.get("retentia.cache.frames", "true").lower() != "true":
+    if not _cached(spark):
         return build()
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     df = _PERSISTED.get(key)
     if df is None:
         df = build().persist(StorageLevel.MEMORY_AND_DISK)
@@ -52,21 +57,21 @@ def _shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The engineered panel (F32), persisted per session."""
+    """The engineered panel (F32)."""
     return _shared(spark, sf_dir, "features", lambda: build_features(spark, sf_dir))
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest snapshot, aggregated from the persisted features and persisted itself."""
-    if spark.conf.get("retentia.cache.frames", "true").lower() != "true":
+    """The latest row of every player."""
+    if not _cached(spark):
         return build_latest(spark, sf_dir)
     return _shared(spark, sf_dir, "latest", lambda: latest_snapshot(features(spark, sf_dir)))
 
 
 def release(spark: SparkSession | None = None) -> None:
-    """Unpersist the shared snapshots (of one session, or all)."""
+    """Unpersist the shared snapshots (of one application, or all)."""
     for key in list(_PERSISTED):
-        if spark is None or key[:2] == (spark.sparkContext.applicationId, id(spark)):
+        if spark is None or key[0] == spark.sparkContext.applicationId:
             _PERSISTED.pop(key).unpersist()
 
 

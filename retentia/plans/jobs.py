@@ -1,8 +1,9 @@
-"""Batch jobs (M5, M6, S12): staged, with Parquet between stages.
+"""Batch jobs.
 
-Each stage is written to the shared checkpoint folder (``spark.checkpoint.dir``)
-and read back before the next one starts: the lineage is cut, so losing an
-executor late in the job recomputes one stage, not the whole chain.
+The panel and the feature windows share one partitioning, so the log becomes
+features in one plan; the feature table is the first thing written, and all
+that follows reads it back: losing an executor late in the job recomputes from
+there, not from the log.
 """
 
 from __future__ import annotations
@@ -24,29 +25,38 @@ from retentia.sources.sinks import (append_metrics, feature_kv_snapshot, materia
                                     write_predictions, write_table)
 
 
+def bucket_count(df: DataFrame, bytes_per_bucket: int = 256 << 20, most: int = 20_000) -> int:
+    """Buckets for what is made from ``df``: by its size as the planner knows it, at least as many as shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(most, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_per_bucket)))
+
+
 def etl_run(spark: SparkSession, sf_dir: str, out_dir: str | None = None, ttl_days: int = 7,
-            now: str | None = None, buckets: int | None = None, table_name: str | None = None) -> dict:
+            now: str | None = None, bucketed: bool = False, buckets: int | None = None, table_name: str | None = None) -> dict:
     """M5: extract (events → panel) → transform (F32) → load (feature table + key-value snapshot).
 
-    With ``buckets`` the feature table is saved as a catalog table bucketed by
+    If ``bucketed``, the feature table is saved as a catalog table bucketed by
     ``player_id`` and sorted by (player_id, date), so per-player reads
-    (snapshots, windows, joins) need no shuffle; otherwise plain Parquet sorted
-    within files.
+    (snapshots, windows, joins) need no shuffle; the number of buckets follows
+    the input's size unless it is given.  Otherwise plain Parquet sorted within
+    files.
     """
     t0 = time.time()
     out_dir = out_dir or stage_path(spark, "etl")
-    panel = materialize(events_panel(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")), "panel")
+    events = table(spark, sf_dir, "events")
+    panel = events_panel(events, table(spark, sf_dir, "nation"))
     features_path = f"{out_dir}/player_features"
-    if buckets:
+    if bucketed:
         table_name = table_name or "player_features"
-        write_bucketed(engineer_all(panel), table_name, features_path, buckets)
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        write_bucketed(engineer_all(panel), table_name, features_path, buckets or bucket_count(events))
         features = spark.table(table_name)
     else:
         write_table(engineer_all(panel), features_path, sort_within=["player_id", "date"])
         features = spark.read.parquet(features_path)
     kv_path = write_table(feature_kv_snapshot(latest_snapshot(features), ttl_days=ttl_days, now=now),
                           f"{out_dir}/feature_cache")
-    return {"features_path": features_path, "features_table": table_name if buckets else None, "kv_path": kv_path,
+    return {"features_path": features_path, "features_table": table_name if bucketed else None, "kv_path": kv_path,
             "duration_sec": round(time.time() - t0, 3)}
 
 
@@ -72,9 +82,9 @@ def daily_run(spark: SparkSession, sf_dir: str, model: PipelineModel | None = No
     is appended as one JSON line per run.
     """
     out_dir = out_dir or stage_path(spark, "daily")
-    panel = materialize(events_panel(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")), "daily-panel")
+    panel = events_panel(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
     feats = spark.read.parquet(write_table(engineer_all(panel), f"{out_dir}/player_features"))
-    latest = materialize(latest_snapshot(feats), "daily-latest")
+    latest = materialize(latest_snapshot(feats))
     pred_path = write_predictions(score_frame(latest, model, names), f"{out_dir}/predictions")
     preds = spark.read.parquet(pred_path)
     metrics = monitor.prediction_distribution(preds, run_date)

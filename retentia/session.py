@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
-# Shared folder for checkpoints when the session has none (tests, local runs).
-_LOCAL_CHECKPOINT_FALLBACK = "/tmp/retentia-checkpoints"
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench assume."""
     builder = SparkSession.builder
@@ -41,14 +38,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; set a local one only where none is set."""
+    """The session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Where none is set, a local session gets a temporary folder of its own; on a cluster that is an error, since a
+    machine's own folder is not seen by the others.
+    """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = _LOCAL_CHECKPOINT_FALLBACK
     if not sc.getCheckpointDir():
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            d = tempfile.mkdtemp(prefix="retentia-checkpoints-")
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return sc.getCheckpointDir()
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,

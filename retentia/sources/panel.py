@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from retentia.functions.columns import safe_div
+from retentia.functions.columns import nan_to_null, safe_div
 from retentia.operators.joins import lookup_join
-from retentia.sources.schemas import PANEL
+from retentia.sources.schemas import PANEL, PROFILE_PAYLOAD
 
 # Archetype and platform names of the player profile.
 ARCHETYPES = ("hardcore", "casual", "whale", "social", "at_risk")
@@ -29,13 +30,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S1 / S2
+_MISSING_TEXT = ("", "nan", "null", "none", "na", "n/a", "<na>")
+
+
+def _from_text(name: str, kind: T.DataType) -> Column:
+    """A CSV field as its declared type: the usual words for "missing" are null, anything else must be readable.
+
+    Whole numbers may be written with a fraction of zero (``3.0``), as tools do for columns that have gaps.
+    """
+    c = F.col(f"`{name}`")
+    c = F.when(~F.lower(F.trim(c)).isin(*_MISSING_TEXT), F.trim(c))
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        whole = c.cast("decimal(38,6)")
+        c = F.when(whole == F.floor(whole), whole).otherwise(F.when(whole.isNotNull(), F.raise_error(
+            F.concat(F.lit(f"not a whole number in column {name}: "), c)).cast("decimal(38,6)")))
+    return c.cast(kind).alias(name)
+
+
 def scan_panel(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read a stored panel with its declared schema (no inference); dates typed on read."""
+    """Read a stored panel with its declared types (no inference pass).
+
+    CSV columns are found by their names in the header, in any order; a declared column that is absent is a typed
+    null, an undeclared one stays as text, and so do player ids.  NaN in a Parquet panel becomes null, so that
+    comparisons with it are false as they are with a missing value.
+    """
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     if fmt == "csv":
-        return spark.read.schema(PANEL).option("header", True).csv(path)
+        raw = spark.read.option("header", True).csv(path)
+        declared = [f for f in PANEL.fields if f.name != "player_id"]
+        if "player_id" not in raw.columns:
+            raise ValueError(f"no player_id column in the header of {path}")
+        cols = [_from_text(f.name, f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in declared]
+        others = [F.col(f"`{c}`") for c in raw.columns if c not in PANEL.fieldNames()]
+        return raw.select(F.col("player_id"), *cols, *others)
     df = spark.read.format(fmt).load(path)
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("date", "registration_date") if c in df.columns})
+    floats = {f.name: nan_to_null(f.name) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    dates = {c: F.col(c).cast("timestamp_ntz") for c in ("date", "registration_date") if c in df.columns}
+    return df.withColumns(floats | dates) if floats or dates else df
 
 
 def ingest(spark: SparkSession, source: str, **kw) -> DataFrame:
@@ -54,7 +85,7 @@ def ingest(spark: SparkSession, source: str, **kw) -> DataFrame:
     if source == "profiles_json":
         if "path" not in kw or "app_id" not in kw:
             raise ValueError("source 'profiles_json' needs path= and app_id=")
-        return flatten_profiles(spark.read.json(kw["path"]), kw["app_id"])
+        return flatten_profiles(spark.read.schema(PROFILE_PAYLOAD).json(kw["path"]), kw["app_id"])
     raise ValueError(f"unknown source {source!r}")
 
 
@@ -73,19 +104,21 @@ def props_k() -> Column:
     JSON parsing dominates the event scan (about 2x the cost of reading the
     columns).  An anchored pattern reads the common layout, ``k`` as the first
     top-level key, without parsing; every other layout (nested objects, other
-    key order, non-integer values) falls back to ``get_json_object``, so the
-    result is the JSON path's in all cases.
+    key order) falls back to ``get_json_object``; a value that is no integer, or
+    too large for one, is null and fails nothing.
     """
     fast = F.regexp_extract("props", _K_FIRST_KEY, 1)
-    return F.when(fast != "", fast.cast("int")).otherwise(F.get_json_object("props", "$.k").cast("int"))
+    return F.when(fast != "", fast.cast("int")).otherwise(F.get_json_object("props", "$.k").try_cast("int"))
 
 
 def player_week_measures(events: DataFrame) -> DataFrame:
     """Per ``(player_id, week)`` aggregates of the event log (one partial/final hash aggregate)."""
     k = props_k()
     # Events without a user or a time cannot be placed in the panel (the filter reaches the scan).
+    # The last event of a week is that of the largest (ts, event_id); its k may be null.
+    last = F.struct("ts", "event_id") if "event_id" in events.columns else F.struct("ts")
     ev = events.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select(
-        F.col("user_id").alias("player_id"), "ts", "event_type", "value", k.alias("k"),
+        F.col("user_id").alias("player_id"), "ts", "event_type", "value", k.alias("k"), last.alias("_last"),
         F.date_sub(F.to_date("ts"), F.weekday("ts")).alias("week"),
     )
     et = F.col("event_type")
@@ -95,7 +128,7 @@ def player_week_measures(events: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"),
         F.count(F.lit(1)).alias("n"),
         F.avg("value").alias("avg_value"),
-        F.max_by("k", "ts").alias("last_k"),
+        F.max(F.struct("_last", "k"))["k"].alias("last_k"),
         F.sum("k").alias("sum_k"),
         F.max("k").alias("max_k"),
         F.count_if(F.col("k") >= 95).alias("n_k95"),
@@ -162,16 +195,6 @@ def events_panel(events: DataFrame, nation: DataFrame) -> DataFrame:
     return g.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in PANEL.fields])
 
 
-def player_profiles(panel: DataFrame) -> DataFrame:
-    """Profile dimension from a stored panel: one row per player (identity attributes only)."""
-    return panel.groupBy("player_id").agg(
-        F.min("registration_date").alias("registration_date"),
-        F.min("archetype").alias("archetype"),
-        F.min("country").alias("country"),
-        F.min("platform").alias("platform"),
-    )
-
-
 def profiles_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     """Profile dimension straight from the event log: one partial/final aggregate on the user id."""
     first = events.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()) \
@@ -187,36 +210,26 @@ def profiles_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S3
-def flatten_profiles(payloads: DataFrame, app_id: int) -> DataFrame:
+def flatten_profiles(payloads: DataFrame, app_id: int, extracted: str | None = None) -> DataFrame:
     """Landed store-API payloads → one row per player (no network I/O here).
 
-    Expects ``steamid``, ``summary{timecreated,lastlogoff,communityvisibilitystate}``,
-    ``friends[]``, ``games[]{appid,playtime_forever,playtime_2weeks}`` and
-    ``playerstats{achievements[],stats[]}``; absent parts give nulls / zeros.
+    Expects ``PROFILE_PAYLOAD``: summary, friends, games and player statistics.  An absent list counts 0; play times
+    are null where the target game is absent; every listed achievement counts, achieved or not; ``stats`` is the
+    statistics as JSON.  ``extracted`` is the extraction time (now, if none is given).
     """
-    cols = set(payloads.columns)
-
-    def field(path: str) -> Column:
-        head = path.split(".")[0]
-        return F.col(path) if head in cols else F.lit(None)
-
-    games = field("games")
-    target = F.filter(games, lambda g: g["appid"] == F.lit(app_id)) if "games" in cols else F.lit(None)
-    first_target = F.get(target, 0) if "games" in cols else F.lit(None)
-    ach = field("playerstats.achievements") if "playerstats" in cols else F.lit(None)
+    target = F.get(F.filter("games", lambda g: g["appid"] == F.lit(app_id)), 0)
+    count = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c))
+    seconds = lambda c: F.timestamp_seconds(F.col(c)).cast("timestamp_ntz")
     return payloads.select(
         F.col("steamid").alias("player_id"),
-        F.timestamp_seconds(field("summary.timecreated")).cast("timestamp_ntz").alias("account_created"),
-        F.timestamp_seconds(field("summary.lastlogoff")).cast("timestamp_ntz").alias("last_logoff"),
-        field("summary.communityvisibilitystate").cast("int").alias("profile_visibility"),
-        F.coalesce(F.size(field("friends")), F.lit(0)).alias("friend_count") if "friends" in cols
-        else F.lit(0).alias("friend_count"),
-        F.coalesce(F.size(games), F.lit(0)).alias("owned_games") if "games" in cols
-        else F.lit(0).alias("owned_games"),
-        F.coalesce(first_target["playtime_forever"], F.lit(0)).cast("long").alias("target_playtime_total")
-        if "games" in cols else F.lit(0).cast("long").alias("target_playtime_total"),
-        F.coalesce(first_target["playtime_2weeks"], F.lit(0)).cast("long").alias("target_playtime_2weeks")
-        if "games" in cols else F.lit(0).cast("long").alias("target_playtime_2weeks"),
-        F.coalesce(F.size(F.filter(ach, lambda a: a["achieved"] == 1)), F.lit(0)).alias("achievements")
-        if "playerstats" in cols else F.lit(0).alias("achievements"),
+        seconds("summary.timecreated").alias("account_created"),
+        seconds("summary.lastlogoff").alias("last_logoff"),
+        F.col("summary.communityvisibilitystate").cast("int").alias("profile_visibility"),
+        count("friends").alias("friend_count"),
+        count("games").alias("owned_games"),
+        target["playtime_forever"].alias("target_playtime_total"),
+        target["playtime_2weeks"].alias("target_playtime_2weeks"),
+        count("playerstats.achievements").alias("achievements"),
+        F.to_json("playerstats.stats").alias("stats"),
+        (F.lit(extracted).cast("timestamp_ntz") if extracted else F.localtimestamp()).alias("extraction_date"),
     )

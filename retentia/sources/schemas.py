@@ -51,7 +51,7 @@ RISK_FACTOR = T.StructType([
 ])
 
 DAILY_PREDICTIONS = _struct(
-    ("prediction_id", T.LongType(), False),
+    ("prediction_id", _S, False),
     ("player_id", _S, False),
     *_nullable([
         ("prediction_date", _TS), ("churn_probability", _D), ("risk_category", _S),
@@ -60,7 +60,7 @@ DAILY_PREDICTIONS = _struct(
 )
 
 INTERVENTIONS = _struct(
-    ("intervention_id", T.LongType(), False),
+    ("intervention_id", _S, False),
     ("player_id", _S, False),
     *_nullable([
         ("intervention_date", _TS), ("intervention_type", _S), ("intervention_cost", _D),
@@ -69,7 +69,7 @@ INTERVENTIONS = _struct(
 )
 
 AB_TESTS = _struct(
-    ("test_id", T.LongType(), False),
+    ("test_id", _S, False),
     ("test_name", _S, False),
     *_nullable([
         ("start_date", _TS), ("end_date", _TS), ("intervention_type", _S), ("control_size", _D),
@@ -80,30 +80,14 @@ AB_TESTS = _struct(
 )
 
 MODEL_MONITORING = _struct(
-    ("monitor_id", T.LongType(), False),
+    ("monitor_id", _S, False),
     *_nullable([
         ("monitor_date", _TS), ("metric_name", _S), ("metric_value", _D), ("threshold_value", _D),
         ("alert_triggered", _B), ("notes", _S),
     ]),
 )
 
-TABLES = {
-    "player_features": PLAYER_FEATURES,
-    "daily_predictions": DAILY_PREDICTIONS,
-    "interventions": INTERVENTIONS,
-    "ab_tests": AB_TESTS,
-    "model_monitoring": MODEL_MONITORING,
-}
-
 # The raw panel: the 17 measures plus identity, profile and label columns.
-PANEL_MEASURES = (
-    "sessions_per_week", "avg_session_length_mins", "days_since_last_login", "session_decay_rate",
-    "win_rate", "kd_ratio", "current_rank", "rank_change", "friends_online",
-    "party_play_percentage", "toxicity_reports_received", "monthly_spent",
-    "days_since_last_purchase", "purchase_frequency", "achievements_unlocked",
-    "content_completion_pct", "feature_adoption_pct",
-)
-
 PANEL = T.StructType([
     T.StructField("player_id", T.LongType(), False),
     T.StructField("date", _TS, False),
@@ -130,3 +114,19 @@ PANEL = T.StructType([
     T.StructField("feature_adoption_pct", _D, True),
     T.StructField("churned", T.IntegerType(), True),
 ])
+
+# Fields of the landed profile payloads.
+PROFILE_PAYLOAD = T.StructType([
+    T.StructField("steamid", _S),
+    T.StructField("summary", T.StructType([
+        T.StructField("timecreated", T.LongType()), T.StructField("lastlogoff", T.LongType()),
+        T.StructField("communityvisibilitystate", T.LongType())])),
+    T.StructField("friends", T.ArrayType(T.StructType([T.StructField("steamid", _S)]))),
+    T.StructField("games", T.ArrayType(T.StructType([
+        T.StructField("appid", T.LongType()), T.StructField("playtime_forever", T.LongType()),
+        T.StructField("playtime_2weeks", T.LongType())]))),
+    T.StructField("playerstats", T.StructType([
+        T.StructField("achievements", T.ArrayType(T.StructType([
+            T.StructField("apiname", _S), T.StructField("achieved", T.LongType())]))),
+        T.StructField("stats", T.ArrayType(T.StructType([T.StructField("name", _S), T.StructField("value", _D)])))])),
+])

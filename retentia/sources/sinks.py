@@ -25,7 +25,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         df = df.sortWithinPartitions(*sort_within)
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        # the default format would cut times to milliseconds
+        w = w.options(header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
@@ -62,38 +63,56 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/retentia/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back (lineage cut, executor-loss safe)."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def materialize(df: DataFrame) -> DataFrame:
+    """``df``, computed once into the shared checkpoint folder (lineage cut, executor-loss safe, partitioning kept).
+
+    Spark removes the files with the last reference where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 # ---------------------------------------------------------------- S5
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert; on key conflict the update replaces the whole row.
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Insert; on key conflict the update's columns replace the target's, the target's other columns stay.
 
-    ``updates ∪ (target ▷ updates)``: an anti join on the keys plus a union,
-    written by the caller to a fresh path (no in-place overwrite of the input).
+    Of several updates with one key the last wins: the largest ``order`` value, ties (and updates without an order
+    column) by the largest row.  Updates are reduced to one row a key by a partial aggregate; the target is joined
+    once, as a full outer join on the keys.  Keys are compared null-safe.  Written by the caller to a fresh path.
     """
-    kept = target.join(updates.select(*keys).distinct(), list(keys), "left_anti")
-    return updates.unionByName(kept.select(*updates.columns), allowMissingColumns=False)
+    values = [c for c in updates.columns if c not in keys]
+    whole = F.struct(*([order] if order else []), *[c for c in values if c != order]) if values else F.struct(F.lit(1).alias("_one"))
+    last = updates.groupBy(*keys).agg(F.max(whole).alias("_new"))
+    old, new = target.alias("_t"), last.alias("_u")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_t.{k}").eqNullSafe(F.col(f"_u.{k}"))
+    joined = old.join(new, same, "full_outer")
+    hit = F.col("_u._new").isNotNull()
+    cols = [F.when(hit, F.col(f"_u.{k}")).otherwise(F.col(f"_t.{k}")).alias(k) for k in keys]
+    for c in [*values, *[c for c in target.columns if c not in keys and c not in values]]:
+        mine = F.col(f"_t.{c}") if c in target.columns else F.lit(None)
+        cols.append((F.when(hit, F.col(f"_u._new.{c}")).otherwise(mine) if c in values else mine).alias(c))
+    return joined.select(*cols)
 
 
 # ---------------------------------------------------------------- S6
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """One projection casting each declared column to its type; absent → typed null.
 
-    ``try_cast`` turns unparsable values into null instead of failing the job.
-    Columns the frame has but the schema lacks are kept as text.
+    Text that cannot be read as the type becomes null.  A number that does not fit its declared type fails the job
+    (ANSI cast): a value is never lost without notice.  Columns the frame has but the schema lacks are kept as text.
     """
-    have = set(df.columns)
     declared = {f.name for f in schema.fields}
-    cols = [(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields]
+
+    def cast(f: T.StructField):
+        if f.name not in df.columns:
+            return F.lit(None).cast(f.dataType)
+        text = isinstance(df.schema[f.name].dataType, T.StringType)
+        return F.col(f.name).try_cast(f.dataType) if text else F.col(f.name).cast(f.dataType)
+
     extra = [F.col(c).cast("string").alias(c) for c in df.columns if c not in declared]
-    return df.select(*cols, *extra)
+    return df.select(*[cast(f).alias(f.name) for f in schema.fields], *extra)
 
 
 # ---------------------------------------------------------------- S7 / S8
@@ -104,7 +123,7 @@ def iso_timestamp(c) -> "F.Column":
         .otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-def feature_kv_snapshot(latest: DataFrame, prefix: str = "player_features", ttl_days: int = 7,
+def feature_kv_snapshot(latest: DataFrame, prefix: str = "player", ttl_days: int = 7,
                         now: str | None = None, key: str = "player_id") -> DataFrame:
     """``prefix:player_id`` → JSON of the latest row (nulls kept, timestamps ISO), with an expiry."""
     ts_now = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
@@ -141,13 +160,11 @@ def lookup(kv: DataFrame, keys: DataFrame | list[str], now: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S13 table shapes
 def _stable_id(*cols) -> "F.Column":
-    """A deterministic non-negative id from the row's identity (recomputation gives the same id).
+    """A deterministic id from the row's identity: the whole ``md5(c1 ':' c2 ...)``, reproducible outside Spark.
 
-    The first 15 hex digits of ``md5(c1 ':' c2 ...)`` as a BIGINT (60 bits, so
-    always positive), reproducible outside Spark.
+    128 bits: at 10^12 rows a collision has a chance of about 10^-15.
     """
-    digest = F.md5(F.concat_ws(":", *[F.col(c) if isinstance(c, str) else c for c in cols]))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return F.md5(F.concat_ws(":", *[F.col(c) if isinstance(c, str) else c for c in cols]))
 
 
 def to_daily_predictions(scored: DataFrame, model_version: str, prediction_date: str,
@@ -197,3 +214,17 @@ def to_ab_test_record(result: DataFrame, start_date: str, end_date: str) -> Data
         F.to_json(F.struct(*[F.col(c) for c in result.columns])).alias("results"),
     )
     return conform(out, AB_TESTS)
+
+
+def to_model_monitoring(metrics: DataFrame, run_date: str, notes: str | None = None) -> DataFrame:
+    """Rows of the ``model_monitoring`` table from long-form metrics (name, value and, if there, threshold and alert)."""
+    from retentia.sources.schemas import MODEL_MONITORING
+
+    have = set(metrics.columns)
+    out = metrics.select(
+        _stable_id(F.lit(run_date), F.col("metric_name")).alias("monitor_id"),
+        F.lit(run_date).cast("timestamp_ntz").alias("monitor_date"), "metric_name",
+        F.col("metric_value").cast("double").alias("metric_value"),
+        *[(F.col(c) if c in have else F.lit(None)).alias(c) for c in ("threshold_value", "alert_triggered")],
+        F.lit(notes).cast("string").alias("notes"))
+    return conform(out, MODEL_MONITORING)

@@ -9,9 +9,10 @@ log-structured table of plain Parquet:
 * each micro-batch writes only its own newest-row-per-key as the delta
   partition ``deltas/b=<batch id>`` (cost proportional to the batch, not to the
   state; a replayed batch id overwrites the same partition, so it is idempotent);
+* batch numbers go on from what the state holds, also with a new checkpoint;
 * every ``compact_every`` batches the deltas are folded into a new base
   snapshot ``base/c=<batch id>``, which counts once ``commits/c=<batch id>``
-  is written after it;
+  is written after it, and the deltas of the base before are removed;
 * the current state is ``max_by`` on the event date over the newest base and
   the deltas after it, so a late row never replaces a newer one, and expired
   keys are dropped on read and on compaction.
@@ -26,7 +27,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from retentia.functions.columns import round_to
 from retentia.operators import model as ml
@@ -65,29 +65,56 @@ def newest_per_key(df: DataFrame, key: str = "player_id", order: str = "date") -
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select(key, "_r.*")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers N of the folders ``x=N`` in ``folder`` (one for each batch kept: bounded by the clean-up)."""
+    if not _exists(spark, folder):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(n.split("=")[1]) for n in names if "=" in n)
+
+
 def _latest_base(spark: SparkSession, state_dir: str) -> tuple[DataFrame | None, int]:
-    """The newest committed base and its batch id (-1 when there is none).
+    """The newest committed base and its batch number (-1 when there is none).
 
-    A base counts only once its commit marker exists (written after the base),
-    so a compaction interrupted half-way is ignored: readers fall back to the
-    previous base plus every later delta (deltas are never removed).
+    A base counts only once its commit marker exists (written after the base), so a compaction interrupted half-way
+    is ignored: readers fall back to the previous base plus every later delta.
     """
-    try:
-        commits = spark.read.parquet(f"{state_dir}/commits")
-    except AnalysisException:
+    committed = _numbers(spark, f"{state_dir}/commits")
+    if not committed:
         return None, -1
-    c = commits.agg(F.max("c")).first()[0]  # partition values only (metadata query)
-    if c is None:
-        return None, -1
-    return spark.read.parquet(f"{state_dir}/base/c={int(c)}"), int(c)
+    return spark.read.parquet(f"{state_dir}/base/c={committed[-1]}"), committed[-1]
 
 
 def _deltas_after(spark: SparkSession, state_dir: str, after: int) -> DataFrame | None:
-    try:
-        d = spark.read.parquet(f"{state_dir}/deltas")
-    except AnalysisException:
-        return None
-    return d.filter(F.col("b") > after).drop("b")
+    """All batches' rows after batch number ``after``."""
+    later = [n for n in _numbers(spark, f"{state_dir}/deltas") if n > after]
+    return spark.read.parquet(*[f"{state_dir}/deltas/b={n}" for n in later]) if later else None
+
+
+def _first_number(spark: SparkSession, state_dir: str, checkpoint: str) -> int:
+    """What is added to this query's batch ids, so that they follow whatever the state holds already.
+
+    A new checkpoint counts its batches from 0 again; the offset is fixed when the query first runs with it and kept
+    in the checkpoint folder, so that a replayed batch has its old number.
+    """
+    marker = f"{checkpoint}/state_offset"
+    if _exists(spark, f"{marker}/_SUCCESS"):
+        return spark.read.schema("offset long").json(marker).first().offset
+    held = _numbers(spark, f"{state_dir}/deltas") + _numbers(spark, f"{state_dir}/commits")
+    offset = max(held, default=-1) + 1
+    spark.range(1).select(F.lit(offset).cast("long").alias("offset")).coalesce(1).write.mode("overwrite").json(marker)
+    return offset
 
 
 def _expiry_filter(df: DataFrame, ttl_days: int, now: str | None, order: str) -> DataFrame:
@@ -116,6 +143,11 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir:
         state.write.mode("overwrite").parquet(f"{state_dir}/base/c={batch_id}")
         spark.range(1).select(F.lit(batch_id).alias("batch_id")) \
             .write.mode("overwrite").parquet(f"{state_dir}/commits/c={batch_id}")
+        # What the base before this one already covered; its own deltas stay until the next, for readers under way.
+        before = max((n for n in _numbers(spark, f"{state_dir}/commits") if n < batch_id), default=-1)
+        for n in _numbers(spark, f"{state_dir}/deltas"):
+            if n <= before:
+                _remove(spark, f"{state_dir}/deltas/b={n}")
 
 
 def run_latest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, state_dir: str, checkpoint: str,
@@ -127,8 +159,10 @@ def run_latest_stream(spark: SparkSession, source_dir: str, schema: T.StructType
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
 
+    offset = _first_number(spark, state_dir, checkpoint)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        fold_batch(spark, batch, batch_id, state_dir, ttl_days, now, key, order, compact_every)
+        fold_batch(spark, batch, offset + batch_id, state_dir, ttl_days, now, key, order, compact_every)
 
     q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -85,7 +85,7 @@ def test_conform_casts_and_fills(spark):
 def test_kv_snapshot_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None, 2.5)], "player_id long, a double, b double")
     r = sinks.feature_kv_snapshot(df, now="2024-01-01 00:00:00").collect()[0]
-    assert r.key == "player_features:1" and json.loads(r.value) == {"player_id": 1, "a": None, "b": 2.5}
+    assert r.key == "player:1" and json.loads(r.value) == {"player_id": 1, "a": None, "b": 2.5}
     kv = sinks.prediction_kv(spark.createDataFrame([(1, 0.8, "High")], "player_id long, churn_probability double, "
                                                     "risk_category string"), now="2024-01-01 00:00:00")
     assert sinks.lookup(kv, ["player:1:prediction"], "2024-01-01 00:59:00").count() == 1
@@ -103,10 +103,13 @@ def test_flatten_profiles(spark, tmp_path):
     ]
     p = tmp_path / "payloads.json"
     p.write_text("\n".join(json.dumps(r) for r in rows))
-    out = {r.player_id: r for r in flatten_profiles(spark.read.json(str(p)), 730).collect()}
+    from retentia.sources.schemas import PROFILE_PAYLOAD
+
+    out = {r.player_id: r for r in flatten_profiles(spark.read.schema(PROFILE_PAYLOAD).json(str(p)), 730).collect()}
     assert (out["1"].friend_count, out["1"].owned_games, out["1"].target_playtime_total,
-            out["1"].target_playtime_2weeks, out["1"].achievements) == (2, 2, 100, 5, 1)
-    assert (out["2"].friend_count, out["2"].target_playtime_total, out["2"].achievements) == (0, 0, 0)
+            out["1"].target_playtime_2weeks, out["1"].achievements) == (2, 2, 100, 5, 2)  # achieved or not
+    # the target game is absent: no play time rather than 0; no payload has lastlogoff here
+    assert (out["2"].friend_count, out["2"].target_playtime_total, out["2"].achievements, out["2"].last_logoff) == (0, None, 0, None)
 
 
 def test_ingest_errors(spark):
