@@ -209,8 +209,9 @@ def serve_features(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "total_playtime_hours": s * length * F.lit(4) / F.lit(60),
         "activity_consistency": F.lit(1) - cap1("session_decay_rate"),
-        "engagement_score": F.least(F.lit(1.0), F.greatest(F.lit(0.0),
-            s / F.lit(20) * F.lit(0.3) + length / F.lit(120) * F.lit(0.3) + (F.lit(1) - idle / F.lit(30)) * F.lit(0.4))),
+        # null where a required field is: greatest() and least() would skip it
+        "engagement_score": F.when(s.isNotNull() & length.isNotNull() & idle.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0),
+            s / F.lit(20) * F.lit(0.3) + length / F.lit(120) * F.lit(0.3) + (F.lit(1) - idle / F.lit(30)) * F.lit(0.4)))),
         "performance_score": _c("win_rate") * F.lit(0.5) + cap1(_c("kd_ratio") / F.lit(3)) * F.lit(0.3)
         + _c("current_rank") / F.lit(100) * F.lit(0.2),
         "skill_improving": flag(_c("rank_change") > 0),
@@ -229,7 +230,8 @@ def serve_features(df: DataFrame) -> DataFrame:
         "activity_risk": (flag(s < 2) * 3 + flag(idle > 14) * 3 + flag(_c("session_decay_rate") > 0.3) * 2) / F.lit(8),
     })
     df = df.withColumns({
-        "engagement_risk": (flag(_c("engagement_score") < 0.3) * 2 + _c("low_social_engagement") * 2) / F.lit(4),
+        "engagement_risk": F.when(_c("engagement_score").isNotNull(),
+                                  ((_c("engagement_score") < 0.3).cast("int") * 2 + _c("low_social_engagement") * 2) / F.lit(4)),
         "monetization_risk": (flag(_c("days_since_last_purchase") > 90) * 2 + (F.lit(1) - _c("is_spender"))) / F.lit(3),
     })
     return df.withColumn("overall_risk_score", overall_risk())

@@ -1,4 +1,4 @@
-"""Joins (J1-J5) and the size-checked broadcast used for dimension lookups."""
+"""Joins (J1-J5) and the dimension lookup."""
 
 from __future__ import annotations
 
@@ -12,22 +12,12 @@ from retentia.functions.columns import score9
 PANEL_KEYS = ("player_id", "date")
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a dimension; the planner broadcasts it only where its measured size is under the threshold.
 
-
-def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int | None = None) -> DataFrame:
-    """Join a dimension; broadcast it only when its size is known to be small.
-
-    Without ``max_rows`` the planner decides from measured sizes: the static
-    estimate and AQE's runtime statistics are compared with
-    ``spark.sql.autoBroadcastJoinThreshold``, otherwise it is a sort-merge
-    join.  With ``max_rows`` the row count is checked first (one small job)
-    and only a dimension under the bound gets the broadcast hint.
+    The static estimate and AQE's runtime statistics are compared with
+    ``spark.sql.autoBroadcastJoinThreshold``; otherwise it is a sort-merge join.
     """
-    if max_rows is not None and fits(dim, max_rows):
-        dim = F.broadcast(dim)
     return df.join(dim, on, how)
 
 

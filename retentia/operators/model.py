@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import round_to
@@ -30,17 +30,27 @@ LABEL = "churned"
 # ---------------------------------------------------------------- L2
 def stratified_split(df: DataFrame, target: str = LABEL, test_size: float = 0.2, seed: int = 42,
                      key: str = "player_id", features: list[str] | None = None) -> DataFrame:
-    """P3 + P6, then ``split`` = test / train from a hash of (seed, player).
+    """P3 + P6, then ``split`` = test / train by the hash of (seed, player).
 
-    The hash is independent of the label, so each label's share is the same in
-    both parts in expectation (exact stratification would need a ranking per
-    label, i.e. one task per label value).  Re-running gives the same split.
+    Exact per label: of each label's rows the ``test_size`` share (rounded) with
+    the smallest draws is the test part.  Ranks come from a running count inside
+    each of 4,096 draw ranges plus the ranges' own counts before it, so no task
+    ranks a whole label.  Re-running gives the same split.
     """
     df = drop_unlabelled(df, target)
     cols = features if features is not None else feature_columns(df)
-    df = sanitize(df, cols)
-    u = unit_hash("split", str(seed), F.col(key))
-    return df.withColumn("split", F.when(u < F.lit(float(test_size)), "test").otherwise("train"))
+    parts = 1 << 12
+    df = sanitize(df, cols).withColumn("_draw", unit_hash("split", str(seed), F.col(key)))
+    df = df.withColumn("_range", F.floor(F.col("_draw") * parts))
+    counts = df.groupBy(F.col(target).alias("_label"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    label = Window.partitionBy("_label")  # one row a range
+    before = F.sum("_n").over(label.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    places = counts.select("_label", "_r", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(label).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy(target, "_range").orderBy("_draw", key))
+    ranked = df.withColumn("_inside", inside).join(places, (F.col(target) == F.col("_label")) & (F.col("_range") == F.col("_r")))
+    test = F.col("_before") + F.col("_inside") <= F.floor(F.col("_all") * F.lit(float(test_size)) + F.lit(0.5))
+    return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop(
+        "_draw", "_range", "_label", "_r", "_before", "_all", "_inside")
 
 
 # ---------------------------------------------------------------- L3-L6
@@ -69,8 +79,8 @@ def random_forest(trees: int = 200, depth: int = 10, min_leaf: int = 4, seed: in
 
 
 def boosted_small(max_iter: int = 200, seed: int = 42) -> GBTClassifier:
-    """L6 stand-in for the leaf-wise booster (31 leaves ~ depth 5 level-wise)."""
-    return boosted(max_iter=max_iter, depth=5, seed=seed)
+    """L6 stand-in for the leaf-wise booster (31 leaves ~ depth 5 level-wise): all rows, all rounds, no early stop."""
+    return boosted(max_iter=max_iter, depth=5, seed=seed, validation_col=None)
 
 
 def fit(train: DataFrame, features: list[str], classifier, key: str = "player_id",
@@ -95,17 +105,26 @@ def probability(model: PipelineModel, df: DataFrame, out: str = "probability_1")
 
 
 # ---------------------------------------------------------------- L7
-def ensemble(df: DataFrame, members: list[str], weights: list[float] | None = None,
+def ensemble(df: DataFrame, members: list[str], weights: list[float] | dict[str, float] | None = None,
              out: str = "ensemble_probability") -> DataFrame:
-    """Weighted mean of member probability columns (equal by default); class = probability > 0.5."""
+    """Weighted sum of member probability columns (equal weights by default); class = probability > 0.5.
+
+    Weights by name may leave members out: those weigh 0.  A name that is no member is an error.
+    """
     if not members:
         raise ValueError("ensemble needs at least one member")
-    weights = weights or [1.0 / len(members)] * len(members)
-    if len(weights) != len(members):
-        raise ValueError("one weight per member")
+    if weights is None:
+        weights = {m: 1.0 / len(members) for m in members}
+    elif not isinstance(weights, dict):
+        if len(weights) != len(members):
+            raise ValueError("one weight per member, or weights by name")
+        weights = dict(zip(members, weights))
+    if unknown := set(weights) - set(members):
+        raise ValueError(f"weights for {sorted(unknown)}, members are {members}")
     p: Column = F.lit(0.0)
-    for m, w in zip(members, weights):
-        p = p + F.col(m) * F.lit(float(w))
+    for m in members:
+        if weights.get(m):
+            p = p + F.col(m) * F.lit(float(weights[m]))
     return df.withColumn(out, p).withColumn(f"{out}_class", (F.col(out) > 0.5).cast("int"))
 
 
@@ -188,19 +207,22 @@ def shapley_values(model: PipelineModel, rows: DataFrame, features: list[str], b
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], label: str = LABEL,
-                           seed: int = 42, key: str = "player_id") -> DataFrame:
-    """Drop in test accuracy when one feature is replaced by its test-set mean.
+                           seed: int = 42, key: str = "player_id", groups: int = 64) -> DataFrame:
+    """Drop in test accuracy when one feature's values are permuted among the rows.
 
-    The unchanged rows (j = -1) and one variant per feature are scored in a
-    single exploded batch: rows x (features + 1) scorings on executors.
+    Rows are dealt into ``groups`` by hash and ordered by another hash inside; every row takes the feature from the
+    row after it, the last from the first: a random permutation without a global order.  The unchanged rows (j = -1)
+    and one variant per feature are scored in one batch: rows x (features + 1) scorings, exploded from arrays on the
+    executors and reduced to one count a feature before any shuffle.
     """
-    means = test.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in features]).alias("m")).select("m").scalar()
     k = len(features)
-    base = test.select(key, F.col(label).alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
-                       means.alias("_m"))
-    ex = base.select(key, "_y", "x", "_m", F.explode(F.sequence(F.lit(-1), F.lit(k - 1))).alias("j"))
+    base = test.select(key, F.col(label).alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(groups))).orderBy(F.xxhash64(F.lit(seed + 1), key), key)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = base.withColumn("_m", F.coalesce(F.lead("x").over(w), F.first("x").over(whole)))
+    ex = base.select("_y", "x", "_m", F.explode(F.sequence(F.lit(-1), F.lit(k - 1))).alias("j"))
     v = F.transform("x", lambda m, i: F.when(i == F.col("j"), F.element_at("_m", i + 1)).otherwise(m))
-    vec = ex.select(key, "_y", "j", array_to_vector(v).alias("raw_features"))
+    vec = ex.select("_y", "j", array_to_vector(v).alias("raw_features"))
     tail = PipelineModel(stages=model.stages[1:])
     pred = tail.transform(vec).select("j", ((F.col("prediction") == F.col("_y")).cast("double")).alias("hit"))
     acc = pred.groupBy("j").agg(F.avg("hit").alias("accuracy"))
@@ -211,9 +233,33 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: list
 
 
 # ---------------------------------------------------------------- S11
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: PipelineModel, path: str, features: list[str] | None = None, metrics: DataFrame | None = None) -> None:
+    """The fitted pipeline, and beside it the feature names in model order and the evaluation rows."""
     model.write().overwrite().save(path)
+    if features is not None:
+        s = SparkSession.getActiveSession()
+        names = s.createDataFrame(list(enumerate(features)), "position int, feature string")
+        names.coalesce(1).write.mode("overwrite").json(f"{path}_features")
+    if metrics is not None:
+        metrics.coalesce(1).write.mode("overwrite").json(f"{path}_metrics")
 
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def load_features(path: str) -> list[str]:
+    """The feature names that were saved beside the model, in model order (a model's list: bounded)."""
+    s = SparkSession.getActiveSession()
+    return [r.feature for r in s.read.schema("position int, feature string").json(f"{path}_features").orderBy("position").collect()]
+
+
+def load_metrics(path: str) -> DataFrame:
+    return SparkSession.getActiveSession().read.json(f"{path}_metrics")
+
+
+def pick(models: dict[str, PipelineModel], name: str) -> PipelineModel:
+    """The model of that name; an unknown name says which there are."""
+    if name not in models:
+        raise ValueError(f"no model {name!r}; there are: {', '.join(sorted(models))}")
+    return models[name]

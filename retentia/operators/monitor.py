@@ -7,7 +7,7 @@ alert_triggered).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import safe_div
@@ -56,29 +56,18 @@ def alerts(pred: DataFrame, label: str = "churned") -> DataFrame:
 def feature_drift(df: DataFrame, cols: list[str], days: int = 7, order: str = "date") -> DataFrame:
     """M3: |mean of the last ``days`` days - mean before| > 2 x std before, per feature.
 
-    One pass: per-date counts, sums and sums of squares (a partial/final
-    aggregate with one row per date); the newest date, the current / history
-    split and the combined moments are then computed on that small table, so
-    finding the cutoff costs no second pass over the rows.
+    The cutoff is a scalar subquery (one column of the input); means and the
+    sample deviation are Spark's merged moments, which stay exact for values
+    far from zero, in one aggregate without a window.
     """
+    newest = df.agg(F.max(order)).scalar()
+    recent = F.col(order) > newest - F.expr(f"INTERVAL {int(days)} DAYS")
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    per_date = df.groupBy(order).agg(*aggs)
-    newest = F.max(order).over(Window.partitionBy())  # one row per date
-    flagged = per_date.withColumn("_cur", F.col(order) > newest - F.expr(f"INTERVAL {int(days)} DAYS"))
-    cur, hist = F.col("_cur"), ~F.col("_cur")
-    out = []
-    for i, c in enumerate(cols):
-        n_c = F.sum(F.when(cur, F.col(f"n{i}")))
-        n_h = F.sum(F.when(hist, F.col(f"n{i}")))
-        s_c, s_h = F.sum(F.when(cur, F.col(f"s{i}"))), F.sum(F.when(hist, F.col(f"s{i}")))
-        q_h = F.sum(F.when(hist, F.col(f"q{i}")))
-        var_h = F.try_divide(q_h - F.try_divide(s_h * s_h, n_h), n_h - F.lit(1))
-        out += [F.try_divide(s_c, n_c).alias(f"m{i}"), F.try_divide(s_h, n_h).alias(f"h{i}"),
-                F.sqrt(F.greatest(var_h, F.lit(0.0))).alias(f"d{i}")]
-    wide = flagged.agg(*out)
+        old = F.when(~recent, x)
+        aggs += [F.avg(F.when(recent, x)).alias(f"m{i}"), F.avg(old).alias(f"h{i}"), F.stddev_samp(old).alias(f"d{i}")]
+    wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean_current"), F.col(f"h{i}").alias("mean_history"),
                  F.col(f"d{i}").alias("std_history")) for i, c in enumerate(cols)])).alias("s")).select("s.*")
@@ -90,23 +79,17 @@ def data_quality(df: DataFrame, keys: list[str], ranges: dict[str, tuple[float,
                  flags: list[str] = ()) -> DataFrame:
     """M4: null counts, duplicate keys, out-of-range values and non-0/1 flags, in long form.
 
-    One pass: duplicates are rows whose last key equals the previous row's
-    within the other keys (a ``lag`` over ``partitionBy(keys[:-1])
-    .orderBy(keys[-1])``, the partitioning and order the feature windows
-    already produced), counted in the same aggregate as every other check.
+    Rows beyond the first of a key count as duplicates (a null equals a null):
+    an ordinary grouped count, whatever the number of key columns, beside the
+    one aggregate of all other checks.
     """
-    w = Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
-    dup = F.coalesce(F.lag(keys[-1]).over(w) == F.col(keys[-1]), F.lit(False))
-    base = df.withColumn("_dup", dup)
-    checks: list[tuple[str, Column]] = []
-    for c in df.columns:
-        checks.append((f"nulls:{c}", F.count_if(F.col(c).isNull())))
-    for c, (lo, hi) in ranges.items():
-        checks.append((f"out_of_range:{c}", F.count_if((F.col(c) < lo) | (F.col(c) > hi))))
-    for c in flags:
-        checks.append((f"not_flag:{c}", F.count_if(~F.col(c).isin(0, 1))))
-    checks.append(("duplicate_keys", F.count_if(F.col("_dup"))))
-    wide = base.agg(*[v.alias(f"q{i}") for i, (_, v) in enumerate(checks)])
-    return wide.select(F.explode(F.array(*[
+    checks: list[tuple[str, Column]] = [(f"nulls:{c}", F.count_if(F.col(c).isNull())) for c in df.columns]
+    checks += [(f"out_of_range:{c}", F.count_if((F.col(c) < lo) | (F.col(c) > hi))) for c, (lo, hi) in ranges.items()]
+    checks += [(f"not_flag:{c}", F.count_if(~F.col(c).isin(0, 1))) for c in flags]
+    wide = df.agg(*[v.alias(f"q{i}") for i, (_, v) in enumerate(checks)])
+    rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("check"), F.col(f"q{i}").cast("long").alias("failures"))
         for i, (name, _) in enumerate(checks)])).alias("s")).select("s.*")
+    doubled = df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("more")).agg(
+        F.lit("duplicate_keys").alias("check"), F.coalesce(F.sum("more"), F.lit(0)).cast("long").alias("failures"))
+    return rows.unionByName(doubled)

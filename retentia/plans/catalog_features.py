@@ -194,7 +194,7 @@ def q_assemble(spark, sf):
     """Attribute groups aggregated separately from the events, inner-joined on the panel key."""
     ev = src.table(spark, sf, "events").select(
         F.col("user_id").alias("player_id"), F.date_sub(F.to_date("ts"), F.weekday("ts")).alias("week"),
-        "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+        "event_type", "value", src.props_k().alias("k"))
     et = F.col("event_type")
     behaviour = ev.groupBy("player_id", "week").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg_value"))
     performance = ev.groupBy("player_id", "week").agg(F.count_if(et == "click").alias("n_click"),
@@ -222,12 +222,12 @@ def q_join_profile(spark, sf):
 
 @query("join_predictions", "J4 K1a", O.with_scored(
     "SELECT l.player_id, l.sessions_per_week, s.churn_risk_score, s.risk_category FROM latest l "
-    "LEFT JOIN (SELECT player_id, churn_risk_score, risk_category FROM scored WHERE risk_category <> 'Low') s "
+    "LEFT JOIN (SELECT player_id, churn_risk_score, risk_category FROM scored) s "
     "ON l.player_id = s.player_id"))
 def q_join_predictions(spark, sf):
-    """Latest snapshot left-joined to a prediction table (here: non-Low scored players only)."""
+    """Latest snapshot left-joined to a prediction table."""
     lat = frames.latest(spark, sf)
-    preds = frames.with_score(lat).filter(F.col("risk_category") != "Low")
+    preds = frames.with_score(lat)
     return joins.join_predictions(lat.select("player_id", "sessions_per_week"), preds)
 
 

@@ -21,12 +21,13 @@ def _model_data(spark, sf, materialized: bool = False):
     """The split model snapshot; written once to the shared checkpoint folder when models iterate over it."""
     data, cols = prepare_model_data(frames.features(spark, sf))
     split = ml.stratified_split(data, features=cols, test_size=TEST_SIZE, seed=SEED)
-    return (materialize(split, "model-data") if materialized else split), cols
+    return (materialize(split) if materialized else split), cols
 
 
 @query("split_churn_rates", "L2 A19 P3", O.with_latest(f"""
-, sp AS (SELECT churned, CASE WHEN {O.unit_hash("'split'", f"'{SEED}'", 'player_id')} < {D(TEST_SIZE)} THEN 'test'
-                              ELSE 'train' END AS split FROM latest WHERE churned IS NOT NULL)
+, rk AS (SELECT churned, row_number() OVER (PARTITION BY churned ORDER BY {O.unit_hash("'split'", f"'{SEED}'", 'player_id')}, player_id) AS r,
+              count(*) OVER (PARTITION BY churned) AS n FROM latest WHERE churned IS NOT NULL),
+sp AS (SELECT churned, CASE WHEN r <= floor(n * {D(TEST_SIZE)} + 0.5) THEN 'test' ELSE 'train' END AS split FROM rk)
 SELECT split, count(*) AS rows, {O.r6('avg(churned)')} AS churn_rate FROM sp GROUP BY split"""))
 def q_split(spark, sf):
     """Hash split 80/20 of the model snapshot: rows and churn rate per part."""
@@ -54,12 +55,11 @@ def _train_all(spark, sf):
     models = {"boosted": ml.fit(train, cols, ml.boosted()), "random_forest": ml.fit(train, cols, ml.random_forest()),
               "boosted_small": ml.fit(train, cols, ml.boosted_small())}
     scored = test
-    for name, m in models.items():
-        scored = ml.probability(m, scored, f"p_{name}")
+    for name in models:
+        scored = ml.probability(ml.pick(models, name), scored, f"p_{name}")
     scored = ml.ensemble(scored, [f"p_{n}" for n in models], out="p_ensemble")
     # Score the test split once; the four evaluations below then read the written scores.
-    return models, cols, materialize(scored.select("player_id", "churned", *[f"p_{n}" for n in models], "p_ensemble"),
-                                     "model-test-scores")
+    return models, cols, materialize(scored.select("player_id", "churned", *[f"p_{n}" for n in models], "p_ensemble"))
 
 
 @query("model_comparison", "L3 L4 L5 L6 L7 L8 L9")

@@ -18,24 +18,24 @@ NUMERIC_LATEST = [c for c, t in O.ALL_FEATURE_TABLE.items()
 SCORE_CORR_COLS = [c for c in NUMERIC_LATEST if c != "churn_risk_score"][:15]
 
 
-def _filtered_sql() -> str:
-    plist = ", ".join(f"'{p}'" for p in PLATFORM_FILTER)
-    rlist = ", ".join(f"'{r}'" for r in RISK_FILTER)
-    return f", filt AS (SELECT * FROM scored WHERE risk_category IN ({rlist}) AND platform IN ({plist}))"
+def _filtered_sql(platforms: bool = False) -> str:
+    """The page's default bands; platforms only where the filter is the feature."""
+    where = " AND platform IN ('PC', 'Console')" if platforms else ""
+    return f", filt AS (SELECT * FROM scored WHERE risk_category IN ('High', 'Medium'){where})"
 
 
-def _filtered(spark, sf):
-    return seg.filter_in(frames.scored(spark, sf), RISK_FILTER, PLATFORM_FILTER)
+def _filtered(spark, sf, platforms: list[str] | None = None):
+    return seg.filter_in(frames.scored(spark, sf), RISK_FILTER, platforms)
 
 
 # ---------------------------------------------------------------- P1 / P8 / K0a
-@query("high_risk_table", "P1 P8 K0a", O.with_scored(_filtered_sql() + f"""
+@query("high_risk_table", "P1 P8 K0a", O.with_scored(_filtered_sql(platforms=True) + f"""
 SELECT player_id, {O.r6('churn_risk_score')} AS churn_risk_score, risk_category, sessions_per_week,
   days_since_last_login, {O.r6('monthly_spent')} AS monthly_spent, friends_online
 FROM filt ORDER BY churn_risk_score DESC NULLS LAST, player_id LIMIT 20"""))
 def q_high_risk_table(spark, sf):
     """Top 20 by risk among High/Medium players on PC or Console, display columns only."""
-    top = seg.top_n_risk(_filtered(spark, sf), n=20)
+    top = seg.top_n_risk(_filtered(spark, sf, PLATFORM_FILTER), n=20)
     return seg.display_projection(top, list(seg.HIGH_RISK_DISPLAY))
 
 
