@@ -186,9 +186,10 @@ def _pearson_long(long: DataFrame, keys: list[str]) -> DataFrame:
 def correlation_with(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
     """Correlation of each column with the target, highest first (long form: one row per column)."""
     cols = [c for c in cols if c != target]
-    long = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot(["_y"], cols, "feature", "_x")
-    return _pearson_long(long, ["feature"]).select("feature", "correlation") \
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    long = df.select(F.col(target).cast("double").alias("_y"), F.posexplode(values).alias("_column", "_x"))
+    name = F.element_at(F.array(*map(F.lit, cols)), F.col("_column") + 1)
+    return _pearson_long(long, ["_column"]).select(name.alias("feature"), "correlation") \
         .orderBy(F.col("correlation").desc_nulls_last(), "feature")
 
 
@@ -209,14 +210,14 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """A10: every pair of the given columns (both orders, diagonal included).
 
     Each row is exploded into its k(k+1)/2 column pairs (bounded by the column
-    list, not by the data), then one small grouped aggregate per pair.
+    list, not by the data) under the pair's number, and the partial aggregate
+    reduces them to one row a pair and task; names come at the end.
     """
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    items = F.array(*[F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                               F.col(cols[i]).cast("double").alias("_x"), F.col(cols[j]).cast("double").alias("_y"))
-                      for i, j in pairs])
-    long = df.select(F.explode(items).alias("p")).select("p.*")
-    half = _pearson_long(long, ["feature_a", "feature_b"])
+    items = F.array(*[F.struct(F.col(cols[i]).cast("double").alias("_x"), F.col(cols[j]).cast("double").alias("_y")) for i, j in pairs])
+    long = df.select(F.posexplode(items).alias("_pair", "p")).select("_pair", "p.*")
+    name = lambda side: F.element_at(F.array(*[F.lit(cols[p[side]]) for p in pairs]), F.col("_pair") + 1)
+    half = _pearson_long(long, ["_pair"]).select(name(0).alias("feature_a"), name(1).alias("feature_b"), "correlation")
     # Both orientations from each aggregated pair (the diagonal once): one aggregate, no union.
     both = F.array(
         F.struct(F.col("feature_a").alias("a"), F.col("feature_b").alias("b"), "correlation"),

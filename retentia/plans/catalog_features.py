@@ -12,6 +12,7 @@ from retentia.plans import frames
 from retentia.plans import oracle as O
 from retentia.plans.registry import query
 from retentia.sources import panel as src
+from retentia.sources.sinks import materialize
 
 KEYS = ("player_id", "date")
 
@@ -191,20 +192,12 @@ def q_align(spark, sf):
     "SELECT player_id, week, n, " + O.r6("avg_value") + " AS avg_value, n_click, n_error, n_signup, "
     + O.r6("coalesce(purchase_value, 0.0)") + " AS purchase_value, n_purchase, max_k FROM pw"))
 def q_assemble(spark, sf):
-    """Attribute groups aggregated separately from the events, inner-joined on the panel key."""
-    ev = src.table(spark, sf, "events").select(
-        F.col("user_id").alias("player_id"), F.date_sub(F.to_date("ts"), F.weekday("ts")).alias("week"),
-        "event_type", "value", src.props_k().alias("k"))
-    et = F.col("event_type")
-    behaviour = ev.groupBy("player_id", "week").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg_value"))
-    performance = ev.groupBy("player_id", "week").agg(F.count_if(et == "click").alias("n_click"),
-                                                      F.count_if(et == "error").alias("n_error"))
-    social = ev.groupBy("player_id", "week").agg(F.count_if(et == "signup").alias("n_signup"))
-    money = ev.groupBy("player_id", "week").agg(
-        F.coalesce(F.sum(F.when(et == "purchase", F.col("value"))), F.lit(0.0)).alias("purchase_value"),
-        F.count_if(et == "purchase").alias("n_purchase"))
-    engage = ev.groupBy("player_id", "week").agg(F.max("k").alias("max_k"))
-    return joins.assemble_panel(behaviour, performance, social, money, engage, keys=("player_id", "week"))
+    """Attribute groups of one written measures table (the log is read once), inner-joined on the panel key."""
+    measures = materialize(src.player_week_measures(src.table(spark, sf, "events")))
+    group = lambda *cols: measures.select("player_id", "week", *cols)
+    money = group(F.coalesce("purchase_value", F.lit(0.0)).alias("purchase_value"), "n_purchase")
+    return joins.assemble_panel(group("n", "avg_value"), group("n_click", "n_error"), group("n_signup"), money, group("max_k"),
+                                keys=("player_id", "week"))
 
 
 @query("join_profile", "J2", O.with_panel(
