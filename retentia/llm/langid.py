@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from retentia.llm.common import cut_lineage, fresh, small_side, text_steps, texts_of
 
 UNDETERMINED = "und"
-BLOCK_CHARS = 4096
+BLOCK_CHARS, SHORT_CHARS = 4096, 64
 LEVEL = 6
 #: Share by which the second smallest size must exceed the smallest.
 MIN_MARGIN = 0.005
@@ -74,7 +74,13 @@ class Model:
 
 
 def sizes(text: str, compressors: list[zstandard.ZstdCompressor]) -> list[int]:
-    """Compressed bytes of a text by each compressor, block by block."""
+    """Compressed bytes of a text by each compressor, block by block.
+
+    A block of a few words is stored as it is, since it would hardly shrink, and then all languages tie; a short text
+    is therefore repeated, which costs the same with every dictionary, so that its first copy tells them apart.
+    """
+    if len(text) < SHORT_CHARS:
+        text = f"{text} " * (SHORT_CHARS // (len(text) + 1) + 1)
     blocks = [text[i:i + BLOCK_CHARS].encode() for i in range(0, len(text), BLOCK_CHARS)]
     return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
 
