@@ -9,6 +9,8 @@ size threshold.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,8 +117,11 @@ def player_week_measures(events: DataFrame) -> DataFrame:
     """Per ``(player_id, week)`` aggregates of the event log (one partial/final hash aggregate)."""
     k = props_k()
     # Events without a user or a time cannot be placed in the panel (the filter reaches the scan).
-    # The last event of a week is that of the largest (ts, event_id); its k may be null.
-    last = F.struct("ts", "event_id") if "event_id" in events.columns else F.struct("ts")
+    # The last event of a week is that of the largest (ts, event_id); its k may be null.  Both as one decimal number:
+    # a struct would make the aggregate sort all events.
+    last = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(17,0)")
+    if "event_id" in events.columns:
+        last = last * F.lit(Decimal(10) ** 19) + F.col("event_id").cast("decimal(19,0)")
     ev = events.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select(
         F.col("user_id").alias("player_id"), "ts", "event_type", "value", k.alias("k"), last.alias("_last"),
         F.date_sub(F.to_date("ts"), F.weekday("ts")).alias("week"),
@@ -128,7 +133,7 @@ def player_week_measures(events: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"),
         F.count(F.lit(1)).alias("n"),
         F.avg("value").alias("avg_value"),
-        F.max(F.struct("_last", "k"))["k"].alias("last_k"),
+        F.max_by("k", "_last").alias("last_k"),
         F.sum("k").alias("sum_k"),
         F.max("k").alias("max_k"),
         F.count_if(F.col("k") >= 95).alias("n_k95"),

@@ -4,21 +4,21 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from retentia.plans.catalog import REGISTRY
 from tools.check_oracle import digest
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
-
+SQL = {name: e.sql for name, e in REGISTRY.items() if e.sql}
+QUERIES = {name: e.build for name, e in REGISTRY.items()}
 
+# Those that fit a model.
 ROWS_ONLY = {"model_comparison", "feature_importance", "score_latest", "explain_shapley", "permutation_importance",
-             "feature_kv_snapshot", "prediction_kv_lookup", "etl_run", "daily_run", "batch_score_file",
-             "stream_score", "ingest_sources", "segment_metrics_spenders",
-             "ab_test_record"}
+             "daily_run", "batch_score_file", "stream_score"}
 
 
 def test_every_query_registered_with_docs():
     assert len(QUERIES) >= 80
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
     for name, fn in QUERIES.items():
         assert fn.__doc__, name
 

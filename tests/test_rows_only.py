@@ -2,15 +2,15 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SMALL
+from retentia.plans.catalog import REGISTRY
 
-ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()))
+ROWS_ONLY = sorted(name for name, e in REGISTRY.items() if not e.sql)
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only_query_runs(spark, name):
-    df = E.queries()[name](spark, SMALL)
+    df = REGISTRY[name].build(spark, SMALL)
     n = df.count()
     assert n > 0, name
     assert len(df.columns) == len(set(df.columns))
