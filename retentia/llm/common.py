@@ -18,6 +18,15 @@ from retentia.session import ensure_checkpoint_dir
 STEP_BYTES = 4 << 20
 
 
+#: Rows of a record batch between the JVM and a Python worker.
+BATCH_ROWS = 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Record batches of at most ``BATCH_ROWS`` rows: both sides hold a batch whole, and a row may be a long text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -61,14 +61,14 @@ def shape_of(word: str) -> int:
 
 
 class _Memo(dict):
-    """Remembers ``fn`` of up to 300,000 words."""
+    """Remembers ``fn`` of up to 150,000 words."""
 
     def __init__(self, fn: Callable[[str], int]) -> None:
         super().__init__()
         self.fn = fn
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = self.fn(word)
         return out

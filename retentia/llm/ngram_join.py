@@ -60,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
         return h

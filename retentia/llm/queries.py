@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import bpe, embed_dedup, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk
-from retentia.llm.common import cut_lineage, read_table, small_side
+from retentia.llm.common import bounded_batches, cut_lineage, read_table, small_side
 from retentia.llm.vectors import usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,10 +18,15 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = build
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return build
     return deco
 
 
