@@ -7,10 +7,13 @@ row: the stages that decide by id leave it in place.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentia.llm import bpe, langid, mixing, ngram_join, substring
+from retentia.llm.common import bounded_batches, cut_lineage
 from retentia.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,19 +62,20 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("source_mix", source_mix),
-    ("tokens", tokens),
-]
+def _bounded(stage):
+    """The stage with record batches of a bounded number of rows."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(stage.__name__, _bounded(stage)) for stage in (language_id, near_duplicates, repeated_passages, source_mix, tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage is written to the shared checkpoint folder before the next reads it."""
-    from retentia.llm.common import cut_lineage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
