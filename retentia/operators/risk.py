@@ -24,10 +24,6 @@ def risk_band_cut(score: Column) -> Column:
             .when((score > HIGH_EDGE) & (score <= 1.0), "High"))
 
 
-def with_risk_band(df: DataFrame, score: str = "overall_risk_score", out: str = "risk_category") -> DataFrame:
-    return df.withColumn(out, risk_band(score9(score)))
-
-
 # ---------------------------------------------------------------- K2
 # Rule-based risk factors (name, impact, column, test), highest impact first.
 RISK_FACTOR_RULES = (

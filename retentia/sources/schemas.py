@@ -42,7 +42,6 @@ PLAYER_FEATURES = _struct(
         ("churn_probability", _D),
     ]),
 )
-PLAYER_FEATURES_KEYS = ("player_id", "date")
 
 RISK_FACTOR = T.StructType([
     T.StructField("factor", _S, False),
