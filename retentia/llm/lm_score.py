@@ -23,6 +23,7 @@ columns pass unchanged.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -50,36 +51,32 @@ _SHAPES = 2 * 6
 _START, _FIRST_WORD = _SHAPES, _SHAPES + 1
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode()) >> 1  # fits a signed number
-
-
 def shape_of(word: str) -> int:
     """The class of a word outside the vocabulary."""
     kind = 0 if word.isdigit() else 1 if word.isupper() else 2 if word.istitle() else 3 if word.islower() else 4 if word.isalnum() else 5
     return kind + 6 * (not word.isascii())
 
 
-class _Memo(dict):
-    """Remembers ``fn`` of up to 150,000 words."""
+def number_of(word: str) -> int:
+    """59 bits of the word's hash and, in the lowest 4 bits, its shape."""
+    return xxhash.xxh3_64_intdigest(word.encode()) >> 5 << 4 | shape_of(word)
 
-    def __init__(self, fn: Callable[[str], int]) -> None:
-        super().__init__()
-        self.fn = fn
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
+class Numbers(dict):
+    """Of what stands between white space the words' numbers, as bytes of 64-bit numbers; up to 250,000 are remembered."""
+
+    def __missing__(self, segment: str) -> bytes:
+        if len(self) > 250_000:
             self.clear()
-        self[word] = out = self.fn(word)
+        self[segment] = out = array("q", map(number_of, _TOKENS(segment))).tobytes()
         return out
 
 
-def tokens_of(texts: list[str], memo: _Memo) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: list[str], memo: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """The number of each token, text after text, and how many each text has."""
-    words = [_TOKENS(t) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
     get = memo.__getitem__
-    return np.fromiter((get(w) for ws in words for w in ws), np.int64, int(sizes.sum())), sizes
+    found = [b"".join(map(get, t.split())) for t in texts]
+    return np.frombuffer(b"".join(found), np.int64), np.fromiter(map(len, found), np.int64, len(found)) // 8
 
 
 def befores(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -123,19 +120,24 @@ def _sums(df: DataFrame, text: str, target: str, make: Callable[[], Callable[[li
     return partial.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def _frequent(sums: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys that stand at least twice and make up ``share`` of all or more, and their two counts."""
-    twice = cut_lineage(sums.filter("background >= 2"))
-    total = twice.filter(F.col("key") == _ALL).first()
-    got = twice.filter((F.col("key") != _ALL) & (F.col("background") >= share * (total.background if total else 0))).toArrow()  # 1 / share rows at most
+def _sorted(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and their two counts."""
+    got = sums.toArrow()  # 1 / share rows at most
     keys = got.column("key").to_numpy()
     order = np.argsort(keys)
     return keys[order], np.stack([got.column(c).to_numpy()[order] for c in ("target", "background")]).astype(np.float64)
 
 
+def _frequent(sums: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys that stand at least twice and make up ``share`` of all or more, and their two counts."""
+    twice = cut_lineage(sums.filter(F.col("background") >= 2))
+    total = twice.filter(F.col("key") == _ALL).first()
+    return _sorted(twice.filter((F.col("key") != _ALL) & (F.col("background") >= share * (total.background if total else 0))))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """The words that both models know, as sorted hashes."""
+    """The words that both models know, as sorted numbers."""
 
     words: np.ndarray
 
@@ -143,10 +145,12 @@ class Vocabulary:
     def size(self) -> int:
         return _FIRST_WORD + len(self.words)
 
-    def id_of(self, word: str) -> int:
-        h = word_hash(word)
-        k = int(np.searchsorted(self.words, h))
-        return _FIRST_WORD + k if k < len(self.words) and self.words[k] == h else shape_of(word)
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The words' ids; for those outside the vocabulary, their shapes'."""
+        if not len(self.words):
+            return numbers & 15
+        at = np.minimum(np.searchsorted(self.words, numbers), len(self.words) - 1)
+        return np.where(self.words[at] == numbers, _FIRST_WORD + at, numbers & 15)
 
 
 @dataclass(frozen=True)
@@ -163,39 +167,35 @@ class Models:
         def owners(sizes: np.ndarray) -> np.ndarray:
             return np.repeat(np.arange(len(sizes)), sizes)
 
-        def hashes():
-            memo = _Memo(word_hash)
+        def words():
+            memo = Numbers()
 
             def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 found, sizes = tokens_of(texts, memo)
                 return found, owners(sizes)
             return keys
 
-        vocabulary = Vocabulary(_frequent(_sums(df, text, target, hashes), WORD_SHARE)[0])
+        vocabulary = Vocabulary(_frequent(_sums(df, text, target, words), WORD_SHARE)[0])
+        n = vocabulary.size
         held = df.sparkSession.sparkContext.broadcast(vocabulary)  # 1 / WORD_SHARE numbers at most
 
-        def ids():
-            memo = _Memo(held.value.id_of)
-
-            def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-                found, sizes = tokens_of(texts, memo)
-                begun = np.flatnonzero(sizes)
-                return np.concatenate([found, np.full(len(begun), _START)]), np.concatenate([owners(sizes), begun])
-            return keys
-
-        def pair_keys():
-            memo, n = _Memo(held.value.id_of), held.value.size
+        def ids_and_pairs():
+            memo = Numbers()
 
             def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 found, sizes = tokens_of(texts, memo)
-                return befores(found, sizes) * n + found, owners(sizes)
+                ids, begun, owner = held.value.ids(found), np.flatnonzero(sizes), owners(sizes)
+                single = n * n + np.concatenate([ids, np.full(len(begun), _START)])  # after all pairs' keys
+                return np.concatenate([befores(ids, sizes) * n + ids, single]), np.concatenate([owner, owner, begun])
             return keys
 
-        by_id = _sums(df, text, target, ids).filter(F.col("key") != _ALL).toArrow()  # one row an id
-        counts = np.zeros((2, vocabulary.size))
+        sums = cut_lineage(_sums(df, text, target, ids_and_pairs).filter((F.col("background") >= 2) | (F.col("key") >= n * n)))
+        by_id = sums.filter(F.col("key") >= n * n).toArrow()  # one row an id
+        counts = np.zeros((2, n))
         for row, name in enumerate(("target", "background")):
-            counts[row, by_id.column("key").to_numpy()] = by_id.column(name).to_numpy()
-        pairs, pair_counts = _frequent(_sums(df, text, target, pair_keys), PAIR_SHARE)
+            counts[row, by_id.column("key").to_numpy() - n * n] = by_id.column(name).to_numpy()
+        tokens = counts[1].sum() - counts[1, _START]
+        pairs, pair_counts = _sorted(sums.filter((F.col("key") < n * n) & (F.col("key") != _ALL) & (F.col("background") >= PAIR_SHARE * float(tokens))))
         return cls(vocabulary, counts, pairs, pair_counts)
 
     @cached_property
@@ -222,6 +222,8 @@ class Models:
         own = lambda k: np.unique(k, return_inverse=True, return_counts=True)[1:]
         (w, w_own), (b, b_own), (p, p_own) = own(text * n + ids), own(text * n + before), own((text * n + before) * n + ids)
         own_in_pairs = np.bincount(b, known, len(b_own))[b]
+        own_before = np.ones(len(ids), np.int64)  # of the start: once in a text; of a word: wherever it stands, last or not
+        own_before[1:] = np.where(text[1:] == text[:-1], w_own[w][:-1], 1)
         share = (np.repeat(target, sizes).astype(np.float64), np.ones(len(ids)))
         scale = (1.0, self.totals[0] / max(1.0, self.totals[1]))
         out = []
@@ -232,7 +234,7 @@ class Models:
             total = np.maximum(less(self.totals[row], sizes[text]), 1.0)
             alone = (1 - UNIFORM) * less(self.counts[row, ids], w_own[w]) / total + UNIFORM / n
             pair = np.where(known, less(self.pair_counts[row, at], p_own[p]), 0.0) if len(self.pairs) else 0.0
-            whole, in_pairs = less(self.counts[row, before], b_own[b]), less(self.in_pairs[row, before], own_in_pairs)
+            whole, in_pairs = less(self.counts[row, before], own_before), less(self.in_pairs[row, before], own_in_pairs)
             out.append(-np.log((pair + (np.maximum(whole - in_pairs, 0) + UNSEEN) * alone) / (np.maximum(whole, in_pairs) + UNSEEN)))
         return np.stack(out)
 
@@ -251,10 +253,11 @@ def score(df: DataFrame, models: Models, text: str = "text", target: str = "targ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        memo = _Memo(m.vocabulary.id_of)
+        memo = Numbers()
         for batch in batches:
             for part in text_steps(batch, text):
-                ids, sizes = tokens_of(texts_of(part, text), memo)
+                found, sizes = tokens_of(texts_of(part, text), memo)
+                ids = m.vocabulary.ids(found)
                 own = np.array([bool(x) for x in part.column(part.schema.get_field_index(target)).to_pylist()], bool)
                 empty = (sizes == 0) | (not known)
                 sums = np.zeros((2, len(sizes)))
