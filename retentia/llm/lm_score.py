@@ -63,10 +63,10 @@ def number_of(word: str) -> int:
 
 
 class Numbers(dict):
-    """Of what stands between white space the words' numbers, as bytes of 64-bit numbers; up to 250,000 are remembered."""
+    """Of what stands between white space the words' numbers, as bytes of 64-bit numbers; up to 500,000 are remembered."""
 
     def __missing__(self, segment: str) -> bytes:
-        if len(self) > 250_000:
+        if len(self) > 500_000:
             self.clear()
         self[segment] = out = array("q", map(number_of, _TOKENS(segment))).tobytes()
         return out
