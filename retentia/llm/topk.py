@@ -35,7 +35,7 @@ from retentia.llm.vectors import matrix, usable
 #: Rows that the pivots and the first bounds are fitted on, pivots, rows of a subtree, queries of a block.
 FIT_ROWS, PIVOTS, SUBTREE_ROWS, QUERY_BLOCK = 2048, 64, 4096, 1024
 #: Entries of an inner page and of a leaf.
-FANOUT, LEAF = 16, 64
+FANOUT, LEAF = 32, 512
 
 
 def augment(v: np.ndarray, m: float) -> np.ndarray:
@@ -125,9 +125,9 @@ class Tree:
             apart = np.abs(to_query - page.to_center)
             if page.leaf:
                 rows = page.entries[most(apart) >= bound]
-                for score, i in zip(np.rint(self.vectors[rows] @ query).astype(np.int64).tolist(), self.ids[rows].tolist()):
-                    if i == own or score < bound:
-                        continue
+                scores, ids = np.rint(self.vectors[rows] @ query).astype(np.int64), self.ids[rows]
+                kept = (scores >= bound) & (ids != own)
+                for score, i in zip(scores[kept].tolist(), ids[kept].tolist()):
                     if len(best) < k:
                         heapq.heappush(best, (score, -i))
                     elif (score, -i) > best[0]:
