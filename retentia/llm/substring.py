@@ -40,28 +40,31 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def gear_hash(data: np.ndarray) -> np.ndarray:
-    """At each byte the sum of the last ``WINDOW`` bytes' numbers, each shifted by its distance (32 bits)."""
-    h = GEAR[data]
-    step = 1
-    while step < WINDOW:  # the sums over 2, 4, 8 bytes
-        nxt = h.copy()
-        nxt[step:] += h[:-step] << np.uint32(step)
-        h, step = nxt, step * 2
+def gear_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the ``WINDOW`` bytes before each place: the sum of their numbers, each shifted by its distance (32 bits)."""
+    h = np.zeros(len(at), np.uint32)
+    for t in range(WINDOW):
+        h += GEAR[data[at - 1 - t]] << np.uint32(t)
     return h
 
 
 def chunk_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where chunks begin in ``data``, texts one after another that begin at ``starts``; and where words begin."""
     n = len(data)
-    space = _SPACE[data]
-    words = np.flatnonzero(space[:-1] & ~space[1:]) + 1 if n else np.zeros(0, np.int64)
     firsts = starts[starts < n]
-    words = np.union1d(words, firsts[~space[firsts]])
-    threshold = np.uint32((1 << 32) // CHUNK_WORDS)
-    own = words - starts[np.searchsorted(starts, words, side="right") - 1]  # the window must lie in the text
-    inner = words[own >= WINDOW]
-    cuts = np.union1d(inner[gear_hash(data)[inner - 1] < threshold], firsts)
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    begins[firsts] = ~space[firsts]
+    words = np.flatnonzero(begins)
+    early = np.zeros(n + WINDOW, bool)  # the window would reach into the text before
+    for k in range(WINDOW):
+        early[firsts + k] = True
+    inner = words[~early[words]]
+    cut = np.zeros(n, bool)
+    cut[inner[gear_hash(data, inner) < np.uint32((1 << 32) // CHUNK_WORDS)]] = True
+    cut[firsts] = True
+    cuts = np.flatnonzero(cut)
     ends = np.append(cuts[1:], n)
     long = np.flatnonzero(ends - cuts > MAX_CHUNK)
     if len(long):
