@@ -13,7 +13,8 @@ Only DataFrame functions; nothing is collected.  Bucket sums are one row a sourc
 themselves one row each.
 
 Defined cases: a null text has size 0, and a row of size 0 takes 0; a null source is a source of its own, after all
-others; an empty table gives an empty result; equal rows have equal keys and stand next to each other, so that
+others; rows without a draw stand after all others of their source, in the order of size and ``key``; an empty table
+gives an empty result; equal rows have equal keys and stand next to each other, so that
 which of them comes first changes nothing; other columns pass unchanged.
 """
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 WEIGHTS = (5, 2, 1)
 #: Rows that a bucket of the key range is meant to hold, and the largest number of buckets of a source.
 BUCKET_ROWS, MAX_BUCKETS = 2_000, 1 << 24
+#: Key of the rows without a draw, above all others.
+NO_DRAW = 1 << 60
 
 
 def word_count(text: str | Column) -> Column:
@@ -62,13 +65,14 @@ def mix(df: DataFrame, source: str = "source", key: list[str] | None = None, siz
     """``df`` with ``source_size``, ``target`` (both the source's) and ``taken``.
 
     ``draw`` gives the random order as a number from 0 up to 2^60, by default a hash of the columns ``key`` (all
-    columns if none are named); rows that draw the same stand in the order of ``key`` and size.
+    columns if none are named); rows that draw the same stand in the order of ``key`` and size, those that draw null
+    after all others in the order of size and ``key``.
     """
     if draw is None:
         draw = F.shiftrightunsigned(F.xxhash64(*(key or df.columns)), 4)
     if taken := {"source_size", "target", "taken"} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns that this operator adds are there already: {sorted(taken)}")
-    keyed = df.withColumns({"_source": F.col(source), "_key": draw})
+    keyed = df.withColumns({"_source": F.col(source), "_key": F.coalesce(draw, F.lit(NO_DRAW))})
     sources = keyed.groupBy("_source").agg(F.count("*").alias("_n"), F.sum(size).alias("_total"))
     plan = (targets(sources, share, max_epochs, weights)
             .withColumn("_buckets", F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("long")))
@@ -76,7 +80,9 @@ def mix(df: DataFrame, source: str = "source", key: list[str] | None = None, siz
     dealt = (keyed.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
     # the key's 32 high bits, cut into as many equal ranges as the source has buckets
     high = F.shiftright(F.col("_key"), 28)
-    dealt = dealt.withColumn("_bucket", F.shiftrightunsigned(high * F.col("_buckets"), 32))
+    drawn = F.shiftrightunsigned(high * F.col("_buckets"), 32)
+    # rows without a draw: a bucket for each size, after all others
+    dealt = dealt.withColumn("_bucket", F.when(F.col("_key") < NO_DRAW, drawn).otherwise(F.col("_buckets") + F.col(size)))
     sums = dealt.groupBy("_source", "_bucket").agg(F.sum(size).alias("_sum"))
     over = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = (sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(over), F.lit(0)))

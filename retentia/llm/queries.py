@@ -102,7 +102,7 @@ FROM placed
 
 @query("op8_mix_sources", _OP8_SQL)
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, mixed to weights 5, 2, 1 of 150 % of their words, no source more than twice."""
+    """All documents, mixed to weights 5, 2, 1 of 150 % of their words, no source more than twice; those without an id stand last."""
     docs = read_table(spark, sf_dir, "documents")
     sized = cut_lineage(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")

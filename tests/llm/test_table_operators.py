@@ -208,6 +208,17 @@ def test_op8_equals_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
+def test_op8_keeps_documents_without_an_id(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id END AS doc_id)
+                          FROM '{SMALL}/documents.parquet') TO '{tmp_path}/documents.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.sql(Q.ORACLES["op8_mix_sources"])
+    got = Q.op8_mix_sources(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sum(r.doc_id is None for r in got) > 5
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def cosine_brute_force(rows, threshold=0.9):
     good = [(i, np.array(v, np.float64)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = [(a, b) for k, (a, x) in enumerate(good) for b, y in good[:k]
