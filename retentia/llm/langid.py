@@ -5,8 +5,8 @@ of anything but letters become one space, and it is cut into blocks; every block
 language's dictionary.  The language with the smallest total is chosen, ties to the smaller name.  A text is
 rejected when the second smallest total is less than ``min_margin`` larger (as a share of it).
 
-Fitting reads a bounded sample: about ``docs_per_language`` labelled documents of each language, drawn by a hash of
-the text over all of them, and ``chars_per_doc`` characters of each.  Everything else covers every row.
+Fitting reads a bounded sample: about ``docs_per_language`` labelled different texts of each language, drawn by a
+hash of the text over all of them, and ``chars_per_doc`` characters of each.  Everything else covers every row.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected; a null label or a text
 without letters teaches nothing; with no labelled row every text is ``und``; rows are neither merged nor lost; other
@@ -52,8 +52,10 @@ class Model:
             docs_per_language: int = 160, chars_per_doc: int = 600) -> Model:
         rows = (labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
                 .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
-        counts = small_side(cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n"))))  # one row a language
-        # a hash below the language's rate: as many documents on average, whatever the table's size
+        # copies count once, as the draw takes them; one row a language
+        texts = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+        counts = small_side(cut_lineage(texts.groupBy("lang").agg(F.count("*").alias("n"))))
+        # a hash below the language's rate: as many texts on average, whatever the table's size and its copies
         span = float(1 << 31)
         draw = F.pmod(F.xxhash64("text"), F.lit(1 << 31)) / F.lit(span)
         sample = (rows.join(counts, "lang").filter(draw * F.col("n") <= docs_per_language)

@@ -194,6 +194,15 @@ def test_langid_cases(spark):
     assert sorted(r.lang_pred for r in langid.predict(again, model).collect()) == sorted(x[1] for x in got)
 
 
+def test_langid_learns_a_language_of_many_copies(spark):
+    words = [f"{a}{b}{c}" for a in ("lor", "ips", "dol", "sit") for b in "aeiou" for c in ("met", "num", "lis")]
+    rng = random.Random(4)
+    different = [(" ".join(rng.choice(words) for _ in range(40)), "aa") for _ in range(40)]
+    copies = spark.range(50_000).select(F.lit("always the same text of this language").alias("text"), F.lit("aa").alias("lang"))
+    model = langid.Model.fit(spark.createDataFrame(different, "text string, lang string").union(copies))
+    assert len(model.dictionaries["aa"].decode().split("\n")) == 41
+
+
 def lm_loss(rows, k, row, vocabulary, pairs, scale):
     """Mean loss of text ``k`` under the model of the flagged (row 0) or of all other texts, counted one by one."""
     n, words, followed = vocabulary.size, collections.Counter(), collections.Counter()
