@@ -2,7 +2,11 @@
 
 A gear hash rolls over a text's bytes.  A chunk begins at a word whose preceding ``WINDOW`` bytes hash below a
 threshold, so that the same words are cut in the same way wherever they stand, and an insertion moves no cut beyond
-its neighbourhood.  A stretch without a cut is divided every ``MAX_CHUNK`` bytes from its start.
+its neighbourhood.  In a run of more than ``LONG_WORD`` bytes without white space (Chinese, Japanese, Thai, encoded
+text) a chunk may begin at any character: where the hash falls below the threshold and that of the character before
+does not, so that one character again and again makes no cuts.  Such a run counts as a word for every ``WORD_BYTES``
+bytes.  Only a stretch that is still without a cut is divided every ``MAX_CHUNK`` bytes from its start, and that counts
+as the words that begin in it.
 
 A chunk alone is a few words and may recur by chance; the digest that is compared covers a chunk and the one after
 it.  Digests that occur more than once, anywhere, mark their two chunks as repeated.  A run of repeated chunks of
@@ -33,6 +37,10 @@ from retentia.llm.common import fresh, text_steps
 
 #: Bytes that the rolling hash sees, mean words of a chunk, its largest size in bytes, words of a passage.
 WINDOW, CHUNK_WORDS, MAX_CHUNK, MIN_WORDS = 8, 5, 256, 18
+#: Bytes above which a run without white space is cut inside, and bytes of it that count as a word.
+LONG_WORD, WORD_BYTES = 48, 6
+#: Mean characters of a chunk inside such a run, after a character of one byte and after a longer one.
+RUN_CHARS = (CHUNK_WORDS * WORD_BYTES, CHUNK_WORDS * WORD_BYTES // 3)
 
 #: One random 32-bit number for each byte; any fixed seed will do, but it must stay the same.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -48,8 +56,22 @@ def gear_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
+def long_runs(words: np.ndarray, space: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of more than ``LONG_WORD`` bytes without white space."""
+    n = len(space)
+    begin = words[np.diff(np.append(words, n)) > LONG_WORD]
+    if not len(begin):
+        return begin, begin
+    stops = np.union1d(np.flatnonzero(space), np.append(firsts, n))
+    end = stops[np.searchsorted(stops, begin, side="right")]
+    return begin[end - begin > LONG_WORD], end[end - begin > LONG_WORD]
+
+
 def chunk_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where chunks begin in ``data``, texts one after another that begin at ``starts``; and where words begin."""
+    """Where chunks begin in ``data``, texts one after another that begin at ``starts``; and where words begin.
+
+    A long run that is cut by its content has a word every ``WORD_BYTES`` bytes.
+    """
     n = len(data)
     firsts = starts[starts < n]
     space = _SPACE[data]
@@ -63,10 +85,22 @@ def chunk_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     inner = words[~early[words]]
     cut = np.zeros(n, bool)
     cut[inner[gear_hash(data, inner) < np.uint32((1 << 32) // CHUNK_WORDS)]] = True
+    run_from, run_to = long_runs(words, space, firsts)
+    inside = np.concatenate([np.arange(a, b) for a, b in zip(run_from.tolist(), run_to.tolist())]) if len(run_from) else run_from
+    if len(inside):
+        since = inside - np.repeat(run_from, run_to - run_from)
+        at = inside[((data[inside] & 0xC0) != 0x80) & (since > 0) & ~early[inside]]
+        chars = np.where(data[at - 1] >= 0x80, RUN_CHARS[1], RUN_CHARS[0])
+        low = gear_hash(data, at) < (1 << 32) // chars
+        low[1:] &= ~low[:-1]
+        cut[at[low]] = True
+        inside = inside[(since > 0) & (since % WORD_BYTES == 0)]
     cut[firsts] = True
     cuts = np.flatnonzero(cut)
     ends = np.append(cuts[1:], n)
     long = np.flatnonzero(ends - cuts > MAX_CHUNK)
+    if len(inside):
+        words = np.union1d(words, inside[~np.isin(np.searchsorted(cuts, inside, side="right") - 1, long)])
     if len(long):
         more = np.concatenate([np.arange(cuts[k] + MAX_CHUNK, ends[k], MAX_CHUNK) for k in long])
         for _ in range(3):  # not inside a character

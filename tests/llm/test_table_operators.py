@@ -172,6 +172,26 @@ def test_substring_dedup_cases(spark):
     assert out.count() == len(rows) and substring.dedup(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_without_white_space(spark):
+    rng = random.Random(11)
+    for first, last, n in ((0x4E00, 0x9FA5, 400), (0x0E01, 0x0E2E, 400), (0x61, 0x7A, 1200)):  # Chinese, Thai, encoded: 200 words
+        take = lambda n: "".join(chr(rng.randint(first, last)) for _ in range(n))  # noqa: E731, B023
+        rows, shared = [], [take(n) for _ in range(20)]
+        for k in range(60):
+            middle = shared[k % 20] if k < 40 else take(n)
+            if 20 <= k < 40:
+                middle = middle[:n // 2] + take(1) + middle[n // 2:]  # an insertion moves all that follows
+            rows.append((k, take(rng.randint(60, 200)) + middle + take(100)))
+        got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(got[k].text == rows[k][1] and not got[k].removed_words for k in [*range(20), *range(40, 60)])
+        gone = [len(rows[k][1]) - len(got[k].text) for k in range(20, 40)]
+        assert sum(g > n / 2 for g in gone) >= 19 and sum(gone) > 0.7 * 20 * n
+        for k in range(20, 40):
+            raw = rows[k][1].encode()
+            assert all(raw[s.start:s.end].decode() in shared[k - 20] for s in got[k].removed_spans)
+            assert got[k].repeated_words >= got[k].removed_words > 0
+
+
 def test_targets_stay_under_their_caps_and_use_the_share(spark):
     rng = random.Random(3)
     for n in (1, 2, 7, 30):
