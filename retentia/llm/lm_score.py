@@ -1,17 +1,18 @@
 """Language-model scoring by cross-entropy difference (operator 2).
 
-Two bigram models, one of the target documents and one of all documents, share one vocabulary: the words that make
-up ``WORD_SHARE`` of all tokens or more, at least two of them, and a class for each shape of the others.  The models
-are matched: same order, same vocabulary, same pairs, same smoothing, and the background's counts are scaled to the
-target's number of tokens.  Pairs of that vocabulary that make up ``PAIR_SHARE`` of all tokens or more have counts of
-their own; the rest of a context's mass goes to its pairs by the words' own probabilities.  A document's score is the
-mean over its tokens of the loss under the target model less the loss under the background model; the lower, the
-more the document is like the target.  A document's own tokens are taken out of the counts before it is scored, so
-that neither model knows it by heart.
+Two bigram models, one of the target documents and one of all documents, share one vocabulary: the words that stand
+twice or more, and a class for each shape of the others.  The models are matched: same order, same vocabulary, same
+pairs, same smoothing, and the background's counts are scaled to the target's number of tokens.  Pairs of that
+vocabulary that stand twice or more have counts of their own; the rest of a context's mass goes to its pairs by the
+words' own probabilities.  A document's score is the mean over its tokens of the loss under the target model less the
+loss under the background model; the lower, the more the document is like the target.  A document's own tokens are
+taken out of the counts before it is scored, so that neither model knows it by heart.
 
 Counts cover every token of every document: a task adds up its own words (then pairs), and one row for each goes into
-the sums over all tasks.  A share bounds the number of words and pairs that are sent to the scoring tasks, whatever
-the input: at most 1 / share of them can have it.
+the sums over all tasks, which stay Spark tables and grow with the input.  Words that make up ``WORD_SHARE`` of all
+tokens or more, and pairs ``PAIR_SHARE``, are sent to all scoring tasks (at most 1 / share of them can have it); the
+counts of all others are joined to the documents that have them.  Texts and pairs are told apart by 64 and 60 bits of
+their hashes.
 
 Words: runs of letters, digits and underscores as they stand, and every other mark by itself, so that the models also
 see how a text is punctuated and spelt.  Defined cases: a text that is null or has no word has 0 tokens and null
@@ -31,13 +32,13 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.llm.common import cut_lineage, fresh, text_steps, texts_of
 
-#: Least shares of all tokens of a word of the vocabulary and of a pair with its own count.
+#: Least shares of all tokens of a word and of a pair whose counts are sent to all tasks.
 WORD_SHARE, PAIR_SHARE = 2e-5, 2e-6
 #: Share of a word's probability that is equal for all words; counts that every context adds for words it has not seen.
 UNIFORM, UNSEEN = 0.01, 5.0
@@ -87,52 +88,72 @@ def befores(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Stands for all tokens among the keys that a count gives back.
-_ALL = -1
+def pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """60 bits of a hash of both and, in the lowest 4 bits, 15, which no word has."""
+    with np.errstate(over="ignore"):
+        h = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = ((h ^ (h >> np.uint64(32))) + ids.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(32))) | np.uint64(15)).view(np.int64)
 
 
-def _sums(df: DataFrame, text: str, target: str, make: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(key, target, background): how often each key stands in the target documents and in all; and ``_ALL`` of them.
+def _sums(docs: DataFrame, extra: list[str], make: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]]) -> DataFrame:
+    """(key, target, background, *extra): how often each key stands in the target documents and in all.
 
-    ``make()`` gives what turns texts into keys and the text that each belongs to.
+    ``docs`` has ``text``, ``target`` and, as a document's number of copies, ``n``.  ``make()`` gives what turns some
+    of its rows into keys, the row of each and its ``extra`` values, of which any one is kept.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_of, held = make(), [np.zeros(0, np.int64)] * 3
-
-        def out() -> pa.RecordBatch:
-            total = [np.array([x]) for x in (_ALL, held[1].sum(), held[2].sum())]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(held, total)], names=["key", "target", "background"])
+    names = ["key", "target", "background", *extra]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of, none = make(), [np.zeros(0, np.int64)] * len(names)
+        held = none
         for batch in batches:
             for part in text_steps(batch, "text"):
-                keys, owner = keys_of(texts_of(part, "text"))
-                own = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-                known, index = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
-                add = lambda old, new: np.bincount(index, np.concatenate([old, new]), len(known)).astype(np.int64)  # noqa: E731, B023
-                held = [known, add(held[1], own), add(held[2], np.ones(len(keys), np.int64))]
+                keys, owner, *more = keys_of(part)
+                n = _column(part, "n").astype(np.int64)[owner]
+                new = [keys, n * _column(part, "target").astype(np.int64)[owner], n, *more]
+                both = [np.concatenate(x) for x in zip(held, new)]
+                known, first, index = np.unique(both[0], return_index=True, return_inverse=True)
+                held = [known, *[np.bincount(index, x, len(known)).astype(np.int64) for x in both[1:3]], *[x[first] for x in both[3:]]]
                 if len(known) > HELD_KEYS:
-                    yield out()
-                    held = [np.zeros(0, np.int64)] * 3
-        yield out()
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
+                    held = none
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
-    flagged = df.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    partial = flagged.mapInArrow(run, "key long, target long, background long")
-    return partial.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    partial = docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return partial.groupBy("key").agg(*[F.sum(n).alias(n) for n in names[1:3]], *[F.min(n).alias(n) for n in extra])
 
 
-def _sorted(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The keys in order, and their two counts."""
-    got = sums.toArrow()  # 1 / share rows at most
-    keys = got.column("key").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], np.stack([got.column(c).to_numpy()[order] for c in ("target", "background")]).astype(np.float64)
+def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
 
+def _owners(sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(sizes)), sizes)
 
-def _frequent(sums: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys that stand at least twice and make up ``share`` of all or more, and their two counts."""
-    twice = cut_lineage(sums.filter(F.col("background") >= 2))
-    total = twice.filter(F.col("key") == _ALL).first()
-    return _sorted(twice.filter((F.col("key") != _ALL) & (F.col("background") >= share * (total.background if total else 0))))
+
+def _ids(part: pa.RecordBatch, memo: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each token of documents with their ``singles``, text after text, and how many each text has."""
+    found, sizes = tokens_of(texts_of(part, "text"), memo)
+    singles = part.column(part.schema.get_field_index("singles")).flatten().to_numpy(zero_copy_only=False)
+    return np.where(np.isin(found, singles), found & 15, found), sizes
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would be in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and a row for each other column."""
+    got = df.toArrow()  # 1 / share rows at most
+    keys = got.column("key").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.stack([got.column(c).to_numpy()[order].astype(np.float64) for c in got.column_names if c != "key"])
 
 
 @dataclass(frozen=True)
@@ -154,71 +175,37 @@ class Vocabulary:
 
 
 @dataclass(frozen=True)
-class Models:
-    """Both models: counts of ids (a start is counted as a context only) and of pairs, rows target and background."""
+class Counts:
+    """Counts of ids (a start's as a context only) and of pairs, rows target and background, under sorted keys.
 
-    vocabulary: Vocabulary
-    counts: np.ndarray  # 2 x ids
-    pairs: np.ndarray  # sorted keys: id before * ids + id
-    pair_counts: np.ndarray  # 2 x pairs
-
-    @classmethod
-    def fit(cls, df: DataFrame, text: str = "text", target: str = "target") -> Models:
-        def owners(sizes: np.ndarray) -> np.ndarray:
-            return np.repeat(np.arange(len(sizes)), sizes)
-
-        def words():
-            memo = Numbers()
-
-            def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-                found, sizes = tokens_of(texts, memo)
-                return found, owners(sizes)
-            return keys
-
-        vocabulary = Vocabulary(_frequent(_sums(df, text, target, words), WORD_SHARE)[0])
-        n = vocabulary.size
-        held = df.sparkSession.sparkContext.broadcast(vocabulary)  # 1 / WORD_SHARE numbers at most
-
-        def ids_and_pairs():
-            memo = Numbers()
-
-            def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-                found, sizes = tokens_of(texts, memo)
-                ids, begun, owner = held.value.ids(found), np.flatnonzero(sizes), owners(sizes)
-                single = n * n + np.concatenate([ids, np.full(len(begun), _START)])  # after all pairs' keys
-                return np.concatenate([befores(ids, sizes) * n + ids, single]), np.concatenate([owner, owner, begun])
-            return keys
-
-        sums = cut_lineage(_sums(df, text, target, ids_and_pairs).filter((F.col("background") >= 2) | (F.col("key") >= n * n)))
-        by_id = sums.filter(F.col("key") >= n * n).toArrow()  # one row an id
-        counts = np.zeros((2, n))
-        for row, name in enumerate(("target", "background")):
-            counts[row, by_id.column("key").to_numpy() - n * n] = by_id.column(name).to_numpy()
-        tokens = counts[1].sum() - counts[1, _START]
-        pairs, pair_counts = _sorted(sums.filter((F.col("key") < n * n) & (F.col("key") != _ALL) & (F.col("background") >= PAIR_SHARE * float(tokens))))
-        return cls(vocabulary, counts, pairs, pair_counts)
+    ``words`` has two more rows: how often an id stands first in pairs with counts of their own.
+    """
 
-    @cached_property
-    def totals(self) -> np.ndarray:
-        """Tokens of each model."""
-        return self.counts.sum(axis=1) - self.counts[:, _START]
+    size: int  # ids of the whole vocabulary
+    totals: np.ndarray  # tokens of each model
+    ids: np.ndarray
+    words: np.ndarray  # 4 x ids
+    pairs: np.ndarray
+    pair_counts: np.ndarray  # 2 x pairs
 
-    @cached_property
-    def in_pairs(self) -> np.ndarray:
-        """How often each id stands before a pair's second word, in pairs with counts of their own."""
-        n = self.vocabulary.size
-        return np.stack([np.bincount(self.pairs // n, c, n) for c in self.pair_counts])
+    def with_rare(self, keys: np.ndarray, values: np.ndarray) -> Counts:
+        """Also with those of other words and pairs, ``values`` in 4 rows."""
+        keys, first = np.unique(keys, return_index=True)
+        values, pair = values[:, first], (keys & 15) == 15
+        ids, pairs = np.concatenate([self.ids, keys[~pair]]), np.concatenate([self.pairs, keys[pair]])
+        a, b = np.argsort(ids, kind="stable"), np.argsort(pairs, kind="stable")
+        return Counts(self.size, self.totals, ids[a], np.concatenate([self.words, values[:, ~pair]], axis=1)[:, a],
+                      pairs[b], np.concatenate([self.pair_counts, values[:2, pair]], axis=1)[:, b])
 
     def losses(self, ids: np.ndarray, sizes: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Negative log probability of each token under the target and the background model, without its own text.
 
         Texts one after another, of ``sizes`` tokens; ``target`` tells which of them the target model has counted.
         """
-        n, text = self.vocabulary.size, np.repeat(np.arange(len(sizes)), sizes)
-        before = befores(ids, sizes)
-        key = before * n + ids
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
+        n, text = len(self.ids), _owners(sizes)
+        at, known = _find(self.pairs, pair_keys(befores(ids, sizes), ids))
+        ids, before = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, befores(ids, sizes))
+        counts, in_pairs_of = self.words[:2], self.words[2:]
         own = lambda k: np.unique(k, return_inverse=True, return_counts=True)[1:]
         (w, w_own), (b, b_own), (p, p_own) = own(text * n + ids), own(text * n + before), own((text * n + before) * n + ids)
         own_in_pairs = np.bincount(b, known, len(b_own))[b]
@@ -232,13 +219,131 @@ class Models:
                 return np.maximum(counted - share[row] * of_text, 0) * scale[row]  # noqa: B023
 
             total = np.maximum(less(self.totals[row], sizes[text]), 1.0)
-            alone = (1 - UNIFORM) * less(self.counts[row, ids], w_own[w]) / total + UNIFORM / n
+            alone = (1 - UNIFORM) * less(counts[row, ids], w_own[w]) / total + UNIFORM / self.size
             pair = np.where(known, less(self.pair_counts[row, at], p_own[p]), 0.0) if len(self.pairs) else 0.0
-            whole, in_pairs = less(self.counts[row, before], own_before), less(self.in_pairs[row, before], own_in_pairs)
+            whole, in_pairs = less(counts[row, before], own_before), less(in_pairs_of[row, before], own_in_pairs)
             out.append(-np.log((pair + (np.maximum(whole - in_pairs, 0) + UNSEEN) * alone) / (np.maximum(whole, in_pairs) + UNSEEN)))
         return np.stack(out)
 
 
+@dataclass(frozen=True)
+class Models:
+    """Both models: the frequent words' and pairs' counts, and those of all as tables."""
+
+    frequent: Counts
+    docs: DataFrame  # different texts: _doc, text, target, n, singles
+    word_table: DataFrame  # key, target, background of the vocabulary's words
+    pair_table: DataFrame  # key, target, background, first (the id before) of the pairs with counts of their own
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str = "text", target: str = "target") -> Models:
+        flag = F.coalesce(F.col(target), F.lit(False))
+        rows = df.select(doc_key(text, target).alias("_doc"), F.col(text).alias("text"), flag.alias("target"), F.lit(1).cast("long").alias("n"))
+
+        def words():
+            memo = Numbers()
+
+            def keys(part: pa.RecordBatch) -> list[np.ndarray]:
+                found, sizes = tokens_of(texts_of(part, "text"), memo)
+                begun = np.flatnonzero(sizes)
+                owner = np.concatenate([_owners(sizes), begun])
+                return [np.concatenate([found, np.full(len(begun), _START)]), owner, _column(part, "_doc")[owner]]
+            return keys
+
+        every = cut_lineage(_sums(rows, ["doc"], words))
+        start, once = F.col("key") == _START, F.col("background") == 1
+        both = ("target", "background")
+        tokens = every.filter(~start).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both], F.count_if(~once).alias("n")).first()
+        word_table = every.filter(~start & ~once).select("key", *both)
+        alone = every.filter(~start & once)
+        classes = alone.groupBy(F.col("key").bitwiseAND(F.lit(15)).alias("key")).agg(*[F.sum(c).alias(c) for c in both])
+
+        # a word that stands once tells its document, which then takes the word's class
+        singles = alone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("key").alias("singles"))
+        docs = cut_lineage(rows.groupBy("_doc").agg(F.first("text").alias("text"), F.first("target").alias("target"), F.sum("n").alias("n"))
+                           .join(singles, "_doc", "left").withColumn("singles", F.coalesce("singles", F.array().cast("array<long>"))))
+
+        def pairs():
+            memo = Numbers()
+
+            def keys(part: pa.RecordBatch) -> list[np.ndarray]:
+                ids, sizes = _ids(part, memo)
+                before = befores(ids, sizes)
+                return [pair_keys(before, ids), _owners(sizes), before]
+            return keys
+
+        pair_table = cut_lineage(_sums(docs, ["first"], pairs).filter("background >= 2"))
+        often = word_table.filter(F.col("background") >= WORD_SHARE * tokens.background).union(classes).union(every.filter(start).select("key", *both))
+        in_pairs = _in_pairs(pair_table)
+        ids, counts = _sorted(often.join(F.broadcast(often.select("key").join(in_pairs, "key")), "key", "left").fillna(0))
+        found, pair_counts = _sorted(pair_table.filter(F.col("background") >= PAIR_SHARE * tokens.background).select("key", *both))
+        totals = np.array([tokens.target, tokens.background], np.float64)
+        return cls(Counts(_FIRST_WORD + tokens.n, totals, ids, counts, found, pair_counts), docs, word_table, pair_table)
+
+    @property
+    def totals(self) -> np.ndarray:
+        """Tokens of each model."""
+        return self.frequent.totals
+
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        """All words, on the driver: to look into small models."""
+        return Vocabulary(_sorted(self.word_table)[0])
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """All pairs with counts of their own as id before * ids + id, on the driver: to look into small models."""
+        known = self.vocabulary
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, sizes = _ids(batch, Numbers())
+                before = befores(ids, sizes)
+                dense = [np.where(x < _FIRST_WORD, x, known.ids(x)) for x in (before, ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, ids)), pa.array(dense[0] * known.size + dense[1])], names=["key", "pair"])
+
+        every = self.docs.mapInArrow(run, "key long, pair long").distinct()
+        return np.sort(every.join(self.pair_table, "key", "left_semi").select("pair").toArrow().column("pair").to_numpy())
+
+    def rare(self) -> DataFrame:
+        """``_doc`` and, as ``hits``, the counts of the rare words and pairs that it has.
+
+        A key below its share has a bounded part of all rows, so that the join has no hot key.
+        """
+        frequent = self.docs.sparkSession.sparkContext.broadcast(self.frequent)  # bounded by the shares
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo, known = Numbers(), frequent.value
+            for batch in batches:
+                for part in text_steps(batch, "text"):
+                    ids, sizes = _ids(part, memo)
+                    owner, key = _owners(sizes), pair_keys(befores(ids, sizes), ids)
+                    for table, wanted in ((known.ids, ids), (known.pairs, key)):
+                        new = ~_find(table, wanted)[1]
+                        of, asked = owner[new], wanted[new]
+                        order = np.lexsort((asked, of))
+                        of, asked = of[order], asked[order]
+                        one = np.ones(len(of), bool)
+                        one[1:] = (of[1:] != of[:-1]) | (asked[1:] != asked[:-1])
+                        yield pa.RecordBatch.from_arrays([pa.array(_column(part, "_doc")[of[one]]), pa.array(asked[one])], names=["_doc", "key"])
+
+        asked = self.docs.mapInArrow(run, "_doc long, key long")
+        total = float(self.totals[1])
+        words = (self.word_table.filter(F.col("background") < WORD_SHARE * total).join(_in_pairs(self.pair_table), "key", "left").fillna(0))
+        pairs = (self.pair_table.filter(F.col("background") < PAIR_SHARE * total)
+                 .select("key", "target", "background", *[F.lit(0).cast("long").alias(c) for c in words.columns[3:]]))
+        return asked.join(words.union(pairs), "key").groupBy("_doc").agg(F.collect_list(F.struct(*words.columns)).alias("hits"))
+
+
+def doc_key(text: str, target: str) -> Column:
+    """Equal for rows of equal texts and flags, which have equal scores."""
+    return F.xxhash64(F.col(text), F.coalesce(F.col(target), F.lit(False)))
+
+
+def _in_pairs(pair_table: DataFrame) -> DataFrame:
+    return pair_table.groupBy(F.col("first").alias("key")).agg(F.sum("target").alias("first_target"), F.sum("background").alias("first_background"))
+
+
 def score(df: DataFrame, models: Models, text: str = "text", target: str = "target") -> DataFrame:
     """``df`` with ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` (their mean difference a token).
 
@@ -246,26 +351,27 @@ def score(df: DataFrame, models: Models, text: str = "text", target: str = "targ
     row flagged by ``target`` in the target's.
     """
     names = [fresh(n, df.columns) for n in ("n_tokens", "target_loss", "background_loss", "score")]
-    kinds = (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
-    held = df.sparkSession.sparkContext.broadcast(models)  # bounded by the shares
+    doc = fresh("_doc", [*df.columns, *names])
+    schema = T.StructType([T.StructField(doc, T.LongType()), T.StructField(names[0], T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
+    held = df.sparkSession.sparkContext.broadcast(models.frequent)  # bounded by the shares
     known = bool(models.totals[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         memo = Numbers()
         for batch in batches:
-            for part in text_steps(batch, text):
-                found, sizes = tokens_of(texts_of(part, text), memo)
-                ids = m.vocabulary.ids(found)
-                own = np.array([bool(x) for x in part.column(part.schema.get_field_index(target)).to_pylist()], bool)
+            for part in text_steps(batch, "text"):
+                ids, sizes = _ids(part, memo)
+                hits = part.column(part.schema.get_field_index("hits")).flatten().flatten()
+                key, *values = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in hits)
+                m = held.value.with_rare(key, np.stack(values).astype(np.float64))
                 empty = (sizes == 0) | (not known)
                 sums = np.zeros((2, len(sizes)))
                 if len(ids):
-                    total = np.concatenate([np.zeros((2, 1)), np.cumsum(m.losses(ids, sizes, own), axis=1)], axis=1)
+                    total = np.concatenate([np.zeros((2, 1)), np.cumsum(m.losses(ids, sizes, _column(part, "target").astype(bool)), axis=1)], axis=1)
                     ends = np.cumsum(sizes)
                     sums = (total[:, ends] - total[:, ends - sizes]) / np.maximum(sizes, 1)
                 cols = [pa.array(sizes), *[pa.array(x, mask=empty) for x in (sums[0], sums[1], sums[0] - sums[1])]]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("_doc")), *cols], names=[doc, *names])
 
-    return df.mapInArrow(run, schema)
+    scored = models.docs.join(models.rare(), "_doc", "left").mapInArrow(run, schema)
+    return df.withColumn(doc, doc_key(text, target)).join(scored, doc, "left").select(*df.columns, *names)

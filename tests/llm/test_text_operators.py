@@ -250,6 +250,35 @@ def test_lm_scores_equal_direct_computation(spark):
     assert lm_score.score(df.union(df), lm_score.Models.fit(df.union(df))).count() == 16
 
 
+def test_lm_models_keep_every_word_and_pair_that_stands_twice(spark, monkeypatch):
+    rng = random.Random(6)
+    rare = [f"w{k}x" for k in range(80)]  # below a share of 2e-5
+    rows = [(k, " ".join(["the", "of", "and"] * 2000 + rng.sample(rare, 6) + ["zz qq", f"Once{k}"]), k % 2 == 0) for k in range(40)]
+    rows += [(k + 100, rows[3][1], False) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    words, followed = collections.Counter(), collections.Counter()
+    for _, text, _ in rows:
+        words.update(text.split())
+    name = lambda w: w if words[w] > 1 else lm_score.shape_of(w)
+    for _, text, _ in rows:
+        ids = [name(w) for w in text.split()]
+        followed.update(zip(["", *ids], ids))
+    models = lm_score.Models.fit(df)
+    assert models.vocabulary.size == lm_score._FIRST_WORD + sum(n > 1 for n in words.values())
+    assert len(models.pairs) == sum(n > 1 for n in followed.values())
+    n, scale = models.vocabulary.size, models.totals[0] / models.totals[1]
+    pairs = {divmod(int(k), n) for k in models.pairs}
+    got = {r.doc_id: r for r in lm_score.score(df, models).collect()}
+    assert len(got) == len(rows) and len(models.frequent.ids) < n - 40
+    for k in (0, 3, 7, 41):
+        loss = [lm_loss(rows, k, row, models.vocabulary, pairs, scale) for row in (0, 1)]
+        assert np.allclose([got[rows[k][0]].target_loss, got[rows[k][0]].background_loss], loss)
+    monkeypatch.setattr(lm_score, "WORD_SHARE", 1.0)  # what is sent and what is joined changes nothing
+    monkeypatch.setattr(lm_score, "PAIR_SHARE", 1.0)
+    joined = {r.doc_id: r for r in lm_score.score(df, lm_score.Models.fit(df)).collect()}
+    assert all(np.isclose(joined[i].score, got[i].score) for i in got)
+
+
 def test_op2_tells_good_documents_it_has_not_seen(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
