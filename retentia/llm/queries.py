@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, embed_dedup, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk
+from retentia.llm import bpe, embed_dedup, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk, vector_codes
 from retentia.llm.common import bounded_batches, cut_lineage, read_table, small_side
 from retentia.llm.vectors import usable
 
@@ -154,3 +154,47 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     got = html_text.extract(pages, html_text.fit(pages))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """The codes of operator 11 by plain distances; whole numbers stay below 2^53, so that doubles hold them."""
+    steps = ["""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024.0)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) AS r(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+)"""]
+    near = """near{k} AS MATERIALIZED (
+  SELECT vec_id, p, min(256 * (list_dot_product(a.x, a.x) - 2 * list_dot_product(a.x, b.x) + list_dot_product(b.x, b.x)) + e) AS best
+  FROM parts a JOIN book{k} b USING (p) GROUP BY vec_id, p
+), hit{k} AS MATERIALIZED (
+  SELECT vec_id, p, CAST(best % 256 AS BIGINT) AS e, CAST(floor(best / 256) AS BIGINT) AS error FROM near{k}
+)"""
+    move = """sums{k} AS MATERIALIZED (
+  SELECT p, e, i, floor(sum(x[i]) / count(*)) AS mean FROM parts JOIN hit{k} USING (vec_id, p), range(1, 1 + len(x)) AS r(i) GROUP BY p, e, i
+), moved{k} AS MATERIALIZED (
+  SELECT p, e, list(mean ORDER BY i) AS x FROM sums{k} GROUP BY p, e
+), book{n} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN moved{k} m USING (p, e)
+)"""
+    for k in range(rounds):
+        steps += [near.format(k=k), move.format(k=k, n=k + 1)]
+    steps.append(near.format(k=rounds))
+    return f"""WITH {", ".join(steps)}, coded AS MATERIALIZED (
+  SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error FROM hit{rounds} GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS d
+  FROM (SELECT p, e, unnest(x) AS c, unnest(range(len(x))) AS i FROM book{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT d FROM digest) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+@query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code in four parts of eight bits, its error and its label's, after four rounds."""
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
