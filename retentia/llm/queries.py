@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, embed_dedup, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk, vector_codes
+from retentia.llm import bpe, embed_dedup, hard_negatives, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk, vector_codes
 from retentia.llm.common import bounded_batches, cut_lineage, read_table, small_side
-from retentia.llm.vectors import usable
+from retentia.llm.vectors import finite, usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,34 @@ FROM coded JOIN kept USING (vec_id)"""
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's code in four parts of eight bits, its error and its label's, after four rounds."""
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+_OP12_SQL = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256.0)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS MATERIALIZED (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id,
+       p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+     AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 10"""
+
+
+@query("op12_hard_negatives", _OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten hardest rows of other labels for every hundredth vector and each of its five nearest of its label."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    whole = vectors.select("vec_id", moved.alias("label"), F.when(finite("embedding"), scaled).alias("embedding"))
+    return hard_negatives.mine(whole, F.col("vec_id") % 100 == 0)
