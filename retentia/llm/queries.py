@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, embed_dedup, hard_negatives, html_text, langid, licences, lm_score, mixing, ngram_join, substring, topk, vector_codes
+from retentia.llm import bpe, embed_dedup, hard_negatives, html_text, langid, licences, lm_score, mixing, ngram_join, quality_rank, substring, topk, vector_codes
 from retentia.llm.common import bounded_batches, cut_lineage, read_table, small_side
 from retentia.llm.vectors import finite, usable
 
@@ -229,3 +229,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
     whole = vectors.select("vec_id", moved.alias("label"), F.when(finite("embedding"), scaled).alias("embedding"))
     return hard_negatives.mine(whole, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_quality_rank")
+def op13_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by preference pairs; four fifths of the labelled documents teach, the rest is held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality_rank.Model.fit(docs, read_table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "quality"))
+    return quality_rank.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
