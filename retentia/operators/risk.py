@@ -188,7 +188,7 @@ def rule_churn_probability(latest: DataFrame, out: str = "churn_probability") ->
 
 # ---------------------------------------------------------------- A1
 def risk_summary(features: DataFrame) -> DataFrame:
-    """A1: the per-player risk summary view (refresh = overwrite of the written table)."""
+    """A1: the per-player risk summary view, from all rows (``refresh_summary`` keeps it up from new rows alone)."""
     return features.groupBy("player_id").agg(
         F.max("date").alias("last_update"),
         F.max("overall_risk_score").alias("risk_score"),
@@ -199,3 +199,32 @@ def risk_summary(features: DataFrame) -> DataFrame:
         F.max("platform").alias("platform"),
         F.max("archetype").alias("archetype"),
     ).withColumn("risk_category", risk_band(score9("risk_score")))
+
+
+#: The state of a player's summary, column by column: how a batch's value comes about and how two values merge.
+_SUMMARY_STATE = (
+    ("last_update", lambda: F.max("date"), "max"), ("risk_score", lambda: F.max("overall_risk_score"), "max"),
+    ("sessions_sum", lambda: F.sum("sessions_per_week"), "sum"), ("sessions_count", lambda: F.count("sessions_per_week"), "sum"),
+    ("spent_sum", lambda: F.sum("monthly_spent"), "sum"), ("spent_count", lambda: F.count("monthly_spent"), "sum"),
+    ("total_spent", lambda: F.max("total_spent"), "max"), ("friends_count", lambda: F.max("friends_online"), "max"),
+    ("platform", lambda: F.max("platform"), "max"), ("archetype", lambda: F.max("archetype"), "max"),
+)
+
+
+def summary_state(features: DataFrame, key: str = "player_id") -> DataFrame:
+    """One row a player that keeps what A1 needs of these rows: maxima, sums and counts, which merge in any order."""
+    return features.groupBy(key).agg(*[make().alias(name) for name, make, _ in _SUMMARY_STATE])
+
+
+def merge_states(a: DataFrame, b: DataFrame, key: str = "player_id") -> DataFrame:
+    """The states of the rows of both: one partial aggregate over the two, whatever their order."""
+    merged = [(F.max if how == "max" else F.sum)(name).alias(name) for name, _, how in _SUMMARY_STATE]
+    return a.unionByName(b).groupBy(key).agg(*merged)
+
+
+def summary_of_states(states: DataFrame, key: str = "player_id") -> DataFrame:
+    """A1 from the stored states: the same rows as ``risk_summary`` over everything that went into them."""
+    return states.select(
+        key, "last_update", "risk_score",
+        F.try_divide("sessions_sum", "sessions_count").alias("avg_sessions"), F.try_divide("spent_sum", "spent_count").alias("avg_spent"),
+        "total_spent", "friends_count", "platform", "archetype", risk_band(score9("risk_score")).alias("risk_category"))

@@ -11,6 +11,7 @@ from retentia.plans import frames, jobs
 from retentia.plans import oracle as O
 from retentia.plans.registry import query
 from retentia.sources import sinks
+from retentia.sources.buckets import BucketedTable
 from retentia.sources.panel import ingest
 from retentia.sources.schemas import PANEL, PLAYER_FEATURES
 from retentia.streaming import streams
@@ -34,6 +35,39 @@ def q_upsert(spark, sf):
     return sinks.upsert(target, updates, ["player_id", "date"])
 
 
+@query("upsert_buckets", "S5 M5", O.with_features(f"""
+, tgt AS (SELECT * FROM feat WHERE date < TIMESTAMP '{SPLIT_OLD}'), upd AS (SELECT * FROM feat WHERE date >= TIMESTAMP '{SPLIT_NEW}')
+SELECT {O.select_rounded(O.ALL_FEATURE_TABLE)}, 'update' AS source FROM upd
+UNION ALL
+SELECT {O.select_rounded(O.ALL_FEATURE_TABLE)}, 'base' FROM tgt t WHERE NOT EXISTS (SELECT 1 FROM upd u WHERE u.player_id = t.player_id AND u.date = t.date)"""))
+def q_upsert_buckets(spark, sf):
+    """The feature table loaded in two runs into one bucketed table: earlier weeks, then a later extract that overlaps one week."""
+    feats = frames.features(spark, sf)
+    path = sinks.stage_path(spark, "features-by-bucket")
+    base = feats.filter(F.col("date") < F.lit(SPLIT_OLD).cast("timestamp_ntz")).withColumn("source", F.lit("base"))
+    later = feats.filter(F.col("date") >= F.lit(SPLIT_NEW).cast("timestamp_ntz")).withColumn("source", F.lit("update"))
+    jobs.etl_load(spark, base, path, "base", buckets=16)
+    jobs.etl_load(spark, later, path, "later")
+    return BucketedTable.open(spark, path).rows().select(*O.ALL_FEATURE_TABLE, "source")
+
+
+@query("risk_summary_refresh", "A1", O.with_features(f"""
+SELECT player_id, max(date) AS last_update, {O.r6('max(overall_risk_score)')} AS risk_score,
+  {O.r6('avg(sessions_per_week)')} AS avg_sessions, {O.r6('avg(monthly_spent)')} AS avg_spent,
+  {O.r6('max(total_spent)')} AS total_spent, max(friends_online) AS friends_count, max(platform) AS platform,
+  max(archetype) AS archetype, {O.band(O.score9('max(overall_risk_score)'))} AS risk_category
+FROM feat GROUP BY player_id"""))
+def q_risk_summary_refresh(spark, sf):
+    """The risk summary kept up in three batches, the middle weeks last, from stored states of each player."""
+    feats = sinks.materialize(frames.features(spark, sf))
+    path = sinks.stage_path(spark, "summary-states")
+    first, last = (F.lit(d).cast("timestamp_ntz") for d in (SPLIT_NEW, SPLIT_OLD))
+    early, late = F.col("date") < first, F.col("date") >= last
+    jobs.refresh_summary(spark, path, feats.filter(early), "early", buckets=16)
+    jobs.refresh_summary(spark, path, feats.filter(late), "late")
+    return jobs.refresh_summary(spark, path, feats.filter(~early & ~late), "between")
+
+
 _SQL_TYPES = {"StringType()": "VARCHAR", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
               "TimestampNTZType()": "TIMESTAMP", "LongType()": "BIGINT", "BooleanType()": "BOOLEAN"}
 

@@ -18,8 +18,9 @@ from retentia.functions.columns import score9
 from retentia.operators import model as ml
 from retentia.operators import monitor
 from retentia.operators.features import engineer_all
-from retentia.operators.risk import risk_band, risk_band_cut
+from retentia.operators.risk import merge_states, risk_band, risk_band_cut, summary_of_states, summary_state
 from retentia.operators.snapshot import latest_snapshot
+from retentia.sources.buckets import BucketedTable, upsert_buckets
 from retentia.sources.panel import events_panel, scan_panel, table
 from retentia.sources.sinks import (append_metrics, feature_kv_snapshot, materialize, stage_path, write_bucketed,
                                     write_predictions, write_table)
@@ -60,6 +61,38 @@ def etl_run(spark: SparkSession, sf_dir: str, out_dir: str | None = None, ttl_da
             "duration_sec": round(time.time() - t0, 3)}
 
 
+def etl_load(spark: SparkSession, features: DataFrame, path: str, batch: str | None = None, buckets: int = 64,
+             keys: tuple[str, ...] = ("player_id", "date")) -> dict:
+    """M5's load into a table that stays: ``features`` are upserted by (player, date), bucket by bucket.
+
+    The folder becomes a table of ``buckets`` buckets by player with the first batch.  ``batch`` names the run; a run
+    that is repeated under its name changes nothing.  Only the buckets of players that ``features`` hold are rewritten.
+    """
+    t0 = time.time()
+    target = _table_at(spark, path, [keys[0]], buckets)
+    given = materialize(features)
+    touched = upsert_buckets(target, given, list(keys), batch=batch)
+    return {"features_path": path, "buckets": touched, "duration_sec": round(time.time() - t0, 3)}
+
+
+def refresh_summary(spark: SparkSession, path: str, batch: DataFrame, name: str | None = None, buckets: int = 64) -> DataFrame:
+    """A1 kept up from new rows alone: the batch's states are merged into the stored ones; the whole view.
+
+    The batch's rows may be of any date, but each feature row comes once (``name`` guards a repeated batch).  The plan
+    scans the batch and the stored states of the batch's buckets.
+    """
+    stored = _table_at(spark, path, ["player_id"], buckets)
+    stored.merge(materialize(summary_state(batch)), merge_states, name)
+    return summary_of_states(stored.rows())
+
+
+def _table_at(spark: SparkSession, path: str, by: list[str], buckets: int) -> BucketedTable:
+    try:
+        return BucketedTable.open(spark, path)
+    except ValueError:
+        return BucketedTable.create(spark, path, by, buckets)
+
+
 def score_frame(latest: DataFrame, model: PipelineModel | None, names: list[str] | None) -> DataFrame:
     """Scores for the daily job: model probability when a model is given, else the rule-based risk score."""
     if model is not None:

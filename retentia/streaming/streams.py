@@ -33,6 +33,7 @@ from retentia.operators import model as ml
 from retentia.operators.features import serve_features
 from retentia.operators.risk import risk_band, risk_factors
 from retentia.operators.snapshot import align_features, sanitize
+from retentia.sources import files
 
 
 # ---------------------------------------------------------------- ST1
@@ -65,23 +66,9 @@ def newest_per_key(df: DataFrame, key: str = "player_id", order: str = "date") -
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select(key, "_r.*")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _numbers(spark: SparkSession, folder: str) -> list[int]:
     """The numbers N of the folders ``x=N`` in ``folder`` (one for each batch kept: bounded by the clean-up)."""
-    if not _exists(spark, folder):
-        return []
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
-    return sorted(int(n.split("=")[1]) for n in names if "=" in n)
+    return sorted(int(n.split("=")[1]) for n in files.names(spark, folder) if "=" in n)
 
 
 def _latest_base(spark: SparkSession, state_dir: str) -> tuple[DataFrame | None, int]:
@@ -109,7 +96,7 @@ def _first_number(spark: SparkSession, state_dir: str, checkpoint: str) -> int:
     in the checkpoint folder, so that a replayed batch has its old number.
     """
     marker = f"{checkpoint}/state_offset"
-    if _exists(spark, f"{marker}/_SUCCESS"):
+    if files.exists(spark, f"{marker}/_SUCCESS"):
         return spark.read.schema("offset long").json(marker).first().offset
     held = _numbers(spark, f"{state_dir}/deltas") + _numbers(spark, f"{state_dir}/commits")
     offset = max(held, default=-1) + 1
@@ -147,7 +134,7 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir:
         before = max((n for n in _numbers(spark, f"{state_dir}/commits") if n < batch_id), default=-1)
         for n in _numbers(spark, f"{state_dir}/deltas"):
             if n <= before:
-                _remove(spark, f"{state_dir}/deltas/b={n}")
+                files.remove(spark, f"{state_dir}/deltas/b={n}")
 
 
 def run_latest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, state_dir: str, checkpoint: str,
