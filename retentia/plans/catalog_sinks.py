@@ -192,6 +192,18 @@ def q_stream_latest(spark, sf):
                                      ttl_days=TTL_DAYS, now=NOW, max_files_per_trigger=4, compact_every=2)
 
 
+@query("stream_state", "ST2", O.with_panel(f"""
+, newest AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY date DESC) = 1)
+SELECT {O.select_rounded(O.PANEL_COLUMNS)} FROM newest
+WHERE date + INTERVAL {TTL_DAYS} DAY > TIMESTAMP '{NOW}'"""))
+def q_stream_state(spark, sf):
+    """Newest record per player kept in the state store (one value state, timers), read back from the state."""
+    base = sinks.stage_path(spark, "stream-state")
+    _weekly_files(spark, sf, f"{base}/source")
+    return streams.run_newest_stream(spark, f"{base}/source", PANEL, f"{base}/checkpoint", ttl_days=TTL_DAYS, now=NOW,
+                                     max_files_per_trigger=8)
+
+
 @query("stream_score", "ST1 F31")
 def q_stream_score(spark, sf):
     """Arriving rows scored without history by a forest trained on the request-time feature set."""

@@ -19,14 +19,21 @@ log-structured table of plain Parquet:
 
 "Newest wins" is idempotent and order-independent, which is what makes
 replays and out-of-order files safe.
+
+The second form of ST2 keeps the same record in Spark's own state store
+(RocksDB): one value state a key, timers for the time to live, and the state
+itself as a table.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from retentia.functions.columns import round_to
 from retentia.operators import model as ml
@@ -155,3 +162,128 @@ def run_latest_stream(spark: SparkSession, source_dir: str, schema: T.StructType
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return current_state(spark, state_dir, ttl_days, now, key, order)
+
+
+# ---------------------------------------------------------------- ST2 on the state store
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STATE, _EVENT = "newest", "_event"
+
+
+class NewestRecord(StatefulProcessor):
+    """One value state a key, its newest record, which a timer clears when its time to live is over.
+
+    Every newer record is emitted with ``expired`` false, and an expired one once more with ``expired`` true.  Times
+    are whole microseconds.  Of records with the same time the first that came stays.
+    """
+
+    def __init__(self, key: str, names: list[str], schema: str, order: str, ttl_days: int) -> None:
+        self.key, self.names, self.schema, self.order = key, names, schema, order
+        self.ttl_ms = ttl_days * 86_400_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(_STATE, self.schema)
+
+    def _due(self, micros: int) -> int:
+        return micros // 1000 + self.ttl_ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        at = self.names.index(self.order)
+        held = self.state.get() if self.state.exists() else None
+        best = held
+        for r in rows:
+            if best is None or r[self.order] > best[at]:
+                best = tuple(r[n] for n in self.names)
+        if best is held:
+            return
+        if held is not None:
+            self.handle.deleteTimer(self._due(held[at]))
+        self.state.update(best)
+        self.handle.registerTimer(self._due(best[at]))
+        yield Row(**{self.key: key[0]}, **dict(zip(self.names, best)), expired=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.state.get() if self.state.exists() else None
+        if held is not None and self._due(held[self.names.index(self.order)]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield Row(**{self.key: key[0]}, **dict(zip(self.names, held)), expired=True)
+
+    def close(self) -> None:
+        pass
+
+
+def _as_number(f: T.StructField):
+    """A time as whole microseconds, which the state keeps without a time zone; other columns as they are."""
+    if isinstance(f.dataType, T.TimestampNTZType):
+        return F.unix_micros(F.col(f.name).cast("timestamp")).alias(f.name)
+    return F.unix_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
+
+
+def _as_time(f: T.StructField, value):
+    if isinstance(f.dataType, T.TimestampNTZType):
+        return F.timestamp_micros(value).cast("timestamp_ntz").alias(f.name)
+    return F.timestamp_micros(value).alias(f.name) if isinstance(f.dataType, T.TimestampType) else value.alias(f.name)
+
+
+def newest_stream(stream: DataFrame, key: str = "player_id", order: str = "date", ttl_days: int = 7) -> DataFrame:
+    """The changes of each key's newest record as a streaming plan with state (update mode).
+
+    A record older than the newest of all by more than the time to live is expired when it comes; the watermark may
+    drop it.  A record without a time cannot be placed and is left out.
+    """
+    fields = [f for f in stream.schema if f.name != key]
+    plain = stream.filter(F.col(order).isNotNull()).select(key, *[_as_number(f) for f in fields], F.col(order).cast("timestamp").alias(_EVENT))
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    names = [f.name for f in fields]
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    processor = NewestRecord(key, names, schema, order, ttl_days)
+    changes = (plain.withWatermark(_EVENT, f"{ttl_days} days").groupBy(key)
+               .transformWithState(processor, f"`{key}` {kinds[key]}, {schema}, expired boolean", "Update", "EventTime"))
+    return changes.select(key, *[_as_time(f, F.col(f.name)) for f in fields], "expired")
+
+
+@contextlib.contextmanager
+def _on_rocksdb(spark: SparkSession):
+    """State in RocksDB, which lies on the executors' disks and in the checkpoint folder, not in their heaps."""
+    was = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, was)
+
+
+def stored_newest(spark: SparkSession, checkpoint: str, schema: T.StructType, ttl_days: int, now: str | None,
+                  key: str = "player_id", order: str = "date") -> DataFrame:
+    """The newest unexpired record of each key, read from the state of the query that wrote ``checkpoint``."""
+    with _on_rocksdb(spark):
+        state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", _STATE).load()
+    fields = [_as_time(f, F.col(f"value.{f.name}")) for f in schema if f.name != key]
+    rows = state.select(F.col(f"key.{key}").alias(key), *fields).select(*schema.fieldNames())
+    return _expiry_filter(rows, ttl_days, now, order)
+
+
+def run_newest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, checkpoint: str, sink_dir: str | None = None,
+                      ttl_days: int = 7, now: str | None = None, max_files_per_trigger: int | None = 1,
+                      key: str = "player_id", order: str = "date") -> DataFrame:
+    """ST2 with the state in the state store; returns the current state.
+
+    Reads what is there now and goes on from ``checkpoint`` the next time.  The changes go to ``sink_dir`` if given.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    changes = newest_stream(reader.parquet(source_dir), key, order, ttl_days)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        if sink_dir is None:
+            batch.write.format("noop").mode("overwrite").save()
+        else:  # a repeated batch overwrites its own folder
+            batch.write.mode("overwrite").parquet(f"{sink_dir}/b={batch_id}")
+
+    with _on_rocksdb(spark):
+        q = (changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+             .foreachBatch(on_batch).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return stored_newest(spark, checkpoint, schema, ttl_days, now, key, order)
