@@ -10,7 +10,7 @@ from retentia.operators.snapshot import latest_snapshot, prepare_model_data
 from retentia.plans import frames, jobs
 from retentia.plans import oracle as O
 from retentia.plans.registry import query
-from retentia.sources import sinks
+from retentia.sources import panel_source, sinks
 from retentia.sources.buckets import BucketedTable
 from retentia.sources.panel import ingest
 from retentia.sources.schemas import PANEL, PLAYER_FEATURES
@@ -228,6 +228,29 @@ def q_ingest(spark, sf):
     return ingest(spark, "csv", path=path)
 
 
+@query("panel_source", "S2 S1", O.with_panel(f"SELECT {O.select_rounded(O.PANEL_COLUMNS)} FROM panel WHERE sessions_per_week >= 2 AND archetype IN ('casual', 'whale')"))
+def q_panel_source(spark, sf):
+    """The stored panel read by the name of its data source, with a comparison and a list pushed into the reader."""
+    panel_source.register(spark)
+    path = sinks.write_table(frames.panel(spark, sf), sinks.stage_path(spark, "panel-files"))
+    panel = spark.read.format(panel_source.NAME).load(path)
+    return panel.filter((F.col("sessions_per_week") >= 2) & F.col("archetype").isin("casual", "whale"))
+
+
+@query("panel_source_stream", "S2 S1", O.with_panel(
+    f"SELECT CAST(player_id AS VARCHAR) AS player_id, {O.select_rounded({c: t for c, t in O.PANEL_COLUMNS.items() if c != 'player_id'})} FROM panel"))
+def q_panel_source_stream(spark, sf):
+    """CSV files of the panel, their columns turned round, read by header as a stream of the named data source."""
+    panel_source.register(spark)
+    base = sinks.stage_path(spark, "panel-stream")
+    panel = frames.panel(spark, sf)
+    sinks.write_table(panel.select(*reversed(panel.columns)), f"{base}/source", fmt="csv")
+    stream = spark.readStream.format(panel_source.NAME).option("path", f"{base}/source").load()
+    done = stream.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/checkpoint").trigger(once=True).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{base}/sink")
+
+
 def _intervention_log_sql() -> str:
     from retentia.operators.risk import INTERVENTIONS as CAMPAIGNS
     conds = ["sessions_per_week < 2", "friends_online < 2", "monthly_spent = 0", "content_completion_pct > 0.8"]
