@@ -63,6 +63,17 @@ def _scaler() -> StandardScaler:
     return StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
 
 
+def scale_features(train: DataFrame, features: list[str]) -> PipelineModel:
+    """L3 alone: the assembler and the scaler fitted on ``train``; a feature that does not vary there becomes 0."""
+    return Pipeline(stages=[_assembler(features), _scaler()]).fit(train)
+
+
+def scaled(scaler: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+    """``df`` with ``features`` replaced by their scaled values."""
+    x = scaler.transform(df).withColumn("features", vector_to_array("features"))
+    return x.withColumns({c: F.col("features")[k] for k, c in enumerate(features)}).drop("raw_features", "features")
+
+
 def boosted(max_iter: int = 200, depth: int = 6, step: float = 0.1, seed: int = 42,
             validation_col: str | None = "is_validation") -> GBTClassifier:
     """L4 stand-in for the gradient-boosting model: depth 6, rate 0.1, 200 rounds, loss-based early stop."""
@@ -159,6 +170,13 @@ def score_latest(features_panel: DataFrame, model: PipelineModel, names: list[st
         "risk_category"), "top_risk_factors")
 
 
+def score_panel(panel: DataFrame, pipeline: PipelineModel) -> DataFrame:
+    """L11 from raw panel rows: ``pipeline`` is a ``transformers.panel_pipeline``, as fitted or loaded."""
+    p = risk_factors(probability(pipeline, panel, "churn_probability"))
+    return p.select("player_id", round_to("churn_probability", 4).alias("churn_probability"),
+                    risk_band(round_to("churn_probability", 9)).alias("risk_category"), "top_risk_factors")
+
+
 # ---------------------------------------------------------------- L12
 def shapley_values(model: PipelineModel, rows: DataFrame, features: list[str], background: DataFrame,
                    n_rows: int = 100, n_perms: int = 20, seed: int = 42, key: str = "player_id") -> DataFrame:

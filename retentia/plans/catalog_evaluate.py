@@ -40,6 +40,19 @@ SELECT {g}rows, tp, fp, tn, fn, {O.r6('accuracy')} AS accuracy, {O.r6('precision
 FROM m1 {join}""")
 
 
+def metrics_select(model: str, score: str, table: str) -> str:
+    """L8's figures of the column ``score`` of a table that has ``churned``, as one row with the model's name."""
+    return f"""WITH conf AS (SELECT count(*) AS rows,
+     CAST(count(*) FILTER (WHERE {score} > 0.5 AND churned = 1) AS BIGINT) AS tp, count(*) FILTER (WHERE {score} > 0.5 AND churned = 0) AS fp,
+     count(*) FILTER (WHERE NOT {score} > 0.5 AND churned = 0) AS tn, count(*) FILTER (WHERE NOT {score} > 0.5 AND churned = 1) AS fn FROM {table}),
+m AS (SELECT *, CAST(tp + tn AS DOUBLE) / rows AS accuracy, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision,
+       coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall FROM conf),
+pairs AS (SELECT sum(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END * a.n * b.n) / nullif(sum(a.n * b.n), 0) AS roc_auc
+   FROM (SELECT {score} AS s, count(*) AS n FROM {table} WHERE churned = 1 GROUP BY 1) a, (SELECT {score} AS s, count(*) AS n FROM {table} WHERE churned = 0 GROUP BY 1) b)
+SELECT '{model}' AS model, rows, tp, fp, tn, fn, {O.r6('accuracy')} AS accuracy, {O.r6('precision')} AS precision, {O.r6('recall')} AS recall,
+  {O.r6('CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1, {O.r6('CAST(roc_auc AS DOUBLE)')} AS roc_auc FROM m, pairs"""
+
+
 @query("model_evaluation", "L8 T10", _metrics_sql(None))
 def q_eval(spark, sf):
     """Accuracy, precision, recall, F1, ROC-AUC and confusion counts of the risk score against the label."""

@@ -86,20 +86,20 @@ SERVE_COLUMNS = {
     "engagement_risk": O.DOUBLE, "monetization_risk": O.DOUBLE, "overall_risk_score": O.DOUBLE,
 }
 
-_SERVE_SQL = O.with_panel(f"""
-, raw AS ({O._latest_select(O.PANEL_COLUMNS, "panel")}),
-d AS (
-  SELECT player_id, sessions_per_week AS s, avg_session_length_mins AS len, days_since_last_login AS idle,
+def _serve_ctes(source: str, more: str = "") -> str:
+    """CTEs up to ``s3``: the request-time features of the rows of ``source``; ``more`` names columns to pass on."""
+    return f"""d AS (
+  SELECT player_id{more}, sessions_per_week AS s, avg_session_length_mins AS len, days_since_last_login AS idle,
     coalesce(session_decay_rate, 0.0) AS decay, coalesce(win_rate, 0.5) AS win, coalesce(kd_ratio, 1.0) AS kd,
     coalesce(current_rank, 50) AS rnk, coalesce(rank_change, 0) AS rchg, coalesce(friends_online, 0) AS friends,
     coalesce(party_play_percentage, 0.0) AS party, coalesce(toxicity_reports_received, 0) AS reports,
     coalesce(monthly_spent, 0.0) AS spend, coalesce(days_since_last_purchase, 180) AS dslp,
     coalesce(purchase_frequency, 0) AS freq, coalesce(achievements_unlocked, 0) AS ach,
     coalesce(content_completion_pct, 0.0) AS completion, coalesce(feature_adoption_pct, 0.0) AS adoption
-  FROM raw
+  FROM {source}
 ),
 s1 AS (
-  SELECT player_id, s, idle, decay, dslp,
+  SELECT player_id{more}, s, idle, decay, dslp, friends, spend,
     s * len * 4 / 60 AS total_playtime_hours,
     1 - {O.cap1("decay")} AS activity_consistency,
     least(1.0, greatest(0.0, s / 20 * {D(0.3)} + len / 120 * {D(0.3)} + (1 - idle / 30) * {D(0.4)})) AS engagement_score,
@@ -125,7 +125,18 @@ s2 AS (
   FROM s1
 ),
 s3 AS (SELECT *, activity_risk * {D(0.4)} + engagement_risk * {D(0.3)} + monetization_risk * {D(0.3)} AS overall_risk_score
-       FROM s2)
+       FROM s2)"""
+
+
+def served_rows_sql(source: str, name: str) -> str:
+    """CTEs up to ``name``: what a model and the risk factors read of each request row of ``source``, by its date."""
+    return f"""{_serve_ctes(source, ", date")}, {name} AS (
+  SELECT player_id, date, overall_risk_score, engagement_score, friends AS friends_online, idle AS days_since_last_login,
+    decay AS session_decay_rate, spend AS monthly_spent, s AS sessions_per_week, dslp AS days_since_last_purchase FROM s3)"""
+
+
+_SERVE_SQL = O.with_panel(f"""
+, raw AS ({O._latest_select(O.PANEL_COLUMNS, "panel")}), {_serve_ctes("raw")}
 SELECT player_id, {O.select_rounded(SERVE_COLUMNS)} FROM s3""")
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from retentia.operators import model as ml
-from retentia.operators import risk
+from retentia.operators import risk, transformers
 from retentia.operators.segments import split_churn_rates
 from retentia.operators.snapshot import prepare_model_data
 from retentia.plans import frames
 from retentia.plans import oracle as O
 from retentia.plans.catalog_features import D, _k9_expr
 from retentia.plans.registry import query
-from retentia.sources.sinks import materialize, to_daily_predictions
+from retentia.sources.sinks import materialize, stage_path, to_daily_predictions
 
 SEED, TEST_SIZE = 42, 0.2
 
@@ -102,3 +103,102 @@ def q_perm(spark, sf):
     data, cols = _model_data(spark, sf, materialized=True)
     m = ml.fit(data.filter(F.col("split") == "train"), cols, ml.random_forest())
     return ml.permutation_importance(m, data.filter(F.col("split") == "test"), cols)
+
+
+# ---------------------------------------------------------------- a model with given weights, which SQL can express
+CARD = {"overall_risk_score": 3.5, "engagement_score": -1.25, "friends_online": -0.05, "days_since_last_login": 0.04,
+        "session_decay_rate": 0.6, "monthly_spent": -0.0015, "win_rate_std": 0.3}
+CARD_INTERCEPT = -1.4
+
+
+def card_model() -> PipelineModel:
+    return PipelineModel([transformers.Scorecard(names=list(CARD), weights=list(CARD.values()), intercept=CARD_INTERCEPT)])
+
+
+def card_sql(columns: dict[str, float] | None = None) -> str:
+    """Twin of the scorecard's probability over sanitized columns."""
+    points = D(CARD_INTERCEPT)
+    for c, w in (columns or CARD).items():
+        x = f"CAST({c} AS DOUBLE)"
+        points = f"({points} + CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN 0.0 ELSE {x} END * {D(w)})"
+    return f"(1.0 / (1.0 + exp(-{points})))"
+
+
+def factor_count_sql() -> str:
+    tests = {"sessions_per_week": "< 2", "days_since_last_login": "> 14", "session_decay_rate": "> 0.3", "friends_online": "< 2", "days_since_last_purchase": "> 90"}
+    return " + ".join(O.flag(f"{c} {t}") for c, t in tests.items())
+
+
+def card_scores(columns: str, source: str) -> str:
+    return (f"SELECT {columns}, {O.rnd('p', 4)} AS churn_probability, {O.band(O.score9('p'))} AS risk_category, factors AS n_factors "
+            f"FROM (SELECT *, {card_sql()} AS p, {factor_count_sql()} AS factors FROM {source})")
+
+
+def with_factor_count(scored):
+    return scored.withColumn("n_factors", F.size("top_risk_factors")).drop("top_risk_factors")
+
+
+@query("panel_pipeline", "S11 L11 F32 W7 P6 P7 K2", O.with_latest(card_scores("player_id", "latest")))
+def q_panel_pipeline(spark, sf):
+    """A pipeline from panel rows to scores, saved, loaded anew and applied to the raw panel (scorecard model)."""
+    path = stage_path(spark, "panel-model")
+    ml.save_model(transformers.panel_pipeline(card_model(), list(CARD)), path)
+    return with_factor_count(ml.score_panel(frames.panel(spark, sf), ml.load_model(path)))
+
+
+@query("score_latest_card", "L11 S13 K2", O.with_latest(f"""
+SELECT md5(CAST(player_id AS VARCHAR) || ':2024-02-01:card-1') AS prediction_id, CAST(player_id AS VARCHAR) AS player_id,
+  TIMESTAMP '2024-02-01' AS prediction_date, churn_probability, risk_category, 'card-1' AS model_version, n_factors
+FROM ({card_scores("player_id", "latest")})"""))
+def q_score_card(spark, sf):
+    """Batch scoring as daily_predictions rows by the scorecard."""
+    scored = ml.score_latest(frames.features(spark, sf), card_model(), list(CARD))
+    return with_factor_count(to_daily_predictions(scored, "card-1", "2024-02-01"))
+
+
+SCALED = ["sessions_per_week", "engagement_score", "monthly_spent", "win_rate_std"]
+
+
+def _split_sql(select: str) -> str:
+    """The model snapshot with its split (``split_churn_rates`` has the same rule), then ``select`` over ``sp``."""
+    return O.with_latest(f"""
+, rk AS (SELECT *, row_number() OVER (PARTITION BY churned ORDER BY {O.unit_hash("'split'", f"'{SEED}'", 'player_id')}, player_id) AS r,
+              count(*) OVER (PARTITION BY churned) AS n FROM latest WHERE churned IS NOT NULL),
+sp AS (SELECT *, CASE WHEN r <= floor(n * {D(TEST_SIZE)} + 0.5) THEN 'test' ELSE 'train' END AS split FROM rk) {select}""")
+
+
+def _clean(c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return f"(CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN 0.0 ELSE {x} END)"
+
+
+@query("scaled_features", "L3", _split_sql(
+    ", m AS (SELECT " + ", ".join(f"avg({_clean(c)}) AS m_{c}, stddev_samp({_clean(c)}) AS s_{c}" for c in SCALED) + " FROM sp WHERE split = 'train') "
+    "SELECT player_id, split, " + ", ".join(O.r6(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({_clean(c)} - m_{c}) / s_{c} END") + f" AS {c}" for c in SCALED) + " FROM sp, m"))
+def q_scaled(spark, sf):
+    """Features scaled to mean 0 and deviation 1 of the training part."""
+    data, _ = _model_data(spark, sf, materialized=True)
+    scaler = ml.scale_features(data.filter(F.col("split") == "train"), SCALED)
+    return ml.scaled(scaler, data, SCALED).select("player_id", "split", *SCALED)
+
+
+def _comparison_sql() -> str:
+    from retentia.plans.catalog_evaluate import metrics_select
+
+    parts = {"card": card_sql(), "rules": _k9_expr(), "risk": "overall_risk_score"}
+    scores = ", ".join(f"{O.r6(e)} AS p_{n}" for n, e in parts.items())
+    tables = f", t0 AS (SELECT player_id, churned, {scores} FROM sp WHERE split = 'test')\n, t AS (SELECT *, 0.0 + p_card * {D(1 / 3)} + p_rules * {D(1 / 3)} + p_risk * {D(1 / 3)} AS p_ensemble FROM t0)"
+    return _split_sql(tables + " " + " UNION ALL ".join(f"SELECT * FROM ({metrics_select(n, f'p_{n}', 't')})" for n in (*parts, "ensemble")))
+
+
+@query("model_comparison_card", "L9 L7 L8 L2", _comparison_sql())
+def q_comparison_card(spark, sf):
+    """Scorecard, rules and risk score with their equal-weight ensemble, evaluated on the hash test split."""
+    data, _ = _model_data(spark, sf, materialized=True)
+    test = data.filter(F.col("split") == "test")
+    from retentia.functions.columns import round6
+    lat = risk.rule_churn_probability(frames.latest(spark, sf), out="p_rules").select("player_id", "p_rules")
+    scored = ml.probability(card_model(), test, "p_card").join(lat, "player_id")
+    scored = scored.select("player_id", "churned", *[round6(c).alias(n) for c, n in (("p_card", "p_card"), ("p_rules", "p_rules"), ("overall_risk_score", "p_risk"))])
+    scored = materialize(ml.ensemble(scored, ["p_card", "p_rules", "p_risk"], out="p_ensemble"))
+    return ml.model_comparison(scored, {n: f"p_{n}" for n in ("card", "rules", "risk", "ensemble")})

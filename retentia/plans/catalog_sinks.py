@@ -9,6 +9,8 @@ from retentia.operators.features import serve_features
 from retentia.operators.snapshot import latest_snapshot, prepare_model_data
 from retentia.plans import frames, jobs
 from retentia.plans import oracle as O
+from retentia.plans.catalog_features import served_rows_sql
+from retentia.plans.catalog_model import CARD, card_model, card_scores, with_factor_count
 from retentia.plans.registry import query
 from retentia.sources import panel_source, sinks
 from retentia.sources.buckets import BucketedTable
@@ -162,6 +164,15 @@ def q_batch_score(spark, sf):
     return jobs.batch_score_file(spark, ppath, ml.load_model(mpath), cols)
 
 
+@query("batch_score_card", "S12 S1 S9 S11 L11", O.with_latest(card_scores("player_id", "latest")))
+def q_batch_card(spark, sf):
+    """A stored panel file scored end to end by the scorecard, which goes through save / load first."""
+    mpath = sinks.stage_path(spark, "card")
+    ml.save_model(card_model(), mpath, features=list(CARD))
+    ppath = sinks.write_table(frames.panel(spark, sf), sinks.stage_path(spark, "panel-file"))
+    return with_factor_count(jobs.batch_score_file(spark, ppath, ml.load_model(mpath), ml.load_features(mpath)))
+
+
 # ---------------------------------------------------------------- streams
 def _weekly_files(spark, sf, src: str) -> None:
     """Write the panel into ``src`` as files that each mix a few weeks and players.
@@ -219,6 +230,18 @@ def q_stream_score(spark, sf):
     return spark.read.parquet(f"{base}/sink")
 
 
+@query("stream_score_card", "ST1 F31 S11", O.with_panel(f"""
+, {served_rows_sql("panel", "srv")}
+{card_scores("player_id, date", "(SELECT *, NULL AS win_rate_std FROM srv)")}"""))
+def q_stream_card(spark, sf):
+    """Arriving rows scored without history by a loaded pipeline of request-time features and the scorecard."""
+    base = sinks.stage_path(spark, "stream-card")
+    _weekly_files(spark, sf, f"{base}/source")
+    streams.run_score_stream(spark, f"{base}/source", PANEL, card_model(), list(CARD), f"{base}/sink", f"{base}/checkpoint",
+                             max_files_per_trigger=8)
+    return with_factor_count(spark.read.parquet(f"{base}/sink"))
+
+
 @query("ingest_sources", "S2 S1", O.with_panel(
     f"SELECT CAST(player_id AS VARCHAR) AS player_id, {O.select_rounded({c: t for c, t in O.PANEL_COLUMNS.items() if c != 'player_id'})} FROM panel"))
 def q_ingest(spark, sf):
