@@ -157,6 +157,14 @@ def feature_importance(model: PipelineModel, features: list[str], n: int = 20) -
     return df.orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
+def weight_importance(names: list[str], weights: list[float], data: DataFrame, n: int = 20) -> DataFrame:
+    """L10 / K0c of a model with weights: each weight's size times its feature's deviation in ``data``, top n."""
+    spread = data.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)])
+    rows = spread.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.abs(F.lit(float(w))) * F.col(f"s{i}")).alias("importance"))
+                                             for i, (c, w) in enumerate(zip(names, weights))])).alias("r")).select("r.*")
+    return rows.orderBy(F.col("importance").desc_nulls_last(), "feature").limit(n)
+
+
 # ---------------------------------------------------------------- L11
 def score_latest(features_panel: DataFrame, model: PipelineModel, names: list[str]) -> DataFrame:
     """Latest → align to the model's features → sanitize → probability → band and risk factors."""
@@ -225,24 +233,25 @@ def shapley_values(model: PipelineModel, rows: DataFrame, features: list[str], b
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], label: str = LABEL,
-                           seed: int = 42, key: str = "player_id", groups: int = 64) -> DataFrame:
+                           seed: int = 42, key: str = "player_id", group_rows: int = 100_000) -> DataFrame:
     """Drop in test accuracy when one feature's values are permuted among the rows.
 
-    Rows are dealt into ``groups`` by hash and ordered by another hash inside; every row takes the feature from the
-    row after it, the last from the first: a random permutation without a global order.  The unchanged rows (j = -1)
-    and one variant per feature are scored in one batch: rows x (features + 1) scorings, exploded from arrays on the
-    executors and reduced to one count a feature before any shuffle.
+    Rows are dealt by hash into groups of about ``group_rows`` and ordered by another hash inside; every row takes the
+    feature from the row after it, the last from the first: a random permutation without a global order.  The unchanged
+    rows (j = -1) and one variant per feature are scored in one batch: rows x (features + 1) scorings, exploded from
+    arrays on the executors and reduced to one count a feature before any shuffle.
     """
     k = len(features)
     base = test.select(key, F.col(label).alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(groups))).orderBy(F.xxhash64(F.lit(seed + 1), key), key)
+    groups = test.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group_rows)))).scalar()
+    dealt = base.withColumn("_groups", groups).withColumn("_g", F.floor(unit_hash("group", str(seed), F.col(key)) * F.col("_groups")))
+    w = Window.partitionBy("_g").orderBy(unit_hash("order", str(seed), F.col(key)), key)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = base.withColumn("_m", F.coalesce(F.lead("x").over(w), F.first("x").over(whole)))
+    base = dealt.withColumn("_m", F.coalesce(F.lead("x").over(w), F.first("x").over(whole)))
     ex = base.select("_y", "x", "_m", F.explode(F.sequence(F.lit(-1), F.lit(k - 1))).alias("j"))
     v = F.transform("x", lambda m, i: F.when(i == F.col("j"), F.element_at("_m", i + 1)).otherwise(m))
-    vec = ex.select("_y", "j", array_to_vector(v).alias("raw_features"))
-    tail = PipelineModel(stages=model.stages[1:])
-    pred = tail.transform(vec).select("j", ((F.col("prediction") == F.col("_y")).cast("double")).alias("hit"))
+    given = ex.select("_y", "j", v.alias("_v")).select("_y", "j", *[F.col("_v")[i].alias(c) for i, c in enumerate(features)])
+    pred = model.transform(given).select("j", ((F.col("prediction") == F.col("_y")).cast("double")).alias("hit"))
     acc = pred.groupBy("j").agg(F.avg("hit").alias("accuracy"))
     base_acc = acc.filter(F.col("j") == -1).select("accuracy").scalar()
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("j") + 1)

@@ -284,6 +284,11 @@ HISTOGRAM_FEATURES = ("sessions_per_week", "avg_session_length_mins", "days_sinc
                       "win_rate", "friends_online", "monthly_spent")
 
 
+def title_label(c: str) -> Column:
+    """A column name as a heading: words for underscores, each with a capital."""
+    return F.initcap(F.replace(F.col(c), F.lit("_"), F.lit(" ")))
+
+
 def feature_histograms(latest: DataFrame, features=HISTOGRAM_FEATURES, label: str = "churned",
                        bins: int = 30, label_values=(0, 1)) -> DataFrame:
     """Per feature and label value, equal-width counts over that subset's range.
@@ -312,7 +317,7 @@ def feature_histograms(latest: DataFrame, features=HISTOGRAM_FEATURES, label: st
     bn = bin_number(F.col("x"), F.col("lo"), F.col("hi"), bins)
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return j.groupBy("feature", label, bn.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("players")).select(
-        "feature", label, "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
+        "feature", title_label("feature").alias("title"), label, "bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
         (F.col("lo") + F.col("bin") * width).alias("bin_hi"), "players")
 
 
@@ -364,6 +369,14 @@ def dataset_summary(panel: DataFrame) -> DataFrame:
     )
 
 
+def exploration_summary(latest: DataFrame) -> DataFrame:
+    """A18 as the exploration saves it: players, churn rate, mean sessions and spend, and at-risk players, of latest rows."""
+    return latest.agg(
+        F.count(F.lit(1)).alias("total_players"), F.avg("churned").alias("churn_rate"),
+        F.avg("sessions_per_week").alias("avg_sessions_per_week"), F.avg("monthly_spent").alias("avg_monthly_spent"),
+        F.count_if(F.col("archetype") == "at_risk").alias("high_risk_players"))
+
+
 def split_churn_rates(split_df: DataFrame, label: str = "churned", split: str = "split") -> DataFrame:
     """Rows and label mean per split."""
     return split_df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"), F.avg(label).alias("churn_rate"))

@@ -99,7 +99,7 @@ def q_explain(spark, sf):
 
 @query("permutation_importance", "L12")
 def q_perm(spark, sf):
-    """Accuracy drop per feature when it is replaced by its test mean (random forest)."""
+    """Accuracy drop per feature when its values are permuted among the test rows (random forest)."""
     data, cols = _model_data(spark, sf, materialized=True)
     m = ml.fit(data.filter(F.col("split") == "train"), cols, ml.random_forest())
     return ml.permutation_importance(m, data.filter(F.col("split") == "test"), cols)
@@ -202,3 +202,32 @@ def q_comparison_card(spark, sf):
     scored = scored.select("player_id", "churned", *[round6(c).alias(n) for c, n in (("p_card", "p_card"), ("p_rules", "p_rules"), ("overall_risk_score", "p_risk"))])
     scored = materialize(ml.ensemble(scored, ["p_card", "p_rules", "p_risk"], out="p_ensemble"))
     return ml.model_comparison(scored, {n: f"p_{n}" for n in ("card", "rules", "risk", "ensemble")})
+
+
+@query("importance_card", "L10 K0c", _split_sql(
+    ", m AS (SELECT " + ", ".join(f"stddev_samp({_clean(c)}) AS s_{c}" for c in CARD) + " FROM sp WHERE split = 'train'), r AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs({D(w)}) * s_{c} AS importance FROM m" for c, w in CARD.items())
+    + f") SELECT feature, {O.r6('importance')} AS importance FROM (SELECT * FROM r ORDER BY importance DESC, feature LIMIT 5)"))
+def q_importance_card(spark, sf):
+    """Top 5 of the scorecard's features by weight times deviation in the training part."""
+    data, _ = _model_data(spark, sf)
+    return ml.weight_importance(list(CARD), list(CARD.values()), data.filter(F.col("split") == "train"), 5)
+
+
+def _permutation_sql() -> str:
+    order = f"{O.unit_hash("'order'", f"'{SEED}'", 'player_id')}, player_id"
+    group = f"floor({O.unit_hash("'group'", f"'{SEED}'", 'player_id')} * ceil((SELECT count(*) FROM sp WHERE split = 'test') / 100000.0))"
+    clean = ", ".join(f"{_clean(c)} AS {c}" for c in CARD)
+    moved = ", ".join(f"coalesce(lead({c}) OVER w, first_value({c}) OVER w) AS m_{c}" for c in CARD)
+    hit = lambda changed: f"avg(CAST((({card_sql({(f'm_{c}' if c == changed else c): v for c, v in CARD.items()})}) > 0.5) = (churned = 1) AS INTEGER))"
+    drops = " UNION ALL ".join(f"SELECT '{c}' AS feature, {hit(None)} - {hit(c)} AS drop_ FROM x" for c in CARD)
+    return _split_sql(f""", t AS (SELECT player_id, churned, {group} AS g, {clean} FROM sp WHERE split = 'test'),
+x AS (SELECT *, {moved} FROM t WINDOW w AS (PARTITION BY g ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT feature, {O.r6('drop_')} AS accuracy_drop FROM ({drops})""")
+
+
+@query("permutation_card", "L12", _permutation_sql())
+def q_perm_card(spark, sf):
+    """Accuracy drop of the scorecard per feature when its values are permuted among the test rows."""
+    data, _ = _model_data(spark, sf, materialized=True)
+    return ml.permutation_importance(card_model(), data.filter(F.col("split") == "test"), list(CARD), seed=SEED)

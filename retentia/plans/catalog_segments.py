@@ -230,7 +230,8 @@ j AS (SELECT l.feature, l.churned, l.x, b.lo, b.hi, (b.hi - b.lo) / 30.0 AS w
       FROM lng l JOIN bnd b ON l.feature = b.feature AND l.churned = b.churned),
 k AS (SELECT feature, churned, lo, w,
         CASE WHEN w > 0 THEN least(30, CAST(floor((x - lo) / w) AS BIGINT) + 1) ELSE 1 END AS bin FROM j)
-SELECT feature, churned, bin, {O.r6('lo + (bin - 1) * w')} AS bin_lo, {O.r6('lo + bin * w')} AS bin_hi,
+SELECT feature, CASE feature {" ".join(f"WHEN '{f}' THEN '{f.replace('_', ' ').title()}'" for f in feats)} END AS title,
+  churned, bin, {O.r6('lo + (bin - 1) * w')} AS bin_lo, {O.r6('lo + bin * w')} AS bin_hi,
   count(*) AS players FROM k GROUP BY feature, churned, bin, lo, w""")
 
 
@@ -275,3 +276,11 @@ SELECT count(*) AS total_players, CAST(sum(rows_) AS BIGINT) AS total_records, m
 def q_dataset_summary(spark, sf):
     """Distinct players, rows, date range, per-player churn rate, first-archetype counts."""
     return seg.dataset_summary(frames.features(spark, sf))
+
+
+@query("exploration_summary", "A18", O.with_latest(f"""
+SELECT count(*) AS total_players, {O.r6('avg(churned)')} AS churn_rate, {O.r6('avg(sessions_per_week)')} AS avg_sessions_per_week,
+  {O.r6('avg(monthly_spent)')} AS avg_monthly_spent, count(*) FILTER (WHERE archetype = 'at_risk') AS high_risk_players FROM latest"""))
+def q_exploration(spark, sf):
+    """The exploration's closing figures: players, churn rate, mean sessions and spend, at-risk players."""
+    return seg.exploration_summary(frames.latest(spark, sf))
