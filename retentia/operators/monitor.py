@@ -7,7 +7,9 @@ alert_triggered).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import safe_div
@@ -22,14 +24,39 @@ DRIFT_STDS = 2.0
 
 def prediction_distribution(pred: DataFrame, run_date: str | None = None) -> DataFrame:
     """M1: total, count per band, mean score, high-risk percent (and the run date)."""
+    return pred.agg(*_prediction_figures()).withColumn("run_date", _date(run_date))
+
+
+def _date(run_date: str | None) -> Column:
+    return F.lit(run_date).cast("date") if run_date else F.current_date()
+
+
+def _prediction_figures() -> list[Column]:
     n = F.count(F.lit(1))
     high = F.count_if(F.col(BAND) == "High")
-    date = F.lit(run_date).cast("date") if run_date else F.current_date()
-    return pred.agg(
+    return [
         n.alias("total_predictions"), high.alias("high_risk"),
         F.count_if(F.col(BAND) == "Medium").alias("medium_risk"), F.count_if(F.col(BAND) == "Low").alias("low_risk"),
-        F.avg(SCORE).alias("avg_churn_probability"), (safe_div(high, n) * F.lit(100.0)).alias("high_risk_pct"),
-    ).withColumn("run_date", date)
+        F.avg(SCORE).alias("avg_churn_probability"), (safe_div(high, n) * F.lit(100.0)).alias("high_risk_pct")]
+
+
+def observe_predictions(pred: DataFrame, run_date: str | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """M1 while writing: ``pred``, to be written as it is, and a function that gives M1's row once it has been.
+
+    The figures are gathered by the job that writes, without a second scan.  Write the frame straight away: a task that
+    is repeated before a shuffle would count its rows twice, one of the last stage does not.
+    """
+    seen = Observation()
+    frame = pred.observe(seen, *_prediction_figures())
+
+    def row() -> DataFrame:
+        return _one_row(pred, seen, pred.agg(*_prediction_figures()).schema).withColumn("run_date", _date(run_date))
+    return frame, row
+
+
+def _one_row(df: DataFrame, seen: Observation, schema) -> DataFrame:
+    got = seen.get  # waits for the job that writes
+    return df.sparkSession.createDataFrame([tuple(got[c] for c in schema.fieldNames())], schema)
 
 
 def _long(rows: list[tuple[str, Column, Column, Column]]) -> Column:
@@ -83,13 +110,36 @@ def data_quality(df: DataFrame, keys: list[str], ranges: dict[str, tuple[float,
     an ordinary grouped count, whatever the number of key columns, beside the
     one aggregate of all other checks.
     """
-    checks: list[tuple[str, Column]] = [(f"nulls:{c}", F.count_if(F.col(c).isNull())) for c in df.columns]
-    checks += [(f"out_of_range:{c}", F.count_if((F.col(c) < lo) | (F.col(c) > hi))) for c, (lo, hi) in ranges.items()]
-    checks += [(f"not_flag:{c}", F.count_if(~F.col(c).isin(0, 1))) for c in flags]
+    checks = _checks(df.columns, ranges, flags)
     wide = df.agg(*[v.alias(f"q{i}") for i, (_, v) in enumerate(checks)])
-    rows = wide.select(F.explode(F.array(*[
+    return _check_rows(wide, checks).unionByName(duplicate_keys(df, keys))
+
+
+def _checks(columns: list[str], ranges: dict[str, tuple[float, float]], flags) -> list[tuple[str, Column]]:
+    checks: list[tuple[str, Column]] = [(f"nulls:{c}", F.count_if(F.col(c).isNull())) for c in columns]
+    checks += [(f"out_of_range:{c}", F.count_if((F.col(c) < lo) | (F.col(c) > hi))) for c, (lo, hi) in ranges.items()]
+    return checks + [(f"not_flag:{c}", F.count_if(~F.col(c).isin(0, 1))) for c in flags]
+
+
+def _check_rows(wide: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    return wide.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("check"), F.col(f"q{i}").cast("long").alias("failures"))
         for i, (name, _) in enumerate(checks)])).alias("s")).select("s.*")
-    doubled = df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("more")).agg(
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """M4's row of duplicate keys; it reads the key columns only."""
+    return df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("more")).agg(
         F.lit("duplicate_keys").alias("check"), F.coalesce(F.sum("more"), F.lit(0)).cast("long").alias("failures"))
-    return rows.unionByName(doubled)
+
+
+def observe_quality(df: DataFrame, ranges: dict[str, tuple[float, float]], flags: list[str] = ()) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """M4 while writing: ``df``, to be written as it is, and a function that gives M4's rows once it has been.
+
+    All checks but the duplicate keys, which need a grouping (``duplicate_keys``, on what was written).  As with
+    ``observe_predictions``, write the frame straight away.
+    """
+    checks, seen = _checks(df.columns, ranges, flags), Observation()
+    figures = [v.alias(f"q{i}") for i, (_, v) in enumerate(checks)]
+    frame = df.observe(seen, *figures)
+    return frame, lambda: _check_rows(_one_row(df, seen, df.agg(*figures).schema), checks)

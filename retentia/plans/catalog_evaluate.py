@@ -184,3 +184,11 @@ d AS (SELECT count(*) AS n FROM feat GROUP BY player_id, date HAVING count(*) >
 def q_quality(spark, sf):
     """Null counts per column, duplicate (player, date) keys, range and flag checks of the feature table."""
     return mon.data_quality(frames.features(spark, sf), ["player_id", "date"], QUALITY_RANGES, QUALITY_FLAGS)
+
+
+@query("quality_while_writing", "M4 M5", _quality_sql())
+def q_quality_written(spark, sf):
+    """The data-quality rows counted by the job that writes the feature table; only its keys are read again."""
+    from retentia.plans import jobs
+
+    return jobs.etl_run(spark, sf, checked=QUALITY_RANGES, flags=QUALITY_FLAGS)["quality"]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from retentia.operators import segments as seg
+from retentia.operators import sketches
 from retentia.operators.snapshot import numeric_columns
 from retentia.plans import frames
 from retentia.plans import oracle as O
 from retentia.plans.registry import query
 from retentia.sources.panel import ARCHETYPES
+from retentia.sources.sinks import materialize
 
 RISK_FILTER = ["High", "Medium"]
 PLATFORM_FILTER = ["PC", "Console"]
@@ -284,3 +288,32 @@ SELECT count(*) AS total_players, {O.r6('avg(churned)')} AS churn_rate, {O.r6('a
 def q_exploration(spark, sf):
     """The exploration's closing figures: players, churn rate, mean sessions and spend, at-risk players."""
     return seg.exploration_summary(frames.latest(spark, sf))
+
+
+# ---------------------------------------------------------------- sketches kept by day
+_SKETCHED, _RANKS, _PERIOD = ["monthly_spent", "sessions_per_week", "win_rate"], [0.0, 0.25, 0.5, 0.8, 0.95, 1.0], "2024-01-15"
+
+
+@query("period_quantiles", "A15 L13", O.with_panel(" UNION ALL ".join(
+    f"SELECT '{c}' AS metric, CAST({r} AS DOUBLE) AS rank, count({c}) AS n, true AS within_error FROM panel" for c in _SKETCHED for r in _RANKS)))
+def q_period_quantiles(spark, sf):
+    """Quantiles of three metrics over all days from stored daily KLL sketches, checked against the rows within twice the stated error."""
+    panel = materialize(frames.panel(spark, sf))
+    stored = materialize(sketches.daily_quantiles(panel, _SKETCHED, ["platform"]))
+    found = materialize(sketches.period_quantiles(stored, _RANKS))
+    off = sketches.off_by(panel, found, _SKETCHED)
+    return off.select("metric", "rank", "n", (F.col("off") <= 2 * sketches.rank_error()).alias("within_error"))
+
+
+@query("period_players", "A2 A18", O.with_panel(f"""
+, a AS (SELECT DISTINCT player_id FROM panel WHERE date < TIMESTAMP '{_PERIOD}'), b AS (SELECT DISTINCT player_id FROM panel WHERE date >= TIMESTAMP '{_PERIOD}')
+SELECT (SELECT count(*) FROM a) AS before, (SELECT count(*) FROM b) AS after, (SELECT count(*) FROM a JOIN b USING (player_id)) AS both,
+  (SELECT count(*) FROM a ANTI JOIN b USING (player_id)) AS gone, (SELECT count(*) FROM b ANTI JOIN a USING (player_id)) AS new,
+  (SELECT count(DISTINCT player_id) FROM panel) AS all_days, true AS hll_within_error"""))
+def q_period_players(spark, sf):
+    """Distinct players before and after a day, their overlap and all days together, from stored daily sketches."""
+    stored = materialize(sketches.daily_players(frames.panel(spark, sf)))
+    parts = sketches.overlap(stored.filter(F.col("day") < F.lit(_PERIOD)), stored.filter(F.col("day") >= F.lit(_PERIOD)))
+    near = F.abs(F.col("players") - F.col("players_theta")) <= 3 * sketches.distinct_error() * F.col("players_theta")
+    whole = sketches.period_players(stored).select(F.struct(F.col("players_theta").alias("all_days"), near.alias("hll_within_error")).alias("w"))
+    return parts.select("*", whole.scalar().alias("w")).select("before", "after", "both", "gone", "new", "w.*")

@@ -33,31 +33,40 @@ def bucket_count(df: DataFrame, bytes_per_bucket: int = 256 << 20, most: int = 2
 
 
 def etl_run(spark: SparkSession, sf_dir: str, out_dir: str | None = None, ttl_days: int = 7,
-            now: str | None = None, bucketed: bool = False, buckets: int | None = None, table_name: str | None = None) -> dict:
+            now: str | None = None, bucketed: bool = False, buckets: int | None = None, table_name: str | None = None,
+            checked: dict[str, tuple[float, float]] | None = None, flags: list[str] = ()) -> dict:
     """M5: extract (events → panel) → transform (F32) → load (feature table + key-value snapshot).
 
     If ``bucketed``, the feature table is saved as a catalog table bucketed by
     ``player_id`` and sorted by (player_id, date), so per-player reads
     (snapshots, windows, joins) need no shuffle; the number of buckets follows
     the input's size unless it is given.  Otherwise plain Parquet sorted within
-    files.
+    files.  With ``checked`` (allowed ranges by column; ``flags`` are 0 or 1) the result holds
+    M4's rows as ``quality``, counted while the table is written; only its keys are read again.
     """
     t0 = time.time()
     out_dir = out_dir or stage_path(spark, "etl")
     events = table(spark, sf_dir, "events")
     panel = events_panel(events, table(spark, sf_dir, "nation"))
     features_path = f"{out_dir}/player_features"
+    whole, quality = engineer_all(panel), None
+    if bucketed:
+        buckets = buckets or bucket_count(events)
+        whole = whole.repartition(buckets, "player_id")
+    if checked:  # behind the last shuffle, by the tasks that write
+        whole, quality = monitor.observe_quality(whole, checked, flags)
     if bucketed:
         table_name = table_name or "player_features"
         spark.sql(f"DROP TABLE IF EXISTS {table_name}")
-        write_bucketed(engineer_all(panel), table_name, features_path, buckets or bucket_count(events))
+        write_bucketed(whole, table_name, features_path, buckets, dealt=True)
         features = spark.table(table_name)
     else:
-        write_table(engineer_all(panel), features_path, sort_within=["player_id", "date"])
+        write_table(whole, features_path, sort_within=["player_id", "date"])
         features = spark.read.parquet(features_path)
     kv_path = write_table(feature_kv_snapshot(latest_snapshot(features), ttl_days=ttl_days, now=now),
                           f"{out_dir}/feature_cache")
-    return {"features_path": features_path, "features_table": table_name if bucketed else None, "kv_path": kv_path,
+    rows = quality and quality().unionByName(monitor.duplicate_keys(features, ["player_id", "date"]))
+    return {"features_path": features_path, "features_table": table_name if bucketed else None, "kv_path": kv_path, "quality": rows,
             "duration_sec": round(time.time() - t0, 3)}
 
 
@@ -112,16 +121,15 @@ def daily_run(spark: SparkSession, sf_dir: str, model: PipelineModel | None = No
     """M6: ingest → features → load → score → monitor, one written stage after another.
 
     Bands use the right-closed bins of the daily job (K1b); the monitoring row
-    is appended as one JSON line per run.
+    is gathered while the predictions are written and appended as one JSON line per run.
     """
     out_dir = out_dir or stage_path(spark, "daily")
     panel = events_panel(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
     feats = spark.read.parquet(write_table(engineer_all(panel), f"{out_dir}/player_features"))
     latest = materialize(latest_snapshot(feats))
-    pred_path = write_predictions(score_frame(latest, model, names), f"{out_dir}/predictions")
-    preds = spark.read.parquet(pred_path)
-    metrics = monitor.prediction_distribution(preds, run_date)
-    append_metrics(metrics, f"{out_dir}/monitoring")
+    preds, distribution = monitor.observe_predictions(score_frame(latest, model, names), run_date)
+    write_predictions(preds, f"{out_dir}/predictions")
+    append_metrics(distribution(), f"{out_dir}/monitoring")
     return spark.read.json(f"{out_dir}/monitoring")
 
 

@@ -34,7 +34,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "player_id",
-                   sort: tuple[str, ...] = ("player_id", "date")) -> str:
+                   sort: tuple[str, ...] = ("player_id", "date"), dealt: bool = False) -> str:
     """Save a catalog table bucketed by ``key`` and sorted within buckets, its files under ``path``.
 
     Later reads grouped or joined on ``key`` with the same bucket count skip
@@ -42,7 +42,8 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str
     bucketed scan runs on ordered input.
     """
     # Repartitioning on the bucket key first gives one file per bucket instead of one per (task, bucket).
-    (df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+    # ``dealt``: the caller has done so.
+    ((df if dealt else df.repartition(buckets, key)).write.mode("overwrite").format("parquet").option("path", path)
      .bucketBy(buckets, key).sortBy(*sort).saveAsTable(table))
     return table
 
