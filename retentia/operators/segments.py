@@ -8,13 +8,12 @@ of a one-row (or few-row) aggregate.
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import round_to, safe_div
 from retentia.functions.hashing import unit_hash
+from retentia.operators.comoments import comoments, correlation
 from retentia.operators.risk import spending_segment
 from retentia.operators.snapshot import first_non_null, last_non_null
 from retentia.sources.panel import ARCHETYPES
@@ -160,37 +159,12 @@ def social_risk_counts(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A8-A10 correlations
-def pearson(a: str, b: str) -> Column:
-    """Pearson correlation over rows where both are present; constant column → null."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x = F.when(both, F.col(a).cast("double"))
-    y = F.when(both, F.col(b).cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
-def _pearson_long(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Correlation per key group of (x, y) pairs: three aggregates however many columns there are.
-
-    A wide aggregate of three moments per column generates methods too large
-    for the JIT at a few dozen columns; the long form keeps one small
-    aggregate whose partial step collapses to one row per key and task.
-    """
-    # Incomplete pairs are nulled inside the aggregate (not filtered), so a column without any complete
-    # pair still gets its row, with a null correlation.
-    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
-    return long.groupBy(*keys).agg(
-        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("correlation"))
-
-
 def correlation_with(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
-    """Correlation of each column with the target, highest first (long form: one row per column)."""
+    """Correlation of each column with the target, highest first."""
     cols = [c for c in cols if c != target]
-    values = F.array(*[F.col(c).cast("double") for c in cols])
-    long = df.select(F.col(target).cast("double").alias("_y"), F.posexplode(values).alias("_column", "_x"))
-    name = F.element_at(F.array(*map(F.lit, cols)), F.col("_column") + 1)
-    return _pearson_long(long, ["_column"]).select(name.alias("feature"), "correlation") \
-        .orderBy(F.col("correlation").desc_nulls_last(), "feature")
+    name = F.element_at(F.array(*map(F.lit, [*cols, target])), F.col("i") + 1)
+    pairs = comoments(df, [*cols, target], target).filter(F.col("i") < len(cols))
+    return pairs.select(name.alias("feature"), correlation().alias("correlation")).orderBy(F.col("correlation").desc_nulls_last(), "feature")
 
 
 def churn_correlations(df: DataFrame, cols: list[str], target: str = "churned", k: int = 10) -> DataFrame:
@@ -207,18 +181,10 @@ def churn_correlations(df: DataFrame, cols: list[str], target: str = "churned",
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A10: every pair of the given columns (both orders, diagonal included).
-
-    Each row is exploded into its k(k+1)/2 column pairs (bounded by the column
-    list, not by the data) under the pair's number, and the partial aggregate
-    reduces them to one row a pair and task; names come at the end.
-    """
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    items = F.array(*[F.struct(F.col(cols[i]).cast("double").alias("_x"), F.col(cols[j]).cast("double").alias("_y")) for i, j in pairs])
-    long = df.select(F.posexplode(items).alias("_pair", "p")).select("_pair", "p.*")
-    name = lambda side: F.element_at(F.array(*[F.lit(cols[p[side]]) for p in pairs]), F.col("_pair") + 1)
-    half = _pearson_long(long, ["_pair"]).select(name(0).alias("feature_a"), name(1).alias("feature_b"), "correlation")
-    # Both orientations from each aggregated pair (the diagonal once): one aggregate, no union.
+    """A10: every pair of the given columns (both orders, diagonal included)."""
+    name = lambda c: F.element_at(F.array(*map(F.lit, cols)), F.col(c) + 1)
+    half = comoments(df, cols).select(name("i").alias("feature_a"), name("j").alias("feature_b"), correlation().alias("correlation"))
+    # Both orientations from each pair (the diagonal once), without a union.
     both = F.array(
         F.struct(F.col("feature_a").alias("a"), F.col("feature_b").alias("b"), "correlation"),
         F.when(F.col("feature_a") != F.col("feature_b"),
