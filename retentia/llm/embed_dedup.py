@@ -44,7 +44,7 @@ def moments(rows: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             if batch.num_rows:
                 x = matrix(columns_of(batch)["v"])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)  # the batch's own numbers stay as they are
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "sums"])
 
@@ -169,7 +169,7 @@ def _links_of_width(classes: DataFrame, width: int, threshold: float, tile_rows:
     n = rows.count()
     axes = axes_of(moments(rows, width))
     borders = fit_cells(rows, axes, min(cells, 1 << max(0, (n // tile_rows)).bit_length()), n)
-    kind = classes.schema["rep"].dataType.simpleString()
+    kind, number = classes.schema["rep"].dataType.simpleString(), classes.schema["v"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +179,7 @@ def _links_of_width(classes: DataFrame, width: int, threshold: float, tile_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells_of(y, borders).astype(np.int32)), pa.array(list(y), pa.list_(pa.float64()))],
                                                  names=["rep", "copies", "v", "cell", "y"])
 
-    placed = rows.select("rep", "copies", "v").mapInArrow(place, f"rep {kind}, copies long, v array<float>, cell int, y array<double>")
+    placed = rows.select("rep", "copies", "v").mapInArrow(place, f"rep {kind}, copies long, v {number}, cell int, y array<double>")
     boxes = (placed.select("cell", F.posexplode("y").alias("k", "c")).groupBy("cell", "k")
              .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).collect())  # cells x width numbers
     low, high, size = np.full((cells, width), np.inf), np.full((cells, width), -np.inf), np.zeros(cells, np.int64)
