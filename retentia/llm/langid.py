@@ -38,7 +38,8 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 def letters_of(text: str) -> str:
     """The text in lower case, runs of anything but letters as one space, trimmed."""
-    return _NO_LETTERS.sub(" ", text.lower()).strip()
+    found = _NO_LETTERS.sub(" ", text.lower()).strip()
+    return found if any(map(str.isalpha, found)) else ""  # fractions and raised digits alone are no letters
 
 
 @dataclass(frozen=True)

@@ -185,6 +185,8 @@ def test_langid_cases(spark):
     got = [(r.doc_id, r.lang_pred, r.rejected) for r in langid.predict(df, model).orderBy("doc_id").collect()]
     assert got[:3] == [(k, "und", True) for k in (1, 2, 3)]
     assert [x[1] for x in got[3:]] == ["aa", "bb", "bb", "bb"]
+    numerals = spark.createDataFrame([(1, "½ ² ③ Ⅷ 12", "x", "y", "z"), (2, "½ dolor sit amet", "x", "y", "z")], DOCS)
+    assert [r.lang_pred for r in langid.predict(numerals, model).orderBy("doc_id").collect()] == ["und", "aa"]
     assert "_score" in langid.predict(df, model).columns
     none = langid.Model.fit(teach.limit(0))
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
