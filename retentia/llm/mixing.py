@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retentia.llm.common import fresh
+
 #: The weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Rows that a bucket of the key range is meant to hold, and the largest number of buckets of a source.
@@ -70,30 +72,29 @@ def mix(df: DataFrame, source: str = "source", key: list[str] | None = None, siz
     """
     if draw is None:
         draw = F.shiftrightunsigned(F.xxhash64(*(key or df.columns)), 4)
-    if taken := {"source_size", "target", "taken"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns that this operator adds are there already: {sorted(taken)}")
-    keyed = df.withColumns({"_source": F.col(source), "_key": F.coalesce(draw, F.lit(NO_DRAW))})
-    sources = keyed.groupBy("_source").agg(F.count("*").alias("_n"), F.sum(size).alias("_total"))
+    # the given columns travel as one, so that none of their names can clash
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(source).alias("_source"), F.coalesce(draw, F.lit(NO_DRAW)).alias("_key"),
+                      F.col(size).alias("_size"), (F.struct(*key) if key else F.lit(0)).alias("_order"))
+    sources = keyed.groupBy("_source").agg(F.count("*").alias("_n"), F.sum("_size").alias("_total"))
     plan = (targets(sources, share, max_epochs, weights)
             .withColumn("_buckets", F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("long")))
-    same = F.col("_source").eqNullSafe(F.col("p._source"))
     dealt = (keyed.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
     # the key's 32 high bits, cut into as many equal ranges as the source has buckets
     high = F.shiftright(F.col("_key"), 28)
     drawn = F.shiftrightunsigned(high * F.col("_buckets"), 32)
     # rows without a draw: a bucket for each size, after all others
-    dealt = dealt.withColumn("_bucket", F.when(F.col("_key") < NO_DRAW, drawn).otherwise(F.col("_buckets") + F.col(size)))
-    sums = dealt.groupBy("_source", "_bucket").agg(F.sum(size).alias("_sum"))
+    dealt = dealt.withColumn("_bucket", F.when(F.col("_key") < NO_DRAW, drawn).otherwise(F.col("_buckets") + F.col("_size")))
+    sums = dealt.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
     over = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = (sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(over), F.lit(0)))
             .select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_offset"))
-    inside = (Window.partitionBy("_source", "_bucket").orderBy("_key", *(key or []), size)
+    inside = (Window.partitionBy("_source", "_bucket").orderBy("_key", "_order", "_size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = (dealt.withColumn("_before", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    placed = (dealt.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
               .join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
               .withColumn("_before", F.col("_before") + F.col("_offset")))
     epochs = F.when(F.col("_total") > 0, F.floor(F.col("_target") / F.col("_total"))).otherwise(0).cast("long")
     budget = F.floor(F.col("_target")).cast("long") - epochs * F.col("_total")
-    rest = F.greatest(F.lit(0), F.least(F.col(size), budget - F.col("_before")))
-    return placed.select(*df.columns, F.col("_total").alias("source_size"), F.col("_target").alias("target"),
-                         (epochs * F.col(size) + rest).cast("long").alias("taken"))
+    rest = F.greatest(F.lit(0), F.least(F.col("_size"), budget - F.col("_before")))
+    added = {"source_size": F.col("_total"), "target": F.col("_target"), "taken": (epochs * F.col("_size") + rest).cast("long")}
+    return placed.select("_row.*", *[c.alias(fresh(name, df.columns)) for name, c in added.items()])

@@ -214,8 +214,11 @@ def test_mix_cases(spark):
         own = [r for r in one if r[1] == source]
         assert sum(r[6] for r in own) == int(own[0][5]) and all(0 <= r[6] <= 2 * r[2] for r in own)
     assert mixing.mix(df.limit(0), key=["doc_id"]).count() == 0
-    with pytest.raises(ValueError, match="taken"):
-        mixing.mix(df.withColumn("Taken", F.lit(1)))
+    clashing = df.withColumns({"Taken": F.lit("t"), "_source": F.lit("s"), "_key": F.lit("k"), "_bucket": F.lit("b"), "target": F.lit("g"), "_row": F.lit("r"), "a.b": F.lit("d")})
+    got = mixing.mix(clashing, key=["doc_id"])
+    assert got.columns == [*clashing.columns, "source_size", "_target", "_taken"]
+    assert {tuple(r) for r in got.select("Taken", "_source", "_key", "_bucket", "target", "_row", "`a.b`").collect()} == {tuple("tskbgrd")}
+    assert sorted((r.doc_id, r._taken) for r in got.collect()) == sorted((r[0], r[6]) for r in one)
     texts = spark.createDataFrame([(None,), ("",), (" a b\tc\n",)], "t string").select(mixing.word_count("t").alias("n"))
     assert [r.n for r in texts.collect()] == [0, 0, 2]
 
@@ -264,6 +267,17 @@ def test_near_duplicates_equal_brute_force(spark, width, tile, cells):
     assert got == cosine_brute_force(rows)
 
 
+def test_near_duplicates_of_doubles_are_decided_in_double_precision(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 7))
+    x[30:] = x[:30] + rng.normal(size=(30, 7)) * 0.3
+    # pairs whose cosines lie a little on either side of 0.9, closer than floats can tell
+    near = [[np.cos(a), np.sin(a), 0, 0, 0, 0, 0] for a in (0.0, np.arccos(0.9) - 1e-10, -np.arccos(0.9) - 1e-10)]
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate([*x.tolist(), *near])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embed_dedup.near_duplicates(df).collect())) == cosine_brute_force(rows)
+
+
 def test_near_duplicate_cases(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]),
             (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0]), (11, [1.0, 0.0]), (12, [0.9, 0.4375])]
