@@ -10,9 +10,10 @@ pairs.  A bucket of many classes is cut into tiles and each two tiles meet in a
 one row a class (its links there, and a root of what it is linked with), never the pairs.  Full sets are shipped
 only to buckets in which a class has a pair that no earlier band has.
 
-Defined cases: a text that is null or has no word links with nothing; rows that share an id are one document that
-links where any of its texts does; copies (equal sets) count as links; an empty table gives an empty result; other
-columns are left behind.
+Defined cases: every row is a document, also where rows share an id or have none: the id only names it, and classes
+are told apart by the digest of their set.  A text that is null or has no word links with nothing; copies (equal sets)
+count as links; of a component the row with the smallest (id, hash of its text) is kept, a null id coming last, and
+so are rows that equal it in both; an empty table gives an empty result; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentia.llm.common import columns_of, cut_lineage, list_array, map_groups, text_steps, texts_of
 from retentia.llm.components import components
@@ -104,40 +106,53 @@ class Signer:
 
 
 def signatures(df: DataFrame, key: str, text: str, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """(id, d0, d1, n, bands): the digest and the size of each row's shingle set, and its bands (null if it is empty)."""
-    kind = df.schema[key].dataType.simpleString()
+    """(id, hash, class, n, bands): the hash of each row's text, the digest (null if it is empty), size and bands of its set."""
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), *_fields("hash long, class binary, n int, bands array<long>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sign = _WordHash(), Signer(bands, rows)
         for batch in batches:
             for part in text_steps(batch, "text"):
-                d0, d1, n, got = [], [], [], []
+                digests, n, got = [], [], []
                 for t in texts_of(part, "text"):
                     s = shingles(t, hashes, words)
-                    digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                    d0.append(int.from_bytes(digest[:8], "big", signed=True) if digest else None)
-                    d1.append(int.from_bytes(digest[8:], "big", signed=True) if digest else None)
+                    digests.append(class_of(s))
                     n.append(len(s))
                     got.append(sign(s) if len(s) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(n, pa.int32()),
-                     list_array(np.concatenate(got), list(map(len, got)), pa.int64())], names=["id", "d0", "d1", "n", "bands"])
+                    [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(n, pa.int32()),
+                     list_array(np.concatenate(got), list(map(len, got)), pa.int64())], names=schema.names)
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, f"id {kind}, d0 long, d1 long, n int, bands array<long>")
+    return df.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """(rep, shingles) of rows (rep, text)."""
+def class_of(shingles: np.ndarray) -> bytes | None:
+    """The digest that names the class of a shingle set."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def _fields(schema: str) -> list[T.StructField]:
+    return T._parse_datatype_string(schema).fields  # noqa: SLF001
+
+
+def _row(key: Column, text_hash: Column) -> Column:
+    """What a row is ordered and found by; a struct, so that null ids equal each other and come last."""
+    return F.struct(key.isNull().alias("none"), key.alias("id"), text_hash.alias("hash"))
+
+
+def shingle_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(class, shingles) of each different set of the column ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in batches:
             for part in text_steps(batch, "text"):
-                got = [shingles(t, hashes, words).view(np.int64) for t in texts_of(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.concatenate(got), list(map(len, got)), pa.int64())],
-                                                 names=["rep", "shingles"])
+                got = [shingles(t, hashes, words) for t in texts_of(part, "text")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(map(class_of, got)), pa.binary()), list_array(np.concatenate(got).view(np.int64), list(map(len, got)), pa.int64())],
+                    names=["class", "shingles"])
 
-    return df.select("rep", "text").mapInArrow(run, f"rep {df.schema['rep'].dataType.simpleString()}, shingles array<long>")
+    sets = texts.select("text").mapInArrow(run, "class binary, shingles array<long>")
+    return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def new_pairs(bands: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
@@ -206,7 +221,7 @@ def _needed(cols: dict, lo: int, hi: int) -> list[tuple]:
     left, right, same = _sides(cols, lo, hi)
     new = new_pairs(_band_rows(cols, lo, hi), int(cols["band"][lo]), left - lo, right - lo, same)
     rows = np.union1d(left[new.any(axis=1)], right[new.any(axis=0)]).tolist()
-    return [(cols["bucket"][r], cols["ta"][r], cols["tb"][r], cols["tile"][r], cols["band"][r], cols["rep"][r], cols["copies"][r],
+    return [(cols["bucket"][r], cols["ta"][r], cols["tb"][r], cols["tile"][r], cols["band"][r], cols["class"][r], cols["copies"][r],
              cols["bands"].of(r)) for r in rows]
 
 
@@ -228,8 +243,8 @@ def _verify(threshold: Fraction):
         full |= full.T
         links = full @ cols["copies"][lo:hi].astype(np.int64)
         root = roots_of(full)
-        rep = cols["rep"][lo:hi]
-        return [(rep[r], links[r], rep[root[r]]) for r in np.flatnonzero(links).tolist()]
+        name = cols["class"][lo:hi]
+        return [(name[r], links[r], name[root[r]]) for r in np.flatnonzero(links).tolist()]
     return verify
 
 
@@ -246,28 +261,39 @@ def tiles(members: DataFrame, tile_rows: int, order: str, weight: str | None = N
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
                  recall: float = RECALL, tile_classes: int = TILE_CLASSES) -> DataFrame:
-    """(key, class_id, n_links, component_id, kept) of each row; of a component the smallest id is kept."""
-    kind = df.schema[key].dataType.simpleString()
+    """(key, class_id, n_links, component_id, kept, class_key) of each row; of a component the smallest id is kept.
+
+    ``class_id`` and ``component_id`` are the smallest ids there; ``class_key`` is the digest of the row's set in
+    hexadecimal (null without words), which tells classes apart that share an id or have none.
+    """
     bands, rows = banding(threshold, recall)
     signed = cut_lineage(signatures(df, key, text, bands, rows, words))
-    classes = cut_lineage(signed.filter("n > 0").groupBy("d0", "d1")
-                          .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    spread = classes.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
+    classes = cut_lineage(signed.filter("n > 0").groupBy("class")
+                          .agg(F.min(_row(F.col("id"), F.col("hash"))).alias("first"), F.count("*").alias("copies"),
+                               F.first("n").alias("n"), F.first("bands").alias("bands")))
+    spread = classes.select("class", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
-    members = spread.join(shared, "bucket").join(classes.select("rep", "copies", "bands"), "rep")
-    met = tiles(members, tile_classes, "rep", "weight", TILE_SHINGLES)
-    needed = cut_lineage(map_groups(met.select("bucket", "ta", "tb", "tile", "band", "rep", "copies", "bands"), ["bucket", "ta", "tb"], [], _needed,
-                                    f"bucket long, ta int, tb int, tile int, band int, rep {kind}, copies long, bands array<long>"))
-    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(needed.select("rep").distinct(), "rep", "left_semi")
-    sets = shingle_sets(texts, words)
-    found = cut_lineage(map_groups(needed.join(sets, "rep"), ["bucket", "ta", "tb"], [], _verify(Fraction(str(threshold))),
-                                   f"rep {kind}, links long, root {kind}"))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found, "rep", "root").withColumnRenamed("id", "rep")
-    result = (classes.select("d0", "d1", "rep", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
-              .select("d0", "d1", F.col("rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                      F.coalesce("component", "rep").alias("component_id")))
-    return (signed.select("id", "d0", "d1").join(result, ["d0", "d1"], "left")
-            .select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                    F.coalesce("component_id", "id").alias("component_id"))
-            .withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))))
+    members = spread.join(shared, "bucket").join(classes.select("class", "copies", "bands"), "class")
+    met = tiles(members, tile_classes, "class", "weight", TILE_SHINGLES)
+    needed = cut_lineage(map_groups(met.select("bucket", "ta", "tb", "tile", "band", "class", "copies", "bands"), ["bucket", "ta", "tb"], [], _needed,
+                                    "bucket long, ta int, tb int, tile int, band int, class binary, copies long, bands array<long>"))
+    wanted = classes.select("class", "first").join(needed.select("class").distinct(), "class", "left_semi").select("first")
+    texts = (df.select(_row(F.col(key), F.xxhash64(text)).alias("first"), F.col(text).alias("text"))
+             .join(wanted, "first", "left_semi"))
+    found = cut_lineage(map_groups(needed.join(shingle_sets(texts, words), "class"), ["bucket", "ta", "tb"], [], _verify(Fraction(str(threshold))),
+                                   "class binary, links long, root binary"))
+    linked = found.groupBy("class").agg(F.sum("links").alias("links"))
+    groups = components(found, "class", "root").withColumnRenamed("id", "class")
+    lowest = (groups.join(classes.select("class", "first"), "class")
+              .groupBy("component").agg(F.min("first").alias("kept_row")))
+    result = (classes.select("class", "first", "copies").join(linked, "class", "left")
+              .join(groups.join(lowest, "component").select("class", "kept_row"), "class", "left")
+              .select("class", F.col("first.id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+                      F.coalesce("kept_row", "first").alias("kept_row")))
+    placed = signed.select("id", "hash", "class").join(result, "class", "left").withColumn("row", _row(F.col("id"), F.col("hash")))
+    alone = F.col("class").isNull()
+    return placed.select(
+        F.col("id").alias(key), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(alone, F.col("id")).otherwise(F.col("kept_row.id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("kept_row"))).alias("kept"), F.lower(F.hex("class")).alias("class_key"))
