@@ -13,13 +13,15 @@ it.  Digests that occur more than once, anywhere, mark their two chunks as repea
 ``MIN_WORDS`` words or more is a repeated passage.  Of each digest the occurrence with the smallest (id, place) is
 the first; a run of ``MIN_WORDS`` words of chunks that are not covered by a first occurrence is taken out.
 
-The text does not go through the digests' shuffles, only (digest, id, place).  Digests have 64 bits; a passage needs
-several in a row, so that one collision takes nothing out.  A digest that a large part of all rows has is counted by
-partial sums, and its join is an ordinary equi-join that adaptive execution splits.
-
-Defined cases: a null text stays null, an empty one empty, both without passages; rows that share an id count as one
-document that holds each passage once, and all of them are treated alike; a null id leaves its row as it is and
-takes no part; repeated passages within one document are passages too; other columns pass unchanged.
+The text does not go through the digests' shuffles, only (digest, id, variant, place); the variant is the hash of the
+text where an id has several texts, else 0.  Digests have 64 bits; a passage needs several in a row, so that one
+collision takes nothing out.  A digest that a large part of all rows has is counted by partial sums, and its rows are
+dealt over ``SALTS`` places of the join; there are at most ``FREQUENT`` such digests, by the share that makes one.
+
+Defined cases: a null text stays null, an empty one empty, both without passages; rows that share an id but not the
+text are documents of their own, rows that share both are one document that holds each passage once, and all of them
+are treated alike; a null id leaves its row as it is and takes no part; repeated passages within one document are
+passages too; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentia.llm.common import fresh, text_steps
+from retentia.llm.common import cut_lineage, fresh, small_side, text_steps
 
 #: Bytes that the rolling hash sees, mean words of a chunk, its largest size in bytes, words of a passage.
 WINDOW, CHUNK_WORDS, MAX_CHUNK, MIN_WORDS = 8, 5, 256, 18
@@ -42,6 +44,9 @@ LONG_WORD, WORD_BYTES = 48, 6
 #: Mean characters of a chunk inside such a run, after a character of one byte and after a longer one.
 RUN_CHARS = (CHUNK_WORDS * WORD_BYTES, CHUNK_WORDS * WORD_BYTES // 3)
 
+#: Digests that may be called frequent (each has more than this part of all repeated places), and places that one's rows are dealt over.
+FREQUENT, SALTS = 2048, 64
+
 #: One random 32-bit number for each byte; any fixed seed will do, but it must stay the same.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
@@ -140,27 +145,47 @@ def digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[pair], place[pair], mixed.view(np.int64)
 
 
-def pairs_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(digest, id, place) of every two neighbouring chunks of every text."""
-    schema = T.StructType([T.StructField("digest", T.LongType()), T.StructField("id", df.schema[key].dataType), T.StructField("place", T.IntegerType())])
+def with_variant(df: DataFrame, key: str, text: str, variant: str) -> DataFrame:
+    """``df`` with the column ``variant``: the hash of the text where its id has several texts, else 0."""
+    several, marked = fresh("_several", df.columns), fresh("_id", df.columns)
+    h = F.xxhash64(text)
+    shared = cut_lineage(df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(marked)).agg(F.min(h).alias("low"), F.max(h).alias("high"))
+                         .filter("low <> high").select(marked, F.lit(True).alias(several)))
+    joined = df.join(small_side(shared), F.col(key) == F.col(marked), "left")
+    return joined.withColumn(variant, F.when(F.col(several), h).otherwise(F.lit(0).cast("long"))).drop(several, marked)
+
+
+def pairs_of(df: DataFrame, key: str = "doc_id", text: str = "text", variant: str = "variant") -> DataFrame:
+    """(digest, id, variant, place) of every two neighbouring chunks of every text."""
+    schema = T.StructType([T.StructField("digest", T.LongType()), T.StructField("id", df.schema[key].dataType),
+                           T.StructField("variant", T.LongType()), T.StructField("place", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_steps(batch, "text"):
-                row, place, digest = digests(part.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array(digest), part.column(0).take(pa.array(row)), pa.array(place.astype(np.int32))],
-                                                 names=["digest", "id", "place"])
-
-    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL").mapInArrow(run, schema)
-
-
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each id the places of its digests that occur more than once, and which of them are the first."""
-    pairs = pairs_of(df, key, text)
-    often = (pairs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first"))
-             .filter("n > 1").select("digest", "first"))
-    hits = pairs.join(often, "digest").select("id", "place", (F.struct("id", "place") == F.col("first")).alias("is_first"))
-    return hits.groupBy("id").agg(F.collect_list(F.struct("place", "is_first")).alias("hits"))
+                row, place, digest = digests(part.column(2))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(digest), part.column(0).take(row), part.column(1).take(row), pa.array(place.astype(np.int32))],
+                                                 names=schema.names)
+
+    return (df.select(F.col(key).alias("id"), F.col(variant).alias("variant"), F.col(text).alias("text"))
+            .filter("id IS NOT NULL").mapInArrow(run, schema))
+
+
+def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", variant: str = "variant") -> DataFrame:
+    """Of each (id, variant) the places of its digests that occur more than once: twice the place, and one more if it is the first."""
+    pairs = pairs_of(df, key, text, variant)
+    where = F.struct("id", "variant", "place")
+    often = cut_lineage(pairs.groupBy("digest").agg(F.count("*").alias("n"), F.min(where).alias("first")).filter("n > 1"))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    frequent = often.filter(F.col("n") * FREQUENT > total).select("digest", F.lit(True).alias("is_frequent"))
+    salts = F.when(F.col("is_frequent"), F.lit(SALTS)).otherwise(F.lit(1))
+    dealt = (pairs.join(F.broadcast(frequent), "digest", "left")  # fewer than FREQUENT rows
+             .withColumn("salt", F.pmod(F.xxhash64("id", "variant", "place"), salts).cast("int")).drop("is_frequent"))
+    is_frequent = F.coalesce(F.col("n") * FREQUENT > total, F.lit(False))
+    firsts = often.select("digest", "first", F.explode(F.sequence(F.lit(0), F.when(is_frequent, SALTS - 1).otherwise(0))).alias("salt"))
+    hits = dealt.join(firsts, ["digest", "salt"]).select("id", "variant", (F.col("place") * 2 + (where == F.col("first")).cast("int")).alias("hit"))
+    return hits.groupBy("id", "variant").agg(F.collect_set("hit").alias("hits"))
 
 
 def runs(marked: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -208,8 +233,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     names = [fresh(n, df.columns) for n in ("repeated_words", "removed_words", "repeated_spans", "removed_spans")]
     extra = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), _SPAN, _SPAN))]
     schema = T.StructType([*df.schema.fields, *extra])
-    hits_name, id_name = fresh("_hits", df.columns), fresh("_hit_id", df.columns)
-    hits = repeated(df, key, text).select(F.col("id").alias(id_name), F.col("hits").alias(hits_name))
+    hits_name, id_name, variant, of_variant = (fresh(n, df.columns) for n in ("_hits", "_hit_id", "_variant", "_hit_variant"))
+    varied = with_variant(df, key, text, variant)
+    hits = repeated(varied, key, text, variant).select(F.col("id").alias(id_name), F.col("variant").alias(of_variant), F.col("hits").alias(hits_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -223,7 +249,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
                     if not h or not t:
                         rows.append((0, 0, [], []))
                         continue
-                    again, out, n_again, n_out = passages(t, [(x["place"], x["is_first"]) for x in h], min_words)
+                    again, out, n_again, n_out = passages(t, [(x >> 1, bool(x & 1)) for x in h], min_words)
                     texts[k] = without(t, out)
                     rows.append((n_again, n_out, *[[{"start": a, "end": b} for a, b in s] for s in (again, out)]))
                 cols = [part.column(i) for i in range(part.num_columns - 1)]
@@ -231,5 +257,6 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
                 cols += [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), extra)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    joined = df.join(hits, F.col(key) == F.col(id_name), "left").drop(id_name)
+    joined = (varied.join(hits, (F.col(key) == F.col(id_name)) & (F.col(variant) == F.col(of_variant)), "left")
+              .drop(id_name, variant, of_variant))
     return joined.mapInArrow(run, schema)
