@@ -95,6 +95,25 @@ def test_jaccard_join_cases(spark):
     assert ngram_join.jaccard_join(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_rows_without_an_id_or_with_a_shared_one(spark):
+    near = [t for _, t in near_copies(12, 200, seed=5)]
+    other = [t for _, t in near_copies(6, 200, seed=6)]
+    ids = [None, None, 5, 1, 1, 7, None, 1, 9, 9, 1, 3]
+    rows = [*zip(ids, near), (1, other[0]), (2, other[1]), (None, other[2]), (None, other[2]), (4, "alone here"), (None, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = jaccard_brute_force(list(enumerate(t for _, t in rows)))
+    groups = collections.defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        groups[want[k][1]].append(i)
+    low = {root: min((i for i in group if i is not None), default=None) for root, group in groups.items()}
+    got = ngram_join.jaccard_join(df).collect()
+    key = lambda r: tuple((x is None, x) if x is not None else (True, 0) for x in r)
+    assert sorted(((r.doc_id, r.n_links, r.component_id) for r in got), key=key) == sorted(
+        ((i, want[k][0], low[want[k][1]]) for k, (i, _) in enumerate(rows)), key=key)
+    assert sorted(((r.doc_id, r.component_id) for r in got if r.kept), key=key) == sorted(
+        [(1, 1), (1, 1), (4, 4), (4, 4), (None, None)], key=key)  # one of each group, and the three that have no link
+
+
 def test_common_counts_either_way():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, 80)) for _ in range(40)]
@@ -172,6 +191,29 @@ def test_substring_dedup_cases(spark):
     assert out.count() == len(rows) and substring.dedup(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_two_texts_under_one_id(spark):
+    rng = random.Random(21)
+    take = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    passage, clean = take(90), take(90)
+    rows = [(1, f"{take(30)} {passage}"), (2, f"{take(30)} {passage} {take(20)}"), (2, clean), (3, take(80)), (2, clean)]
+    got = sorted((r.doc_id, r.text, r.removed_words) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    taken = [g for g in got if g[2]]
+    assert [g[0] for g in taken] == [2] and taken[0][2] >= 70 and passage not in taken[0][1]
+    assert sorted(g[:2] for g in got if not g[2]) == sorted(r for r in rows if r != rows[1])
+
+
+def test_frequent_digests_are_dealt_and_change_nothing(spark, monkeypatch):
+    rng = random.Random(22)
+    take = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    passage = take(60)
+    df = spark.createDataFrame([(k, f"{take(20)} {passage} {take(20)}") for k in range(120)], "doc_id long, text string")
+    rows = []
+    for frequent in (substring.FREQUENT, 1):  # nearly all repeated digests are frequent; none is
+        monkeypatch.setattr(substring, "FREQUENT", frequent)
+        rows.append(sorted((r.doc_id, r.text, r.repeated_words) for r in substring.dedup(df).collect()))
+    assert rows[0] == rows[1] and sum(passage in t for _, t, _ in rows[0]) == 1
+
+
 def test_substring_dedup_without_white_space(spark):
     rng = random.Random(11)
     for first, last, n in ((0x4E00, 0x9FA5, 400), (0x0E01, 0x0E2E, 400), (0x61, 0x7A, 1200)):  # Chinese, Thai, encoded: 200 words
