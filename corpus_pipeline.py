@@ -1,15 +1,15 @@
 """The corpus pipeline: language ID, near-duplicates, repeated passages, source mix, tokens.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
-``documents``.  ``run`` chains them over the whole table.  A row without a doc_id cannot be told from another such
-row: the stages that decide by id leave it in place.
+``documents``.  ``run`` chains them over the whole table.  Rows without a doc_id take part like others, but for
+``repeated_passages``, which leaves them in place.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import bpe, langid, mixing, ngram_join, substring
@@ -30,13 +30,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more."""
-    docs = docs.select(COLUMNS)
-    kept = ngram_join.jaccard_join(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    copies = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    one_each = (docs.join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(copies))
-                .filter("_copy = 1").select(COLUMNS))
-    return one_each.union(docs.filter("doc_id IS NULL"))
+    """One document of each group linked by a Jaccard similarity of 0.8 or more: that of the smallest id, a missing id last.
+
+    A document is a text under an id: rows that share an id but not the text are decided apart, and rows that share
+    both are one document.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.md5("text").alias("digest"))
+    docs = docs.select(*COLUMNS, row.alias("_row"))
+    kept = ngram_join.jaccard_join(docs, key="_row").filter("kept").select("_row").distinct()
+    one_each = (docs.join(kept, "_row", "left_semi")
+                .groupBy("_row").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"), F.first("text").alias("text")))
+    return one_each.select(F.col("_row.doc_id").alias("doc_id"), "text", "rest.*").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
