@@ -11,8 +11,8 @@ element, or one with such an attribute token, and outside navigation, footers, a
 comments, is main text; on a page without such an element, long running text outside those is.  Each sampled node
 is learned in four ways: as it is; without the features of element names and attribute tokens, so that the trees also
 know main text by its form; with some links in main text; and, whatever its form, as something that stands in an
-aside or an element with such a token, which is never main text.  Fitting reads a bounded sample of pages, drawn by
-hash over all of them.
+aside or an element with such a token, which is never main text.  Fitting reads a bounded sample of different pages,
+drawn by hash over all of them; copies of a page count once.
 
 Text: character references decoded, white space inside a leaf as one space, trimmed; leaves in page order, joined
 by one space.  Defined cases: a null or empty page has empty text; broken markup is read as far as it goes, unclosed
@@ -63,7 +63,9 @@ BAD_TOKENS = {"ad", "ads", "advert", "advertisement", "advertising", "adbox", "s
 #: Pages that the trees are fitted on, and nodes of a page among them.
 FIT_PAGES, FIT_NODES = 600, 120
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
+_EVEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -91,12 +93,77 @@ def tokens_of(attributes: str) -> set[str]:
     return out
 
 
+class Tags:
+    """The tags of a page one after another, in time proportional to its length whatever its markup.
+
+    A quoted attribute value may hold ``>``; where the quotes do not come out even, the tag ends at the first ``>``.
+    A comment that is not closed goes to the end; any other ``<`` with no ``>`` after it is text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.even = True  # no tag has had quotes that do not come out even
+        self.dead: set[int] = set()  # quotes from which no tag ends outside quotes
+        self.cdata = True  # a CDATA section may still be closed
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the first tag from ``at`` on; other markup has no name."""
+        page = self.page
+        while (lt := page.find("<", at)) >= 0:
+            if self.even and (m := _EVEN.match(page, lt)):
+                return lt, m.end(), m[1] != "", m[2].lower(), m[3]
+            mark = page[lt + 1:lt + 2]
+            if mark == "!" or mark == "?":
+                end = self._other(lt)
+                if end >= 0:
+                    return lt, end, False, "", ""
+            elif lt > self.last:
+                self.even = False
+            else:
+                closes = mark == "/"
+                name = _NAME.match(page, lt + 1 + closes)
+                if name:
+                    self.even = False
+                    end = self._end(name.end())
+                    return lt, end, closes, name[0].lower(), page[name.end():end - 1]
+            at = lt + 1
+        return None
+
+    def _other(self, lt: int) -> int:
+        """The end of a comment, a CDATA section, a declaration or an instruction; -1 if it is none."""
+        page = self.page
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            return end + 3 if end >= 0 else len(page)
+        if self.cdata and page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt + 9)
+            if end >= 0:
+                return end + 3
+            self.cdata = False
+        return page.find(">", lt) + 1 if lt < self.last else -1
+
+    def _end(self, at: int) -> int:
+        """After the ``>`` of the tag whose attributes begin at ``at``; there is one, since ``at`` is not behind the last."""
+        page, tried, place = self.page, [], at
+        while (stop := _STOP.search(page, place)) and stop.start() not in self.dead:
+            if stop[0] == ">":
+                return stop.end()
+            tried.append(stop.start())
+            close = page.find(stop[0], stop.end())
+            if close < 0:
+                break
+            place = close + 1
+        self.dead.update(tried)
+        return page.find(">", at) + 1
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; the first is the root."""
     root = Node("#root", None, set())
     nodes, stack = [root], [(root.tag, root)]  # open elements with the block that each belongs to
+    opened: dict[str, list[int]] = {}  # of each name, where it stands in the stack
     pieces: list[str] = []
-    links = open_links = 0
+    links = 0
 
     def flush() -> None:
         nonlocal links
@@ -110,34 +177,32 @@ def parse(page: str) -> list[Node]:
 
     def close(at: int) -> None:
         """Ends the open elements from ``at`` on."""
-        nonlocal open_links
         if any(t in BLOCK for t, _ in stack[at:]):
             flush()
-        open_links -= sum(t == "a" for t, _ in stack[at:])
+        for t, _ in stack[at:]:
+            opened[t].pop()
         del stack[at:]
 
-    at = 0
-    size = len(page)
+    def nearest(names: set[str]) -> int:
+        """The place of the innermost open element of one of ``names``; 0 if none is open."""
+        return max((places[-1] for n in names if (places := opened.get(n))), default=0)
+
+    at, size, tags = 0, len(page), Tags(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
-            pieces.append(page[at:])
+        tag = tags.next(at)
+        start = tag[0] if tag else size
+        if start > at:
+            pieces.append(page[at:start])
+            if opened.get("a"):
+                links += start - at
+        if tag is None:
             break
-        if m.start() > at:
-            piece = page[at:m.start()]
-            pieces.append(piece)
-            if open_links:
-                links += len(piece)
-        at = m.end()
-        slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, closes, name, attributes = tag
         if not name:
             continue
-        name = name.lower()
-        if slash:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+        if closes:
+            if opened.get(name):
+                close(opened[name][-1])
             continue
         stack[-1][1].tags += 1
         if name in RAW:  # nothing in it is text
@@ -150,22 +215,21 @@ def parse(page: str) -> list[Node]:
             continue
         if name in BLOCK:
             ended, limit = ENDS.get(name, ({"p"}, {"button", "table", "td", "th", "object"}))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ended:
-                    close(k)
-                    if name not in ("tr",):
-                        break
-                elif stack[k][0] in limit:
+            while (k := nearest(ended)) > nearest(limit):
+                close(k)
+                if name != "tr":
                     break
             flush()
             if name in VOID:
                 continue
             node = Node(name, stack[-1][1], tokens_of(attributes))
             nodes.append(node)
-            stack.append((name, node))
-        elif name not in VOID:
-            open_links += name == "a"
-            stack.append((name, stack[-1][1]))
+        elif name in VOID:
+            continue
+        else:
+            node = stack[-1][1]
+        opened.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
     flush()
     for i, n in enumerate(nodes):
         n.index = i
@@ -258,14 +322,32 @@ def main_text(page: str, model: Boosted) -> str:
     if len(nodes) == 1:
         return ""
     leaves = kept_leaves(nodes, model.logit(features(nodes)))
-    return " ".join(t for t in (" ".join(html.unescape(n.text).split()) for n in leaves) if t)
+    return " ".join(t for t in (" ".join(decoded(n.text).split()) for n in leaves) if t)
+
+
+_LONG_NUMBER = re.compile(r"&#(?:0*([0-9]{8,})|[xX]0*([0-9a-fA-F]{8,}));?")
+
+
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded; a number beyond all characters is the replacement character."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(_short, text)
+    return html.unescape(text)
+
+
+def _short(m: re.Match) -> str:
+    digits = (m[1] or m[2]).lstrip("0")
+    if len(digits) >= 8:
+        return "\ufffd"
+    return f"&#{'' if m[1] else 'x'}{digits or '0'};"
 
 
 def fit(pages: DataFrame, page: str = "html", fit_pages: int = FIT_PAGES) -> Boosted:
-    """The trees, fitted on about ``fit_pages`` pages drawn by a hash of their markup."""
-    rows = pages.select(F.col(page).alias("html")).filter("html IS NOT NULL")
-    n = rows.count()
-    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    """The trees, fitted on the ``fit_pages`` different pages whose markup has the smallest hashes (all, if fewer)."""
+    rows = pages.select(F.col(page).alias("html")).filter("html IS NOT NULL").withColumn("draw", F.xxhash64("html"))
+    cut = rows.select("draw").distinct().orderBy("draw").limit(fit_pages).agg(F.max("draw")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +356,11 @@ def fit(pages: DataFrame, page: str = "html", fit_pages: int = FIT_PAGES) -> Boo
                 x = features(nodes)
                 y = weak_labels(nodes, x)
                 some = np.unique(np.linspace(0, len(nodes) - 1, FIT_NODES).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at)), pa.array(y[some]), pa.array(list(x[some]), pa.list_(pa.float64()))],
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at, np.int64)), pa.array(y[some]), pa.array(list(x[some]), pa.list_(pa.float64()))],
                                                  names=["draw", "y", "x"])
 
-    sample = rows.withColumn("draw", draw).filter(F.col("draw") * n <= fit_pages).mapInArrow(run, "draw double, y double, x array<double>")
-    got = sample.orderBy("draw", "y", "x").collect()  # about fit_pages x FIT_NODES rows
+    drawn = rows.filter(F.col("draw") <= F.lit(cut).cast("long")).dropDuplicates(["draw"])  # copies are one page
+    got = drawn.select("html", "draw").mapInArrow(run, "draw long, y double, x array<double>").orderBy("draw", "y", "x").collect()  # fit_pages x FIT_NODES rows
     x, y = np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got])
     at = FEATURES.index
     rng = np.random.Generator(np.random.PCG64(17))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -322,6 +323,48 @@ def test_html_cases(spark):
     assert html_text.extract(df.limit(0), html_text.fit(df.limit(0))).count() == 0
 
 
+HOSTILE = {"open tags": "<a ", "open quotes": '<a x="', "open sections": "<![CDATA[", "closed by a tag": "<![CDATA[>", "uneven quotes": "<a '\">",
+           "uneven quotes with an end": "<a '\"x>\"", "declarations": "<!", "signs": "<", "ends": "</", "references": "&#9",
+           "blocks": "<div>", "inline": "<b>", "ends of nothing": "<b></i>"}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_parsing_takes_time_proportional_to_the_page(name):
+    took = []
+    for size in (1 << 17, 1 << 19):
+        page = HOSTILE[name] * (size // len(HOSTILE[name])) + "<p>x</p>"
+        begin = time.process_time()
+        html_text.parse(page)
+        took.append(time.process_time() - begin)
+    assert took[1] < 12 * max(took[0], 0.05)  # four times the page; sixteen times the work if it were quadratic
+
+
+def test_tags_of_broken_markup():
+    leaves = lambda page: [n.text for n in html_text.parse(page) if n.tag == "#text"]
+    assert leaves('<p title="a > b">x</p>') == ["x"]
+    assert leaves('<p title="a > b>x</p>') == [" b>x"]  # quotes that are not even: the tag ends at the first >
+    assert leaves("a < b<p>c") == ["a < b", "c"] and leaves("a<!-- <p>b") == ["a"] and leaves("a<p") == ["a<p"]
+    assert leaves("<![CDATA[ <p> ]]>x<![CDATA[ <b>y") == ["xy"] and leaves("<ul><li>a<li>b</ul>c") == ["a", "b", "c"]
+    assert leaves("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"] and leaves("<p>a<div>b") == ["a", "b"]
+
+
+def test_character_references_of_any_length():
+    assert html_text.decoded("&amp;&#65;&#x42;&#00000000000067;&#x000000000044;") == "&ABCD"
+    assert html_text.decoded("a&#" + "9" * 6000 + ";b&#x" + "f" * 6000) == "a\ufffdb\ufffd"
+
+
+def test_html_fit_takes_a_page_once_however_often_it_stands(spark, monkeypatch):
+    pages = [f"<html><body><nav>menu {k}</nav><article><p>{'word ' * (20 + k)}</p></article></body></html>" for k in range(30)]
+    once = spark.createDataFrame([(p,) for p in pages], "html string")
+    often = spark.createDataFrame([(p,) for p in pages + pages[:3] * 400], "html string").repartition(5)
+    seen = []
+    monkeypatch.setattr(html_text.Boosted, "fit", lambda x, y, trees: seen.append((x.copy(), y.copy())))
+    for table, n in ((once, 600), (often, 600), (often, 10)):
+        html_text.fit(table, fit_pages=n)
+    assert (seen[0][0] == seen[1][0]).all() and (seen[0][1] == seen[1][1]).all()
+    assert len(seen[2][1]) * 3 == len(seen[1][1])
+
+
 def test_decoding_equals_brute_force_and_has_no_contradiction():
     rng = np.random.default_rng(3)
     for _ in range(40):
