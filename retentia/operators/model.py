@@ -105,7 +105,8 @@ def fit(train: DataFrame, features: list[str], classifier, key: str = "player_id
         vcol = classifier.getValidationIndicatorCol()
         if vcol not in train.columns:
             train = train.withColumn(vcol, unit_hash("validation", F.col(key)) < F.lit(float(validation_share)))
-    return Pipeline(stages=[_assembler(features), _scaler(), classifier]).fit(train)
+    # A forest's training summary holds the session, which cannot go to the tasks once it has been observed; a copy has none.
+    return Pipeline(stages=[_assembler(features), _scaler(), classifier]).fit(train).copy()
 
 
 def probability(model: PipelineModel, df: DataFrame, out: str = "probability_1") -> DataFrame:

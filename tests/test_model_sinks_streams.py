@@ -56,6 +56,17 @@ def test_shapley_efficiency(spark, trained):
         assert s == pytest.approx(fx[pid] - f_ref, abs=1e-9)
 
 
+def test_a_forest_scores_after_the_session_was_observed(spark, trained):
+    from pyspark.sql import Observation
+
+    _, cols, split = trained
+    seen = Observation()
+    split.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    model = ml.fit(split, cols, ml.random_forest(trees=2, depth=2, min_leaf=1))
+    assert not model.stages[-1].hasSummary
+    assert ml.probability(model, split, "p").filter("p BETWEEN 0 AND 1").count() == seen.get["n"]
+
+
 def test_importance_and_save_load(spark, trained, tmp_path):
     model, cols, split = trained
     imp = ml.feature_importance(model, cols, 5).collect()
