@@ -123,3 +123,31 @@ def test_nulls_long_texts_and_clashing_columns(spark):
     assert qr.score(odd.limit(0), model).collect() == []
     named = docs.withColumn("label", F.lit("x")).withColumn("_digest", F.lit(1))
     assert (qr.Model.fit(named, labels.withColumn("text", F.lit("z")).withColumn("rows", F.lit(9))).weights == model.weights).all()
+
+
+def test_all_pairs_of_all_texts_are_fitted(spark):
+    docs, labels = table(spark)
+    rows = sorted(docs.join(labels, "doc_id").collect(), key=lambda r: r.doc_id)
+    x = np.array([qr.features(r.text).astype(np.float32) for r in rows], np.float64)
+    y = np.array([r.quality for r in rows])
+    better, worse = (k.ravel() for k in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
+    want = qr.bradley_terry(x, better, worse, steps=3000)
+    model = qr.Model.fit(docs, labels, docs_per_label=2)
+
+    def loss(w):
+        return np.log1p(np.exp(-(x[better] - x[worse]) @ w)).mean() + qr.RIDGE / 2 * ((w * x.std(axis=0)) ** 2).sum()
+
+    assert loss(model.weights) < 1.02 * loss(want)
+    assert math.isclose(math.log(qr.CUT / (1 - qr.CUT)) - model.bias, qr.quantile(x @ model.weights, np.ones(len(x)), (y == 0).mean()), abs_tol=1e-9)
+
+
+def test_threshold_of_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    worth = np.concatenate([rng.normal(size=3000).round(2), rng.normal(size=3000) * 1e-5, [1e6]])
+    rows = rng.integers(1, 5, len(worth))
+    df = spark.createDataFrame(list(zip(worth.tolist(), rows.tolist())), "worth double, rows long")
+    points, index = np.unique(worth, return_inverse=True)
+    weight = np.bincount(index, rows)
+    monkeypatch.setattr(qr, "EXACT_WORTHS", 20)
+    for share in (0.001, 0.3, 0.5, 0.77, 1.0):
+        assert qr.threshold(df, share) == qr.quantile(points, weight, share)
