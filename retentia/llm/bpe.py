@@ -28,7 +28,7 @@ from retentia.llm.common import fresh, list_array, no_cycle_search, text_steps,
 #: Bits of a word of the bitmap's lower level.
 WORD = 8
 #: Bytes of text that are encoded at a time; the more, the more pre-tokens share a step of the queue.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Two ids as one key.
 PAIR = 1 << 32
 #: Pre-tokens of more bytes are merged one by one, the others many at a time.
