@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
+#: Rows that all trees see at a time.
+ROWS = 4096
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -29,8 +33,34 @@ class Boosted:
     base: float
     trees: list[Tree]
 
+    @cached_property
+    def stacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, cuts and values, a row a tree; a shallow tree's leaves stand at the depth of the deepest."""
+        inner = max(len(t.feature) for t in self.trees)
+        feature, cut = np.zeros((len(self.trees), inner), np.int64), np.full((len(self.trees), inner), np.inf)
+        value = np.zeros((len(self.trees), inner + 1))
+        for k, t in enumerate(self.trees):
+            feature[k, :len(t.feature)], cut[k, :len(t.cut)] = t.feature, t.cut
+            value[k] = np.repeat(t.value, (inner + 1) // len(t.value))
+        return feature, cut, value
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.base + sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
+        """Log-odds of each row; a small table costs a few steps for all trees together, not some for each."""
+        out = np.full(len(x), self.base, np.float64)
+        if not self.trees:
+            return out
+        feature, cut, value = self.stacked
+        inner = feature.shape[1]
+        tree, leaf = np.arange(len(self.trees))[:, None] * inner, np.arange(len(self.trees))[:, None] * (inner + 1)
+        for lo in range(0, len(x), ROWS):
+            some = np.ascontiguousarray(x[lo:lo + ROWS])
+            row = np.arange(len(some)) * x.shape[1]
+            node = np.zeros((len(self.trees), len(some)), np.int64)
+            for _ in range(inner.bit_length()):
+                at = tree + node
+                node = 2 * node + 1 + (some.take(row + feature.take(at)) > cut.take(at))
+            out[lo:lo + ROWS] += value.take(leaf + node - inner).cumsum(axis=0)[-1]  # tree after tree, so that rounding is the same for any number of rows
+        return out
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Boosted:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from retentia.llm import bpe, html_text, langid, licences, lm_score
 from retentia.llm import queries as Q
+from retentia.llm.boosting import Boosted
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, ids string, score string, labels string"
@@ -365,6 +366,27 @@ def test_html_fit_takes_a_page_once_however_often_it_stands(spark, monkeypatch):
     assert len(seen[2][1]) * 3 == len(seen[1][1])
 
 
+def test_boosted_trees_of_a_small_table_are_walked_together():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 6))
+    model = Boosted.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(float), trees=60)
+    mixed = Boosted(0.5, [*model.trees, *Boosted.fit(x, (x[:, 3] > 0).astype(float), trees=3, depth=1).trees])
+
+    def one_by_one(m, rows):
+        return m.base + sum((t.predict(rows) for t in m.trees), np.zeros(len(rows)))
+
+    for m in (model, mixed, Boosted(0.25, [])):
+        for n in (0, 1, 2, 40, 5000):
+            assert (m.logit(x[:n]) == one_by_one(m, x[:n])).all()
+    spent = []
+    for f in (Boosted.logit, one_by_one):
+        start = time.process_time()
+        for k in range(200):
+            f(model, x[k * 20:k * 20 + 40])
+        spent.append(time.process_time() - start)
+    assert spent[0] * 2 < spent[1]
+
+
 def test_decoding_equals_brute_force_and_has_no_contradiction():
     rng = np.random.default_rng(3)
     for _ in range(40):
