@@ -18,6 +18,9 @@ from retentia.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Bytes of text that ``tokens`` encodes at a time: the stages before it leave it little of an executor's memory.
+TOKEN_BYTES = 1 << 20
+
 #: SQL cannot express compression, MinHash bands, gear hashes or BPE; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
@@ -61,7 +64,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' BPE ids, and whether decoding gives back the text."""
     ranks, pattern = tokenizer()
-    back = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, decoded="decoded")
+    back = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, decoded="decoded", step_bytes=TOKEN_BYTES)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

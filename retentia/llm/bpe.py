@@ -29,6 +29,8 @@ from retentia.llm.common import fresh, list_array, no_cycle_search, text_steps,
 WORD = 8
 #: Bytes of text that are encoded at a time; the more, the more pre-tokens share a step of the queue.
 ENCODE_BYTES = 4 << 20
+#: Characters of new segments whose pre-tokens are cut and merged at a time, with many small objects for each.
+LEARN_CHARS = 1 << 18
 #: Two ids as one key.
 PAIR = 1 << 32
 #: Pre-tokens of more bytes are merged one by one, the others many at a time.
@@ -232,6 +234,18 @@ class Bpe:
 
     def learn(self, unknown: set[str], before: str, memo: dict[str, bytes]) -> None:
         """Adds the ids of the segments ``before + s`` to ``memo``, as bytes of 32-bit numbers."""
+        some, chars = [], 0
+        for s in unknown:
+            some.append(s)
+            chars += len(s) + 1
+            if chars >= LEARN_CHARS:
+                self.learn_some(some, before, memo)
+                some, chars = [], 0
+        if some:
+            self.learn_some(some, before, memo)
+
+    def learn_some(self, unknown: list[str], before: str, memo: dict[str, bytes]) -> None:
+        """``learn`` for as many segments as are worked on at a time."""
         parts = {s: self.cut(before + s) for s in unknown}
         needed = set(chain.from_iterable(parts.values()))
         known = {}
@@ -310,10 +324,11 @@ def _decoded(ids: np.ndarray, lengths: list[int], tokens: dict[int, bytes]) -> l
     return out
 
 
-def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
+           step_bytes: int = ENCODE_BYTES) -> DataFrame:
     """``df`` with the column ``ids`` (array of int) and, if ``decoded`` names it, what the ids decode to (binary).
 
-    A new column whose name is taken gets underscores in front.
+    Texts are encoded ``step_bytes`` at a time; fewer need less memory and more time.  A new column whose name is taken gets underscores in front.
     """
     new = [T.StructField(fresh(ids, df.columns), T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
@@ -324,7 +339,7 @@ def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(data.value, pattern)
         for batch in batches:
-            for part in text_steps(batch, text, ENCODE_BYTES):
+            for part in text_steps(batch, text, step_bytes):
                 with no_cycle_search():
                     got = bpe.encode_all(texts_of(part, text))
                 flat, lengths = np.frombuffer(b"".join(got), np.int32), [len(x) // 4 for x in got]

@@ -83,6 +83,26 @@ def test_rank_queue_gives_lowest_rank_leftmost_first():
     assert got == sorted(entries)
 
 
+def test_bpe_learns_new_segments_in_portions(reference_encoder, tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "LEARN_CHARS", 300)
+    data, pattern = tokenizer
+    small, cut, sizes = bpe.Bpe(bpe.load_ranks(data), pattern), bpe.Bpe.learn_some, []
+    monkeypatch.setattr(bpe.Bpe, "learn_some", lambda self, some, *rest: (sizes.append(sum(map(len, some))), cut(self, some, *rest)))
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdeéß.", k=rng.randrange(1, 12))) for _ in range(400)) for _ in range(3)]
+    got = [np.frombuffer(b, np.int32).tolist() for b in small.encode_all([*texts, *odd_texts()])]
+    assert got == [reference_encoder.encode_ordinary(t) for t in [*texts, *odd_texts()]]
+    longest = max(len(t) for t in odd_texts())
+    assert len(sizes) > 10 and max(sizes) < 300 + longest and sum(x > 320 for x in sizes) <= len(odd_texts())
+
+
+def test_bpe_step_changes_nothing(spark, tokenizer):
+    data, pattern = tokenizer
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else f"text {k} é" * (k % 5)) for k in range(40)], "doc_id long, text string").repartition(2)
+    every = [sorted(map(tuple, bpe.encode(df, data, pattern, decoded="back", step_bytes=n).collect()), key=lambda r: r[0]) for n in (1, 64, 1 << 22)]
+    assert every[0] == every[1] == every[2] and len(every[0]) == 40
+
+
 def test_bpe_rows(spark, tokenizer, reference_encoder):
     data, pattern = tokenizer
     rows = [(1, None, "x", None, None), (2, "", "x", None, None), (3, "Hello there", "x", None, None), (3, "Hello there", "x", None, None)]
