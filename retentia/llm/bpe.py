@@ -29,7 +29,8 @@ from retentia.llm.common import fresh, list_array, no_cycle_search, text_steps,
 WORD = 8
 #: Bytes of text that are encoded at a time; the more, the more pre-tokens share a step of the queue.
 ENCODE_BYTES = 4 << 20
-#: Characters of new segments whose pre-tokens are cut and merged at a time, with many small objects for each.
+#: Characters of new segments whose pre-tokens are cut and merged at a time, with many small objects for each; at
+#: least so many, and a fourth of a step's bytes.  The queue's steps hardly grow with them, so that more are cheaper.
 LEARN_CHARS = 1 << 18
 #: Two ids as one key.
 PAIR = 1 << 32
@@ -96,6 +97,12 @@ class PieceQueue:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], -1)
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token."""
+        flat, ends = self.merge_flat(pieces)
+        return [part.tolist() for part in np.split(flat, ends[:-1])]
+
+    def merge_flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens one after another, and where each one's end."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(sizes.sum())
         token = np.full(n + 1, -1, np.int32)  # the last place stands for "none"
@@ -155,12 +162,7 @@ class PieceQueue:
             if live.any():
                 push(ranks[live], places[live])
         kept = token[:n] >= 0
-        counts = np.bincount(owner[kept], minlength=len(pieces))
-        flat, out, lo = token[:n][kept].tolist(), [], 0
-        for c in counts.tolist():
-            out.append(flat[lo:lo + c])
-            lo += c
-        return out
+        return token[:n][kept], np.cumsum(np.bincount(owner[kept], minlength=len(pieces)))
 
 
 class Bpe:
@@ -207,20 +209,26 @@ class Bpe:
             i = end[i]
         return ids
 
-    def pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each pre-token."""
-        out: dict[str, tuple[int, ...]] = {}
+    def pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of each pre-token as bytes of 32-bit numbers."""
+        out: dict[str, bytes] = {}
         short: list[str] = []
+        coded: list[bytes] = []
         for p in pieces:
             data = p.encode()
             if (whole := self.ranks.get(data)) is not None:
-                out[p] = (whole,)
+                out[p] = array("i", (whole,)).tobytes()
             elif len(data) > LONG_PIECE:
-                out[p] = tuple(self.long_piece(data))
+                out[p] = array("i", self.long_piece(data)).tobytes()
             else:
                 short.append(p)
+                coded.append(data)
         if short:
-            out.update(zip(short, map(tuple, self.queue.merge([p.encode() for p in short]))))
+            flat, ends = self.queue.merge_flat(coded)
+            ids, lo = flat.tobytes(), 0
+            for p, hi in zip(short, (ends * 4).tolist()):
+                out[p] = ids[lo:hi]
+                lo = hi
         return out
 
     def cut(self, segment: str) -> list[str]:
@@ -232,13 +240,13 @@ class Bpe:
             return [segment[:-1], segment[-1]]
         return self.split(segment)
 
-    def learn(self, unknown: set[str], before: str, memo: dict[str, bytes]) -> None:
+    def learn(self, unknown: set[str], before: str, memo: dict[str, bytes], at_a_time: int) -> None:
         """Adds the ids of the segments ``before + s`` to ``memo``, as bytes of 32-bit numbers."""
         some, chars = [], 0
         for s in unknown:
             some.append(s)
             chars += len(s) + 1
-            if chars >= LEARN_CHARS:
+            if chars >= at_a_time:
                 self.learn_some(some, before, memo)
                 some, chars = [], 0
         if some:
@@ -251,13 +259,12 @@ class Bpe:
         known = {}
         if before:  # a pre-token that begins with the space may have been a segment of its own before
             had = [p for p in needed if p[0] == " " and p[1:] in memo and p[1:].isalpha()]
-            known = {p: array("i", memo[p[1:]]) for p in had}
+            known = {p: memo[p[1:]] for p in had}
         known.update(self.pieces(needed.difference(known)))
         for s, p in parts.items():
-            ids = known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p)))
-            memo[s] = array("i", ids).tobytes()
+            memo[s] = known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[str], step_bytes: int = 0) -> list[bytes]:
         """Ids of each text as bytes of 32-bit numbers; each match of the pattern is merged by itself.
 
         No match reaches over a single space between two non-spaces except as its first character, so a text
@@ -270,9 +277,9 @@ class Bpe:
             head, *tail = [t] if w else t.split(" ")
             heads.add(head)
             seen.update(tail)
-        memo, first = self.memo, {}
-        self.learn(seen.difference(memo), " ", memo)
-        self.learn(heads, "", first)
+        memo, first, at_a_time = self.memo, {}, max(LEARN_CHARS, step_bytes // 4)
+        self.learn(seen.difference(memo), " ", memo, at_a_time)
+        self.learn(heads, "", first, at_a_time)
         behind, out = memo.__getitem__, []
         for t, w in zip(texts, whole):  # split again rather than hold all parts of all texts
             head, *tail = [t] if w else t.split(" ")
@@ -341,7 +348,7 @@ def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", id
         for batch in batches:
             for part in text_steps(batch, text, step_bytes):
                 with no_cycle_search():
-                    got = bpe.encode_all(texts_of(part, text))
+                    got = bpe.encode_all(texts_of(part, text), step_bytes)
                 flat, lengths = np.frombuffer(b"".join(got), np.int32), [len(x) // 4 for x in got]
                 cols = [list_array(flat, lengths, pa.int32())]
                 if decoded:

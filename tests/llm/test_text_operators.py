@@ -96,6 +96,22 @@ def test_bpe_learns_new_segments_in_portions(reference_encoder, tokenizer, monke
     assert len(sizes) > 10 and max(sizes) < 300 + longest and sum(x > 320 for x in sizes) <= len(odd_texts())
 
 
+def test_bpe_learns_a_fourth_of_a_step_at_a_time(reference_encoder, tokenizer, monkeypatch):
+    data, pattern = tokenizer
+    cut, sizes = bpe.Bpe.learn_some, []
+    monkeypatch.setattr(bpe.Bpe, "learn_some", lambda self, some, *rest: (sizes.append(sum(map(len, some)) + len(some)), cut(self, some, *rest)))
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdeéß.", k=rng.randrange(1, 12))) for _ in range(30_000)) for _ in range(3)]
+    assert len("".join(texts)) > 2 * bpe.LEARN_CHARS
+    ids = [reference_encoder.encode_ordinary(t) for t in texts]
+    for step, portions in ((bpe.ENCODE_BYTES, 1), (1 << 20, 3)):  # the smaller step has less memory
+        sizes.clear()
+        got = bpe.Bpe(bpe.load_ranks(data), pattern).encode_all(texts, step)
+        assert [np.frombuffer(b, np.int32).tolist() for b in got] == ids
+        known = [n for n in sizes if n > 100]  # the rest is what stands before the first spaces
+        assert len(known) == portions and max(known) < max(bpe.LEARN_CHARS, step // 4) + 20
+
+
 def test_bpe_step_changes_nothing(spark, tokenizer):
     data, pattern = tokenizer
     df = spark.createDataFrame([(k, None if k % 7 == 0 else f"text {k} é" * (k % 5)) for k in range(40)], "doc_id long, text string").repartition(2)
