@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import time
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from retentia.llm import bpe, html_text, langid, licences, lm_score
 from retentia.llm import queries as Q
 from retentia.llm.boosting import Boosted
+from retentia.session import checkpoint_dir
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, ids string, score string, labels string"
@@ -467,3 +469,35 @@ def test_op6_on_the_given_pages(spark):
         right += r.text == " ".join(b for b in blocks if b)
         assert r.n_chars == len(r.text) and r.url == p.url
     assert right / len(pages) > 0.98
+
+
+def test_lm_words_equal_the_pattern_and_shapes():
+    rng = random.Random(8)
+    texts = ["", " \n", "a", "!", "é́x ǅ \x1c\x85 b__1² Ab aB a1A AB1 ½ _", "𝒳y!?"]
+    texts += ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000), rng.randrange(128)])) for _ in range(200)) for _ in range(50)]
+    found = [lm_score._TOKENS(t) for t in texts]
+    numbers, sizes = lm_score.tokens_of(texts, lm_score.Numbers())
+    assert sizes.tolist() == [len(x) for x in found]
+    known = {}
+    for word, n in zip([w for x in found for w in x], numbers.tolist(), strict=True):
+        assert known.setdefault(word, n) == n and n & 15 == lm_score.shape_of(word)
+    assert len(set(known.values())) == len(known)
+
+
+def test_lm_scores_do_not_depend_on_the_blocks_and_keep_less_than_the_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 5) for k in range(3000)]
+    rows = [(k, " ".join(rng.choices(words, weights, k=1500)), k % 3 == 0) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(2)
+    kept = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(checkpoint_dir(spark).removeprefix("file:")) for x in names)
+    before = kept()
+    got = {r.doc_id: r for r in lm_score.score(df, lm_score.Models.fit(df)).collect()}
+    assert 0 < kept() - before < sum(len(t) for _, t, _ in rows)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 20_000)
+    monkeypatch.setattr(lm_score, "STEP_TOKENS", 2_000)
+    monkeypatch.setattr(lm_score, "STEP_BYTES", 10_000)
+    monkeypatch.setattr(lm_score, "RANGE_TOKENS", 2_000)
+    other = {r.doc_id: r for r in lm_score.score(df, lm_score.Models.fit(df)).collect()}
+    assert got.keys() == other.keys()
+    assert all(np.isclose(got[i].target_loss, other[i].target_loss) and np.isclose(got[i].background_loss, other[i].background_loss) for i in got)
